@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, simhash, token_store
+from . import decontaminate, exact_dedup, language, simhash, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": lambda s, d: decontaminate.leak_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op3_language_id": lambda s, d: language.language_report(table(s, d, "documents")),
     "op4_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
+    "op5_toxicity": lambda s, d: toxicity.toxicity_report(table(s, d, "documents"), table(s, d, "labels")),
     "op7_token_store": lambda s, d: token_store.token_report(table(s, d, "documents")),
     "op8_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
 }
