@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, simhash, token_store, toxicity
+from . import decontaminate, exact_dedup, language, simhash, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,11 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": lambda s, d: toxicity.toxicity_report(table(s, d, "documents"), table(s, d, "labels")),
     "op7_token_store": lambda s, d: token_store.token_report(table(s, d, "documents")),
     "op8_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
+    "op9_substring_dedup": lambda s, d: substring_dedup.repeat_report(table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }
