@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ ENTRY = np.dtype([("digest", f"V{DIGEST}"), ("n", "<u4")])
 #: Ids a rolling hash covers; ids in a chunk, at least, about and at most.
 SPAN, LEAST, ABOUT, MOST = 16, 64, 256, 1024
 #: Entries of a worker's cache of encoded words, and digests it remembers to have sent.
-CACHE, SENT = 600_000, 200_000
+CACHE, SENT = 250_000, 50_000
 END_ID = 2
 
 PIECES = "kind int, digest binary, payload binary, doc_id bigint, n_tokens bigint, nth bigint"
@@ -51,6 +52,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,8 +64,8 @@ class Encoder:
         self.flat, self.start, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0
 
     def learn(self, parts: list[bytes]) -> None:
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
+        for k in range(0, len(parts), 2000):
+            some = parts[k : k + 2000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             while self.used + n.sum() > len(self.flat):
@@ -133,7 +135,7 @@ def pieces_of(path: str, end_id: int):
         nth = TaskContext.get().partitionId() << 40
         end = np.array([end_id], encoder.dtype)
         schema = pa.schema([("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("nth", pa.int64())])
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
                 ids = np.concatenate((encoder.encode(text), end))
@@ -151,7 +153,7 @@ def pieces_of(path: str, end_id: int):
                         size += len(payload)
                 nth += 1
                 rows.append((1, None, b"".join(recipe), doc_id, len(ids), nth))
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows, size = [], 0
             if rows:
