@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, simhash, substring_dedup, token_store, toxicity
+from . import decontaminate, exact_dedup, language, mixing, simhash, substring_dedup, token_count, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": lambda s, d: decontaminate.leak_report(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op2_token_counts": lambda s, d: token_count.token_counts(table(s, d, "documents")),
     "op3_language_id": lambda s, d: language.language_report(table(s, d, "documents")),
     "op4_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
     "op5_toxicity": lambda s, d: toxicity.toxicity_report(table(s, d, "documents"), table(s, d, "labels")),
+    "op6_source_mixing": lambda s, d: mixing.calibrate(table(s, d, "documents")),
     "op7_token_store": lambda s, d: token_store.token_report(table(s, d, "documents")),
     "op8_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
     "op9_substring_dedup": lambda s, d: substring_dedup.repeat_report(table(s, d, "documents")),
@@ -28,5 +30,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_source_mixing": mixing.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
 }
