@@ -1,7 +1,8 @@
 """Operator 6: mixing sources to target weights by iterative proportional fitting.
 
 Token counts of the cells (source, language, topic) are raked until the marginals of each of the three
-match their targets; a document's probability follows from its cell, and a hash of its id decides.
+match their targets, no cell beyond what it has; the part of a cell's tokens to be kept is the probability of its
+documents, and a hash of a document's id decides.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ AT_ONCE = 4
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 NONE = "(none)"
 SEED = "mix"
+#: Part of all tokens to be kept, as far as the cells allow.
+BUDGET = 0.5
 #: Entries of a worker's cache of words.
 CACHE = 500_000
 
@@ -52,8 +55,10 @@ def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(topic, pa.int32())], ["n", "topic"])
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with a column ``factor``: what the tokens of a cell are to be multiplied by.
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with a column ``factor``: the part of a cell's tokens to keep, 0 to 1.
+
+    The targets of each marginal add up to ``budget`` times all tokens; where cells are too small for them, all of those is kept.
 
     ``targets``: for some of the three, a DataFrame of value and weight (of any sum; a value without a target gets weight 0);
     for the others the tempered shares.  Cells without tokens keep factor 0.
@@ -70,11 +75,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             cells = cells.withColumn(f"t_{d}", F.pow(own, F.lit(TEMPERATURE[d])))
         sizes = cut(cells, "cells")
         total = sizes.where("tokens > 0").groupBy(d).agg(F.first(f"t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
-        cells = sizes.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(float(total)) * F.lit(float(whole)))
+        cells = sizes.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(float(total)) * F.lit(budget * float(whole)))
     for k in range(rounds):
         for d in dims:
             have = F.sum("w").over(Window.partitionBy(d))
-            cells = cells.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"t_{d}") / have).otherwise(F.lit(0.0)))
+            cells = cells.withColumn("w", F.when(have > 0, F.least(F.col("tokens").cast("double"), F.col("w") * F.col(f"t_{d}") / have)).otherwise(F.lit(0.0)))
         if (k + 1) % AT_ONCE == 0 or k + 1 == rounds:
             cells = cut(cells, "cells")
     return cells.select(*dims, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0)).alias("factor"))
@@ -90,16 +95,14 @@ def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, roun
     """doc_id, source, lang, topic, tokens, probability, kept: one row per row of ``docs``.
 
     tokens are the words of the whole text (runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``).  A null source or language is a value of
-    its own.  probability is the cell's factor divided by the largest factor, so the expected marginals of what is
-    kept match the targets; texts without words have probability 1.  kept: a hash of the id is below it, so rows that share an id share the draw.
+    its own.  probability is the cell's factor, so the expected marginals of what is kept match the targets; texts without words have probability 1.  kept: a hash of the id is below it, so rows that share an id share the draw.
     """
     measured = cut(
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"), F.arrow_udf(measure, "struct<n:bigint,topic:int>")(F.col(text_col)).alias("m")).select("doc_id", "source", "lang", F.col("m.topic").cast("string").alias("topic"), F.col("m.n").alias("tokens")),
         "measured",
     )
     cells = cut(rake(measured.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), targets, rounds), "factors")
-    most = cells.agg(F.max("factor")).first()[0] or 1.0
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(float(most)))).otherwise(F.lit(1.0))
+    p = F.when(F.col("tokens") > 0, F.col("factor")).otherwise(F.lit(1.0))
     return (
         measured.join(cells.drop("tokens"), ["source", "lang", "topic"])
         .select("doc_id", "source", "lang", "topic", "tokens", F.round(p, 9).alias("probability"))
@@ -126,15 +129,15 @@ def _sql() -> str:
         "c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL)",
         "c0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w, " + ", ".join(f"pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {TEMPERATURE[d]}) AS r_{d}" for d in dims) + " FROM c)",
         *(f"s_{d} AS (SELECT sum(r) AS s FROM (SELECT {d}, any_value(r_{d}) AS r FROM c0 WHERE tokens > 0 GROUP BY {d}))" for d in dims),
-        "k0 AS MATERIALIZED (SELECT source, lang, topic, tokens, w, " + ", ".join(f"r_{d} / (SELECT s FROM s_{d}) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM c) AS t_{d}" for d in dims) + " FROM c0)",
+        "k0 AS MATERIALIZED (SELECT source, lang, topic, tokens, w, " + ", ".join(f"r_{d} / (SELECT s FROM s_{d}) * ({BUDGET} * (SELECT CAST(sum(tokens) AS DOUBLE) FROM c)) AS t_{d}" for d in dims) + " FROM c0)",
     ]
     n = 0
     for _ in range(ROUNDS):
         for d in dims:
-            parts.append(f"k{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w FROM k{n})")
+            parts.append(f"k{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN least(CAST(tokens AS DOUBLE), w * t_{d} / sum(w) OVER (PARTITION BY {d})) ELSE 0 END AS w FROM k{n})")
             n += 1
     parts.append(f"f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS factor FROM k{n})")
-    parts.append("p AS (SELECT doc_id, d.source, d.lang, d.topic, tokens, CASE WHEN tokens > 0 THEN round(least(1.0, factor / (SELECT max(factor) FROM f)), 9) ELSE 1.0 END AS probability FROM d JOIN f ON f.source = d.source AND f.lang = d.lang AND f.topic = d.topic)")
+    parts.append("p AS (SELECT doc_id, d.source, d.lang, d.topic, tokens, CASE WHEN tokens > 0 THEN round(factor, 9) ELSE 1.0 END AS probability FROM d JOIN f ON f.source = d.source AND f.lang = d.lang AND f.topic = d.topic)")
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, tokens, probability, CAST('0x' || substring(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept FROM p"
 
 
