@@ -1,2 +1,583 @@
-QUERIES = {}
-SQL = {}
+"""Named queries over the test tables, each with the same question in DuckDB SQL.
+
+documents are files with contents, embeddings are vectors with their label as node, lineitem is the replica table
+(file l_orderkey, node l_suppkey), supplier is the node table (offline where the balance is negative), part has names and
+sizes, events are activities, heartbeats and failures, pages are paths of the namespace.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
+from ..sources.files import read_table
+from ..streaming import discovery, elections, heartbeats
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- tables as the operators know them
+
+
+def vector_table(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.col("label").alias("node_id"), "embedding")
+
+
+def some_vector(s: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    return [float(x) for x in read_table(s, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
+
+
+def node_table(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 0, "offline").otherwise("online").alias("status"))
+
+
+def replica_rows(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("node_id"), F.col("l_returnflag").alias("content_hash"), F.col("l_shipdate").alias("last_updated"), F.col("l_quantity").alias("size"), F.col("l_partkey").alias("part_id"), F.col("l_linenumber").alias("line"))
+
+
+def file_table(s: SparkSession, d: str) -> DataFrame:
+    """The latest row of each (file, node)."""
+    return registry.latest(replica_rows(s, d), ["file_id", "node_id"], [F.desc("last_updated"), F.desc("line"), F.desc("part_id")])
+
+
+def part_table(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"), F.col("p_type").alias("content"), F.col("p_size").alias("size"), F.col("p_brand").alias("type"))
+
+
+def load_table(s: SparkSession, d: str) -> DataFrame:
+    """Loads made of what each supplier delivers: active queries from lines, processor and memory from means, documents from orders."""
+    own = read_table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("node_id"))
+    return own.agg(
+        F.pmod(F.count(F.lit(1)), F.lit(17)).cast("int").alias("active_queries"),
+        F.avg("l_quantity").alias("cpu_usage"),
+        (F.avg("l_discount") * F.lit(1000.0)).alias("memory_usage"),
+        F.count_distinct("l_orderkey").alias("document_count"),
+        F.max("l_shipdate").alias("last_updated"),
+    )
+
+
+def score_table(s: SparkSession, d: str) -> DataFrame:
+    """An affinity for two of three nodes, so that the default counts too."""
+    rows = read_table(s, d, "supplier")
+    return rows.where(F.col("s_nationkey") > 7).select(F.col("s_suppkey").alias("node_id"), (F.col("s_nationkey") / F.lit(25.0)).alias("score"))
+
+
+def event_table(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "events").select("event_id", F.col("ts").alias("timestamp"), F.col("user_id").alias("node_id"), "user_id", "event_type")
+
+
+def failure_table(s: SparkSession, d: str) -> DataFrame:
+    return reliability.intervals(event_table(s, d), F.col("event_type") == "error")
+
+
+def path_table(s: SparkSession, d: str) -> DataFrame:
+    pages = read_table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    return namespace.paths(pages.groupBy("path").agg(F.min("page_id").alias("file_id")))
+
+
+_V = "v AS (SELECT vec_id AS file_id, label AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+_COS = lambda a, b: f"list_inner_product({a}, {b}) / ((sqrt(list_inner_product({a}, {a})) + 1e-10) * (sqrt(list_inner_product({b}, {b})) + 1e-10))"
+_C = """u AS (SELECT file_id, node_id, unnest(range(0, len(e))) AS pos, unnest(e) / (sqrt(list_inner_product(e, e)) + 1e-10) AS x FROM v),
+m AS (SELECT node_id, pos, avg(x) AS m FROM u GROUP BY ALL),
+l AS (SELECT node_id, sqrt(sum(m * m)) AS l FROM m GROUP BY ALL),
+c AS (SELECT node_id, list(m / (l + 1e-10) ORDER BY pos) AS c FROM m JOIN l USING (node_id) GROUP BY node_id)"""
+_NODES = "nodes AS (SELECT s_suppkey AS node_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'offline' ELSE 'online' END AS status FROM supplier)"
+_FILES = """files AS (SELECT * FROM (SELECT l_orderkey AS file_id, l_suppkey AS node_id, l_returnflag AS content_hash, l_shipdate AS last_updated, l_quantity AS size,
+  row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS nth FROM lineitem) WHERE nth = 1)"""
+_LOADS = """loads AS (SELECT l_suppkey AS node_id, CAST(count(*) % 17 AS INTEGER) AS active_queries, avg(l_quantity) AS cpu_usage, avg(l_discount) * 1000 AS memory_usage,
+  count(DISTINCT l_orderkey) AS document_count, max(l_shipdate) AS last_updated FROM lineitem GROUP BY ALL),
+scored AS (SELECT n.node_id, n.status, coalesce(active_queries, 0) AS active_queries, coalesce(document_count, 0) AS document_count, last_updated,
+  0.3 * least(coalesce(active_queries, 0) / 10.0, 1.0) + 0.4 * coalesce(cpu_usage, 0) / 100 + 0.3 * coalesce(memory_usage, 0) / 100 AS load,
+  s_nationkey / 25.0 AS own, s_nationkey > 7 AS has FROM nodes n LEFT JOIN loads USING (node_id) JOIN supplier ON s_suppkey = n.node_id)"""
+_FAIL = """e AS (SELECT event_id, ts, user_id AS node_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
+f AS (SELECT node_id, ts, nxt AS rec, (epoch_us(nxt) - epoch_us(ts)) / 1e6 AS down FROM e WHERE event_type = 'error')"""
+_METRICS = """g AS (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY node_id ORDER BY ts)) - epoch_us(rec)) / 1e6 AS gap FROM f WHERE rec IS NOT NULL),
+a AS (SELECT node_id, count(*) AS failures, avg(down) AS r, coalesce(avg(gap), 0) AS u FROM g GROUP BY node_id),
+metrics AS (SELECT node_id, failures, round(r, 6) AS mttr, round(u, 6) AS mttf, round(r + u, 6) AS mtbf, CASE WHEN r + u > 0 THEN round(u / (r + u), 6) ELSE 1.0 END AS availability FROM a)"""
+_PATHS = r"""pg AS (SELECT min(page_id) AS file_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages GROUP BY 2),
+pp AS (SELECT file_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM pg),
+pe AS (SELECT file_id, p, unnest(range(1, len(p) + 1)) AS depth FROM pp WHERE len(p) > 0),
+tree AS (SELECT '/' || array_to_string(p[1:depth], '/') AS path, '/' || array_to_string(p[1:depth - 1], '/') AS parent_path, p[depth] AS name, CAST(depth AS INTEGER) AS depth,
+  bool_or(depth = len(p)) AS is_file, min(CASE WHEN depth = len(p) THEN file_id END) AS file_id FROM pe GROUP BY 1, 2, 3, 4)"""
+
+
+def _bm25(table: str, key: str, column: str, terms: list[str], name: str = "") -> str:
+    idf = lambda k: f"ln(1e0 + (n - df{k} + 0.5e0) / (df{k} + 0.5e0)) * tf{k} * 2.5e0 / (tf{k} + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
+    return f"""t{name} AS (SELECT {key} AS file_id, list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {table}),
+k{name} AS (SELECT file_id, len(t) AS dl, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{k}" for k, w in enumerate(terms))} FROM t{name}),
+g{name} AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{k} > 0) AS df{k}" for k in range(len(terms)))} FROM k{name}),
+s{name} AS (SELECT file_id, {" + ".join(idf(k) for k in range(len(terms)))} AS score FROM k{name}, g{name} WHERE {" OR ".join(f"tf{k} > 0" for k in range(len(terms)))})"""
+
+
+# ---- vectors
+
+
+@query(f"WITH {_V} SELECT file_id, node_id, round({_COS('e', 'q')}, 6) AS score FROM v, q ORDER BY score DESC, file_id LIMIT 10")
+def knn_cosine_topk(s, d):
+    return vectors.knn(vector_table(s, d), some_vector(s, d), 10)
+
+
+@query(f"WITH {_V} SELECT file_id, node_id, round({_COS('e', 'q')}, 6) AS score FROM v, q WHERE node_id IN (1, 3, 5) ORDER BY score DESC, file_id LIMIT 10")
+def knn_node_filter(s, d):
+    return vectors.knn(vector_table(s, d), some_vector(s, d), 10, [1, 3, 5])
+
+
+@query(f"WITH {_V} SELECT b.file_id AS query_id, a.file_id, round({_COS('a.e', 'b.e')}, 6) AS score FROM v a, v b WHERE b.file_id IN (0, 1, 2, 3)")
+def batch_similarity(s, d):
+    rows = read_table(s, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3)).select("vec_id", "embedding").collect()
+    return vectors.batch_similarity(vector_table(s, d), {r.vec_id: r.embedding for r in rows})
+
+
+@query(f"WITH {_V}, {_C} SELECT node_id, pos, round(m / (l + 1e-10), 6) AS value FROM m JOIN l USING (node_id)")
+def node_centroids(s, d):
+    return vectors.centroid_parts(vector_table(s, d)).select("node_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_V}, {_C} SELECT node_id, round({_COS('c', 'q')}, 6) AS score FROM c, q ORDER BY score DESC, node_id LIMIT 3")
+def route_nodes_for_query(s, d):
+    return vectors.route(vector_table(s, d), some_vector(s, d), 3)
+
+
+_ROUTED = f"""{_V}, {_C}, top AS (SELECT node_id FROM (SELECT node_id, round({_COS('c', 'q')}, 6) AS score FROM c, q) ORDER BY score DESC, node_id LIMIT 3),
+best AS (SELECT * FROM (SELECT file_id, node_id, {_COS('e', 'q')} AS score, row_number() OVER (PARTITION BY node_id ORDER BY {_COS('e', 'q')} DESC, file_id) AS nth FROM v JOIN top USING (node_id), q) WHERE nth <= 20),
+routed AS (SELECT file_id, node_id, round(score, 6) AS score FROM best ORDER BY score DESC, file_id LIMIT 10)"""
+
+
+@query(f"WITH {_ROUTED} SELECT * FROM routed")
+def routed_search(s, d):
+    return vectors.routed_search(vector_table(s, d), some_vector(s, d), 3, 10)
+
+
+@query(f"""WITH {_ROUTED}, exact AS (SELECT file_id, round({_COS('e', 'q')}, 6) AS score FROM v, q ORDER BY score DESC, file_id LIMIT 10)
+SELECT 10 AS k, count(*) AS found, round(count(*) / 10, 6) AS recall FROM exact WHERE file_id IN (SELECT file_id FROM routed)""")
+def routing_recall(s, d):
+    return vectors.routing_recall(vector_table(s, d), some_vector(s, d), 3, 10)
+
+
+@query(f"""WITH {_V}, {_C} SELECT file_id, CAST(node_id AS VARCHAR) AS node_id, score, CAST(nth AS INTEGER) AS nth FROM (
+SELECT v.file_id, c.node_id, round({_COS('e', 'c')}, 6) AS score, row_number() OVER (PARTITION BY v.file_id ORDER BY round({_COS('e', 'c')}, 6) DESC, CAST(c.node_id AS VARCHAR)) AS nth
+FROM v JOIN c ON v.node_id <> c.node_id) WHERE nth <= 2""")
+def replica_nodes_by_affinity(s, d):
+    return vectors.replica_nodes(vector_table(s, d), 2)
+
+
+@query("SELECT label AS node_id, count(*) AS document_count FROM embeddings GROUP BY ALL")
+def index_location_stats(s, d):
+    return vectors.location_stats(vector_table(s, d))
+
+
+# ---- text
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS cf FROM t GROUP BY term""")
+def text_postings_stats(s, d):
+    return search.postings_stats(read_table(s, d, "documents"), "text", "doc_id")
+
+
+@query(f"WITH {_bm25('documents', 'doc_id', 'text', ['the', 'moron', 'erand'])} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
+def bm25_search(s, d):
+    return search.text_search(read_table(s, d, "documents"), "The moron erand", 20, "text", "doc_id")
+
+
+@query(f"WITH {_bm25('documents', 'doc_id', 'text', ['des', 'und'])} SELECT file_id, round(score, 6) AS score FROM s WHERE file_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY score DESC, file_id LIMIT 20")
+def bm25_search_typed(s, d):
+    return search.text_search(read_table(s, d, "documents"), "des und", 20, "text", "doc_id", F.col("lang") == "fr")
+
+
+@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['steel', 'large'], 'n')}, {_bm25('part', 'p_partkey', 'p_type', ['steel', 'large'], 'c')},
+b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc)
+SELECT file_id, round(sum(score), 6) AS score FROM b GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50""")
+def weighted_name_content_search(s, d):
+    return search.weighted_search(part_table(s, d), "steel LARGE", 50)
+
+
+@query("SELECT p_partkey AS file_id, p_name AS name FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50")
+def regex_name_fallback(s, d):
+    return search.name_matches(part_table(s, d), "EE", 50)
+
+
+@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['green'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 10)
+SELECT h.file_id, h.score, l_suppkey AS node_id, count(*) AS replicas FROM h JOIN lineitem ON l_partkey = h.file_id GROUP BY ALL""")
+def search_result_files(s, d):
+    hits = search.text_search(part_table(s, d), "green", 10, "name")
+    held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"))
+    return search.with_files(hits, held).groupBy("file_id", "score", "node_id").agg(F.count(F.lit(1)).alias("replicas"))
+
+
+@query(f"""WITH {_NODES}, {_bm25('part', 'p_partkey', 'p_name', ['green'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 3)
+SELECT node_id, name, status FROM nodes WHERE status = 'online' AND node_id IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT file_id FROM h))""")
+def nodes_available_for_hits(s, d):
+    hits = search.text_search(part_table(s, d), "green", 3, "name")
+    held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"))
+    return search.nodes_of(hits, held, node_table(s, d).where("status = 'online'"))
+
+
+@query(r"""WITH w AS (SELECT p_partkey, p_name, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM part)
+SELECT p_partkey AS file_id, p_name AS name, CAST(min(levenshtein(t, 'gren')) AS INTEGER) AS distance FROM w GROUP BY ALL HAVING min(levenshtein(t, 'gren')) <= 1""")
+def fuzzy_name_search(s, d):
+    return search.fuzzy_names(part_table(s, d), "gren", 1)
+
+
+@query("SELECT p_partkey AS file_id, p_size AS size FROM part WHERE p_size BETWEEN 10 AND 20")
+def size_range_filter(s, d):
+    return search.in_ranges(part_table(s, d), (10, 20)).select("file_id", "size")
+
+
+# ---- index statistics and files
+
+
+@query("SELECT lang AS type, count(*) AS files FROM documents GROUP BY lang")
+def files_by_type(s, d):
+    return registry.files_by_type(read_table(s, d, "documents").withColumnRenamed("lang", "type"))
+
+
+@query(f"""WITH {_NODES}, f AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS total_files, CAST(sum(q) AS DOUBLE) AS total_size, count(*) FILTER (WHERE n > 1) AS duplicate_files,
+(SELECT count(*) FILTER (WHERE status = 'online') FROM nodes) AS active_nodes, (SELECT count(*) FROM nodes) AS total_nodes FROM f""")
+def index_stats(s, d):
+    return registry.index_stats(replica_rows(s, d), node_table(s, d))
+
+
+@query("SELECT l_orderkey AS file_id, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_files(s, d):
+    return registry.duplicates(replica_rows(s, d))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_hash, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
+def content_hash_duplicates(s, d):
+    docs = read_table(s, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"))
+    return registry.duplicates(docs, "content_hash")
+
+
+@query(f"WITH {_NODES} SELECT node_id, name, status FROM nodes WHERE node_id IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey = 7)")
+def nodes_with_file(s, d):
+    return registry.nodes_with_file(replica_rows(s, d), node_table(s, d), 7)
+
+
+@query(f"WITH {_NODES} SELECT node_id FROM nodes WHERE status = 'online' AND node_id IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey = 7) ORDER BY node_id LIMIT 1")
+def download_source(s, d):
+    return registry.download_node(replica_rows(s, d), node_table(s, d), 7)
+
+
+@query("""SELECT l_orderkey AS file_id, l_suppkey AS node_id, strftime(l_shipdate, '%Y-%m-%d') AS updated, l_returnflag AS content_hash FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) = 1""")
+def upsert_latest_file(s, d):
+    return file_table(s, d).select("file_id", "node_id", F.date_format("last_updated", "yyyy-MM-dd").alias("updated"), "content_hash")
+
+
+@query("SELECT doc_id AS file_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_contents(s, d):
+    return registry.orphan_contents(read_table(s, d, "documents").select(F.col("doc_id").alias("file_id")), read_table(s, d, "labels").select(F.col("doc_id").alias("file_id")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS file_id FROM orders), l AS (SELECT DISTINCT l_orderkey AS file_id FROM lineitem)
+SELECT coalesce(o.file_id, l.file_id) AS file_id, CASE WHEN o.file_id IS NULL THEN 'add' WHEN l.file_id IS NULL THEN 'delete' ELSE 'keep' END AS action FROM o FULL JOIN l ON o.file_id = l.file_id""")
+def stale_files_sync(s, d):
+    stored = read_table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("x").alias("content_hash"))
+    found = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.lit("x").alias("content_hash")).distinct()
+    return registry.sync_directory(stored, found)
+
+
+# ---- replication
+
+
+@query(f"WITH {_FILES} SELECT file_id, count(*) AS holders, string_agg(node_id || ':' || content_hash, ',' ORDER BY node_id) AS versions FROM files GROUP BY file_id")
+def file_versions(s, d):
+    rows = replication.versions(file_table(s, d))
+    return rows.select("file_id", F.size("versions").cast("bigint").alias("holders"), F.array_join(F.transform("versions", lambda v: F.concat(v["node_id"].cast("string"), F.lit(":"), v["content_hash"])), ",").alias("versions"))
+
+
+@query(f"WITH {_FILES} SELECT file_id, count(*) AS holders FROM files GROUP BY file_id HAVING count(DISTINCT nullif(content_hash, '')) > 1")
+def conflict_files(s, d):
+    return replication.conflicts(file_table(s, d))
+
+
+_CANON = "canon AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY last_updated DESC NULLS LAST, node_id) AS k FROM files) WHERE k = 1)"
+
+
+@query(f"WITH {_FILES}, {_CANON} SELECT file_id, node_id, content_hash, strftime(last_updated, '%Y-%m-%d') AS updated FROM canon")
+def canonical_versions_lww(s, d):
+    return replication.canonical(file_table(s, d)).select("file_id", "node_id", "content_hash", F.date_format("last_updated", "yyyy-MM-dd").alias("updated"))
+
+
+@query(f"""WITH {_FILES}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY last_updated NULLS FIRST, node_id) AS k FROM files) WHERE k = 1)
+SELECT file_id, node_id, content_hash FROM first""")
+def canonical_versions_first(s, d):
+    return replication.canonical(file_table(s, d), "first_write_wins").select("file_id", "node_id", "content_hash")
+
+
+@query(f"""WITH {_NODES}, {_FILES}, {_CANON} SELECT f.file_id, f.node_id, c.node_id AS source_node, c.content_hash AS canonical_hash FROM files f JOIN canon c ON c.file_id = f.file_id
+JOIN nodes n ON n.node_id = f.node_id WHERE f.content_hash <> c.content_hash AND n.status = 'online'""")
+def outdated_replicas(s, d):
+    return replication.outdated(file_table(s, d), node_table(s, d))
+
+
+_STATUS = """c AS (SELECT file_id, count(*) AS copies FROM files GROUP BY ALL)
+SELECT count(*) AS unique_files, CAST(sum(copies) AS BIGINT) AS total_replicas, count(*) FILTER (WHERE copies >= 2) AS fully_replicated,
+count(*) FILTER (WHERE copies < 2) AS under_replicated, round(100.0 * count(*) FILTER (WHERE copies >= 2) / count(*), 6) AS coverage_percent FROM c"""
+
+
+@query(f"WITH {_FILES}, {_STATUS}")
+def replication_status(s, d):
+    return replication.replication_status(file_table(s, d))
+
+
+@query(f"""WITH {_NODES}, {_FILES}, c AS (SELECT file_id, count(*) FILTER (WHERE status = 'online') AS holders FROM files LEFT JOIN nodes USING (node_id) GROUP BY file_id)
+SELECT file_id, holders, 2 - holders AS missing FROM c WHERE holders < 2""")
+def under_replicated_files(s, d):
+    return replication.under_replicated(file_table(s, d), node_table(s, d)).select("file_id", "holders", F.col("missing").cast("bigint").alias("missing"))
+
+
+@query(f"""WITH {_NODES} SELECT file_id, node_id, CAST(nth AS INTEGER) AS nth FROM (
+SELECT p_partkey AS file_id, node_id, row_number() OVER (PARTITION BY p_partkey ORDER BY md5(p_partkey || ':' || node_id), node_id) AS nth FROM part, nodes WHERE status = 'online') WHERE nth <= 2""")
+def replica_plan_rendezvous(s, d):
+    return replication.rendezvous(part_table(s, d), node_table(s, d))
+
+
+@query(f"""WITH {_NODES}, {_FILES}, h AS (SELECT file_id, status FROM files JOIN nodes USING (node_id))
+SELECT count(*) AS checked, count(*) FILTER (WHERE file_id IN (SELECT file_id FROM h WHERE status = 'online')) AS recoverable FROM h WHERE status = 'offline'""")
+def offline_files_recoverable(s, d):
+    return replication.recoverable(file_table(s, d), node_table(s, d))
+
+
+@query(f"""WITH {_NODES}, {_FILES}, {_CANON}, x AS (SELECT count(*) AS n FROM (SELECT file_id FROM files GROUP BY file_id HAVING count(DISTINCT content_hash) > 1))
+SELECT (SELECT count(DISTINCT file_id) FROM files) AS files_checked, (SELECT n FROM x) AS conflicts,
+(SELECT count(*) FROM files f JOIN canon c ON c.file_id = f.file_id JOIN nodes n ON n.node_id = f.node_id WHERE f.content_hash <> c.content_hash AND n.status = 'online') AS updates""")
+def synchronise_report(s, d):
+    return replication.synchronise(file_table(s, d), node_table(s, d))
+
+
+# ---- routing
+
+
+@query(f"WITH {_NODES}, {_LOADS} SELECT node_id, round(load, 6) AS load FROM scored")
+def load_score_per_node(s, d):
+    return routing.with_loads(node_table(s, d).select("node_id"), load_table(s, d)).select("node_id", F.round("load", 6).alias("load"))
+
+
+@query(f"""WITH {_NODES}, {_LOADS} SELECT node_id, round(0.6 * CASE WHEN has THEN own ELSE 0.5 END + 0.4 * CASE WHEN epoch_us(TIMESTAMP '1998-08-01') - epoch_us(last_updated) > 30000000 THEN 0.5 ELSE 1 - load END, 6) AS score
+FROM scored WHERE status = 'online' ORDER BY score DESC, node_id LIMIT 5""")
+def select_nodes_weighted(s, d):
+    return routing.select_nodes(node_table(s, d), load_table(s, d), score_table(s, d), "weighted", 5, now=F.lit("1998-08-01 00:00:00"))
+
+
+@query(f"WITH {_NODES}, {_LOADS} SELECT node_id, CAST(-active_queries AS DOUBLE) AS score FROM scored WHERE status = 'online' ORDER BY score DESC, node_id LIMIT 5")
+def select_nodes_least_connections(s, d):
+    return routing.select_nodes(node_table(s, d), load_table(s, d), None, "least_connections", 5)
+
+
+@query(f"""WITH {_NODES}, r AS (SELECT node_id, row_number() OVER (ORDER BY node_id) AS i, count(*) OVER () AS n FROM nodes WHERE status = 'online')
+SELECT node_id, CAST(-((i - 2 + n) % n) AS DOUBLE) AS score FROM r ORDER BY score DESC LIMIT 5""")
+def select_nodes_round_robin(s, d):
+    return routing.select_nodes(node_table(s, d), load_table(s, d), None, "round_robin", 5)
+
+
+@query(f"WITH {_NODES}, {_LOADS} SELECT node_id, round(own, 6) AS score FROM scored WHERE status = 'online' AND has ORDER BY score DESC, node_id LIMIT 5")
+def select_nodes_semantic(s, d):
+    return routing.select_nodes(node_table(s, d), load_table(s, d), score_table(s, d), "semantic", 5)
+
+
+@query(f"""WITH {_NODES}, {_LOADS} SELECT node_id, round(0.4 * CASE WHEN has THEN own ELSE 0.5 END + 0.4 * (1 - load) + 0.2 * (1 - document_count / (SELECT max(document_count) FROM loads)), 6) AS score
+FROM scored WHERE status = 'online' ORDER BY score DESC, node_id LIMIT 1""")
+def place_document(s, d):
+    return routing.place_document(node_table(s, d), load_table(s, d), score_table(s, d))
+
+
+@query(f"""WITH {_NODES}, {_LOADS} SELECT count(*) AS nodes, round(avg(0.3 * least(active_queries / 10.0, 1.0) + 0.4 * cpu_usage / 100 + 0.3 * memory_usage / 100), 6) AS mean_load, CAST(sum(active_queries) AS BIGINT) AS active_queries FROM loads""")
+def load_totals(s, d):
+    return routing.load_totals(load_table(s, d))
+
+
+# ---- reliability, heartbeats, leaders
+
+
+@query(f"WITH {_FAIL}, {_METRICS} SELECT * FROM metrics")
+def node_metrics_mttr_mttf(s, d):
+    return reliability.node_metrics(failure_table(s, d))
+
+
+@query(f"""WITH {_FAIL}, {_METRICS}, o AS (SELECT DISTINCT user_id AS node_id FROM events)
+SELECT count(*) AS nodes, round(avg(mttr), 6) AS mttr, round(avg(mtbf), 6) AS mtbf, round(avg(coalesce(availability, 1.0)), 6) AS availability FROM o LEFT JOIN metrics USING (node_id)""")
+def system_reliability(s, d):
+    nodes = read_table(s, d, "events").select(F.col("user_id").alias("node_id"), F.lit("online").alias("status")).distinct()
+    return reliability.system_metrics(failure_table(s, d), nodes)
+
+
+@query(f"WITH {_FAIL} SELECT node_id, epoch_us(max(ts)) AS failed_us FROM f WHERE rec IS NULL GROUP BY node_id")
+def open_failures_latest(s, d):
+    return reliability.open_failures(failure_table(s, d)).select("node_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("failed_us"))
+
+
+@query("""WITH e AS (SELECT user_id AS node_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events)
+SELECT node_id, epoch_us(ts) AS last_us, round((epoch_us(nxt) - epoch_us(ts)) / 1e6, 6) AS gap_seconds FROM e WHERE epoch_us(nxt) - epoch_us(ts) > 21600000000""")
+def heartbeat_outages(s, d):
+    return heartbeats.outages(event_table(s, d), 21_600).select("node_id", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_us"), F.round("gap_seconds", 6).alias("gap_seconds"))
+
+
+@query("""WITH e AS (SELECT user_id AS node_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prv FROM events),
+g AS (SELECT node_id, ts, sum(CASE WHEN prv IS NULL OR epoch_us(ts) - epoch_us(prv) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY ts) AS k FROM e)
+SELECT node_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS announcements FROM g GROUP BY node_id, k""")
+def discovery_sessions(s, d):
+    rows = event_table(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return discovery.sessions(rows, 21_600).select("node_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "announcements")
+
+
+@query("""WITH l AS (SELECT user_id AS node_id, max(ts) AS seen FROM events GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events)
+SELECT node_id, CASE WHEN epoch_us(now) - epoch_us(seen) > 86400000000 THEN 'offline' ELSE 'online' END AS status FROM l, n""")
+def node_timeout_sweep(s, d):
+    events = event_table(s, d)
+    nodes = events.groupBy("node_id").agg(F.max("timestamp").alias("last_seen")).withColumn("status", F.lit("online"))
+    now = events.agg(F.max("timestamp").alias("now")).scalar()
+    return registry.timeout_sweep(nodes, now, 86_400).select("node_id", "status")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id AS cluster_id, role AS new_master, turn AS since, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM c WHERE role IS DISTINCT FROM before""")
+def leader_history(s, d):
+    return elections.leader_history(read_table(s, d, "conversations").select(F.col("conv_id").alias("cluster_id"), F.col("role").alias("new_master"), F.col("turn").alias("timestamp"), F.lit(0).alias("seq")))
+
+
+@query("SELECT max(s_name) AS node_id FROM supplier WHERE s_acctbal >= 0 AND s_nationkey > 3")
+def elected_leader(s, d):
+    return elections.leader(read_table(s, d, "supplier").select(F.col("s_name").alias("node_id"), (F.col("s_acctbal") >= 0).alias("alive"), (F.col("s_nationkey") > 3).alias("can_be_master")))
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nth FROM events QUALIFY nth <= 5")
+def user_activity_latest(s, d):
+    return registry.latest_activities(event_table(s, d), 5, [F.desc("timestamp"), F.desc("event_id")]).select("user_id", "event_id", "nth")
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY ALL)
+SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses, round(100.0 * sum(n - 1) / sum(n), 2) AS hit_rate FROM c""")
+def cache_hit_rate(s, d):
+    return registry.hit_rate(event_table(s, d), "user_id")
+
+
+# ---- namespace
+
+
+@query(f"WITH {_PATHS} SELECT path, parent_path, name, is_file, file_id, depth FROM tree")
+def namespace_paths(s, d):
+    return path_table(s, d)
+
+
+@query(f"WITH {_PATHS}, p AS (SELECT min(parent_path) AS p FROM tree WHERE depth = 2) SELECT name, is_file, file_id FROM tree WHERE parent_path = (SELECT p FROM p)")
+def namespace_list(s, d):
+    tree = path_table(s, d)
+    return namespace.list_directory(tree, tree.where("depth = 2").agg(F.min("parent_path")).first()[0] or "/")
+
+
+@query(f"WITH {_PATHS} SELECT path, file_id FROM tree WHERE is_file AND regexp_matches(path, '^/.*[0-9].*\\.html$')")
+def namespace_glob(s, d):
+    return namespace.search_glob(path_table(s, d), "/*[0-9]*.html")
+
+
+@query(f"WITH {_PATHS} SELECT path, depth, is_file, depth = 2 AND NOT is_file AS truncated FROM tree WHERE depth <= 2")
+def namespace_tree(s, d):
+    return namespace.subtree(path_table(s, d), "/", 2)
+
+
+@query(f"WITH {_PATHS}, p AS (SELECT min(path) AS p FROM tree WHERE NOT is_file) SELECT path, is_file FROM tree WHERE path = (SELECT p FROM p) OR starts_with(path, (SELECT p FROM p) || '/')")
+def namespace_delete_preview(s, d):
+    tree = path_table(s, d)
+    top = tree.where("not is_file").agg(F.min("path")).first()[0] or "/"
+    return namespace.deleted_by(tree, top, recursive=True).select("path", "is_file")
+
+
+@query(f"""WITH {_PATHS}, q AS (SELECT DISTINCT url FROM pages), r AS (SELECT url AS requested, '/' || array_to_string(list_filter(string_split(url, '/'), lambda x: x <> ''), '/') AS asked,
+  '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), '/') AS real_path FROM q)
+SELECT requested, CASE WHEN t.file_id IS NOT NULL THEN real_path END AS path, t.file_id FROM r LEFT JOIN tree t ON t.path = real_path AND t.is_file""")
+def alias_resolution(s, d):
+    urls = read_table(s, d, "pages").select("url").distinct()
+    tree = path_table(s, d)
+    target = S.normal_path(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1))
+    aliases = urls.select(S.normal_path(F.col("url")).alias("alias"), target.alias("real_path"))
+    return namespace.resolve(urls.select(F.col("url").alias("path")), tree, aliases.dropDuplicates(["alias"]))
+
+
+# ---- types, ids, sizes, states
+
+
+def _case(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} IN ({', '.join(repr(e) for e in endings)}) THEN '{kind}'" for kind, endings in S.EXTENSIONS.items()) + " ELSE 'other' END"
+
+
+_SUFFIX = r"u AS (SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/.](\.[^./]*)$', 1)) AS x FROM pages)"
+_MIME = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MEDIA.items()) + " ELSE 'application/octet-stream' END"
+
+
+@query(f"WITH {_SUFFIX} SELECT page_id, {_case('x')} AS type FROM u")
+def file_type_by_extension(s, d):
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return read_table(s, d, "pages").select("page_id", S.type_by_extension(path).alias("type"))
+
+
+@query(f"""WITH {_SUFFIX}, m AS (SELECT page_id, {_MIME} AS mime FROM u)
+SELECT page_id, mime, CASE WHEN starts_with(mime, 'image') THEN 'image' WHEN starts_with(mime, 'video') THEN 'video' WHEN starts_with(mime, 'audio') THEN 'audio' WHEN starts_with(mime, 'text') OR contains(mime, 'document') THEN 'document' ELSE 'other' END AS scanned,
+CASE WHEN starts_with(mime, 'image/') THEN 'image' WHEN starts_with(mime, 'video/') THEN 'video' WHEN starts_with(mime, 'audio/') THEN 'audio' WHEN mime IN ('text/plain', 'application/pdf', 'application/msword') THEN 'document' ELSE 'other' END AS uploaded FROM m""")
+def file_type_by_mime(s, d):
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    rows = read_table(s, d, "pages").select("page_id", S.media_type(path).alias("mime"))
+    return rows.select("page_id", "mime", S.type_by_media_scan(F.col("mime")).alias("scanned"), S.type_by_media_upload(F.col("mime")).alias("uploaded"))
+
+
+@query("""SELECT doc_id, substring(sha256(source || ':' || doc_id || ':' || sha256(coalesce(text, ''))), 1, 16) AS scan_id, source || '_' || substring(sha256(coalesce(text, '')), 1, 16) AS upload_id, source || '_' || md5(CAST(doc_id AS VARCHAR)) AS import_id FROM documents""")
+def file_ids(s, d):
+    rows = read_table(s, d, "documents").withColumn("h", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn("rel", F.col("doc_id").cast("string"))
+    node, rel, h = F.col("source"), F.col("rel"), F.col("h")
+    return rows.select("doc_id", S.scan_id(node, rel, h).alias("scan_id"), S.upload_id(node, h).alias("upload_id"), S.import_id(node, rel).alias("import_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
+FROM (SELECT doc_id, CAST(n_chars * 64 AS DOUBLE) AS b FROM documents)""")
+def human_size(s, d):
+    return read_table(s, d, "documents").select("doc_id", S.human_size(F.col("n_chars") * 64).alias("size"))
+
+
+@query("SELECT s_suppkey AS node_id, CASE WHEN s_acctbal < 0 THEN 'offline' WHEN s_nationkey < 5 THEN 'unknown' ELSE 'online' END AS status FROM supplier")
+def status_normalise(s, d):
+    raw = F.when(F.col("s_acctbal") < 0, "NodeStatus.OFFLINE").when(F.col("s_nationkey") < 5, "starting").otherwise("Online ")
+    return read_table(s, d, "supplier").select(F.col("s_suppkey").alias("node_id"), S.normal_status(raw).alias("status"))
+
+
+# ---- checkpoints and health
+
+
+_DIGEST = f"""{_FILES}, points AS (SELECT node_id, count(*) AS files_count, sha256(string_agg(file_id || '|' || content_hash || '|' || strftime(last_updated, '%Y-%m-%d'), ',' ORDER BY file_id || '|' || content_hash || '|' || strftime(last_updated, '%Y-%m-%d'))) AS checkpoint_hash FROM files GROUP BY node_id)"""
+
+
+def _points(s, d):
+    entry = F.concat_ws("|", F.col("file_id").cast("string"), "content_hash", F.date_format("last_updated", "yyyy-MM-dd"))
+    return checkpoints.digests(file_table(s, d), entry)
+
+
+@query(f"WITH {_DIGEST} SELECT * FROM points")
+def checkpoint_digest(s, d):
+    return _points(s, d)
+
+
+@query(f"WITH {_DIGEST} SELECT count(*) AS nodes, CAST(sum(files_count) AS BIGINT) AS total_files, sha256(string_agg(node_id || ':' || checkpoint_hash, ',' ORDER BY node_id || ':' || checkpoint_hash)) AS global_hash FROM points")
+def coordinated_checkpoint(s, d):
+    return checkpoints.coordinated(_points(s, d))
+
+
+@query(f"""WITH {_NODES} SELECT count(*) FILTER (WHERE status = 'online') AS online, count(*) FILTER (WHERE status = 'offline') AS offline, count(*) FILTER (WHERE status = 'online') > 0 AS healthy,
+(SELECT count(*) FROM orders) AS files FROM nodes""")
+def cluster_health(s, d):
+    return registry.cluster_health(node_table(s, d), read_table(s, d, "orders").agg(F.count(F.lit(1)).alias("files")))
