@@ -212,18 +212,18 @@ def regex_name_fallback(s, d):
     return search.name_matches(part_table(s, d), "EE", 50)
 
 
-@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['green'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 10)
+@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['small'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 10)
 SELECT h.file_id, h.score, l_suppkey AS node_id, count(*) AS replicas FROM h JOIN lineitem ON l_partkey = h.file_id GROUP BY ALL""")
 def search_result_files(s, d):
-    hits = search.text_search(part_table(s, d), "green", 10, "name")
+    hits = search.text_search(part_table(s, d), "small", 10, "name")
     held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"))
     return search.with_files(hits, held).groupBy("file_id", "score", "node_id").agg(F.count(F.lit(1)).alias("replicas"))
 
 
-@query(f"""WITH {_NODES}, {_bm25('part', 'p_partkey', 'p_name', ['green'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 3)
+@query(f"""WITH {_NODES}, {_bm25('part', 'p_partkey', 'p_name', ['small'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 3)
 SELECT node_id, name, status FROM nodes WHERE status = 'online' AND node_id IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT file_id FROM h))""")
 def nodes_available_for_hits(s, d):
-    hits = search.text_search(part_table(s, d), "green", 3, "name")
+    hits = search.text_search(part_table(s, d), "small", 3, "name")
     held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"))
     return search.nodes_of(hits, held, node_table(s, d).where("status = 'online'"))
 
