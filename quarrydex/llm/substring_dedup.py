@@ -15,11 +15,12 @@ sent once by each task, however many documents it is in.  Steps 2 and 4 read the
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ LENGTH = 50
 #: Bytes of the hashed strings inside a passage; passages of one run at most.
 SHORT, RUN = 18, 256
 #: Bytes of text that one bucket stands for, and that are hashed at a time, about.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 3 << 20
+BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,11 +49,12 @@ def hashes(data: np.ndarray) -> np.ndarray:
     base = [_BASE]
     for _ in range(4):
         base.append(base[-1] * base[-1] % (1 << 64))
-    parts = [_BYTE[data]]
+    h = _BYTE[data]
     for k in range(4):  # 2, 4, 8, 16 bytes
-        h = parts[-1]
-        parts.append(h[: -(1 << k)] * np.uint64(base[k]) + h[1 << k :])
-    return mix(parts[4][:-2] * np.uint64(base[1]) + parts[1][16:][: len(parts[4]) - 2])
+        h = h[: -(1 << k)] * np.uint64(base[k]) + h[1 << k :]
+        if k == 0:
+            two = h
+    return mix(h[:-2] * np.uint64(base[1]) + two[16:][: len(h) - 2])
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,13 +114,29 @@ def groups(sorted_: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)])) if len(sorted_) else np.zeros(1, np.int64)
 
 
+_DENSE, _PLAIN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def dense(data: bytes) -> bytes:
+    return _DENSE.compress(data)
+
+
+def plain(data: bytes) -> bytes:
+    return _PLAIN.decompress(data)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte: first the lowest of all, last the highest."""
+    return dense(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
 def packed(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple]:
     """Rows of PACK with the given columns dealt out by bucket."""
     order = np.argsort(bucket, kind="stable")
     edge = groups(bucket[order])
     columns = tuple(c[order] for c in columns)
     for a, b in zip(edge, edge[1:]):
-        yield (int(bucket[order[a]]), kind, *(c[a:b].tobytes() for c in columns), *[None] * (4 - len(columns)))
+        yield (int(bucket[order[a]]), kind, *(squeezed(c[a:b]) for c in columns), *[None] * (4 - len(columns)))
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,7 +145,8 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def numbers(blobs: list[bytes], kind=np.int64) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
+    parts = [np.ascontiguousarray(np.frombuffer(plain(b), np.uint8).reshape(8, -1).T).reshape(-1) for b in blobs]
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
 
 
 def find_keys(buckets: int):
@@ -188,33 +207,34 @@ def cut_out(buckets: int):
             ids = docs["doc_id"].to_numpy()
             texts = [t for chunk in docs["text"].chunks for t in strings(chunk)]
             seen: dict[bytes, int] = {}
-            sent: list[tuple[int, int, int, bytes]] = []
-            gone: list[tuple[int, int, int]] = []
-            at_key: list[int] = []
+            sent, gone = array("q"), array("q")  # document, first byte, size, key; document, first byte, end
+            sent_texts: list[bytes] = []
             for lo, hi in shards(texts):
                 key, doc, first, many = runs(texts[lo:hi])
                 test = key ^ mix(ids[lo:hi][doc].view(np.uint64))
                 place = np.minimum(np.searchsorted(known, test), len(known) - 1)
                 hit = np.flatnonzero(known[place] == test)
-                for k, d, s, n in zip(key[hit].tolist(), (doc[hit] + lo).tolist(), first[hit].tolist(), many[hit].tolist()):
+                for k, d, s, n in zip(key[hit].view(np.int64).tolist(), (doc[hit] + lo).tolist(), first[hit].tolist(), many[hit].tolist()):
                     text = texts[d][s : s + n + LENGTH - 1]
                     own = int(ids[d])
                     least = seen.setdefault(text, own)
                     if own > least:
-                        gone.append((own, s, s + len(text)))
+                        gone.extend((own, s, s + len(text)))
                     else:
-                        sent.append((own, s, len(text), text))
-                        at_key.append(k)
+                        sent.extend((own, s, len(text), k))
+                        sent_texts.append(text)
+            seen.clear()
             if sent:
-                bucket = of_bucket(np.array(at_key, np.uint64), buckets)
+                numbers_ = np.array(sent, np.int64).reshape(-1, 4)
+                bucket = of_bucket(numbers_[:, 3].copy().view(np.uint64), buckets)
                 order = np.argsort(bucket, kind="stable")
                 edge = groups(bucket[order])
                 for a, b in zip(edge, edge[1:]):
-                    some = [sent[i] for i in order[a:b]]
-                    rows.append((int(bucket[order[a]]), 0, *(np.array([x[k] for x in some], np.int64).tobytes() for k in range(3)), b"".join(x[3] for x in some)))
+                    some = order[a:b]
+                    rows.append((int(bucket[order[a]]), 0, *(squeezed(numbers_[some, k]) for k in range(3)), dense(b"".join([sent_texts[i] for i in some]))))
             if gone:
-                spans = np.array(gone, np.int64)
-                rows += packed(doc_bucket(spans[:, 0].copy(), buckets) + buckets, 1, spans[:, 0], spans[:, 1], spans[:, 2])
+                ids, low, high = np.array(gone, np.int64).reshape(-1, 3).T.copy()
+                rows += packed(doc_bucket(ids, buckets) + buckets, 1, ids, low, high)
         return pa.Table.from_batches([to_batch(rows)])
 
     return run
@@ -255,18 +275,18 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     word = np.ndarray((n + depth + 8,), ">u8", padded.tobytes(), strides=(1,))
     step = np.sign(np.diff(text.astype(np.int16)))
     # where two bytes are equal, the next ones that differ decide
-    decided = np.where(step != 0, np.arange(n - 1), n)
+    decided = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(decided[::-1])[::-1]
     small = np.zeros(n, bool)
     small[:-1] = np.append(step, -1)[np.minimum(nearest, n - 1)] > 0
-    direct = sort_directly(word, np.flatnonzero(small), depth)
+    direct = sort_directly(word, np.flatnonzero(small).astype(np.int32), depth)
     by_first = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))
+    waiting[text[-1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
         own = []
-        now = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        now = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int32)
         while len(now):  # a run of one byte puts its own suffixes one by one
             own.append(now)
             now = now[now > 0] - 1
@@ -305,7 +325,7 @@ def resolve(buckets: int):
         kind = group["kind"].to_pylist()
         ids, low, high = (numbers([b for b in group[c].to_pylist() if b is not None]) for c in "abc")
         if len(kind) and kind[0] == 0:
-            blob, place = b"".join(group["d"].to_pylist()), 0
+            blob, place = b"".join([plain(b) for b in group["d"].to_pylist()]), 0
             of: dict[bytes, int] = {}
             which = np.empty(len(ids), np.int64)
             for i, n in enumerate(high.tolist()):
@@ -316,10 +336,10 @@ def resolve(buckets: int):
             size = np.array([len(t) for t in of], np.int64)
             begin = np.cumsum(size + 1) - size - 1
             text = np.frombuffer(b"\xff".join([*of, b""]), np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: 0 after each
-            passages = np.zeros(len(text) + 1, np.int64)
+            passages = np.zeros(len(text) + 1, np.int32)
             np.add.at(passages, begin, 1)
             np.add.at(passages, begin + size - LENGTH + 1, -1)
-            starts = np.cumsum(passages)[:-1] > 0
+            starts = np.cumsum(passages, dtype=np.int32)[:-1] > 0
             order = suffix_array(text, LENGTH)
             order = order[starts[order]]
             edge = np.append(np.flatnonzero(~equal_before(text, order, LENGTH)), len(order))
