@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ ENTRY = np.dtype([("digest", f"V{DIGEST}"), ("n", "<u4")])
 #: Ids a rolling hash covers; ids in a chunk, at least, about and at most.
 SPAN, LEAST, ABOUT, MOST = 16, 64, 256, 1024
 #: Entries of a worker's cache of encoded words, and digests it remembers to have sent.
-CACHE, SENT = 250_000, 50_000
+CACHE, SENT = 500_000, 50_000
 END_ID = 2
 
 PIECES = "kind int, digest binary, payload binary, doc_id bigint, n_tokens bigint, nth bigint"
@@ -47,42 +48,73 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Encodes texts by way of their parts between ASCII white space.
 
-    The tokenizer's own splitting never joins characters across white space, so a text's ids are those
-    of its parts, one after the other; each distinct part is encoded once and kept in a bounded cache.
+    The tokenizer's own splitting never joins characters across white space, nor a letter and the punctuation behind it,
+    and it ignores case; so a text's ids are those of its parts, and many parts are a lower-cased word and its punctuation.
+    Each distinct part and each distinct piece of one is encoded once and kept in bounded caches.
     """
 
+    #: A part of letters (or any characters beyond ASCII), then punctuation without apostrophes.
+    PIECES = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+    ASCII = re.compile(rb"[a-z]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.pieces: dict[bytes, bytes] = {b"": b""}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0
 
+    def split(self, part: bytes) -> tuple[bytes, bytes]:
+        """The pieces of a part, lower-cased; (part, b'') where the whole has to go through the tokenizer."""
+        if b"<|" not in part:  # where special tokens begin
+            low = part.lower()
+            m = self.PIECES.fullmatch(low)
+            if m and (not m[2] or low[m.end(1) - 1] < 0x80 or m[1].decode("utf-8", "replace").lower()[-1].isalpha()):
+                return m[1], m[2]
+        return part, b""
+
     def learn(self, parts: list[bytes]) -> None:
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            while self.used + n.sum() > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            first = len(self.known)
-            while first + len(some) + 1 > len(self.start):
-                self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-            self.flat[self.used : self.used + n.sum()] = [i for x in ids for i in x]
-            self.start[first + 1 : first + 1 + len(some)] = self.used + np.cumsum(n)
-            self.used += int(n.sum())
-            self.known.update(zip(some, range(first, first + len(some))))
+        split = [self.split(p) for p in parts]
+        pieces, ascii_, model = self.pieces, self.ASCII, self.model
+        if len(pieces) > CACHE:
+            pieces.clear()
+            pieces[b""] = b""
+        others = []
+        for p in dict.fromkeys(x for s in split for x in s):
+            if p not in pieces:
+                if ascii_.fullmatch(p):
+                    pieces[p] = np.array([t.id for t in model.tokenize(p.decode())], self.dtype).tobytes()
+                else:
+                    others.append(p)
+        for k in range(0, len(others), 2000):
+            some = others[k : k + 2000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                pieces[p] = np.array(e.ids, self.dtype).tobytes()
+        found = [pieces[a] + pieces[b] for a, b in split]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        while self.used + n.sum() > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        first = len(self.known)
+        while first + len(parts) + 1 > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        self.flat[self.used : self.used + n.sum()] = np.frombuffer(b"".join(found), self.dtype)
+        self.start[first + 1 : first + 1 + len(parts)] = self.used + np.cumsum(n)
+        self.used += int(n.sum())
+        self.known.update(zip(parts, range(first, first + len(parts))))
 
     def encode(self, text: bytes) -> np.ndarray:
         parts = text.split()
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
+        known = self.known
+        new = [p for p in dict.fromkeys(parts) if p not in known]
         if new:
-            if len(self.known) + len(new) > CACHE:
+            if len(known) + len(new) > CACHE:
                 self.clear()
                 new = list(dict.fromkeys(parts))
             self.learn(new)
@@ -92,6 +124,12 @@ class Encoder:
         return self.flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder: its caches last from task to task."""
+    return Encoder(path)
+
+
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MIX = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -131,7 +169,7 @@ def pieces_of(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, sent = Encoder(path), set()
+        encoder, sent = encoder_of(path), set()
         nth = TaskContext.get().partitionId() << 40
         end = np.array([end_id], encoder.dtype)
         schema = pa.schema([("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("nth", pa.int64())])

@@ -125,3 +125,15 @@ def test_damaged_chunk_is_found(spark, tmp_path):
     os.rename(f"{path}/damaged", f"{path}/pieces")
     with pytest.raises(Exception, match="damaged"):
         token_store.read_report(spark, path).collect()
+
+
+def test_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, encoder, rng = Tokenizer.from_file(token_store.vocabulary_path()), token_store.Encoder(token_store.vocabulary_path()), random.Random(1)
+    bits = ["a", "B", "é", "É", "'s", "'", "...", ",", "!", " ", "\n", "\x1c", "<|endoftext|>", "<|EndOfText|>", "|>", "\u0301", "≠", "…", "1", "½", "ß", "İ", "K", "日", "🎉", "\xa0", "\u200b", "don't", "we'LL", "_", "\x00", "ﬁ"]
+    for _ in range(8000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        assert encoder.encode(text.encode()).tolist() == tok.encode(text, add_special_tokens=False).ids, text
