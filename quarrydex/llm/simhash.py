@@ -1,9 +1,12 @@
 """Operator 8: near-duplicates by SimHash, compared in bit slices.
 
-Fingerprints that could be near meet in a bucket (two of six bit blocks agree whenever at most
-four bits differ).  Within a chunk of buckets the fingerprints are stored as 64 bit planes; a plane
+Fingerprints that could be near meet in a bucket.  Within a chunk of buckets they are stored as bit planes; a plane
 and its shifted self compare every row with the row ``d`` places on, 64 pairs in a word, and carry-save
 counters add up the distances.  Words in which every pair has passed the radius are left out from there on.
+
+Two uses: ``near_duplicates`` links 64-bit fingerprints of four-word shingles at four differing bits; two of six bit
+blocks agree then, which makes the buckets.  ``similar`` is for a similarity of texts: 256 bits of five-word shingles,
+with the radius that the similarity comes to, and buckets from pairs of least shingle hashes.
 """
 
 from __future__ import annotations
@@ -61,47 +64,53 @@ def fingerprints(text: Column) -> Column:
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit i of plane b is bit b of fingerprint i; a spare word of zeros at the end."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Rows of words, as many as bits: bit i of plane b is bit b of fingerprint i (a row of bytes); a spare word of zeros at the end."""
+    bits = np.unpackbits(prints, axis=1, bitorder="little")
     words = -(-len(prints) // 64) + 1
-    packed = np.zeros((64, 8 * words), np.uint8)
+    packed = np.zeros((bits.shape[1], 8 * words), np.uint8)
     rows = np.packbits(bits.T, axis=1, bitorder="little")
     packed[:, : rows.shape[1]] = rows
     return packed.view("<u8")
 
 
 def near(planes: np.ndarray, d: int, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Of the pairs (i, i + d) with bit i set in ``lanes``, bits for those within ``radius`` (below 8)."""
+    """Of the pairs (i, i + d) with bit i set in ``lanes``, bits for those within ``radius``."""
     skip, bit = divmod(d, 64)
     out = np.zeros_like(lanes)
     live = np.flatnonzero(lanes[: planes.shape[1] - skip - 1])
-    ones, twos, fours, over = (np.zeros(len(live), np.uint64) for _ in range(4))
-    for g in range(0, 64, 8):
+    count = [np.zeros(len(live), np.uint64) for _ in range(radius.bit_length())]  # a bit of all counters each
+    over = np.zeros(len(live), np.uint64)
+    for g in range(0, len(planes), 8):
         other = planes[g : g + 8, live + skip] >> np.uint64(bit)
         if bit:
             other |= planes[g : g + 8, live + skip + 1] << np.uint64(64 - bit)
         for x in planes[g : g + 8, live] ^ other:
-            carry = ones & x
-            ones ^= x
-            more = twos & carry
-            twos ^= carry
-            over |= fours & more
-            fours ^= more
-        far = over.copy()
-        for r in range(radius + 1, 8):  # counts above the radius
-            far |= (ones if r & 1 else ~ones) & (twos if r & 2 else ~twos) & (fours if r & 4 else ~fours)
+            for k, c in enumerate(count):
+                carry = c & x
+                count[k] = c ^ x
+                x = carry
+            over |= x
+        far, same = over.copy(), ~np.zeros(len(live), np.uint64)
+        for k in reversed(range(len(count))):  # counts above the radius
+            if radius >> k & 1:
+                same &= count[k]
+            else:
+                far |= same & count[k]
+                same &= ~count[k]
         alive = lanes[live] & ~far
         keep = np.flatnonzero(alive)
         if len(keep) < len(live):
-            live, ones, twos, fours, over = live[keep], ones[keep], twos[keep], fours[keep], over[keep]
+            live, over, count = live[keep], over[keep], [c[keep] for c in count]
         if not len(live):
             return out
     out[live] = alive[keep]
     return out
 
 
-def links_in(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs."""
+def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids) between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs.  Without prints the ids are the fingerprints."""
+    if prints is None:
+        prints = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
     a, b = [], []
     label = np.arange(len(prints))
     rows, d = np.arange(len(prints)), 1
@@ -117,14 +126,14 @@ def links_in(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
             same[: len(own) - d] = own[:-d] == own[d:]
             if not same.any():
                 break
-            hit = near(planes, d, np.packbits(same, bitorder="little").view("<u8"))
+            hit = near(planes, d, np.packbits(same, bitorder="little").view("<u8"), radius)
             i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
             i, j = rows[i], rows[i + d]
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
             if len(i):
-                a.append(prints[i])
-                b.append(prints[j])
+                a.append(ids[i])
+                b.append(ids[j])
                 for p, q in zip(i.tolist(), j.tolist()):
                     while label[p] != p:
                         p = label[p]
@@ -136,28 +145,31 @@ def links_in(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
         d += 1
 
 
-def compare(large: int | None):
-    """Over rows (bucket, print) sorted by bucket: links (a, b, null); rows of buckets beyond ``large`` rows as (print, null, bucket)."""
+def compare(large: int | None, radius: int = RADIUS):
+    """Over rows (bucket, id[, print]) sorted by bucket: links (a, b, null); rows of buckets beyond ``large`` rows as (id, null, bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a, b, bucket):
             null = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64))
             return pa.RecordBatch.from_arrays([null(x, len(a)) for x in (a, b, bucket)], names=["a", "b", "bucket"])
 
-        def done(bucket, prints):
-            a, b = links_in(bucket, prints)
+        def done(bucket, rows):
+            a, b = links_in(bucket, rows[:, 0].copy(), np.ascontiguousarray(rows[:, 1:]).view(np.uint8) if rows.shape[1] > 1 else None, radius)
             return out(a, b, None)
 
-        bucket, prints, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        bucket, prints, passing = np.zeros(0, np.int64), None, None
         for batch in batches:
+            own = [batch.column(1).to_numpy(zero_copy_only=False)[:, None]]
+            if batch.num_columns > 2:
+                own.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(len(batch), -1))
             bucket = np.concatenate((bucket, batch.column(0).to_numpy(zero_copy_only=False)))
-            prints = np.concatenate((prints, batch.column(1).to_numpy(zero_copy_only=False)))
+            prints = np.concatenate([*([] if prints is None else [prints]), np.concatenate(own, axis=1)])
             if not len(bucket):
                 continue
             if passing is not None:  # the rest of a bucket that is already known to be large
                 n = int(np.searchsorted(bucket, passing, "right"))
                 if n:
-                    yield out(prints[:n], None, bucket[:n])
+                    yield out(prints[:n, 0].copy(), None, bucket[:n])
                 bucket, prints = bucket[n:], prints[n:]
                 if not len(bucket):
                     continue
@@ -166,7 +178,7 @@ def compare(large: int | None):
                 keys, first, size = np.unique(bucket, return_index=True, return_counts=True)
                 if (size > large).any():
                     big = np.repeat(size > large, size)
-                    yield out(prints[big], None, bucket[big])
+                    yield out(prints[big, 0].copy(), None, bucket[big])
                     passing = keys[-1] if size[-1] > large else None
                     bucket, prints = bucket[~big], prints[~big]
             last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) and passing is None else len(bucket)
@@ -183,14 +195,21 @@ def near_links(prints: DataFrame) -> DataFrame:
     """Links a, b among the distinct fingerprints of ``prints`` (column print): every near pair is joined by a path of them."""
     value = lambda k: F.shiftrightunsigned("print", BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
     keys = [F.lit(t << 22) + F.shiftleft(value(i), 11) + value(j) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    dealt = prints.select(F.explode(F.array(*keys)).alias("bucket"), "print").repartition("bucket").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(compare(LARGE), FOUND), "simhash-found")
+    return bucket_links(prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("print").alias("id")), None, RADIUS)
+
+
+def bucket_links(dealt: DataFrame, prints: DataFrame | None, radius: int) -> DataFrame:
+    """Links a, b among rows (bucket, id[, print]) that share a bucket; prints: (id, print) where ids aren't the fingerprints."""
+    found = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(LARGE, radius), FOUND), "simhash-found")
     # buckets with very many different fingerprints: parts of them meet pair by pair
-    hot = found.where("b is null").select("bucket", F.col("a").alias("print"))
+    hot = found.where("b is null").select("bucket", F.col("a").alias("id"))
     parts = hot.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) * 2 / LARGE).cast("int").alias("parts"))
-    own = hot.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("print"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = hot.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket")
-    rest = own.select(pair, "print").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(None), FOUND)
+    rest = own.select(pair, "id")
+    if prints is not None:
+        rest = rest.join(prints, "id").select("bucket", "id", "print")
+    rest = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(None, radius), FOUND)
     return found.where("b is not null").select("a", "b").union(rest.select("a", "b"))
 
 
@@ -210,9 +229,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labelled.join(least, "root").select("print", "component_id"), "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.  Rows without an id stay; rows that share an id are one document."""
-    marked = near_duplicates(docs)
+#: For a similarity of texts: words of a shingle, similarity (Jaccard), least hashes, and how many of them make a bucket.
+WORDS, SIMILARITY, LEAST_HASHES, IN_BUCKET = 5, 0.8, 24, 2
+WIDE = 4  # times 64 bits
+_RNG = np.random.Generator(np.random.PCG64(8))
+_ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits that a Jaccard similarity comes to, plus half a standard deviation: shingle sets at that similarity have the cosine 2s / (1 + s)."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_print(text: bytes) -> tuple[bytes, list[int]]:
+    """256-bit SimHash of a text's distinct shingles and its bucket keys; all texts without words are alike."""
+    import xxhash
+
+    words = text.translate(LOWER).split()
+    whole = b" ".join(words)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    n = max(1, len(words) - WORDS + 1)
+    starts, ends = [0, *(e + 1 for e in ends[: n - 1])], ends[WORDS - 1 :] or [len(whole)]
+    hashes = np.array(list({xxhash.xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)}), np.uint64)
+    count, least = np.zeros(64 * WIDE, np.int64), np.full(LEAST_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1 << 13):
+        some = hashes[k : k + (1 << 13)]
+        mixed = some[:, None] * _ODD[None, :]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, mixed[:, :LEAST_HASHES].min(axis=0))
+        wide = np.ascontiguousarray(mixed[:, LEAST_HASHES:]).astype("<u8")
+        count += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    keys = [hash_ for k in range(0, LEAST_HASHES, IN_BUCKET) for hash_ in [xxhash.xxh64_intdigest(least[k : k + IN_BUCKET].tobytes(), k)]]
+    return np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), keys
+
+
+def _wide(texts: pa.Array) -> pa.Array:
+    found = [wide_print(t) for t in strings(texts)]
+    keys = pa.array([np.array(k, np.uint64).view(np.int64) for _, k in found], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.binary()), keys], ["print", "keys"])
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: one row per row of ``docs``; documents whose five-word shingles are about that similar (Jaccard) or more are linked.
+
+    Two such documents share one of twelve buckets but for one pair in 200,000 at similarity 0.8; the fingerprint's error adds to that near
+    the limit.  Texts without words are alike.  Nulls, repeated rows, ties and empty tables as in ``near_duplicates``, but that
+    rows that share an id may be linked through it; component_id is null where only rows without an id are alike.
+    """
+    wide = F.arrow_udf(_wide, "struct<print:binary,keys:array<bigint>>")
+    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), wide(F.col(text_col)).alias("x")).select("doc_id", "x.print", "x.keys"), "wide-prints")
+    prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id is not null"), "distinct-prints")
+    dealt = prints.select(F.explode("keys").alias("bucket"), "id", "print")
+    links = bucket_links(dealt, prints.select("id", "print"), radius_of(similarity))
+    labelled = prints.select("id", "print").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component_id"))
+    return rows.select("doc_id", "print").join(labelled, "print", "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component of ``similar`` ones: that with the smallest id.  Rows without an id stay; rows that share an id stay if one of them does."""
+    marked = similar(docs, similarity)
     kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = kept.union(docs.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS _kept"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")

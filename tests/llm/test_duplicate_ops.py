@@ -66,11 +66,42 @@ def test_simhash(spark):
     want = [(i, f"{p:016x}", least.get(r)) for (i, _), p, r in zip(rows, prints, root)]
     got = [tuple(r) for r in simhash.near_duplicates(table(spark, rows).repartition(3)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    assert simhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_documents(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(60, 300))]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (1, len(words) // 80, len(words) // 6):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randint(0, len(words) - 1)] = "edited"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, "one"), (903, "ONE"), (903, "two"), (None, "one"), (None, "alone")]
+    sets = {i: shingles(t) for i, t in rows[:240]}
+    got = {r.doc_id: r.component_id for r in simhash.similar(table(spark, rows)).collect()}
+    for i in sets:
+        first = i - i % 4
+        likeness = len(sets[i] & sets[first]) / len(sets[i] | sets[first])
+        if likeness > 0.86:
+            assert got[i] == first
+        assert got[i] in range(first, first + 4)
+        if likeness < 0.6:
+            assert got[i] == i
+    assert (got[900], got[901], got[902]) == (900, 900, 902)
     kept = simhash.drop_near_duplicates(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted([*(i for i, p, c in want if i is not None and i == c)])
+    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {i for i, c in got.items() if i is not None and i == c} | {903}
     assert kept.where("doc_id is null").count() == 2
-    assert simhash.near_duplicates(table(spark, [])).count() == 0
+    assert simhash.similar(table(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("large", [None, 20])
@@ -106,7 +137,7 @@ def test_bit_slices_count_distances():
     rng = np.random.default_rng(9)
     prints = rng.integers(0, 1 << 62, 300)
     prints[1::2] = prints[::2] ^ (1 << rng.integers(0, 62, 150)) ^ (1 << rng.integers(0, 62, 150))
-    planes = simhash.planes_of(prints)
+    planes = simhash.planes_of(prints.view(np.uint8).reshape(-1, 8))
     for d in (1, 2, 63, 64, 65, 130):
         lanes = np.zeros(64 * planes.shape[1], bool)
         lanes[: 300 - d] = True
