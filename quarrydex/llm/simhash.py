@@ -237,9 +237,9 @@ _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint
 
 
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits that a Jaccard similarity comes to, plus half a standard deviation: shingle sets at that similarity have the cosine 2s / (1 + s)."""
+    """Differing bits that a Jaccard similarity comes to, plus a standard deviation: shingle sets at that similarity have the cosine 2s / (1 + s)."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
 
 
 def wide_print(text: bytes) -> tuple[bytes, list[int]]:
