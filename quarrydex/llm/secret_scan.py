@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A candidate: 14 or more letters, digits and + / _ - with a digit among the first 120.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,120}[0-9])[A-Za-z0-9+/_\-]{14,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{14})(?=[A-Za-z+/_\-]{0,120}[0-9])[A-Za-z0-9+/_\-]{14,}={0,2}"
 #: Characters of text before and behind a candidate that its neighbouring words come from.
 AROUND = 48
 #: The same with what stands around it; what stands behind isn't used up, so close candidates are all found.
@@ -76,7 +76,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = [F.regexp_extract_all(F.col("text"), F.lit(IN_CONTEXT), F.lit(k)) for k in (1, 2, 3)]
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .where(F.col("text").rlike(CANDIDATE))
+        .where(F.col("text").rlike("[0-9]") & F.col("text").rlike(CANDIDATE))
         .select("doc_id", F.posexplode(F.arrays_zip(*(p.alias(a) for p, a in zip(parts, ("before", "candidate", "behind"))))).alias("nth", "x"))
         .select("doc_id", "nth", F.col("x.before").alias("before"), F.col("x.candidate").alias("candidate"), F.col("x.behind").alias("behind"))
     )
