@@ -80,6 +80,16 @@ def latest_loads(events: DataFrame) -> DataFrame:
     return events.groupBy("node_id").agg(*[last(c) for c in ("active_queries", "cpu_usage", "memory_usage", "document_count")], F.max("timestamp").alias("last_updated"))
 
 
+def active_queries(events: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """events (node_id, timestamp, delta of +1 or -1) with active_queries after each: a running count that never falls below 0.
+
+    Such a count is the running sum minus its least value so far, where that is negative.
+    """
+    by = Window.partitionBy("node_id").orderBy(*(order or ["timestamp"]))
+    summed = events.withColumn("_sum", F.sum("delta").over(by))
+    return summed.withColumn("active_queries", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(by))).drop("_sum")
+
+
 def merge_results(parts: DataFrame, k: int = 10, dedup: str = "first") -> DataFrame:
     """file_id, node_id, score from partial results (node_order, file_id, node_id, score): each file once, best k."""
     order = [F.col("node_order"), F.desc("score")] if dedup == "first" else [F.desc("score"), F.col("node_order")]

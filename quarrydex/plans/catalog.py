@@ -399,6 +399,14 @@ def place_document(s, d):
     return routing.place_document(node_table(s, d), load_table(s, d), score_table(s, d))
 
 
+@query("""WITH e AS (SELECT event_id, user_id AS node_id, sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, node_id, CAST(s - least(0, min(s) OVER (PARTITION BY node_id ORDER BY event_id_order)) AS BIGINT) AS active_queries
+FROM (SELECT e.*, row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) AS event_id_order FROM e JOIN (SELECT event_id AS id, ts FROM events) t ON t.id = e.event_id)""")
+def active_query_counts(s, d):
+    events = event_table(s, d).withColumn("delta", F.when(F.col("event_type") == "purchase", -1).otherwise(1))
+    return routing.active_queries(events, ["timestamp", "event_id"]).select("event_id", "node_id", "active_queries")
+
+
 @query(f"""WITH {_NODES}, {_LOADS} SELECT count(*) AS nodes, round(avg(0.3 * least(active_queries / 10.0, 1.0) + 0.4 * cpu_usage / 100 + 0.3 * memory_usage / 100), 6) AS mean_load, CAST(sum(active_queries) AS BIGINT) AS active_queries FROM loads""")
 def load_totals(s, d):
     return routing.load_totals(load_table(s, d))

@@ -60,7 +60,7 @@ def outages(messages: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS) -> Data
 
 
 def node_states(messages: DataFrame, now, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
-    """node_id, last_seen, status, missed_beats as of ``now``."""
+    """node_id, last_seen, status, missed_beats as of ``now``; status is online, or offline after more than the timeout."""
     last = messages.groupBy("node_id").agg(F.max("timestamp").alias("last_seen"))
     silent = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / F.lit(1e6)
     return last.withColumn("status", F.when(silent > timeout_seconds, "offline").otherwise("online")).withColumn("missed_beats", F.floor(silent / timeout_seconds))

@@ -82,6 +82,11 @@ def test_strategies(spark):
     assert pick(k=2, exclude=["a", "b", "d"]) == []
 
 
+def test_active_queries_never_fall_below_zero(spark):
+    events = spark.createDataFrame([("a", k, d) for k, d in enumerate([-1, 1, 1, -1, -1, -1, 1])], "node_id string, timestamp int, delta int")
+    assert [r.active_queries for r in routing.active_queries(events).orderBy("timestamp").collect()] == [0, 1, 2, 1, 0, 0, 1]
+
+
 def test_versions(spark):
     files = spark.createDataFrame([("f", "n1", "x", at(1)), ("f", "n2", "y", at(2)), ("f", "n0", "y", at(2)), ("g", "n1", "", None), ("g", "n2", "z", None)], "file_id string, node_id string, content_hash string, last_updated timestamp")
     nodes = spark.createDataFrame([("n0", "online"), ("n1", "online"), ("n2", "offline")], "node_id string, status string")
