@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -589,3 +589,114 @@ def coordinated_checkpoint(s, d):
 (SELECT count(*) FROM orders) AS files FROM nodes""")
 def cluster_health(s, d):
     return registry.cluster_health(node_table(s, d), read_table(s, d, "orders").agg(F.count(F.lit(1)).alias("files")))
+
+
+# ---- the rest of the inventory
+
+
+@query("""WITH p AS (SELECT l_partkey AS file_id, l_suppkey AS node_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_extendedprice DESC) AS seen FROM lineitem)
+SELECT file_id, node_id, score FROM p WHERE seen = 1 ORDER BY score DESC, file_id LIMIT 20""")
+def merge_partial_results(s, d):
+    parts = read_table(s, d, "lineitem").select(F.col("l_suppkey").alias("node_order"), F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"), F.col("l_extendedprice").alias("score"))
+    return routing.merge_results(parts, 20)
+
+
+@query("""WITH p AS (SELECT l_partkey AS file_id, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL) SELECT file_id, score FROM p ORDER BY score DESC, file_id LIMIT 20""")
+def merge_best_results(s, d):
+    parts = read_table(s, d, "lineitem").select(F.col("l_suppkey").alias("node_order"), F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"), F.col("l_extendedprice").alias("score"))
+    return routing.merge_results(parts, 20, "best").select("file_id", "score")
+
+
+@query("""SELECT user_id AS node_id, arg_max(value, ts) FILTER (WHERE event_type = 'view') AS cpu_usage, arg_max(value, ts) FILTER (WHERE event_type = 'click') AS memory_usage FROM events GROUP BY ALL""")
+def latest_node_loads(s, d):
+    events = read_table(s, d, "events").select(
+        F.col("user_id").alias("node_id"),
+        F.col("ts").alias("timestamp"),
+        F.lit(None).cast("int").alias("active_queries"),
+        F.when(F.col("event_type") == "view", F.col("value")).alias("cpu_usage"),
+        F.when(F.col("event_type") == "click", F.col("value")).alias("memory_usage"),
+        F.lit(None).cast("bigint").alias("document_count"),
+    )
+    return routing.latest_loads(events).select("node_id", "cpu_usage", "memory_usage")
+
+
+@query("SELECT count(*) AS queries, round(avg(value), 6) AS mean_latency_ms FROM events")
+def query_latency(s, d):
+    return routing.query_stats(read_table(s, d, "events").select(F.col("value").alias("latency_ms")))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id AS node_id, max(ts) AS seen FROM events GROUP BY ALL)
+SELECT node_id, CASE WHEN (epoch_us(now) - epoch_us(seen)) / 1e6 > 21600 THEN 'offline' ELSE 'online' END AS status, CAST(floor((epoch_us(now) - epoch_us(seen)) / 1e6 / 21600) AS BIGINT) AS missed_beats FROM l, n""")
+def heartbeat_states(s, d):
+    events = event_table(s, d)
+    now = events.agg(F.max("timestamp").alias("now")).scalar()
+    return heartbeats.node_states(events, now, 21_600).select("node_id", "status", "missed_beats")
+
+
+@query(f"""WITH {_NODES}, {_FILES}, own AS (SELECT DISTINCT file_id FROM files WHERE node_id = 3),
+h AS (SELECT file_id, count(DISTINCT node_id) FILTER (WHERE status = 'online' AND node_id <> 3) AS holders FROM files JOIN own USING (file_id) LEFT JOIN nodes USING (node_id) GROUP BY file_id HAVING holders < 2),
+r AS (SELECT h.file_id, n.node_id, 2 - holders AS missing, row_number() OVER (PARTITION BY h.file_id ORDER BY md5(h.file_id || ':' || n.node_id), n.node_id) AS k
+  FROM h, nodes n WHERE n.status = 'online' AND n.node_id <> 3 AND NOT EXISTS (SELECT 1 FROM files f WHERE f.file_id = h.file_id AND f.node_id = n.node_id))
+SELECT file_id, node_id FROM r WHERE k <= missing""")
+def recovery_plan(s, d):
+    return replication.recovery_plan(file_table(s, d), node_table(s, d), 3)
+
+
+@query(f"WITH {_FILES} SELECT node_id, true AS valid, count(*) AS files_count FROM files GROUP BY node_id")
+def checkpoint_verify(s, d):
+    points = checkpoints.checkpoint(file_table(s, d), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return checkpoints.verify(points).join(points.select("node_id", "files_count"), "node_id")
+
+
+@query(f"WITH {_FILES} SELECT node_id, count(*) AS files, count(*) FILTER (WHERE node_id <= 3) AS restored FROM files GROUP BY node_id")
+def checkpoint_restore(s, d):
+    files = file_table(s, d).select("node_id", "file_id", "content_hash", "last_updated")
+    points = checkpoints.checkpoint(files.where("node_id <= 3"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    back = checkpoints.restore(files.where("node_id > 3 or file_id > 100"), points)
+    return back.groupBy("node_id").agg(F.count(F.lit(1)).alias("files"), F.count_if("restored_from_checkpoint").alias("restored"))
+
+
+@query("SELECT doc_id, md5(concat_ws(' ', source, substring(text, 1, 1000), lang, concat_ws(' ', lang, source))) AS text_md5 FROM documents")
+def document_texts(s, d):
+    rows = read_table(s, d, "documents")
+    return rows.select("doc_id", F.md5(S.document_text(F.col("source"), F.col("text"), F.col("lang"), F.array("lang", "source")).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id, 'http://' || source || ':8000/download/' || doc_id AS url, round(n_chars / 1048576.0, 2) AS megabytes FROM documents")
+def download_urls(s, d):
+    rows = read_table(s, d, "documents")
+    return rows.select("doc_id", S.public_url(F.col("source"), F.lit(8000), F.col("doc_id").cast("string")).alias("url"), S.megabytes(F.col("n_chars")).alias("megabytes"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS file_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM part QUALIFY n <= 20),
+b AS (SELECT p_partkey AS file_id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS n FROM part QUALIFY n <= 20)
+SELECT file_id, round(sum(1.0 / (n + 60)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY file_id ORDER BY score DESC, file_id LIMIT 10""")
+def hybrid_rank_fusion(s, d):
+    part = read_table(s, d, "part")
+    ranked = [part.select(F.col("p_partkey").alias("file_id"), F.col(c).cast("double").alias("score")).orderBy(F.desc("score"), "file_id").limit(20) for c in ("p_retailprice", "p_size")]
+    return vectors.fused(*ranked, k=10)
+
+
+@query("""SELECT s_suppkey AS node_id, s_name AS name, n_name AS folder FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) n ON n_nationkey = s_nationkey""")
+def node_mounts(s, d):
+    nodes = read_table(s, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("name"), "s_nationkey")
+    mounts = nodes.join(read_table(s, d, "nation").where("n_nationkey < 10"), F.col("n_nationkey") == F.col("s_nationkey")).select("node_id", F.col("n_name").alias("folder"))
+    return registry.with_mounts(nodes.drop("s_nationkey"), mounts)
+
+
+@query(f"WITH {_PATHS} SELECT path, file_id FROM tree t WHERE is_file AND EXISTS (SELECT 1 FROM tree c WHERE c.parent_path = t.path)")
+def files_as_folders(s, d):
+    return namespace.files_as_folders(path_table(s, d)).select("path", "file_id")
+
+
+@query("SELECT conv_id, turn, count(*) AS rows FROM conversations GROUP BY ALL HAVING count(*) > 1")
+def key_violations(s, d):
+    return registry.check_unique(read_table(s, d, "conversations"), ["conv_id", "turn"])
+
+
+@query("""WITH e AS (SELECT user_id AS node_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS status FROM events),
+s AS (SELECT unnest(['pending', 'in_progress', 'completed', 'failed']) AS status) SELECT s.status, count(e.status) AS tasks FROM s LEFT JOIN e USING (status) GROUP BY s.status""")
+def replication_task_counts(s, d):
+    is_ = lambda t: F.when(F.col("event_type") == t, F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
+    tasks = read_table(s, d, "events").select(F.col("event_id").alias("file_id"), F.array(F.lit("n")).alias("target_nodes"), is_("purchase").alias("completed_nodes"), is_("error").alias("failed_nodes"))
+    return replication.task_counts(replication.task_states(tasks))
