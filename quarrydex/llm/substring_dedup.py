@@ -31,6 +31,8 @@ LENGTH = 50
 SHORT, RUN = 18, 256
 #: Bytes of text that one bucket stands for, and that are hashed at a time, about.
 BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
+#: Keys that a task combines before it sends them.
+HELD_KEYS = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,21 +154,32 @@ def numbers(blobs: list[bytes], kind=np.int64) -> np.ndarray:
 def find_keys(buckets: int):
     """Step 1, by input task.  Kind 0: keys with the one document that has them here (-1: several have); kind 1: for documents, keys shared here."""
 
+    def combined(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        key, own = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        edge = groups(key)
+        first, last = edge[:-1], edge[1:] - 1
+        shared = own[first] != own[last] if len(first) else np.zeros(0, bool)
+        rows = list(packed(of_bucket(key[first], buckets), 0, key[first], np.where(shared, -1, own[first])))
+        again = np.repeat(shared, np.diff(edge))
+        rows += packed(doc_bucket(own[again], buckets) + buckets, 1, own[again], key[again])
+        return to_batch(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), strings(batch.column(1))
             for lo, hi in shards(texts):
                 key, doc, _, _ = runs(texts[lo:hi])
-                own = ids[lo:hi][doc]
-                order = np.lexsort((own, key))
-                key, own = key[order], own[order]
-                edge = groups(key)
-                first, last = edge[:-1], edge[1:] - 1
-                shared = own[first] != own[last] if len(first) else np.zeros(0, bool)
-                rows = list(packed(of_bucket(key[first], buckets), 0, key[first], np.where(shared, -1, own[first])))
-                again = np.repeat(shared, np.diff(edge))
-                rows += packed(doc_bucket(own[again], buckets) + buckets, 1, own[again], key[again])
-                yield to_batch(rows)
+                keys.append(key)
+                owners.append(ids[lo:hi][doc])
+                held += len(key)
+                if held >= HELD_KEYS:
+                    yield combined(keys, owners)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield combined(keys, owners)
 
     return run
 
