@@ -32,8 +32,8 @@ DIGEST = 16
 ENTRY = np.dtype([("digest", f"V{DIGEST}"), ("n", "<u4")])
 #: Ids a rolling hash covers; ids in a chunk, at least, about and at most.
 SPAN, LEAST, ABOUT, MOST = 16, 64, 256, 1024
-#: Entries of a worker's cache of encoded words, and digests it remembers to have sent.
-CACHE, SENT = 500_000, 50_000
+#: Entries of a worker's caches of encoded parts and of their pieces, and digests it remembers to have sent.
+CACHE, PIECES_CACHE, SENT = 1_100_000, 800_000, 50_000
 END_ID = 2
 
 PIECES = "kind int, digest binary, payload binary, doc_id bigint, n_tokens bigint, nth bigint"
@@ -83,7 +83,7 @@ class Encoder:
     def learn(self, parts: list[bytes]) -> None:
         split = [self.split(p) for p in parts]
         pieces, ascii_, model = self.pieces, self.ASCII, self.model
-        if len(pieces) > CACHE:
+        if len(pieces) > PIECES_CACHE:
             pieces.clear()
             pieces[b""] = b""
         others = []
@@ -111,14 +111,17 @@ class Encoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         parts = text.split()
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
+        get = self.known.get
+        at = np.fromiter([get(p, -1) for p in parts], np.int64, len(parts))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys([parts[i] for i in missing]))
+            if len(self.known) + len(new) > CACHE:
                 self.clear()
-                new = list(dict.fromkeys(parts))
+                new, missing = list(dict.fromkeys(parts)), np.arange(len(parts))
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            known = self.known
+            at[missing] = [known[parts[i]] for i in missing]
         begin = self.start[at]
         n = self.start[at + 1] - begin
         return self.flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
