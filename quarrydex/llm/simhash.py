@@ -115,17 +115,21 @@ def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = No
     label = np.arange(len(prints))
     rows, d = np.arange(len(prints)), 1
     while True:
-        # from time to time only the buckets that are still open are packed again
-        size = np.unique(bucket[rows], return_counts=True)[1]
-        rows = rows[np.repeat(size > d, size)]
+        # from time to time only the buckets that are still open are packed again: with pairs left, and in several pieces
+        first, size = np.unique(bucket[rows], return_index=True, return_counts=True)[1:]
+        if len(rows):
+            own = label[rows]
+            rows = rows[np.repeat((size > d) & (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)), size)]
+            size = np.unique(bucket[rows], return_counts=True)[1]
         if not len(rows):
             return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
         planes, own = planes_of(prints[rows]), bucket[rows]
         for d in range(d, min(2 * d, int(size.max()))):
             same = np.zeros(64 * planes.shape[1], bool)
-            same[: len(own) - d] = own[:-d] == own[d:]
-            if not same.any():
+            together = own[:-d] == own[d:]
+            if not together.any():
                 break
+            same[: len(own) - d] = together & (label[rows[:-d]] != label[rows[d:]])
             hit = near(planes, d, np.packbits(same, bitorder="little").view("<u8"), radius)
             i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
             i, j = rows[i], rows[i + d]
