@@ -5,7 +5,7 @@ and its shifted self compare every row with the row ``d`` places on, 64 pairs in
 counters add up the distances.  Words in which every pair has passed the radius are left out from there on.
 
 Two uses: ``near_duplicates`` links 64-bit fingerprints of four-word shingles at four differing bits; two of six bit
-blocks agree then, which makes the buckets.  ``similar`` is for a similarity of texts: 256 bits of five-word shingles,
+blocks agree then, which makes the buckets.  ``similar`` is for a similarity of texts: 1,024 bits of five-word shingles,
 with the radius that the similarity comes to, and buckets from pairs of least shingle hashes.
 """
 
@@ -235,19 +235,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: For a similarity of texts: words of a shingle, similarity (Jaccard), least hashes, and how many of them make a bucket.
 WORDS, SIMILARITY, LEAST_HASHES, IN_BUCKET = 5, 0.8, 24, 2
-WIDE = 4  # times 64 bits
+WIDE = 16  # times 64 bits
 _RNG = np.random.Generator(np.random.PCG64(8))
 _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits that a Jaccard similarity comes to, plus a standard deviation: shingle sets at that similarity have the cosine 2s / (1 + s)."""
+    """Differing bits that a Jaccard similarity comes to, plus two standard deviations: shingle sets at that similarity have the cosine 2s / (1 + s)."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
 
 
 def wide_print(text: bytes) -> tuple[bytes, list[int]]:
-    """256-bit SimHash of a text's distinct shingles and its bucket keys; all texts without words are alike."""
+    """1,024-bit SimHash of a text's distinct shingles and its bucket keys; all texts without words are alike."""
     import xxhash
 
     words = text.translate(LOWER).split()
@@ -264,7 +264,9 @@ def wide_print(text: bytes) -> tuple[bytes, list[int]]:
         mixed ^= mixed >> np.uint64(32)
         least = np.minimum(least, mixed[:, :LEAST_HASHES].min(axis=0))
         wide = np.ascontiguousarray(mixed[:, LEAST_HASHES:]).astype("<u8")
-        count += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # as many as a byte counts
+            count += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
     keys = [hash_ for k in range(0, LEAST_HASHES, IN_BUCKET) for hash_ in [xxhash.xxh64_intdigest(least[k : k + IN_BUCKET].tobytes(), k)]]
     return np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), keys
 
