@@ -31,6 +31,8 @@ LENGTH = 50
 SHORT, RUN = 18, 256
 #: Bytes of text that one bucket stands for, and that are hashed at a time, about.
 BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
+#: Bits of a place in a text; those above have the number of the text.
+NTH = 32
 #: Keys that a task combines before it sends them.
 HELD_KEYS = 1 << 20
 
@@ -111,6 +113,18 @@ def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(mix(ids.view(np.uint64) + np.uint64(_BASE))) >> np.uint64(11)).astype(np.int64) % buckets
 
 
+def nth_texts(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The place of each row's text among the different texts of its id, in the order of their bytes; rows that share an id and a text share it."""
+    out = np.zeros(len(ids), np.int64)
+    order = np.argsort(ids, kind="stable")
+    edge = groups(ids[order])
+    for k in np.flatnonzero(np.diff(edge) > 1):
+        rows = order[edge[k] : edge[k + 1]].tolist()
+        nth = {t: n for n, t in enumerate(sorted({texts[i] for i in rows}))}
+        out[rows] = [nth[texts[i]] for i in rows]
+    return out
+
+
 def groups(sorted_: np.ndarray) -> np.ndarray:
     """First places of the equal values of a sorted array, and its end."""
     return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)])) if len(sorted_) else np.zeros(1, np.int64)
@@ -209,7 +223,10 @@ def share_keys(buckets: int):
 
 def cut_out(buckets: int):
     """Step 2, by document bucket.  Kind 0: (documents, first passages, sizes, bytes) of the texts around shared runs, each once;
-    kind 1: (documents, low, high) to remove already, as a smaller document here has the same text."""
+    kind 1: (documents, low, high) to remove already, as a smaller document here has the same text.
+
+    A place in a text has the text's number among those of its id (``nth_texts``) above its low 32 bits, here and in all that follows.
+    """
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -219,6 +236,7 @@ def cut_out(buckets: int):
             docs = docs.sort_by("doc_id")
             ids = docs["doc_id"].to_numpy()
             texts = [t for chunk in docs["text"].chunks for t in strings(chunk)]
+            nth = nth_texts(ids, texts)
             seen: dict[bytes, int] = {}
             sent, gone = array("q"), array("q")  # document, first byte, size, key; document, first byte, end
             sent_texts: list[bytes] = []
@@ -230,6 +248,7 @@ def cut_out(buckets: int):
                 for k, d, s, n in zip(key[hit].view(np.int64).tolist(), (doc[hit] + lo).tolist(), first[hit].tolist(), many[hit].tolist()):
                     text = texts[d][s : s + n + LENGTH - 1]
                     own = int(ids[d])
+                    s += int(nth[d]) << NTH
                     least = seen.setdefault(text, own)
                     if own > least:
                         gone.extend((own, s, s + len(text)))
@@ -383,17 +402,20 @@ def resolve(buckets: int):
 def remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
     """Step 4, by document bucket: the rows of docs with n_bytes, n_removed, n_spans and what is left."""
     ids, low, high = (numbers(spans[c].to_pylist()) for c in ("docs", "low", "high"))
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((low, ids))
     ids, low, high = ids[order], low[order], high[order]
     out = []
     texts = [t for chunk in docs["text"].chunks for t in strings(chunk)]
-    for doc, null, text in zip(docs["doc_id"].to_pylist(), docs["no_id"].to_pylist(), texts):
+    own = docs["doc_id"].to_numpy()
+    for doc, nth, null, text in zip(own.tolist(), nth_texts(own, texts).tolist(), docs["no_id"].to_pylist(), texts):
         a, b = np.searchsorted(ids, [doc, doc + 1])
+        if b > a:
+            a, b = a + np.searchsorted(low[a:b], [nth << NTH, nth + 1 << NTH])
         removed = number = 0
         if b > a:
             turn = np.zeros(len(text) + 1, np.int64)
-            np.add.at(turn, low[a:b], 1)
-            np.add.at(turn, high[a:b], -1)
+            np.add.at(turn, low[a:b] - (nth << NTH), 1)
+            np.add.at(turn, high[a:b] - (nth << NTH), -1)
             gone = np.cumsum(turn[:-1]) > 0
             removed = int(gone.sum())
             number = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
@@ -410,8 +432,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte covered by a LENGTH-byte string that also starts in a document with a smaller id is removed; strings are judged
     on the input, and matches never cross documents.  A null text counts as empty.  Rows that share an id are one document:
-    they don't match each other, and places to remove in one of them hold for the others too.  A null id counts as the
-    largest one.  Other columns are ignored, an empty table gives an empty result.
+    they don't match each other, but each loses the places in its own text only.  A null id counts as the largest one, so
+    rows without an id share it.  Other columns are ignored, an empty table gives an empty result.
     """
     size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))

@@ -199,6 +199,33 @@ def test_repeats(spark, bucket_bytes):
     assert sorted(got, key=str) == sorted(removed(rows), key=str)
 
 
+def removed_by_row(rows, length=50):
+    """As ``removed``, but each row has its own places, whatever rows share its id; ids are compared, null as the largest."""
+    first = {}
+    for i, t in rows:
+        data, key = t.encode(), 1 << 62 if i is None else i
+        for p in range(len(data) - length + 1):
+            first[data[p : p + length]] = min(first.get(data[p : p + length], key), key)
+    out = []
+    for i, t in rows:
+        data, key = t.encode(), 1 << 62 if i is None else i
+        own = {b for p in range(len(data) - length + 1) if first[data[p : p + length]] < key for b in range(p, p + length)}
+        out.append((i, len(data), len(own), sum(p - 1 not in own for p in own), bytes(b for p, b in enumerate(data) if p not in own)))
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 24, 500])
+def test_repeats_of_rows_that_share_an_id(spark, bucket_bytes):
+    rng = random.Random(14)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = line(80), line(90), line(120)
+    rows = [(1, line(30) + a + line(9)), (2, b + line(40)), (None, line(200) + a + line(20)), (None, ""), (None, line(300)), (None, b), (None, b)]
+    rows += [(7, line(400) + a), (7, line(60)), (7, ""), (7, c + b), (7, c), (8, "x" + c), (None, c + line(7))]
+    df = substring_dedup.remove_repeats(table(spark, rows).repartition(3), bucket_bytes=bucket_bytes)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(removed_by_row(rows), key=str)
+
+
 def test_repeats_of_empty_table(spark):
     assert substring_dedup.repeat_report(table(spark, [])).count() == 0
 
