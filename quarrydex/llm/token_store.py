@@ -49,13 +49,15 @@ class Encoder:
     """Encodes texts by way of their parts between ASCII white space.
 
     The tokenizer's own splitting never joins characters across white space, nor a letter and the punctuation behind it,
-    and it ignores case; so a text's ids are those of its parts, and many parts are a lower-cased word and its punctuation.
+    and it ignores case where no mark follows; so a text's ids are those of its parts, and many parts are a word and its punctuation.
     Each distinct part and each distinct piece of one is encoded once and kept in bounded caches.
     """
 
     #: A part of letters (or any characters beyond ASCII), then punctuation without apostrophes.
-    PIECES = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+    PIECES = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
     ASCII = re.compile(rb"[a-z]+")
+    #: A capital before a character from U+0300 on, where combining marks begin: composition comes before lower-casing, and the capital may have no composed form.
+    MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -72,9 +74,9 @@ class Encoder:
         self.flat, self.start, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0
 
     def split(self, part: bytes) -> tuple[bytes, bytes]:
-        """The pieces of a part, lower-cased; (part, b'') where the whole has to go through the tokenizer."""
+        """The pieces of a part, lower-cased unless a capital could compose with a mark; (part, b'') where the whole has to go through the tokenizer."""
         if b"<|" not in part:  # where special tokens begin
-            low = part.lower()
+            low = part if self.MARKED.search(part) else part.lower()
             m = self.PIECES.fullmatch(low)
             if m and (not m[2] or low[m.end(1) - 1] < 0x80 or m[1].decode("utf-8", "replace").lower()[-1].isalpha()):
                 return m[1], m[2]

@@ -137,3 +137,18 @@ def test_encoder_equals_the_library():
     for _ in range(8000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
         assert encoder.encode(text.encode()).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_composes_before_it_lowers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, encoder, rng = Tokenizer.from_file(token_store.vocabulary_path()), token_store.Encoder(token_store.vocabulary_path()), random.Random(2)
+    capitals = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    for text in ["H\u0331asan", "J\u030cob", "T\u0308a!", "W\u030aa", "aY\u030a."]:
+        assert encoder.encode(text.encode()).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    bits = [*capitals, *(c.lower() for c in capitals), "a", "B", "ob", "asan", "!", "...", "'s", " ", "é", "\u0301", "\u0338", "=", "1"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))
+        assert encoder.encode(text.encode()).tolist() == tok.encode(text, add_special_tokens=False).ids, text
