@@ -6,11 +6,13 @@ counters add up the distances.  Words in which every pair has passed the radius
 
 Two uses: ``near_duplicates`` links 64-bit fingerprints of four-word shingles at four differing bits; two of six bit
 blocks agree then, which makes the buckets.  ``similar`` is for a similarity of texts: 1,024 bits of five-word shingles,
-with the radius that the similarity comes to, and buckets from pairs of least shingle hashes.
+with a radius beyond what the similarity comes to, and buckets from pairs of least shingle hashes, give candidates; the
+shingle sets of those decide.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -107,8 +109,11 @@ def near(planes: np.ndarray, d: int, lanes: np.ndarray, radius: int = RADIUS) ->
     return out
 
 
-def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (ids) between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs.  Without prints the ids are the fingerprints."""
+def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids) between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs.  Without prints the ids are the fingerprints.
+
+    With ``sets`` a near pair counts only if its sets are that similar.
+    """
     if prints is None:
         prints = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
     a, b = [], []
@@ -135,6 +140,9 @@ def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = No
             i, j = rows[i], rows[i + d]
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
+            if sets is not None and len(i):
+                alike = np.array([jaccard(sets[p], sets[q]) >= similarity for p, q in zip(i.tolist(), j.tolist())])
+                i, j = i[alike], j[alike]
             if len(i):
                 a.append(ids[i])
                 b.append(ids[j])
@@ -240,14 +248,42 @@ _RNG = np.random.Generator(np.random.PCG64(8))
 _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes of shingle sets that one task compares, about; a larger group is dealt out by pairs of parts.
+LARGE_SETS = 64 << 20
+#: Bytes of shingle sets of whole groups that are compared at a time.
+CHUNK_SETS = 16 << 20
+
+
+def differing(m: int, n: int, both: int) -> float:
+    """Chance that a bit differs between the fingerprints of sets of ``m`` and ``n`` shingles that have ``both`` in common."""
+    law = lambda k: functools.reduce(np.convolve, [np.array([0.5, 0.5])] * k, np.ones(1))
+    one = lambda own: np.array([law(own - both)[max(0, own // 2 + 1 - c) :].sum() for c in range(both + 1)])
+    p, q = one(m), one(n)
+    return float((law(both) * (p * (1 - q) + q * (1 - p))).sum())
+
+
+@functools.lru_cache
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits that a Jaccard similarity comes to, plus two standard deviations: shingle sets at that similarity have the cosine 2s / (1 + s)."""
+    """Differing bits of candidates: what a Jaccard similarity comes to at most, plus five standard deviations.
+
+    Large shingle sets at that similarity have the cosine 2s / (1 + s); for sets of up to 40 shingles the chance is counted out.
+    """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    for m in range(1, 41):
+        for n in range(m, min(40, int(m / similarity + 1e-9)) + 1):
+            share = max(share, differing(m, n, int(np.ceil(similarity * (m + n) / (1 + similarity) - 1e-9))))
+    return int(np.ceil(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
 
 
-def wide_print(text: bytes) -> tuple[bytes, list[int]]:
-    """1,024-bit SimHash of a text's distinct shingles and its bucket keys; all texts without words are alike."""
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two sets, each the bytes of its 64-bit numbers."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Hashes of a text's distinct shingles, in order."""
     import xxhash
 
     words = text.translate(LOWER).split()
@@ -255,7 +291,14 @@ def wide_print(text: bytes) -> tuple[bytes, list[int]]:
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     n = max(1, len(words) - WORDS + 1)
     starts, ends = [0, *(e + 1 for e in ends[: n - 1])], ends[WORDS - 1 :] or [len(whole)]
-    hashes = np.array(list({xxhash.xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)}), np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(whole[s:e], SEED) for s, e in zip(starts, ends)], "<u8"))
+
+
+def wide_print(text: bytes) -> tuple[bytes, list[int], np.ndarray]:
+    """1,024-bit SimHash of a text's distinct shingles, its bucket keys and the shingles' hashes; all texts without words are alike."""
+    import xxhash
+
+    hashes = shingle_set(text)
     count, least = np.zeros(64 * WIDE, np.int64), np.full(LEAST_HASHES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 1 << 13):
         some = hashes[k : k + (1 << 13)]
@@ -268,29 +311,83 @@ def wide_print(text: bytes) -> tuple[bytes, list[int]]:
         for i in range(0, len(bits), 255):  # as many as a byte counts
             count += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
     keys = [hash_ for k in range(0, LEAST_HASHES, IN_BUCKET) for hash_ in [xxhash.xxh64_intdigest(least[k : k + IN_BUCKET].tobytes(), k)]]
-    return np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), keys
+    return np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), keys, hashes
 
 
 def _wide(texts: pa.Array) -> pa.Array:
-    found = [wide_print(t) for t in strings(texts)]
-    keys = pa.array([np.array(k, np.uint64).view(np.int64) for _, k in found], pa.list_(pa.int64()))
-    return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.binary()), keys], ["print", "keys"])
+    import xxhash
+
+    found = [(p, np.array(k, np.uint64).view(np.int64), xxhash.xxh64_intdigest(h.tobytes())) for p, k, h in map(wide_print, strings(texts))]
+    same = pa.array(np.array([x for _, _, x in found], np.uint64).view(np.int64))
+    return pa.StructArray.from_arrays([pa.array([p for p, _, _ in found], pa.binary()), pa.array([k for _, k, _ in found], pa.list_(pa.int64())), same], ["print", "keys", "same"])
+
+
+def _sets(texts: pa.Array) -> pa.Array:
+    found = [(p, h.tobytes()) for p, _, h in map(wide_print, strings(texts))]
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["print", "shingles"])
+
+
+def confirm(radius: int, similarity: float):
+    """Over rows (bucket, id, print, shingles) sorted by bucket: links (a, b) of rows with similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(bucket, ids, prints, sets):
+            prints = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links_in(bucket, ids, prints, radius, sets, similarity)], names=["a", "b"])
+
+        bucket, ids, prints, sets, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
+        for batch in batches:
+            bucket = np.concatenate((bucket, batch.column(0).to_numpy(zero_copy_only=False)))
+            ids = np.concatenate((ids, batch.column(1).to_numpy(zero_copy_only=False)))
+            prints += batch.column(2).to_pylist()
+            sets += batch.column(3).to_pylist()
+            size += batch.nbytes
+            last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            if size >= CHUNK_SETS and last:
+                yield done(bucket[:last], ids[:last], prints[:last], sets[:last])
+                bucket, ids, prints, sets = bucket[last:], ids[last:], prints[last:], sets[last:]
+                size = sum(map(len, sets))
+        if len(bucket):
+            yield done(bucket, ids, prints, sets)
+
+    return run
+
+
+def similar_links(rows: DataFrame, candidates: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links a, b between ids of ``rows`` (id, text) that candidate links (a, b) join, by whatever path, and whose shingle sets are that similar.
+
+    The rows of a group that candidates join meet in one task; those of a large group do so part by part.
+    """
+    group = cut(components(candidates), "candidate-groups")
+    members = group.select(F.col("node").alias("id"), "root").union(group.select(F.col("root").alias("id"), "root").distinct())
+    sets = F.arrow_udf(_sets, "struct<print:binary,shingles:binary>")
+    held = rows.where("id is not null").join(members, "id").select("root", "id", sets("text").alias("x")).select("root", "id", "x.*")
+    held = cut(held.groupBy("root", "id", "print").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    n, size = F.count(F.lit(1)), F.sum(F.octet_length("shingles"))
+    many = F.when((n > LARGE) | (size > LARGE_SETS), F.ceil(F.greatest(n / LARGE, size / LARGE_SETS) * 2)).otherwise(1).cast("int")
+    parts = held.groupBy("root").agg(many.alias("parts"))
+    own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = own.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "id", "print", "shingles")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(confirm(radius, similarity), "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: one row per row of ``docs``; documents whose five-word shingles are about that similar (Jaccard) or more are linked.
+    """doc_id, component_id: one row per row of ``docs``; documents whose sets of five-word shingles are that similar (Jaccard) or more are linked.
 
-    Two such documents share one of twelve buckets but for one pair in 200,000 at similarity 0.8; the fingerprint's error adds to that near
-    the limit.  Texts without words are alike.  Nulls, repeated rows, ties and empty tables as in ``near_duplicates``, but that
+    Two such documents share one of twelve buckets but for one pair in 200,000 at similarity 0.8, and their fingerprints are
+    within the radius but for fewer than that; candidates are then decided by their whole shingle sets.
+    Texts without words are alike.  Nulls, repeated rows, ties and empty tables as in ``near_duplicates``, but that
     rows that share an id may be linked through it; component_id is null where only rows without an id are alike.
     """
-    wide = F.arrow_udf(_wide, "struct<print:binary,keys:array<bigint>>")
-    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), wide(F.col(text_col)).alias("x")).select("doc_id", "x.print", "x.keys"), "wide-prints")
-    prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id is not null"), "distinct-prints")
+    wide = F.arrow_udf(_wide, "struct<print:binary,keys:array<bigint>,same:bigint>")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = cut(texts.select(F.col("id").alias("doc_id"), wide("text").alias("x")).select("doc_id", "x.print", "x.keys", "x.same"), "wide-prints")
+    prints = cut(rows.groupBy("print", "same").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id is not null"), "distinct-prints")
     dealt = prints.select(F.explode("keys").alias("bucket"), "id", "print")
-    links = bucket_links(dealt, prints.select("id", "print"), radius_of(similarity))
-    labelled = prints.select("id", "print").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component_id"))
-    return rows.select("doc_id", "print").join(labelled, "print", "left").select("doc_id", "component_id")
+    candidates = bucket_links(dealt, prints.select("id", "print"), radius_of(similarity))
+    links = similar_links(texts, candidates, radius_of(similarity), similarity)
+    labelled = prints.select("id", "print", "same").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("print", "same", F.coalesce("root", "id").alias("component_id"))
+    return rows.select("doc_id", "print", "same").join(labelled, ["print", "same"], "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
