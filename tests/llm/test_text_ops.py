@@ -6,6 +6,8 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarrydex.llm import decontaminate, exact_dedup, token_store
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -112,19 +114,95 @@ def test_token_store_round_trip(spark, tmp_path):
     assert token_store.token_report(docs(spark, [])).count() == 0
 
 
-def test_damaged_chunk_is_found(spark, tmp_path):
-    path = token_store.write_store(docs(spark), str(tmp_path / "store"))
-    pieces = spark.read.parquet(f"{path}/pieces")
-    from pyspark.sql import functions as F
-
-    pieces.withColumn("payload", F.when(F.col("kind") == 0, F.concat(F.lit(b"\x01\x00"), F.substring("payload", 3, 1 << 20))).otherwise(F.col("payload"))).write.partitionBy("kind").parquet(f"{path}/damaged")
+def altered(path, folder, change):
+    """Write a table of a store again with ``change`` made to it."""
     import os
     import shutil
 
-    shutil.rmtree(f"{path}/pieces")
-    os.rename(f"{path}/damaged", f"{path}/pieces")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.read_report(spark, path).collect()
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    df = change(spark.read.parquet(f"{path}/{folder}"))
+    (df.write.partitionBy("kind") if folder == "pieces" else df.write).parquet(f"{path}/altered")
+    shutil.rmtree(f"{path}/{folder}")
+    os.rename(f"{path}/altered", f"{path}/{folder}")
+
+
+def _recipes(change):
+    def run(df):
+        rows = [r.asDict() for r in df.orderBy("part", "at").collect()]
+        change(rows)
+        return df.sparkSession.createDataFrame(rows, token_store.RECIPES)
+
+    return run
+
+
+def _swap(rows):
+    names = ("recipe", "root", "n_tokens")
+    a, b = rows[1], rows[-1]
+    assert a["recipe"] != b["recipe"]
+    for k in names:
+        a[k], b[k] = b[k], a[k]
+
+
+def _swap_equally_long(rows):
+    by = {}
+    for r in rows:
+        other = by.setdefault(r["n_tokens"], r)
+        if other["recipe"] != r["recipe"]:
+            for k in ("recipe", "root"):
+                other[k], r[k] = r[k], other[k]
+            return
+    raise AssertionError("no two recipes of one length")
+
+
+def _truncate(rows):
+    row = max(rows, key=lambda r: len(r["recipe"]))
+    row["recipe"] = row["recipe"][: -token_store.ENTRY.itemsize]
+    row["root"] = token_store.recipe_root(row["recipe"])
+
+
+def _move(rows):
+    rows[2]["at"] += 1
+
+
+def _drop(rows):
+    rows.pop(3)
+
+
+DAMAGE = {
+    "chunk changed": ("pieces", lambda df: df.withColumn("payload", F.when(F.col("kind") == 0, F.concat(F.lit(b"\x01\x00"), F.substring("payload", 3, 1 << 20))).otherwise(F.col("payload")))),
+    "chunk missing": ("pieces", lambda df: df.where(~((F.col("kind") == 0) & (F.col("digest") == df.where("kind = 0").agg(F.max("digest")).first()[0])))),
+    "recipes swapped": ("recipes", _recipes(_swap)),
+    "recipes of one length swapped": ("recipes", _recipes(_swap_equally_long)),
+    "recipe cut": ("recipes", _recipes(_truncate)),
+    "place changed": ("recipes", _recipes(_move)),
+    "recipe missing": ("recipes", _recipes(_drop)),
+    "base changed": ("manifest/parts", lambda df: df.withColumn("base", F.col("base") + 1)),
+    "whole root changed": ("manifest/whole", lambda df: df.withColumn("root", F.sha2("root", 256).cast("binary"))),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(DAMAGE))
+def test_damaged_store_is_found(spark, tmp_path, kind):
+    rows = [*TEXTS, (20, "one two"), (21, "three four"), (22, "the cat sat " * 900)]
+    path = token_store.write_store(docs(spark, rows), str(tmp_path / "store"))
+    token_store.read_report(spark, path).collect()
+    altered(path, *DAMAGE[kind])
+    for read in (token_store.read_report, token_store.reconstruct):
+        with pytest.raises(Exception, match="damaged|missing|match"):
+            read(spark, path).collect()
+
+
+def test_another_tokenizer_gets_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = token_store.vocabulary_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.token_report(docs(spark, [(1, "The cat's  tail\n"), (2, None), (3, "ÉCOLE")]), path).collect()}
+    for i, t in ((1, "The cat's  tail\n"), (2, ""), (3, "ÉCOLE")):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
 
 
 def test_encoder_equals_the_library():
