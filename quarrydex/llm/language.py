@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import strings
+from .base import cut, list_array, strings
 
 #: Bytes of context at most.
 ORDER = 3
 #: Training documents of each language, about; they are chosen by a hash of their ids.
 TRAIN_ROWS = 600
-#: Contexts in the tree at most, the commonest first, and occurrences that a context needs.
-NODES, SEEN = 12_000, 4
-#: Code lengths are whole numbers of this part of a bit, so that sums are exact.
-UNIT = 1024
+#: Bytes of a model that goes to the executors at a time; languages beyond it are scored in further passes.
+MODEL_BYTES = 128 << 20
+#: Contexts whose code lengths are laid out at a time.
+AT_ONCE = 4096
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -34,56 +34,73 @@ def fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+def without_last(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The context of each gram of ``n`` bytes; a gram is a number: its length, then its bytes."""
+    return (gram >> 8) - (np.int64(1) << (8 * (n - 1)))
+
+
+def without_first(context: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The next shorter one of contexts of ``n`` bytes, n at least 1."""
+    return ((n - 1) << (8 * (n - 1))) | context & ((np.int64(1) << (8 * (n - 1))) - 1)
+
+
+def bytes_in(gram: np.ndarray) -> np.ndarray:
+    return np.digitize(gram, [1 << 8, 2 << 16, 3 << 24, 4 << 32])
+
+
 @dataclass
 class Trees:
     languages: list[str]
     symbol: np.ndarray  # of each byte; 0: never seen
     step: list[np.ndarray]  # step[k][node, symbol]: the node one byte further back, or the node itself
     bits: np.ndarray  # [node, symbol, language] in parts of a bit
+    unit: int = 1  # parts of a bit: the sums are exact
 
     @classmethod
-    def of(cls, grams: dict[str, dict[bytes, int]], order: int = ORDER, nodes: int = NODES, seen: int = SEEN) -> Trees:
-        """From the number of occurrences of each string of 1 to ``order`` + 1 bytes in each language."""
+    def of(cls, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Trees:
+        """From all strings of 1 to ``order`` + 1 bytes in each language, as numbers, and how often each occurs.
+
+        Every context that occurs is a node and every count stays: none is too rare.  A context of a string that occurs
+        has all its own ends among the contexts, so the next shorter one is always there.
+        """
         languages = sorted(grams)
-        used = sorted({g[0] for own in grams.values() for g in own if len(g) == 1})
+        length = {language: bytes_in(grams[language][0]) for language in languages}
+        one = [grams[language][0][length[language] == 1] & 0xFF for language in languages]
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *one]))
         symbol = np.zeros(256, np.int16)
         symbol[used] = np.arange(1, len(used) + 1)
-        total: dict[bytes, int] = {}
-        for own in grams.values():
-            for g, n in own.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + n
-        common = [c for c in sorted(total, key=lambda c: (-total[c], len(c), c)) if total[c] >= seen or not c][:nodes]
-        kept: set[bytes] = {b""}
-        for c in sorted(common, key=len):
-            if not c or c[1:] in kept:
-                kept.add(c)
-        contexts = sorted(kept, key=lambda c: (len(c), c))
-        at = {c: i for i, c in enumerate(contexts)}
-        parent = np.array([at[c[1:]] if c else -1 for c in contexts])
+        contexts = np.unique(np.concatenate([np.zeros(1, np.int64), *(without_last(grams[x][0], length[x]) for x in languages)]))  # by length, then bytes
+        n = bytes_in(contexts)
+        parent = np.full(len(contexts), -1)
+        parent[n > 0] = np.searchsorted(contexts, without_first(contexts[n > 0], n[n > 0]))
         step = []
         for k in range(order):
-            shallow = [c for c in contexts if len(c) <= k]
-            table = np.repeat(np.arange(len(shallow), dtype=np.int32)[:, None], len(used) + 1, axis=1)
-            for c in contexts:
-                if len(c) == k + 1:
-                    table[at[c[1:]], symbol[c[0]]] = at[c]
+            shallow, deeper = int((n <= k).sum()), np.flatnonzero(n == k + 1)
+            table = np.repeat(np.arange(shallow, dtype=np.int32)[:, None], len(used) + 1, axis=1)
+            table[parent[deeper], symbol[contexts[deeper] >> 8 * k & 0xFF]] = deeper
             step.append(table)
-        bits = np.zeros((len(contexts), len(used) + 1, len(languages)), np.int16)
-        for k, language in enumerate(languages):
-            counts = np.zeros((len(contexts), len(used) + 1))
-            for g, n in grams[language].items():
-                if (c := at.get(g[:-1])) is not None:
-                    counts[c, symbol[g[-1]]] = n
-            bits[:, :, k] = np.minimum(np.rint(cls.lengths(counts, parent) * UNIT), 32767)
-        return cls(languages, symbol, step, bits)
+        exact = []
+        for language in languages:
+            gram, many = grams[language]
+            counts = np.zeros((len(contexts), len(used) + 1), np.int32)
+            counts[np.searchsorted(contexts, without_last(gram, length[language])), symbol[gram & 0xFF]] = many
+            exact.append(np.concatenate([cls.lengths(counts, parent, np.arange(a, min(a + AT_ONCE, len(contexts)))) for a in range(0, len(contexts), AT_ONCE)]))
+        # as fine a unit as 16 bits hold
+        longest = max((float(x.max()) for x in exact), default=1.0)
+        unit = 1024
+        while longest * unit > np.iinfo(np.uint16).max:
+            unit //= 2
+        bits = np.stack([np.rint(x * unit).astype(np.uint16) for x in exact], axis=2) if exact else np.zeros((1, 1, 0), np.uint16)
+        return cls(languages, symbol, step, bits, unit)
+
+    def size(self) -> int:
+        return self.bits.nbytes + sum(t.nbytes for t in self.step)
 
     @staticmethod
-    def lengths(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Bits of each symbol in each context."""
-        out = np.zeros_like(counts)
-        coded = np.zeros(counts.shape, bool)
-        ruled_out = np.zeros(counts.shape, bool)
-        at = np.arange(len(counts))
+    def lengths(counts: np.ndarray, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of each symbol in the contexts ``at``."""
+        out = np.zeros((len(at), counts.shape[1]), np.float32)
+        coded, ruled_out = np.zeros(out.shape, bool), np.zeros(out.shape, bool)
         while (at >= 0).any():
             own = np.where(ruled_out | (at < 0)[:, None], 0, counts[at])
             all_, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
@@ -91,12 +108,12 @@ class Trees:
                 here = -np.log2(own / (all_ + kinds))
                 escape = np.where(kinds > 0, -np.log2(kinds / (all_ + kinds)), 0)
             now = (own > 0) & ~coded
-            out = np.where(now, out + here, np.where(coded, out, out + escape))
+            out = np.where(now, out + here, np.where(coded, out, out + escape)).astype(np.float32)
             coded |= now
             ruled_out |= own > 0
             at = np.where(at >= 0, parent[at], -1)
         left = 256 - ruled_out.sum(axis=1, keepdims=True)
-        return np.where(coded, out, out + np.log2(np.maximum(left, 1)))
+        return np.where(coded, out, out + np.log2(np.maximum(left, 1))).astype(np.float32)
 
     def code_lengths(self, texts: list[bytes], chunk: int = 1 << 19) -> np.ndarray:
         """[text, language]: code length of each text, in parts of a bit."""
@@ -147,59 +164,71 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(many)], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
-    """Trees from about ``rows`` documents of each language outside the held-out fold, counted on the executors.
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Strings of up to ORDER + 1 bytes and their numbers, by language, from about ``rows`` documents of each outside the held-out fold, counted on the executors.
 
     Documents without language, text or id aren't learned from.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(id_col="doc_id", folds=FOLDS) != HELD_OUT))
     many = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not many:
-        return Trees.of({})
+        return {}
     chance = F.element_at(F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, int(min(1.0, rows / n) * (1 << 20)))]), F.col("lang"))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < chance)
-    counts = chosen.select("lang", "text").mapInArrow(gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(f"n >= {SEEN} or gram < {1 << 25}")
-    grams: dict[str, dict[bytes, int]] = {}
-    for r in counts.toArrow().to_pylist():
-        n = (r["gram"].bit_length() - 1) // 8
-        grams.setdefault(r["lang"], {})[r["gram"].to_bytes(8, "big")[8 - n :]] = r["n"]
-    return Trees.of(grams)
+    counts = chosen.select("lang", "text").mapInArrow(gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = counts["lang"].combine_chunks().dictionary_encode(), counts["gram"].to_numpy(), counts["n"].to_numpy()
+    at = lang.indices.to_numpy()
+    return {name: (gram[at == k], n[at == k]) for k, name in enumerate(lang.dictionary.to_pylist())}
+
+
+def blocks(grams: dict[str, tuple[np.ndarray, np.ndarray]], model_bytes: int = MODEL_BYTES) -> list[Trees]:
+    """Trees of all languages, or of halves of them and so on until each is within ``model_bytes``; a single language stays whole."""
+    trees = Trees.of(grams)
+    if trees.size() <= model_bytes or len(grams) < 2:
+        return [trees]
+    names = sorted(grams)
+    return [t for part in (names[: len(names) // 2], names[len(names) // 2 :]) for t in blocks({k: grams[k] for k in part}, model_bytes)]
 
 
-def language_column(spark: SparkSession, trees: Trees):
-    """A column function: text -> struct of the best language and its share of the probability."""
-    shared = spark.sparkContext.broadcast((trees.languages, trees.symbol, trees.step, trees.bits))
+def length_column(spark: SparkSession, trees: Trees):
+    """A column function: text -> bits of its code in each of the trees' languages."""
+    shared = spark.sparkContext.broadcast((trees.languages, trees.symbol, trees.step, trees.bits, trees.unit))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = Trees(*shared.value)
         for batch in batches:
             texts = strings(batch)
-            best, share = [], []
-            for k in range(0, len(texts), 256):
-                length = trees.code_lengths(texts[k : k + 256]) / UNIT
-                ahead = length - length.min(axis=1, keepdims=True)
-                best += [trees.languages[i] for i in length.argmin(axis=1)]
-                share += (1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1)).tolist()
-            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(share, pa.float64())], ["lang", "score"])
+            parts = [trees.code_lengths(texts[k : k + 256]) / trees.unit for k in range(0, len(texts), 256)]
+            flat = np.concatenate([np.zeros((0, len(trees.languages))), *parts])
+            yield list_array(pa.array(flat.ravel()), np.full(len(flat), flat.shape[1]))
 
-    return F.arrow_udf(score, "struct<lang:string,score:double>")
+    return F.arrow_udf(score, "array<double>")
 
 
-def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: list[Trees], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs``.
 
     A null text, one without a letter, and every text where no language was learned is ``und`` with score 0.  score is
     the best language's probability among the learned ones, all held equally likely before.  Ties go to the first
-    language by name.  held_out is false where the id is null.  Other columns are ignored.
+    language by name.  held_out is false where the id is null.  Other columns are ignored.  Several blocks of trees are
+    a pass over the texts each, written to the shared folder in between, so one at a time is held by the executors.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    none = rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    if not trees.languages:
-        return none
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = rows.withColumn("letter", letter).withColumn("found", language_column(docs.sparkSession, trees)("text"))
-    return found.select("doc_id", "held_out", F.when(F.col("letter"), F.col("found.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("found.score")).otherwise(0.0).alias("score"))
+    languages = [x for t in trees for x in t.languages]
+    if not languages:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rows = rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    for k, t in enumerate(trees):
+        rows = rows.withColumn(f"bits{k}", length_column(docs.sparkSession, t)("text"))
+        if len(trees) > 1:
+            rows = cut(rows, "code-lengths")
+    rows = rows.select("doc_id", "held_out", "letter", F.concat(*[f"bits{k}" for k in range(len(trees))]).alias("bits"))
+    rows = rows.withColumn("least", F.array_min("bits"))
+    share = F.aggregate("bits", F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(F.col("least") - x, F.lit(-1000.0))))
+    best = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("bits", F.col("least")).cast("int"))
+    return rows.select("doc_id", "held_out", F.when(F.col("letter"), best).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), 1 / share).otherwise(0.0).alias("score"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    return identify(docs, train(docs))
+    """``identify`` with trees learned from the same table; nulls, repeats and empty tables as there and in ``train``."""
+    return identify(docs, blocks(train(docs)))

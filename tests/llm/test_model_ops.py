@@ -68,48 +68,74 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_code_lengths_equal_a_plain_walk():
-    rng = random.Random(2)
-    texts = {lang: letters(lang, rng, 300).encode() for lang in ("aa", "bb")}
-    grams = {}
-    for lang, t in texts.items():
-        grams[lang] = {}
+def plain_counts(texts):
+    own = {}
+    for t in texts:
         for n in range(1, language.ORDER + 2):
             for i in range(len(t) - n + 1):
-                grams[lang][t[i : i + n]] = grams[lang].get(t[i : i + n], 0) + 1
-    trees = language.Trees.of(grams, nodes=10**6, seen=1)
-    contexts = {g[:-1] for own in grams.values() for g in own}
-
-    def bits(own, context, byte):
-        out, ruled = 0.0, set()
-        while True:
-            here = {g[-1]: n for g, n in own.items() if g[:-1] == context and g[-1] not in ruled}
-            if here:
-                total = sum(here.values()) + len(here)
-                if byte in here:
-                    return out - np.log2(here[byte] / total)
-                out -= np.log2(len(here) / total)
-                ruled |= set(here)
-            if not context:
-                return out + np.log2(256 - len(ruled))
-            context = context[1:]
+                own[t[i : i + n]] = own.get(t[i : i + n], 0) + 1
+    return own
+
+
+def as_numbers(own):
+    return np.array([int.from_bytes(bytes([len(g)]) + g, "big") for g in own], np.int64), np.array(list(own.values()), np.int64)
+
+
+def plain_bits(own, context, byte):
+    out, ruled = 0.0, set()
+    while True:
+        here = {g[-1]: n for g, n in own.items() if len(g) == len(context) + 1 and g[:-1] == context and g[-1] not in ruled}
+        if here:
+            total = sum(here.values()) + len(here)
+            if byte in here:
+                return out - np.log2(here[byte] / total)
+            out -= np.log2(len(here) / total)
+            ruled |= set(here)
+        if not context:
+            return out + np.log2(256 - len(ruled))
+        context = context[1:]
 
+
+def plain_length(counts, lang, text):
+    contexts = {g[:-1] for own in counts.values() for g in own}
+    total = 0.0
+    for i in range(len(text)):
+        k = next(k for k in range(min(language.ORDER, i), -1, -1) if all(text[i - j : i] in contexts for j in range(k + 1)))
+        total += plain_bits(counts[lang], text[i - k : i], text[i])
+    return total
+
+
+def test_code_lengths_equal_a_plain_walk():
+    rng = random.Random(2)
+    counts = {lang: plain_counts([letters(lang, rng, 300).encode()]) for lang in ("aa", "bb")}
+    trees = language.Trees.of({lang: as_numbers(own) for lang, own in counts.items()})
     for text in (b"und the zz\x00\xff", b"", b"x", "schen éa".encode()):
-        want = []
-        for lang in trees.languages:
-            total = 0
-            for i, b in enumerate(text):
-                k = next(k for k in range(min(language.ORDER, i), -1, -1) if all(text[i - j : i] in contexts for j in range(k + 1)))
-                total += round(bits(grams[lang], text[i - k : i], b) * language.UNIT)
-            want.append(total)
-        assert trees.code_lengths([text], chunk=4)[0].tolist() == pytest.approx(want, abs=len(text))
+        want = [plain_length(counts, lang, text) for lang in trees.languages]
+        assert (trees.code_lengths([text], chunk=4)[0] / trees.unit).tolist() == pytest.approx(want, abs=len(text) / trees.unit + 1e-9)
+
+
+def test_trained_statistics_are_those_of_a_plain_count(spark):
+    rng = random.Random(9)
+    rows = [(i, letters(lang, rng, rng.randint(0, 12)) + rng.choice(["", " Ω", "qzj"]), lang, "s") for i, lang in enumerate(["aa", "bb", "cc"] * 8)]
+    learnt = [(i, t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    counts = {lang: plain_counts([t.encode() for _, t, x in learnt if x == lang]) for lang in ("aa", "bb", "cc")}
+    got = language.train(table(spark, [*rows, (None, "qqq", "aa", "s"), (1, None, "aa", "s"), (2, "qqq", None, "s")]))
+    for lang, own in counts.items():
+        assert sorted(zip(*(x.tolist() for x in got[lang]))) == sorted(zip(*(x.tolist() for x in as_numbers(own))))
+    whole, parts = language.blocks(got), language.blocks(got, 1)
+    assert [len(t.languages) for t in whole] == [3] and [len(t.languages) for t in parts] == [1, 1, 1]
+    for text in ("the keit éaux Ω", "zzz"):
+        want = [plain_length(counts, lang, text.encode()) for lang in ("aa", "bb", "cc")]
+        assert (whole[0].code_lengths([text.encode()])[0] / whole[0].unit).tolist() == pytest.approx(want, abs=len(text) / 256)
+    together, apart = (sorted((r.doc_id, r.lang_pred, round(r.score, 2)) for r in language.identify(table(spark, rows), t).collect()) for t in (whole, parts))
+    assert [x[:2] for x in together] == [x[:2] for x in apart]
 
 
 def test_odd_languages(spark):
     got = {(r.doc_id, r.lang_pred) for r in language.language_report(odd(spark)).collect()}
     assert {x for i, x in got if i in (0, 1, 2, 3)} == {"und"}
     assert language.language_report(odd(spark).limit(0)).count() == 0
-    plain = language.identify(odd(spark), language.Trees.of({})).collect()
+    plain = language.identify(odd(spark), language.blocks({})).collect()
     assert {r.lang_pred for r in plain} == {"und"} and len(plain) == len(ODD) + 2
 
 
