@@ -3,6 +3,7 @@
 A document's terms are its distinct words and their first four and five bytes, hashed.  The
 machine has a weight for each term and, through a short vector for each term, one for each pair, so
 it learns what a term means beside another one.  It is fitted on a bounded sample of labelled rows.
+A term takes part if it says something by itself, or if a pair does that it is in: what one term says among the documents that have the other.
 """
 
 from __future__ import annotations
@@ -23,9 +24,15 @@ from .language import fold
 #: Labelled rows to learn from, about: of label 1 and of label 0, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 HASH_BITS = 20
-#: Terms kept: in this many training documents at least, with this chi-square value at least, the highest ones.
-LEAST_DOCS, LEAST_CHI2, TERMS = 3, 10.0, 1 << 14
+#: Terms kept: in this many training documents at least, and with this chi-square value at least.
+LEAST_DOCS, LEAST_CHI2 = 3, 10.0
+#: Pairs that count too: of terms in this part of the training documents, each with this chi-square value among the documents that have the other.
+PAIR_SHARE, PAIR_CHI2 = 0.05, 40.0
 FACTORS, EPOCHS, RATE, DECAY = 8, 30, 0.1, 1e-3
+#: Documents of a step of the fit, and spread of the vectors at its start.
+STEP, SPREAD = 64, 0.01
+#: Terms whose pairs are counted at a time.
+PAIRS_AT_ONCE = 1024
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Entries of a worker's cache from words to terms.
@@ -43,6 +50,39 @@ def terms(word: bytes) -> list[int]:
     return out
 
 
+def totals(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of ``x`` over the stretches between the places ``start``."""
+    sums = np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)))
+    return sums[start[1:]] - sums[start[:-1]]
+
+
+def chi_square(toxic, seen, toxic_all, all_):
+    """How much the toxic share of the ``seen`` documents differs from that of all; 0 where there is nothing to compare."""
+    share = toxic_all / np.maximum(all_, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (toxic - seen * share) ** 2 * all_ / (seen * share * (1 - share) * (all_ - seen))
+    return np.where(np.isfinite(out), out, 0)
+
+
+def paired(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Those of ``terms`` that are in a pair whose terms each say something among the documents that have the other."""
+    place = np.full(1 << HASH_BITS, -1)
+    place[terms] = np.arange(len(terms))
+    has = np.zeros((len(docs), len(terms)), np.float32)
+    for row, d in zip(has, docs):
+        own = place[d]
+        row[own[own >= 0]] = 1
+    seen, toxic = has.sum(axis=0, dtype=np.float64), y @ has
+    held = np.zeros(len(terms), bool)
+    for a in range(0, len(terms), PAIRS_AT_ONCE):
+        some = has[:, a : a + PAIRS_AT_ONCE].T
+        both, both_toxic = (some @ has).astype(float), ((some * y.astype(np.float32)) @ has).astype(float)
+        own = slice(a, a + len(some))
+        effect = np.minimum(chi_square(both_toxic, both, toxic[own, None], seen[own, None]), chi_square(both_toxic, both, toxic, seen))
+        held[own] |= (effect >= PAIR_CHI2).any(axis=1)
+    return terms[held]
+
+
 @dataclass
 class Machine:
     """Scores of sets of kept terms: bias + sum of w + pairs of v."""
@@ -54,12 +94,8 @@ class Machine:
 
     def raw(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """ids: kept terms (positions) of all documents; start: where each document's begin, and the end."""
-        def total(x):
-            sums = np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)))
-            return sums[start[1:]] - sums[start[:-1]]
-
         v = self.v[ids]
-        return self.bias + total(self.w[ids]) + 0.5 * (total(v) ** 2 - total(v * v)).sum(axis=1)
+        return self.bias + totals(self.w[ids], start) + 0.5 * (totals(v, start) ** 2 - totals(v * v, start)).sum(axis=1)
 
     @classmethod
     def fit(cls, docs: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Machine:
@@ -68,47 +104,67 @@ class Machine:
         if not n or positive in (0, n):
             return cls(bias=10.0 if positive else -10.0)
         flat = np.concatenate(docs)
-        toxic = np.bincount(flat, weights=np.repeat(y, [len(d) for d in docs]), minlength=1 << HASH_BITS)
         seen = np.bincount(flat, minlength=1 << HASH_BITS)
+        toxic = np.bincount(flat, weights=np.repeat(y, [len(d) for d in docs]), minlength=1 << HASH_BITS)
         share = positive / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi2 = (toxic - seen * share) ** 2 * n / (seen * share * (1 - share) * np.maximum(n - seen, 1))
-        chi2[(seen < LEAST_DOCS) | ~np.isfinite(chi2)] = 0
-        best = np.argsort(-chi2, kind="stable")[:TERMS]
-        kept = np.sort(best[chi2[best] >= LEAST_CHI2])
+        alone = np.flatnonzero((seen >= LEAST_DOCS) & (chi_square(toxic, seen, float(positive), float(n)) >= LEAST_CHI2))
+        kept = np.union1d(alone, paired(docs, y, np.flatnonzero(seen >= max(LEAST_DOCS, PAIR_SHARE * n))))
         place = np.full(1 << HASH_BITS, -1)
         place[kept] = np.arange(len(kept))
-        rows = [(p := place[d])[p >= 0] for d in docs]
+        rows = [(p := place[d])[p >= 0].astype(np.int32) for d in docs]
         rng = np.random.default_rng(seed)
-        m = cls(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
+        m = cls(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), rng.normal(0, SPREAD, (len(kept), FACTORS)))
         grad = [1e-6, np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6)]
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        steps = [Step.of([rows[i] for i in some], y[some], weight[some]) for some in np.array_split(rng.permutation(n), max(1, n // STEP))]
         for _ in range(EPOCHS):
-            for some in np.array_split(rng.permutation(n), max(1, n // 64)):
-                size = np.array([len(rows[i]) for i in some])
-                ids = np.concatenate([rows[i] for i in some]) if size.sum() else np.zeros(0, np.int64)
-                start = np.concatenate(([0], np.cumsum(size)))
-                err = (1 / (1 + np.exp(-np.clip(m.raw(ids, start), -30, 30))) - y[some]) * weight[some] / len(some)
-                of = np.repeat(np.arange(len(some)), size)
-                v = m.v[ids]
-                sums = np.zeros((len(some), FACTORS))
-                np.add.at(sums, of, v)
-                used = np.unique(ids)
-                dw, dv = np.zeros(len(kept)), np.zeros_like(m.v)
-                np.add.at(dw, ids, err[of])
-                np.add.at(dv, ids, err[of][:, None] * (sums[of] - v))
-                db = err.sum()
-                dw[used] += DECAY * m.w[used] / n * len(some)
-                dv[used] += DECAY * m.v[used]
-                grad[0] += db * db
-                grad[1][used] += dw[used] ** 2
-                grad[2][used] += dv[used] ** 2
-                m.bias -= RATE * db / np.sqrt(grad[0])
-                m.w[used] -= RATE * dw[used] / np.sqrt(grad[1][used])
-                m.v[used] -= 0.2 * RATE * dv[used] / np.sqrt(grad[2][used])
+            for k in rng.permutation(len(steps)).tolist():
+                steps[k].take(m, grad, n)
         return m
 
 
+@dataclass
+class Step:
+    """Some documents of the fit: terms (each once), which of them each document has, and where each term occurs."""
+
+    terms: np.ndarray
+    ids: np.ndarray
+    start: np.ndarray
+    document: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Step:
+        size = np.array([len(r) for r in rows])
+        terms, ids = np.unique(np.concatenate(rows), return_inverse=True)
+        order = np.argsort(ids, kind="stable")
+        first = np.searchsorted(ids[order], np.arange(len(terms)))
+        return cls(terms, ids.astype(np.int32), np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(rows), dtype=np.int32), size), order.astype(np.int32), first, y, weight)
+
+    def take(self, m: Machine, grad: list, n: int) -> None:
+        w, v = m.w[self.terms], m.v[self.terms]
+        some = len(self.y)
+        sums = totals(v[self.ids], self.start)
+        raw = m.bias + totals(w[self.ids], self.start) + 0.5 * (sums**2 - totals((v * v)[self.ids], self.start)).sum(axis=1)
+        err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - self.y) * self.weight / some
+        db = err.sum()
+        grad[0] += db * db
+        m.bias -= RATE * db / np.sqrt(grad[0])
+        if not len(self.terms):
+            return
+        own = err[self.document][self.order]
+        hit = np.add.reduceat(own, self.first)
+        dw = hit + DECAY * w * some / n
+        dv = np.add.reduceat((err[:, None] * sums)[self.document[self.order]], self.first) - hit[:, None] * v + DECAY * v
+        grad[1][self.terms] += dw**2
+        grad[2][self.terms] += dv**2
+        m.w[self.terms] = w - RATE * dw / np.sqrt(grad[1][self.terms])
+        m.v[self.terms] = v - 0.2 * RATE * dv / np.sqrt(grad[2][self.terms])
+
+
 def hashed(texts: pa.Array) -> pa.Array:
     """Distinct term hashes of each text, ascending."""
     return pa.array([sorted({h for w in set(words(t)) for h in terms(w)}) for t in strings(texts)], pa.list_(pa.int32()))

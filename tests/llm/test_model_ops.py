@@ -175,6 +175,23 @@ def test_pairs_that_weights_miss():
     assert score(1, 2) > 1 and score(1) < 0 and score(2) < 0
 
 
+@pytest.mark.parametrize("rule", ["equal", "either"])
+def test_pairs_without_any_marginal_effect(rule):
+    # neither term says anything by itself; eighty other terms say nothing at all
+    rng = random.Random(7)
+    docs, y = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append(np.array(sorted({1000 + rng.randint(0, 80) for _ in range(12)} | ({1} if a else set()) | ({2} if b else set()))))
+        y.append(float((a == b) if rule == "equal" else (a != b)))
+    m = toxicity.Machine.fit(docs[:2000], np.array(y[:2000]))
+    assert {1, 2} <= set(m.kept.tolist())
+    place = {int(h): i for i, h in enumerate(m.kept)}
+    ids = [np.array([place[i] for i in d.tolist() if i in place], np.int64) for d in docs[2000:]]
+    raw = np.array([m.raw(i, np.array([0, len(i)]))[0] for i in ids])
+    assert np.mean((raw > 0) == np.array(y[2000:])) > 0.97
+
+
 def test_odd_toxicity(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.toxicity_report(odd(spark), none).collect()
