@@ -1,7 +1,8 @@
 """Operator 10: secret scans with a random forest that takes out false positives.
 
-A pattern finds candidates, DataFrame functions describe each of them and its surroundings, and a
-random forest trained from labelled findings decides.  DataFrame and SQL functions and Spark's own (JVM) forest only.
+A pattern finds candidates of two kinds: long runs of key characters with a digit, and whatever stands behind a secret's
+usual name.  DataFrame functions describe each of them and its surroundings, and a random forest trained from labelled
+findings decides.  DataFrame and SQL functions and Spark's own (JVM) forest only.
 """
 
 from __future__ import annotations
@@ -13,19 +14,30 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 14 or more letters, digits and + / _ - with a digit among the first 120.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{14})(?=[A-Za-z+/_\-]{0,120}[0-9])[A-Za-z0-9+/_\-]{14,}={0,2}"
+_RUN = r"A-Za-z0-9+/_\-"
+#: 14 or more letters, digits and + / _ -, with a digit anywhere.
+LONG_RUN = rf"(?<![{_RUN}])(?=[A-Za-z+/_\-]*+[0-9])[{_RUN}]{{14,}}+={{0,2}}"
+#: A secret's name, with what may belong to it, and the sign or quote before its value.
+_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?)"
+NAMED = rf"""(?i:{_NAME}[\w\-]{{0,24}}+(?:["']?[ \t]{{0,3}}(?:=>|:=|[=:])[ \t]{{0,3}}(?:bearer[ \t]+)?["']?|[ \t]{{1,3}}["'])|\bbearer[ \t]+)"""
+#: Its value: 6 or more characters other than blanks, quotes and angles, without the punctuation of a sentence at the end.
+VALUE = r"""[^\s"'<>]{5,}[^\s"'<>,;.:)\]}]"""
+CANDIDATE = rf"({NAMED})({VALUE})|({LONG_RUN})"
+#: Texts in which either may be: a digit with enough of a run before or behind it, or a name.
+LIKELY = rf"[0-9](?:(?<=[{_RUN}]{{8}})|[{_RUN}]{{7}})"
+LIKELY_NAME = r"(?i)pass|pwd|secret|token|[_-]?key|auth|credential|bearer"
+#: Stands around candidates while they are cut out; in a text it counts as a blank.
+MARK = "\x01"
 #: Characters of text before and behind a candidate that its neighbouring words come from.
-AROUND = 48
-#: The same with what stands around it; what stands behind isn't used up, so close candidates are all found.
-IN_CONTEXT = rf"([^\n]{{0,{AROUND}}}?)({CANDIDATE})(?=([^\n]{{0,{AROUND}}}))"
+AROUND = 160
 SECRET_WORDS = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 HARMLESS_WORDS = r"(?i)(sha\d*|md5|hash|checksum|digest|commit|revision|uuid|guid|etag|build|order|invoice|isbn|doi|version|session|trace)"
-LABELLED, TREES, DEPTH, THRESHOLD, SEED = 4000, 24, 8, 0.5, 17
+PLACEHOLDER = r"(?i)^([*x.#_-]+|.*(your|example|placeholder|change.?me|redacted|hidden|dummy|sample).*|\$.*|%.*%|\{.*)$"
+LABELLED, TREES, DEPTH, THRESHOLD, SEED = 6000, 32, 10, 0.5, 17
 #: Words of the corpus that count as dictionary words: the commonest ones of four letters or more.
 DICTIONARY = 400
 
-FEATURES = ["length", "digits", "upper", "lower", "other", "hexadecimal", "distinct", "changes", "digit_letter", "longest_letters", "dictionary", "slashes", "dashes", "path_before", "url", "assigned", "quoted", "secret_word", "harmless_word", "vendor", "words_before"]
+FEATURES = ["length", "digits", "upper", "lower", "other", "hexadecimal", "distinct", "changes", "digit_letter", "longest_letters", "dictionary", "slashes", "dashes", "path_before", "url", "assigned", "quoted", "secret_word", "harmless_word", "vendor", "words_before", "placeholder", "brackets", "symbols"]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
@@ -66,19 +78,37 @@ def describe(found: DataFrame, known: list[str]) -> DataFrame:
             "secret_word": is_(last_words.rlike(SECRET_WORDS)),
             "harmless_word": is_(last_words.rlike(HARMLESS_WORDS)),
             "vendor": is_(c.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^xox[abprs]-|^sk_(live|test)_|^AIza|^eyJ")),
-            "words_before": F.size(F.regexp_extract_all(before, F.lit(r"\w+"), F.lit(0))).cast("double"),
+            "words_before": F.size(F.regexp_extract_all(F.substring(before, -48, 48), F.lit(r"\w+"), F.lit(0))).cast("double"),
+            "placeholder": is_(c.rlike(PLACEHOLDER)),
+            "brackets": share(r"[(){}\[\]$%]"),
+            "symbols": share(r"[!@#&*^~?|]"),
         }
     )
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, nth, before, candidate, behind of every candidate in whole texts; the plain pattern goes first, so few texts see the long one."""
-    parts = [F.regexp_extract_all(F.col("text"), F.lit(IN_CONTEXT), F.lit(k)) for k in (1, 2, 3)]
+    """doc_id, nth, before, candidate, behind of every candidate in whole texts.
+
+    Cheap patterns go first, so few texts see the long one, which runs once: it marks the candidates, and the text is
+    cut at the marks.  before and behind stay within the line and end at the next candidate.
+    """
+    text = F.translate("text", MARK, " ")
+    parts = F.split(F.regexp_replace(text, CANDIDATE, f"$1{MARK}$2$3{MARK}"), MARK)
+    found = F.transform(
+        F.sequence(F.lit(1), F.size("parts") - 1, F.lit(2)),
+        lambda i: F.struct(
+            F.regexp_extract(F.substring(F.element_at("parts", i), -AROUND, AROUND), r"[^\n]*\z", 0).alias("before"),
+            F.element_at("parts", i + 1).alias("candidate"),
+            F.regexp_extract(F.substring(F.element_at("parts", i + 2), 1, AROUND), r"\A[^\n]*", 0).alias("behind"),
+        ),
+    )
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .where(F.col("text").rlike("[0-9]") & F.col("text").rlike(CANDIDATE))
-        .select("doc_id", F.posexplode(F.arrays_zip(*(p.alias(a) for p, a in zip(parts, ("before", "candidate", "behind"))))).alias("nth", "x"))
-        .select("doc_id", "nth", F.col("x.before").alias("before"), F.col("x.candidate").alias("candidate"), F.col("x.behind").alias("behind"))
+        .where(F.col("text").rlike(LIKELY) | F.col("text").rlike(LIKELY_NAME))
+        .select("doc_id", parts.alias("parts"))
+        .where(F.size("parts") > 1)
+        .select("doc_id", F.posexplode(found).alias("nth", "x"))
+        .select("doc_id", "nth", "x.before", "x.candidate", "x.behind")
     )
 
 
@@ -99,6 +129,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.concat(filler, pick("p", " password=", " passwd: ", ' pwd = "', " secret=")), F.substring(h("c"), 1, size)),
         (F.concat(filler, pick("q", " access_key=", ' private_key: "', " api-key: ", " Bearer ")), F.concat(pick("v", "", "ghp_", "sk_live_", "xoxb-"), b64("d", 32))),
         (F.concat(filler, pick("r", " password=", " secret: ")), b64("e", 20)),
+        # passwords as people choose them, and keys of letters alone
+        (F.concat(filler, pick("p2", " password=", " password: ", " pwd=", ' passwd = "', " PASSWORD: ", ' "password": "', " pass: ")), F.concat(pick("a1", "hunter", "Summer", "dragon", "qwerty", "Tr0ub4dor", "S3cr3t", "monkey", "blue-Horse", "pa55", "LetMe"), pick("a2", "", "!", "&", "@", "#", "_", "$"), F.substring(F.conv(h("a3", 4), 16, 10), 1, 3), pick("a4", "abc", "xkcd!", "", "?", "pass", "Zq", "*"))),
+        (F.concat(filler, pick("p3", " api_key=", " token: ", ' secret = "', " access_key: ", ' api-key: "', " auth_token=")), F.substring(F.translate(b64("l", 40), "0123456789", "abcdefghij"), 1, size)),
     ]
     harmless = [
         (F.concat(filler, pick("u", " uuid ", " guid: ", " id ", " request ")), F.concat_ws("-", h("g", 8), h("h", 4), h("i", 4), h("j", 4), h("k", 12))),
@@ -107,6 +140,11 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.concat(filler, pick("n", " order ", " invoice no. ", " isbn ", " call ", " ")), F.lpad(F.conv(h("n", 14), 16, 10), 16, "4")),
         (F.concat(filler, F.lit(" ")), F.concat_ws("-", pick("o", "section", "chapter", "release", "covid", "windows"), pick("o2", "number", "edition", "candidate", "update"), F.conv(h("o", 3), 16, 10))),
         (F.concat(filler, F.lit(" on ")), F.concat(F.lit("2024-0"), (F.col("id") % 9 + 1).cast("string"), F.lit("-1"), (F.col("id") % 10).cast("string"), F.lit("T10-00-00"))),
+        # what stands behind such names without being secret
+        (F.concat(filler, pick("m", " password: ", ' "token": "', " secret: ", " api_key: ", " auth: ", " credentials: ", " Password = ")), pick("m2", "required", "string", "optional", "enabled", "nullable", "boolean", "incorrect", "something", "protected", "forgotten", "undefined", "authentication")),
+        (F.concat(filler, pick("o3", " password=", ' token = "', " secret: ", ' api_key: "', " PASSWORD=")), pick("o4", "********", "xxxxxxxx", "${TOKEN}", "$PASSWORD", "your-token-here", "changeme", "YOUR_API_KEY", "{{secret}}", "os.environ[TOKEN]", "getenv(SECRET)", "config.get(password)", "example-password", "REDACTED", "............")),
+        (F.concat(filler, pick("o5", " token: ", " auth: ", " password: ", " secret: ")), F.concat(pick("o6", "ertion", "the", "reer", "thing", "ungen", "ción"), pick("o7", "and", "ing", "schen", "ment", "aux", "able"), pick("o8", "", "s", "ly", "en"))),
+        (F.concat(filler, pick("o9", " auth: ", " credentials: ", " token: ")), F.concat(F.lit("https://"), pick("o10", "login", "sso", "docs"), F.lit(".example.org/"), pick("o11", "oauth", "token", "help"))),
     ]
     def choose(rows_, which):
         kind = F.pmod(F.xxhash64(F.lit("kind"), F.col("id")), F.lit(len(rows_)))
@@ -143,6 +181,7 @@ def scan(docs: DataFrame, model: PipelineModel, known: list[str]) -> DataFrame:
 
 
 def secret_report(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """``scan`` with a forest trained on ``findings``, or on ``labelled_findings`` where there are none; nulls, repeats and empty tables as in ``scan``."""
     spark = docs.sparkSession
     known = dictionary(docs)
     return scan(docs, train(labelled_findings(spark) if findings is None else findings, known), known)
