@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Paths that ``new_path`` gave out.
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The shared folder of the cluster.  Where none is set, a temporary one for a session on one machine; on a cluster that is an error."""
     path = spark.conf.get(CHECKPOINT_DIR, "")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines of the cluster share")
         path = "file://" + tempfile.mkdtemp(prefix="quarrydex-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -24,7 +28,27 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this driver's calls wrote to the shared folder so far, and return how many paths; results that weren't written elsewhere are lost with it."""
+    jvm, number = spark.sparkContext._jvm, len(_written)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        place = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(conf).delete(place, True)
+    return number
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, list_array, strings
+from .base import cut, list_array, spare, strings
 
 #: A-Z lower-cased; every byte outside the word class becomes a space.  Bytes above 0x7F stay, as the class has all their code points.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
@@ -228,16 +228,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         if k == 0:
             docs = docs.withColumn(out, found)
         else:
-            new = docs.withColumn("_new", found)
+            fresh = spare(docs, "_new")
+            new = docs.withColumn(fresh, found)
             docs = new.withColumn(
                 out,
                 F.struct(
-                    F.col("_new.n_words").alias("n_words"),
-                    F.array_union(f"{out}.hits", "_new.hits").alias("hits"),
-                    F.array_union(f"{out}.items", "_new.items").alias("items"),
-                    F.greatest(f"{out}.longest", "_new.longest").alias("longest"),
+                    F.col(f"{fresh}.n_words").alias("n_words"),
+                    F.array_union(f"{out}.hits", f"{fresh}.hits").alias("hits"),
+                    F.array_union(f"{out}.items", f"{fresh}.items").alias("items"),
+                    F.greatest(f"{out}.longest", f"{fresh}.longest").alias("longest"),
                 ),
-            ).drop("_new")
+            ).drop(fresh)
         if n_blocks > 1:
             docs = cut(docs, "leaks")
     return docs.withColumn(out, F.col(out).withField("hits", F.array_sort(f"{out}.hits")).withField("items", F.array_sort(F.array_distinct(f"{out}.items"))))
@@ -256,8 +257,12 @@ def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with the columns of ``docs``."""
-    return find_leaks(docs, items, out="_leak").where(F.size("_leak.hits") == 0).drop("_leak")
+    """The rows of ``docs`` in which no window of the benchmark occurs, with the columns of ``docs`` whatever their names are.
+
+    Null and empty texts stay, repeated rows are judged each, an empty table or benchmark drops nothing; words and windows as in ``find_leaks``.
+    """
+    leak = spare(docs, "_leak")
+    return find_leaks(docs, items, out=leak).where(F.size(f"{leak}.hits") == 0).drop(leak)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, strings
+from .base import cut, spare, strings
 from .decontaminate import words
 
 #: Topics that words are dealt to, and bytes of a word that counts for a topic.
@@ -112,8 +112,9 @@ def calibrate(docs: DataFrame, targets: dict[str, DataFrame] | None = None, roun
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled rows of ``docs``, with its columns.  Rows that share an id stay if one of them is drawn."""
-    chosen = calibrate(docs, targets).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = spare(docs, "_kept")
+    chosen = calibrate(docs, targets).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[kept]), "left_semi")
 
 
 def _sql() -> str:

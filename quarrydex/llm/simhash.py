@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, strings
+from .base import cut, spare, strings
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -393,6 +393,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component of ``similar`` ones: that with the smallest id.  Rows without an id stay; rows that share an id stay if one of them does."""
     marked = similar(docs, similarity)
-    kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = kept.union(docs.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS _kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    name = spare(docs, "_kept")
+    kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = kept.union(docs.sparkSession.range(1).select(F.lit(None).cast("bigint").alias(name)))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import strings
+from .base import spare, strings
 from .decontaminate import words
 from .language import fold
 
@@ -227,10 +227,15 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score_documents`` with a machine learned from ``labels``; nulls, repeats and empty tables as there and in ``train``."""
     return score_documents(docs, train(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with the columns of ``docs``."""
-    machine = train(docs, labels)
-    return docs.withColumn("_score", score_column(docs.sparkSession, machine)("text")).where(F.col("_score") < THRESHOLD).drop("_score")
+    """The rows of ``docs`` that score below the threshold, with the columns of ``docs`` whatever their names are.
+
+    Null and empty texts have the score of no words, repeated rows are judged each; without labels of both classes, or
+    with one class alone, the score is constant.  An empty table gives an empty result.
+    """
+    machine, score = train(docs, labels), spare(docs, "_score")
+    return docs.withColumn(score, score_column(docs.sparkSession, machine)("text")).where(F.col(score) < THRESHOLD).drop(score)

@@ -40,6 +40,10 @@ def test_counts_equal_the_library(spark):
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((i or -1, len(t.encode(x or "").ids)) for i, x in [*enumerate(ODD), (4, "word"), (None, "word")])
 
 
+def test_counts_of_an_empty_table(spark):
+    assert token_count.token_counts(odd(spark).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_ties_and_unknowns(seed):
     rng = random.Random(seed)

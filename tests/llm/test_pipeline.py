@@ -62,6 +62,39 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, rows))
 
 
+def test_clashing_names_odd_texts_and_repeats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path)
+    _, _, item = corpus(spark, folder)
+    rows = [(500, "word " * 50_000, "en", "s0", 0), (501, None, None, None, None), (501, None, None, None, None), (None, "one two three", "en", "s1", 3), (None, item, "en", "s1", 3)]
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    df = df.union(spark.createDataFrame(rows, df.schema))
+    names = ["_leak", "_score", "_new", "_kept", "kept", "leak", "id", "print", "topic", "tokens", "probability", "root", "part", "bucket", "score", "held_out", "node_id", "_LEAK_"]
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns
+        out.write.parquet(f"{folder}/wide{k}")
+        df = spark.read.parquet(f"{folder}/wide{k}")
+    got = df.collect()
+    assert got and all(r[name] == f"{name} of {'none' if r.doc_id is None else r.doc_id}" for r in got for name in names)
+    assert corpus_pipeline.STAGES[4][1](spark, df, folder).count() == len(got)
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, empty in (("documents", ["documents"]), ("labels", ["labels"]), ("benchmark", ["benchmark"])):
+        folder = f"{tmp_path}/{name}"
+        corpus(spark, folder)
+        for table in empty:
+            df = spark.read.parquet(f"{folder}/{table}.parquet")
+            df.limit(0).write.parquet(f"{folder}/none/{table}.parquet")
+        for table in {"documents", "labels", "benchmark"} - set(empty):
+            spark.read.parquet(f"{folder}/{table}.parquet").limit(40).write.parquet(f"{folder}/none/{table}.parquet")
+        assert (corpus_pipeline.run(spark, f"{folder}/none").count() == 0) == (name == "documents")
+
+
 def test_registry_and_stages_share_operators():
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
