@@ -5,9 +5,11 @@ and its shifted self compare every row with the row ``d`` places on, 64 pairs in
 counters add up the distances.  Words in which every pair has passed the radius are left out from there on.
 
 Two uses: ``near_duplicates`` links 64-bit fingerprints of four-word shingles at four differing bits; two of six bit
-blocks agree then, which makes the buckets.  ``similar`` is for a similarity of texts: 1,024 bits of five-word shingles,
-with a radius beyond what the similarity comes to, and buckets from pairs of least shingle hashes, give candidates; the
-shingle sets of those decide.
+blocks agree then, or three of seven, or four of eight, which makes the buckets.  ``similar`` is for a similarity of texts:
+1,024 bits of five-word shingles, with a radius beyond what the similarity comes to, and buckets from pairs of least
+shingle hashes, give candidates; the shingle sets of those decide.
+
+Buckets are counted before anything is compared, so none that is large comes to one task.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from pyspark.sql import functions as F
 
 from .base import cut, spare, strings
 from .components import components
+from .decontaminate import words as words_of
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: First bit and bits of each block; RADIUS + 2 blocks, so that two of them agree.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Rows of a bucket that one task compares; a larger one is dealt out by pairs of parts.
-LARGE = 4096
+#: Blocks that the bits are cut into, and for how many fingerprints at most: a few fall into one bucket then.  RADIUS fewer blocks than these agree.
+BLOCKS = ((RADIUS + 2, 1 << 26), (RADIUS + 3, 1 << 31), (RADIUS + 4, 1 << 62))
+#: Rows of a bucket that one task compares, of 64 bits and of wide ones; a larger bucket is dealt out by pairs of parts.
+LARGE, LARGE_WIDE = 4096, 1024
 #: Rows compared at a time.
 CHUNK = 1 << 17
-FOUND = "a bigint, b bigint, bucket bigint"
+FOUND = "a bigint, b bigint"
 
 
 def fingerprint(text: bytes) -> int:
@@ -109,10 +112,10 @@ def near(planes: np.ndarray, d: int, lanes: np.ndarray, radius: int = RADIUS) ->
     return out
 
 
-def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS, alike=None) -> tuple[np.ndarray, np.ndarray]:
     """Links (ids) between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs.  Without prints the ids are the fingerprints.
 
-    With ``sets`` a near pair counts only if its sets are that similar.
+    ``alike``: a function of the rows i and j of near pairs, which says for each whether it counts.
     """
     if prints is None:
         prints = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
@@ -140,9 +143,9 @@ def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = No
             i, j = rows[i], rows[i + d]
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            if sets is not None and len(i):
-                alike = np.array([jaccard(sets[p], sets[q]) >= similarity for p, q in zip(i.tolist(), j.tolist())])
-                i, j = i[alike], j[alike]
+            if alike is not None and len(i):
+                counts = alike(i, j)
+                i, j = i[counts], j[counts]
             if len(i):
                 a.append(ids[i])
                 b.append(ids[j])
@@ -157,44 +160,23 @@ def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = No
         d += 1
 
 
-def compare(large: int | None, radius: int = RADIUS):
-    """Over rows (bucket, id[, print]) sorted by bucket: links (a, b, null); rows of buckets beyond ``large`` rows as (id, null, bucket)."""
+def compare(radius: int = RADIUS):
+    """Over rows (bucket, id[, print]) sorted by bucket: links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, bucket):
-            null = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64))
-            return pa.RecordBatch.from_arrays([null(x, len(a)) for x in (a, b, bucket)], names=["a", "b", "bucket"])
-
         def done(bucket, rows):
             a, b = links_in(bucket, rows[:, 0].copy(), np.ascontiguousarray(rows[:, 1:]).view(np.uint8) if rows.shape[1] > 1 else None, radius)
-            return out(a, b, None)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        bucket, prints, passing = np.zeros(0, np.int64), None, None
+        bucket, prints = np.zeros(0, np.int64), None
         for batch in batches:
             own = [batch.column(1).to_numpy(zero_copy_only=False)[:, None]]
             if batch.num_columns > 2:
                 own.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(len(batch), -1))
             bucket = np.concatenate((bucket, batch.column(0).to_numpy(zero_copy_only=False)))
             prints = np.concatenate([*([] if prints is None else [prints]), np.concatenate(own, axis=1)])
-            if not len(bucket):
-                continue
-            if passing is not None:  # the rest of a bucket that is already known to be large
-                n = int(np.searchsorted(bucket, passing, "right"))
-                if n:
-                    yield out(prints[:n, 0].copy(), None, bucket[:n])
-                bucket, prints = bucket[n:], prints[n:]
-                if not len(bucket):
-                    continue
-                passing = None
-            if large is not None:
-                keys, first, size = np.unique(bucket, return_index=True, return_counts=True)
-                if (size > large).any():
-                    big = np.repeat(size > large, size)
-                    yield out(prints[big, 0].copy(), None, bucket[big])
-                    passing = keys[-1] if size[-1] > large else None
-                    bucket, prints = bucket[~big], prints[~big]
-            last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) and passing is None else len(bucket)
-            if last >= CHUNK or passing is not None and last:
+            last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            if last >= CHUNK:
                 yield done(bucket[:last], prints[:last])
                 bucket, prints = bucket[last:], prints[last:]
         if len(bucket):
@@ -203,26 +185,52 @@ def compare(large: int | None, radius: int = RADIUS):
     return run
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links a, b among the distinct fingerprints of ``prints`` (column print): every near pair is joined by a path of them."""
-    value = lambda k: F.shiftrightunsigned("print", BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
-    keys = [F.lit(t << 22) + F.shiftleft(value(i), 11) + value(j) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return bucket_links(prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("print").alias("id")), None, RADIUS)
+def block_keys(prints: DataFrame, blocks: int) -> DataFrame:
+    """bucket, id: each fingerprint (column print) under every choice of ``blocks`` - RADIUS of its blocks."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    value = lambda k: F.shiftrightunsigned("print", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1))
+    keys = []
+    for t, some in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        key = F.lit(blocks << 8 | t).cast("bigint")
+        for k in some:
+            key = F.shiftleft(key, edges[k + 1] - edges[k]).bitwiseOR(value(k))
+        keys.append(key)
+    return prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("print").alias("id"))
 
 
-def bucket_links(dealt: DataFrame, prints: DataFrame | None, radius: int) -> DataFrame:
-    """Links a, b among rows (bucket, id[, print]) that share a bucket; prints: (id, print) where ids aren't the fingerprints."""
-    found = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(LARGE, radius), FOUND), "simhash-found")
-    # buckets with very many different fingerprints: parts of them meet pair by pair
-    hot = found.where("b is null").select("bucket", F.col("a").alias("id"))
-    parts = hot.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) * 2 / LARGE).cast("int").alias("parts"))
-    own = hot.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket")
-    rest = own.select(pair, "id")
-    if prints is not None:
-        rest = rest.join(prints, "id").select("bucket", "id", "print")
-    rest = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(None, radius), FOUND)
-    return found.where("b is not null").select("a", "b").union(rest.select("a", "b"))
+def large_buckets(dealt: DataFrame, large: int) -> DataFrame:
+    """bucket, n of those with more than ``large`` rows, written out, so that joins know how few they are."""
+    return cut(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large), "large-buckets")
+
+
+def near_links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Links a, b among the distinct fingerprints of ``prints`` (column print): every near pair is joined by a path of them.
+
+    The number of fingerprints decides how many blocks there are.  Fingerprints of a bucket that is large all the same
+    meet in narrower ones.
+    """
+    if blocks is None:
+        number = prints.count()
+        blocks = next(b for b, most in BLOCKS if number <= most)
+    dealt = block_keys(prints, blocks)
+    finest = BLOCKS[-1][0]
+    if blocks < finest:
+        hot = large_buckets(dealt, LARGE)
+        crowded = dealt.join(hot, "bucket", "left_semi").select(F.col("id").alias("print")).distinct()
+        dealt = dealt.join(hot, "bucket", "left_anti").union(block_keys(crowded, finest))
+    return bucket_links(dealt, RADIUS, LARGE)
+
+
+def bucket_links(dealt: DataFrame, radius: int, large: int) -> DataFrame:
+    """Links a, b among rows (bucket, id[, print]) that share a bucket; without prints the ids are the fingerprints.
+
+    The rows of a bucket with more than ``large`` are dealt to parts, and every two parts meet in a bucket of their own.
+    """
+    parts = large_buckets(dealt, large).select("bucket", F.ceil(F.col("n") * 2 / large).cast("int").alias("parts"))
+    marked = dealt.join(parts, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = marked.withColumn("other", other).withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))))
+    return met.select(*dealt.columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(radius), FOUND)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +260,8 @@ _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint
 LARGE_SETS = 64 << 20
 #: Bytes of shingle sets of whole groups that are compared at a time.
 CHUNK_SETS = 16 << 20
+#: Sets of a bucket from which on they are compared as bits, and bytes of those at most.
+FEW, PACKED_BYTES = 32, 64 << 20
 
 
 def differing(m: int, n: int, both: int) -> float:
@@ -275,18 +285,58 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     return int(np.ceil(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
 
 
-def jaccard(x: bytes, y: bytes) -> float:
-    """Similarity of two sets, each the bytes of its 64-bit numbers."""
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+class Sets:
+    """Sets of 64-bit numbers, each as its bytes in order; what several sets of a bucket have in common is kept as bits."""
+
+    def __init__(self, sets: list[bytes], bucket: np.ndarray, similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.size = np.array([len(x) // 8 for x in sets], np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        self.first = np.zeros(len(sets), np.int64)  # of its bucket, for rows whose bucket has bits
+        self.packed = np.zeros(len(sets), bool)
+        edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            if b - a >= FEW and (bits := self.pack(a, b)) is not None:
+                self.bits[a], self.first[a:b], self.packed[a:b] = bits, a, True
+
+    def pack(self, a: int, b: int) -> np.ndarray | None:
+        """A row of bits for each set from ``a`` to ``b``: which of the numbers that several of them have; None where that is too much."""
+        flat = np.frombuffer(b"".join(self.sets[a:b]), "<u8")
+        value, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(many > 1)
+        width = -(-len(shared) // 64) + 1
+        if (b - a) * width * 8 > PACKED_BYTES:
+            return None
+        place = np.full(len(value), -1)
+        place[shared] = np.arange(len(shared))
+        column, row = place[at], np.repeat(np.arange(b - a), self.size[a:b])
+        row, column = row[column >= 0], column[column >= 0]
+        out = np.zeros((b - a, width * 8), np.uint8)
+        np.bitwise_or.at(out, (row, column >> 3), np.left_shift(1, column & 7).astype(np.uint8))
+        return out.view(np.uint64)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets i and j, of one bucket each, are that similar (Jaccard)."""
+        both = np.zeros(len(i), np.int64)
+        for k in np.flatnonzero(~self.packed[i]).tolist():
+            both[k] = len(np.intersect1d(np.frombuffer(self.sets[i[k]], "<u8"), np.frombuffer(self.sets[j[k]], "<u8"), assume_unique=True))
+        for a in np.unique(self.first[i[self.packed[i]]]).tolist():
+            bits, own = self.bits[a], np.flatnonzero(self.packed[i] & (self.first[i] == a))
+            step = max(1, (4 << 20) // bits.shape[1])
+            for k in range(0, len(own), step):
+                some = own[k : k + step]
+                both[some] = np.bitwise_count(bits[i[some] - a] & bits[j[some] - a]).sum(axis=1)
+        return both >= self.similarity * (self.size[i] + self.size[j] - both)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
-    """Hashes of a text's distinct shingles, in order."""
+    """Hashes of a text's distinct shingles, in order.
+
+    Words are runs of letters, digits and what is beyond ASCII, whatever their case and punctuation; a text without such words has those between its blanks.
+    """
     import xxhash
 
-    words = text.translate(LOWER).split()
+    words = words_of(text) or text.translate(LOWER).split()
     whole = b" ".join(words)
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     n = max(1, len(words) - WORDS + 1)
@@ -333,7 +383,7 @@ def confirm(radius: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(bucket, ids, prints, sets):
             prints = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in links_in(bucket, ids, prints, radius, sets, similarity)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links_in(bucket, ids, prints, radius, Sets(sets, bucket, similarity).alike)], names=["a", "b"])
 
         bucket, ids, prints, sets, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
         for batch in batches:
@@ -364,7 +414,7 @@ def similar_links(rows: DataFrame, candidates: DataFrame, radius: int, similarit
     held = rows.where("id is not null").join(members, "id").select("root", "id", sets("text").alias("x")).select("root", "id", "x.*")
     held = cut(held.groupBy("root", "id", "print").agg(F.first("shingles").alias("shingles")), "candidate-sets")
     n, size = F.count(F.lit(1)), F.sum(F.octet_length("shingles"))
-    many = F.when((n > LARGE) | (size > LARGE_SETS), F.ceil(F.greatest(n / LARGE, size / LARGE_SETS) * 2)).otherwise(1).cast("int")
+    many = F.when((n > LARGE_WIDE) | (size > LARGE_SETS), F.ceil(F.greatest(n / LARGE_WIDE, size / LARGE_SETS) * 2)).otherwise(1).cast("int")
     parts = held.groupBy("root").agg(many.alias("parts"))
     own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = own.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "id", "print", "shingles")
@@ -382,9 +432,10 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     wide = F.arrow_udf(_wide, "struct<print:binary,keys:array<bigint>,same:bigint>")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = cut(texts.select(F.col("id").alias("doc_id"), wide("text").alias("x")).select("doc_id", "x.print", "x.keys", "x.same"), "wide-prints")
+    # equal sets have equal keys
     prints = cut(rows.groupBy("print", "same").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id is not null"), "distinct-prints")
     dealt = prints.select(F.explode("keys").alias("bucket"), "id", "print")
-    candidates = bucket_links(dealt, prints.select("id", "print"), radius_of(similarity))
+    candidates = bucket_links(dealt, radius_of(similarity), LARGE_WIDE)
     links = similar_links(texts, candidates, radius_of(similarity), similarity)
     labelled = prints.select("id", "print", "same").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("print", "same", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "print", "same").join(labelled, ["print", "same"], "left").select("doc_id", "component_id")

@@ -123,12 +123,13 @@ def test_links_of_a_large_bucket(large):
         assert len(set(got)) == len(set(want))
 
 
-def test_large_buckets_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_large_buckets_are_dealt_out(spark, monkeypatch, blocks):
     monkeypatch.setattr(simhash, "LARGE", 8)
     rng = np.random.default_rng(8)
     prints = sorted({int(x) for x in (np.int64(0x1234567) ^ (1 << rng.integers(0, 50, 300)) ^ (1 << rng.integers(0, 50, 300)) ^ (1 << rng.integers(0, 50, 300)))})
     df = spark.createDataFrame([(p,) for p in prints], "print bigint")
-    labels = {r.node: r.root for r in components.components(simhash.near_links(df)).collect()}
+    labels = {r.node: r.root for r in components.components(simhash.near_links(df, blocks)).collect()}
     want = roots(prints)
     assert len({labels.get(p, p) for p in prints}) == len(set(want))
 

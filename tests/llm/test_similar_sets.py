@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quarrydex.llm import simhash
@@ -13,10 +14,10 @@ def words(rng, n):
     return ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("large", [simhash.LARGE, 8])
+@pytest.mark.parametrize("large", [simhash.LARGE_WIDE, 8])
 def test_pairs_at_the_limit(spark, monkeypatch, large):
     """Short texts of similarity 0.8 and a little more are linked, longer ones a little below it are not."""
-    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "LARGE_WIDE", large)
     rng, rows, want = random.Random(15), [], {}
     for n, more, alike in [(8, 1, True), (9, 1, True), (16, 3, True), (60, 14, True), (60, 15, False), (200, 49, True), (200, 50, False), (7, 1, False)] * 8:
         text, i = words(rng, n), len(rows)
@@ -32,6 +33,28 @@ def test_pairs_at_the_limit(spark, monkeypatch, large):
     assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
 
 
+@pytest.mark.parametrize("few", [2, 10**9])
+def test_set_similarity_is_exact(monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 400)
+    sets = [np.unique(np.concatenate((base[rng.random(400) < rng.choice([0.5, 0.9, 1])], rng.integers(0, 1 << 62, rng.integers(0, 90))))) for _ in range(60)]
+    bucket = np.repeat([3, 5], 30)
+    held = simhash.Sets([x.astype("<u8").tobytes() for x in sets], bucket, 0.8)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    i, j = i[(i < j) & (bucket[i] == bucket[j])], j[(i < j) & (bucket[i] == bucket[j])]
+    want = [len(np.intersect1d(sets[p], sets[q])) >= 0.8 * len(np.union1d(sets[p], sets[q])) for p, q in zip(i, j)]
+    assert held.alike(i, j).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_case_and_punctuation_make_no_other_words(spark):
+    rng = random.Random(4)
+    text = words(rng, 40)
+    rows = [(0, " ".join(text)), (1, ", ".join(text).upper() + "."), (2, "!!! ???"), (3, "$$$ %%%"), (4, "!!!  ???")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
+
+
 def test_radius_holds_for_short_texts():
     assert abs(1024 * simhash.differing(4, 5, 4) - 192) < 1e-6
     assert simhash.differing(5, 5, 5) == 0
