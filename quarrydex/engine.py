@@ -54,7 +54,7 @@ class Engine:
     def knn(self, query, k: int = 10, nodes=None) -> DataFrame:
         return vectors.knn(self.vectors, query, k, nodes)
 
-    def batch_similarity(self, queries: dict) -> DataFrame:
+    def batch_similarity(self, queries: DataFrame) -> DataFrame:
         return vectors.batch_similarity(self.vectors, queries)
 
     def centroids(self) -> DataFrame:
@@ -129,11 +129,14 @@ class Engine:
     def checkpoint(self, now) -> DataFrame:
         return checkpoints.checkpoint(self.files, now)
 
-    def verify(self, points: DataFrame) -> DataFrame:
-        return checkpoints.verify(points)
+    def snapshot(self, now) -> DataFrame:
+        return checkpoints.snapshot(self.files, now)
 
-    def restore(self, points: DataFrame) -> DataFrame:
-        return checkpoints.restore(self.files, points)
+    def verify(self, points: DataFrame, snapshots: DataFrame) -> DataFrame:
+        return checkpoints.verify(points, snapshots)
+
+    def restore(self, snapshots: DataFrame) -> DataFrame:
+        return checkpoints.restore(self.files, snapshots)
 
     def scan_directory(self, folder: str, node_id: str) -> DataFrame:
         return sources.scan_directory(self.spark, folder, node_id)

@@ -149,6 +149,32 @@ def message(kind: str, sender: Column, timestamp: Column, payload: Column | None
     return F.to_json(F.struct(F.lit(kind).alias("type"), sender.alias("sender_id"), (F.create_map().cast("map<string,string>") if payload is None else payload).alias("payload"), timestamp.alias("timestamp")))
 
 
+def announce(node: Column, host: Column, port: Column, timestamp: Column) -> Column:
+    """A discovery announcement as JSON."""
+    return F.to_json(F.struct(F.lit("announce").alias("type"), node.alias("node_id"), host.alias("ip_address"), port.alias("port"), timestamp.alias("timestamp")))
+
+
+def join(node: Column, host: Column, port: Column, timestamp: Column) -> Column:
+    return message("JOIN", node, timestamp, F.create_map(F.lit("host"), host, F.lit("port"), port.cast("string")))
+
+
+def leave(node: Column, timestamp: Column) -> Column:
+    return message("LEAVE", node, timestamp)
+
+
+def coordinator(node: Column, timestamp: Column) -> Column:
+    return message("COORDINATOR", node, timestamp, F.create_map(F.lit("new_master"), node))
+
+
+def iso(timestamp: Column) -> Column:
+    """A time in ISO form with microseconds."""
+    return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def from_iso(text: Column) -> Column:
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def frame(kind: Column, sender: Column, payload: Column, timestamp: Column) -> Column:
     """Magic, one byte for the type, JSON; null if it is too long or of no known type."""
     number = F.array_position(F.array(*[F.lit(t) for t in TYPES]), kind)

@@ -1,6 +1,7 @@
 """Checkpoints: snapshots with content digests, verification, restore.
 
-Table: files (node_id, file_id, content_hash, last_updated).
+Table: files (node_id, file_id, content_hash, last_updated).  A snapshot is the same rows, written by the caller; its
+digests are a row for each node.
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SNAPSHOT = F.struct
+#: Hexadecimal digits of the file id's MD5 that make a range: a node's files are digested range by range, then the ranges.
+RANGE_DIGITS = 3
 
 
 def entry() -> Column:
@@ -22,29 +24,37 @@ def digest(entries: Column) -> Column:
 
 
 def digests(files: DataFrame, entry_: Column | None = None) -> DataFrame:
-    """node_id, files_count, checkpoint_hash."""
-    return files.groupBy("node_id").agg(F.count(F.lit(1)).alias("files_count"), digest(F.collect_list(entry() if entry_ is None else entry_)).alias("checkpoint_hash"))
+    """node_id, files_count, checkpoint_hash: the digest over a node's ranges of their digests.
+
+    A node's files spread over 4,096 ranges, so no task holds more than a range of a node, however many files that has.
+    """
+    part = F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, RANGE_DIGITS)
+    ranges = files.select("node_id", part.alias("part"), (entry() if entry_ is None else entry_).alias("entry")).groupBy("node_id", "part").agg(F.count(F.lit(1)).alias("n"), digest(F.collect_list("entry")).alias("d"))
+    return ranges.groupBy("node_id").agg(F.sum("n").alias("files_count"), digest(F.collect_list(F.concat_ws(":", "part", "d"))).alias("checkpoint_hash"))
+
+
+def snapshot(files: DataFrame, now: Column) -> DataFrame:
+    """node_id, checkpoint_timestamp, file_id, content_hash, last_updated: what a checkpoint keeps, a row for each file."""
+    return files.select("node_id", now.alias("checkpoint_timestamp"), "file_id", "content_hash", "last_updated")
 
 
 def checkpoint(files: DataFrame, now: Column) -> DataFrame:
-    """node_id, timestamp, files_count, checkpoint_hash, files_snapshot.  A node's listing is one row, as a checkpoint is one record."""
-    snap = F.array_sort(F.collect_list(F.struct("file_id", "content_hash", "last_updated")))
-    return files.groupBy("node_id").agg(F.count(F.lit(1)).alias("files_count"), digest(F.collect_list(entry())).alias("checkpoint_hash"), snap.alias("files_snapshot")).withColumn("timestamp", now)
+    """node_id, timestamp, files_count, checkpoint_hash of the snapshot of the same files."""
+    return digests(files).withColumn("timestamp", now)
 
 
 def coordinated(points: DataFrame) -> DataFrame:
-    """nodes, total_files, global_hash over the checkpoints of all nodes."""
+    """nodes, total_files, global_hash over the checkpoints of all nodes, a short line for each."""
     return points.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("files_count"), F.lit(0)).alias("total_files"), digest(F.collect_list(F.concat_ws(":", F.col("node_id").cast("string"), "checkpoint_hash"))).alias("global_hash"))
 
 
-def verify(points: DataFrame) -> DataFrame:
-    """node_id, valid: whether a checkpoint's digest is that of its snapshot."""
-    rows = points.select("node_id", "checkpoint_hash", F.explode_outer("files_snapshot").alias("x")).select("node_id", "checkpoint_hash", "x.*")
-    again = rows.groupBy("node_id", "checkpoint_hash").agg(digest(F.collect_list(F.when(F.col("file_id").isNotNull(), entry()))).alias("again"))
-    return again.select("node_id", (F.col("checkpoint_hash") == F.col("again")).alias("valid"))
+def verify(points: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """node_id, valid: whether a checkpoint's digest is that of its node's snapshot; a node without any files there isn't valid."""
+    again = digests(snapshots).select("node_id", F.col("checkpoint_hash").alias("again"))
+    return points.select("node_id", "checkpoint_hash").join(again, "node_id", "left").select("node_id", F.coalesce(F.col("checkpoint_hash") == F.col("again"), F.lit(False)).alias("valid"))
 
 
-def restore(files: DataFrame, points: DataFrame) -> DataFrame:
+def restore(files: DataFrame, snapshots: DataFrame) -> DataFrame:
     """files with the rows of the checkpointed nodes replaced by their snapshots."""
-    back = points.select("node_id", F.col("timestamp").alias("checkpoint_timestamp"), F.inline("files_snapshot")).withColumn("restored_from_checkpoint", F.lit(True))
-    return files.join(points.select("node_id").distinct(), "node_id", "left_anti").unionByName(back, allowMissingColumns=True)
+    back = snapshots.withColumn("restored_from_checkpoint", F.lit(True))
+    return files.join(snapshots.select("node_id").distinct(), "node_id", "left_anti").unionByName(back, allowMissingColumns=True)

@@ -74,6 +74,24 @@ def delete_path(tree: DataFrame, path: str, recursive: bool = False) -> DataFram
     return tree.join(deleted_by(tree, path, recursive).select("path"), "path", "left_anti")
 
 
+def children(tree: DataFrame) -> DataFrame:
+    """path, child_count and child_names of each folder, by name; a folder's own entries are one list, as a directory listing is."""
+    return tree.groupBy(F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("child_count"), F.array_sort(F.collect_list("name")).alias("child_names"))
+
+
+def add_child(tree: DataFrame, folder: str, name: str, is_file: bool = False) -> DataFrame:
+    """tree with an entry below ``folder``, unless it is there already."""
+    top = "/" + "/".join(p for p in folder.split("/") if p)
+    path = top.rstrip("/") + "/" + name
+    new = tree.sparkSession.createDataFrame([(path, top, name, is_file, path.count("/"))], "path string, parent_path string, name string, is_file boolean, depth int")
+    return tree.unionByName(new.join(tree.select("path"), "path", "left_anti"), allowMissingColumns=True)
+
+
+def remove_child(tree: DataFrame, folder: str, name: str) -> DataFrame:
+    """tree without an entry below ``folder`` and what is below that."""
+    return delete_path(tree, f"{folder}/{name}", recursive=True)
+
+
 def files_as_folders(tree: DataFrame) -> DataFrame:
     """Files that stand above other paths."""
     return tree.where("is_file").join(tree.select(F.col("parent_path").alias("path")).distinct(), "path", "left_semi")

@@ -73,6 +73,32 @@ def timeout_sweep(nodes: DataFrame, now: Column, seconds: int = 300, own=None) -
     return nodes.withColumn("status", F.when(late, "offline").otherwise(F.col("status")))
 
 
+def recount(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """nodes with shared_files_count as it is in ``files``; a node without files has 0."""
+    own = files.groupBy("node_id").agg(F.count(F.lit(1)).cast("int").alias("shared_files_count"))
+    return nodes.drop("shared_files_count").join(own, "node_id", "left").withColumn("shared_files_count", F.coalesce("shared_files_count", F.lit(0)))
+
+
+def put_mount(mounts: DataFrame, new: DataFrame) -> DataFrame:
+    """mounts with the folders of ``new`` in place of those of the same nodes."""
+    return upsert(mounts, new.select("node_id", "folder"), ["node_id"])
+
+
+def delete_mount(mounts: DataFrame, node_id) -> DataFrame:
+    return mounts.where(F.col("node_id") != node_id)
+
+
+def bulk_outcome(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows (name, size, content_hash) with status success or error, and error: why a file can't be taken."""
+    error = F.when(F.col("name").isNull() | (F.trim("name") == ""), "no name").when(F.col("size") > most_bytes, "too large").when(F.col("content_hash").isNull(), "no content")
+    return rows.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("error"))
+
+
+def bulk_counts(outcome: DataFrame) -> DataFrame:
+    """total, successful, failed."""
+    return outcome.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(F.col("status") != "success").alias("failed"))
+
+
 def with_mounts(nodes: DataFrame, mounts: DataFrame) -> DataFrame:
     return nodes.join(mounts.select("node_id", "folder"), "node_id", "left")
 

@@ -29,6 +29,13 @@ def record_recovery(failures: DataFrame, recoveries: DataFrame) -> DataFrame:
     return marked.join(done, "node_id", "left").withColumns({"downtime_seconds": F.when(closes, seconds_between(F.col("timestamp"), F.col("_at"))).otherwise(F.col("downtime_seconds")), "recovery_time": F.when(closes, F.col("_at")).otherwise(F.col("recovery_time"))}).drop("_open", "_at")
 
 
+def record_failure(failures: DataFrame, nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """failures with ``new`` ones (node_id, timestamp), and nodes in which those that failed are offline, with last_failure."""
+    last = new.groupBy("node_id").agg(F.max("timestamp").alias("last_failure"))
+    marked = nodes.drop("last_failure").join(last, "node_id", "left").withColumn("status", F.when(F.col("last_failure").isNotNull(), "offline").otherwise(F.col("status")))
+    return failures.unionByName(new, allowMissingColumns=True), marked
+
+
 def open_failures(failures: DataFrame) -> DataFrame:
     """node_id, timestamp of the latest failure of each node that hasn't recovered."""
     return failures.where("recovery_time is null").groupBy("node_id").agg(F.max("timestamp").alias("timestamp"))

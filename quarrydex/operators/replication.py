@@ -5,14 +5,16 @@ Tables: files (file_id, node_id, content_hash, last_updated), nodes (node_id, st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import beside
 
 REPLICATION_FACTOR = 2
-#: Nodes that are sent along as literals to rank them for each file.
-MOST_NODES = 10_000
+#: Node ids of one literal; more nodes are ranked block by block.
+BLOCK = 10_000
+#: Nodes beyond those asked for whose hashes are expected below the bound of the first look.
+SPARE = 40
 
 
 def versions(files: DataFrame) -> DataFrame:
@@ -78,19 +80,63 @@ def under_replicated(files: DataFrame, nodes: DataFrame, factor: int = REPLICATI
     return own.where(F.col("holders") < factor).withColumn("missing", F.lit(factor) - F.col("holders"))
 
 
-def rendezvous(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, source: str | None = None) -> DataFrame:
-    """file_id, node_id, nth: the nodes with the least md5 of file:node, the source column's node left out.
+def _hash(node: Column) -> Column:
+    return F.md5(F.concat(F.col("file_id").cast("string"), F.lit(":"), node.cast("string")).cast("binary"))
 
-    The node list is bounded and checked; each file ranks it by itself, without a shuffle.
+
+def rendezvous(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, source: str | None = None, exclude: str | None = None, wanted: str | None = None) -> DataFrame:
+    """file_id, node_id, nth: the online nodes with the least md5 of file:node, for each row of ``files``.
+
+    Left out are the node in column ``source`` and those in the array column ``exclude``; the column ``wanted`` says how
+    many a file gets where that isn't ``factor``.  The hashes are spread evenly, so the first look keeps those below a
+    bound that about SPARE more nodes pass than asked for; a file with too few of them ranks all nodes.  One shuffle deals
+    the files out, whatever few partitions they came in.  The ids of all online nodes go along as literals, in blocks.
     """
-    ids = [r[0] for r in nodes.where(F.col("status") == "online").select("node_id").distinct().orderBy("node_id").limit(MOST_NODES + 1).collect()]
-    if len(ids) > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes")
-    all_ = F.array(*[F.lit(i) for i in ids])
-    if source is not None:
-        all_ = F.filter(all_, lambda n: ~n.eqNullSafe(F.col(source)))
-    ranked = F.array_sort(F.transform(all_, lambda n: F.struct(F.md5(F.concat(F.col("file_id").cast("string"), F.lit(":"), n.cast("string")).cast("binary")).alias("h"), n.alias("node_id"))))
-    return files.select("file_id", F.posexplode(F.slice(ranked, 1, factor)).alias("nth", "x")).select("file_id", "x.node_id", (F.col("nth") + 1).alias("nth"))
+    ids = [r[0] for r in nodes.where(F.col("status") == "online").select("node_id").distinct().orderBy("node_id").collect()]
+    blocks = [F.array(*[F.lit(i) for i in ids[a : a + BLOCK]]) for a in range(0, len(ids), BLOCK)] or [F.array().cast(f"array<{nodes.schema['node_id'].dataType.simpleString()}>")]
+    free = lambda n: F.lit(True) if source is None else ~n.eqNullSafe(F.col(source))
+    holds = lambda n: F.lit(False) if exclude is None else F.coalesce(F.array_contains(exclude, n), F.lit(False))
+    many = F.lit(factor) if wanted is None else F.col(wanted)
+    rows = files.select("file_id", *[c for c in (source, exclude, wanted) if c]).repartition("file_id")
+    below = min(1 << 32, (factor + SPARE) * (1 << 32) // max(len(ids), 1))
+    first = None
+    for block in blocks:
+        part = rows.distinct().withColumn("node_id", F.explode(block)).withColumn("h", _hash(F.col("node_id")))
+        if below < 1 << 32:
+            part = part.where(F.col("h") < f"{below:08x}")
+        first = part if first is None else first.union(part)
+    near = first.where(free(F.col("node_id")) & ~holds(F.col("node_id"))).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("h", "node_id"))).alias("near"))
+    every = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
+    ranked = F.array_sort(F.transform(F.filter(every, lambda n: free(n) & ~holds(n)), lambda n: F.struct(_hash(n).alias("h"), n.alias("node_id"))))
+    if below == 1 << 32:
+        best = F.coalesce("near", F.array().cast(near.schema["near"].dataType))
+    else:
+        best = F.when(F.coalesce(F.size("near") >= many, F.lit(False)), F.col("near")).otherwise(ranked)
+    chosen = rows.join(near, "file_id", "left").select("file_id", F.posexplode(F.slice(best, F.lit(1), many)).alias("nth", "x"))
+    return chosen.select("file_id", "x.node_id", (F.col("nth") + 1).alias("nth"))
+
+
+def first_nodes(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, order: str = "node_id", source: str = "source") -> DataFrame:
+    """file_id, node_id, nth: the first online nodes by ``order`` other than the one in column ``source``; factor + 1 nodes decide for all files."""
+    ids = [r[0] for r in nodes.where(F.col("status") == "online").orderBy(order).select("node_id").limit(factor + 1).collect()]
+    others = F.slice(F.filter(F.array(*[F.lit(i) for i in ids]), lambda n: ~n.eqNullSafe(F.col(source))), 1, factor) if ids else F.array().cast("array<string>")
+    return files.select("file_id", F.posexplode(others).alias("nth", "node_id")).select("file_id", "node_id", (F.col("nth") + 1).alias("nth"))
+
+
+def replica_targets(files: DataFrame, nodes: DataFrame, affine: DataFrame, factor: int = REPLICATION_FACTOR, source: str = "source", order: str = "node_id") -> DataFrame:
+    """file_id, node_id, nth: where replicas go: ``affine`` (file_id, node_id, nth) where it knows the file, else the first online nodes."""
+    rest = files.join(affine.select("file_id"), "file_id", "left_anti")
+    return affine.select("file_id", "node_id", "nth").unionByName(first_nodes(rest, nodes, factor, order, source))
+
+
+def replication_results(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """file_id, replicated_to, failed, status: the targets of each file (at most the factor) by whether they are online.
+
+    status is completed where all took it, failed where none did, partial else; it is the row of the replication log.
+    """
+    up = targets.join(nodes.where(F.col("status") == "online").select("node_id", F.lit(True).alias("up")), "node_id", "left")
+    own = up.groupBy("file_id").agg(*[F.array_sort(F.collect_list(F.when(x, F.col("node_id")))).alias(a) for a, x in (("replicated_to", F.col("up").isNotNull()), ("failed", F.col("up").isNull()))])
+    return own.withColumn("status", F.when(F.size("failed") == 0, "completed").when(F.size("replicated_to") == 0, "failed").otherwise("partial"))
 
 
 def recoverable(files: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -104,11 +150,16 @@ def recoverable(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def recovery_plan(files: DataFrame, nodes: DataFrame, failed, factor: int = REPLICATION_FACTOR) -> DataFrame:
     """file_id, node_id: where copies of the failed node's files go, chosen by rendezvous among nodes that don't hold them."""
     own = files.where(F.col("node_id") == failed).select("file_id").distinct()
-    ranked = rendezvous(own, nodes.where(F.col("node_id") != failed), MOST_NODES)
-    free = ranked.join(files.select("file_id", "node_id"), ["file_id", "node_id"], "left_anti")
-    short = under_replicated(files.join(own, "file_id", "left_semi"), nodes.where(F.col("node_id") != failed), factor)
-    first = Window.partitionBy("file_id").orderBy("nth")
-    return free.join(short, "file_id").withColumn("k", F.row_number().over(first)).where("k <= missing").select("file_id", "node_id")
+    left = nodes.where(F.col("node_id") != failed)
+    held = files.join(own, "file_id", "left_semi")
+    holders = held.groupBy("file_id").agg(F.collect_set("node_id").alias("holders"))  # at most as many as there are nodes
+    short = under_replicated(held, left, factor).select("file_id", F.col("missing").cast("int").alias("missing")).join(holders, "file_id")
+    return rendezvous(short, left, factor, exclude="holders", wanted="missing").select("file_id", "node_id")
+
+
+def task_status(tasks: DataFrame, file_id) -> DataFrame:
+    """The task of one file with its status."""
+    return task_states(tasks.where(F.col("file_id") == file_id))
 
 
 def task_states(tasks: DataFrame) -> DataFrame:

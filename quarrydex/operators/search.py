@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import beside
@@ -46,6 +46,53 @@ def bm25(docs: DataFrame, field: str, query: str, id_col: str = "file_id") -> Da
     return rows.select("file_id", score.alias("score"))
 
 
+#: Parts that an index deals terms to, by hash; a query reads the parts of its terms alone.
+PARTS = 64
+
+
+def build_index(docs: DataFrame, path: str, fields: list[str], id_col: str = "file_id", parts: int = PARTS) -> None:
+    """Write postings (field, part, term, file_id, tf, dl) and the statistics of each field (field, n, avgdl) under ``path``.
+
+    Files are sorted by term and split by range of term and file, so a term that most documents have fills several files,
+    and the scan skips what doesn't have a query's terms.
+    """
+    held, stats = None, None
+    for field in fields:
+        own = docs.select(F.col(id_col).alias("file_id"), tokens(F.col(field)).alias("t")).withColumn("dl", F.size("t"))
+        counted = own.select("file_id", "dl", F.explode("t").alias("term")).groupBy("term", "file_id", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(field))
+        about = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("field", F.lit(field))
+        held, stats = (counted, about) if held is None else (held.union(counted), stats.union(about))
+    held = held.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    held.repartitionByRange("field", "part", "term", "file_id").sortWithinPartitions("field", "part", "term").write.partitionBy("field", "part").parquet(f"{path}/postings")
+    stats.coalesce(1).write.parquet(f"{path}/fields")
+
+
+def indexed_bm25(spark: SparkSession, path: str, field: str, query: str, parts: int = PARTS) -> DataFrame:
+    """file_id, score of the documents that have a term of the query, from the postings of its terms alone."""
+    terms = query_terms(query)
+    rows = spark.read.parquet(f"{path}/postings").where((F.col("field") == field) & F.col("term").isin(terms))
+    # the parts of the terms are computed here, so that they prune directories
+    where = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts))).distinct().collect()] if terms else []
+    rows = rows.where(F.col("part").isin(where))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+    about = spark.read.parquet(f"{path}/fields").where(F.col("field") == field).select("n", "avgdl")
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
+    return beside(rows.select("file_id", "term", "tf", "dl").join(F.broadcast(df), "term"), about).groupBy("file_id").agg(F.sum(part).alias("score"))
+
+
+def indexed_search(spark: SparkSession, path: str, query: str, limit: int = 50, weights: dict[str, float] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """file_id, score over an index, best first, ties by id; ``weights`` by field, ``among`` (file_id) leaves only those hits."""
+    parts = None
+    for field, weight in (weights or {"name": NAME_WEIGHT, "content": CONTENT_WEIGHT}).items():
+        own = indexed_bm25(spark, path, field, query).withColumn("score", F.col("score") * weight)
+        parts = own if parts is None else parts.union(own)
+    hits = parts.groupBy("file_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    if among is not None:
+        hits = hits.join(among.select("file_id").distinct(), "file_id", "left_semi")
+    return hits.orderBy(F.desc("score"), "file_id").limit(limit)
+
+
 def text_search(docs: DataFrame, query: str, limit: int = 50, field: str = "content", id_col: str = "file_id", where=None) -> DataFrame:
     """file_id, score, best first, ties by id.  ``where`` filters the hits; corpus statistics stay those of all documents."""
     hits = bm25(docs, field, query, id_col)
@@ -76,9 +123,16 @@ def search(docs: DataFrame, query: str, file_type: str | None = None, limit: int
     return text.union(beside(fallback, none).where("none").drop("none"))
 
 
-def with_files(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Every replica of each hit, the hits' order in nth; the limit is one on hits."""
-    return hits.join(files, "file_id")
+def with_files(hits: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every replica of each hit (file_id, score), in the hits' order: ``files`` with score and nth, the place of the hit.
+
+    The limit is one on hits, so more rows than that may come.  Hits are a short list, ranked in one small window.
+    """
+    nth = F.row_number().over(Window.orderBy(F.desc("score"), "file_id")).alias("nth")
+    ranked = hits.select("file_id", "score", nth)
+    if limit is not None:
+        ranked = ranked.where(F.col("nth") <= limit)
+    return ranked.join(files, "file_id").orderBy("nth", "node_id")
 
 
 def nodes_of(hits: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:

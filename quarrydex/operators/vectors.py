@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import vectors as V
+from ..functions.text import tokens
 
-#: Query vectors of one batch; more go in further batches.
+#: Query vectors of one block.
 BATCH = 64
 
 
@@ -38,14 +40,28 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, nodes: Sequence
     return scored(vectors, query, nodes).select("file_id", "node_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "file_id").limit(k)
 
 
-def batch_similarity(vectors: DataFrame, queries: dict) -> DataFrame:
-    """query_id, file_id, score of a stated set of queries against all rows."""
-    ids, out = list(queries), None
-    for a in range(0, len(ids), BATCH):
-        block = F.array(*[F.struct(F.lit(i).alias("query_id"), V.literal(queries[i]).alias("q")) for i in ids[a : a + BATCH]])
-        part = vectors.select("file_id", V.doubles(F.col("embedding")).alias("v"), F.explode(block).alias("x")).select("x.query_id", "file_id", F.round(V.cosine(F.col("v"), F.col("x.q")), 6).alias("score"))
-        out = part if out is None else out.union(part)
-    return out
+def batch_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, file_id, score of a stated set of queries (query_id, embedding) against all rows.
+
+    The queries go in blocks of BATCH, each a row; every vector meets each block.
+    """
+    number = max(1, -(-queries.count() // BATCH))
+    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(number)).cast("int").alias("block"), F.struct("query_id", V.doubles(F.col("embedding")).alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("xs"))
+    rows = vectors.select("file_id", V.doubles(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("block"))
+    return rows.join(blocks, "block").select("file_id", "v", F.explode("xs").alias("x")).select("x.query_id", "file_id", F.round(V.cosine(F.col("v"), F.col("x.q")), 6).alias("score"))
+
+
+def embedded(documents: DataFrame, dim: int = 384, name: str = "name", content: str = "content", description: str = "description", tags: str = "tags") -> DataFrame:
+    """``documents`` with a column embedding of what ``document_text`` makes of name, content, description and tags.
+
+    The external model isn't available here: ``hashed_embedding`` stands in.
+    """
+    return documents.withColumn("embedding", V.hashed_embedding(tokens(S.document_text(*map(F.col, (name, content, description, tags)))), dim))
+
+
+def embedded_query(spark: SparkSession, query: str, dim: int = 384) -> list[float]:
+    """The embedding of a query's text, by the same stand-in."""
+    return list(spark.range(1).select(V.hashed_embedding(tokens(F.lit(query)), dim)).first()[0])
 
 
 def centroid_parts(vectors: DataFrame) -> DataFrame:
@@ -88,29 +104,28 @@ def routing_recall(vectors: DataFrame, query: Sequence[float], nodes: int = 3, k
     return hit.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("found")).withColumn("recall", F.round(F.col("found") / F.col("k"), 6))
 
 
+#: Nodes whose centroids are one block.
+NODES_AT_ONCE = 256
+
+
 def replica_nodes(vectors: DataFrame, replication_factor: int = 2) -> DataFrame:
     """file_id, node_id, score, nth: for each document the nodes most similar to it, its own left out.
 
-    The centroids are as many as nodes and travel as one array with each task; ranking needs no shuffle.
+    Centroids go in blocks of NODES_AT_ONCE, each a row; a document meets the blocks one by one, keeps the best of each,
+    and the best of those count.  With one block nothing is shuffled but the blocks.
     """
-    spots = _centroid_array(vectors)
+    held = centroids(vectors).select(F.col("node_id").cast("string").alias("node_id"), "centroid")
+    number = max(1, -(-held.count() // NODES_AT_ONCE))
+    blocks = held.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(number)).cast("int").alias("block")).agg(F.collect_list(F.struct("node_id", "centroid")).alias("spots"))
     near = F.transform(
-        F.filter(F.array().cast("array<struct<node_id:string,centroid:array<double>>>") if spots is None else spots, lambda s: ~s["node_id"].eqNullSafe(F.col("node_id").cast("string"))),
+        F.filter("spots", lambda s: ~s["node_id"].eqNullSafe(F.col("own").cast("string"))),
         lambda s: F.struct((-F.round(V.cosine(F.col("v"), s["centroid"]), 6)).alias("less"), s["node_id"].alias("node_id")),
     )
-    best = F.slice(F.array_sort(near), 1, replication_factor)
-    return vectors.select("file_id", "node_id", V.doubles(F.col("embedding")).alias("v")).select("file_id", F.posexplode(best).alias("nth", "x")).select("file_id", F.col("x.node_id").alias("node_id"), (-F.col("x.less")).alias("score"), (F.col("nth") + 1).alias("nth"))
-
-
-#: Nodes whose centroids are sent along as literals.
-MOST_NODES = 2000
-
-
-def _centroid_array(vectors: DataFrame):
-    rows = centroids(vectors).select(F.col("node_id").cast("string").alias("node_id"), "centroid").orderBy("node_id").limit(MOST_NODES + 1).collect()
-    if len(rows) > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes: rank nodes with route() instead")
-    return F.array(*[F.struct(F.lit(r.node_id).alias("node_id"), V.literal(r.centroid).alias("centroid")) for r in rows]) if rows else None
+    rows = vectors.select("file_id", F.col("node_id").alias("own"), V.doubles(F.col("embedding")).alias("v"))
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(blocks, "block").select("file_id", "own", F.slice(F.array_sort(near), 1, replication_factor).alias("best"))
+    if number > 1:
+        met = met.groupBy("file_id", "own").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, replication_factor).alias("best"))
+    return met.select("file_id", F.posexplode("best").alias("nth", "x")).select("file_id", F.col("x.node_id").alias("node_id"), (-F.col("x.less")).alias("score"), (F.col("nth") + 1).alias("nth"))
 
 
 def location_stats(vectors: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ sizes, events are activities, heartbeats and failures, pages are paths of the na
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
 from ..sources.files import read_table
 from ..streaming import discovery, elections, heartbeats
@@ -90,6 +92,29 @@ def path_table(s: SparkSession, d: str) -> DataFrame:
     return namespace.paths(pages.groupBy("path").agg(F.min("page_id").alias("file_id")))
 
 
+#: Indexes that this session has built, by application, folder and name.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(s: SparkSession, d: str, name: str, docs: DataFrame, fields: list[str]) -> str:
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        folder = s.conf.get("spark.checkpoint.dir", "") or s.conf.get("spark.sql.warehouse.dir")
+        path = f"{folder.rstrip('/')}/{name}-index-{uuid.uuid4().hex}"
+        search.build_index(docs, path, fields)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def text_index(s: SparkSession, d: str) -> str:
+    """The index over the texts of documents; built once in a session."""
+    return _index(s, d, "text", read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), ["text"])
+
+
+def part_index(s: SparkSession, d: str) -> str:
+    return _index(s, d, "part", part_table(s, d), ["name", "content"])
+
+
 _V = "v AS (SELECT vec_id AS file_id, label AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
 _COS = lambda a, b: f"list_inner_product({a}, {b}) / ((sqrt(list_inner_product({a}, {a})) + 1e-10) * (sqrt(list_inner_product({b}, {b})) + 1e-10))"
 _C = """u AS (SELECT file_id, node_id, unnest(range(0, len(e))) AS pos, unnest(e) / (sqrt(list_inner_product(e, e)) + 1e-10) AS x FROM v),
@@ -137,10 +162,10 @@ def knn_node_filter(s, d):
     return vectors.knn(vector_table(s, d), some_vector(s, d), 10, [1, 3, 5])
 
 
-@query(f"WITH {_V} SELECT b.file_id AS query_id, a.file_id, round({_COS('a.e', 'b.e')}, 6) AS score FROM v a, v b WHERE b.file_id IN (0, 1, 2, 3)")
+@query(f"WITH {_V} SELECT b.file_id AS query_id, a.file_id, round({_COS('a.e', 'b.e')}, 6) AS score FROM v a, v b WHERE b.file_id % 50 = 0")
 def batch_similarity(s, d):
-    rows = read_table(s, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3)).select("vec_id", "embedding").collect()
-    return vectors.batch_similarity(vector_table(s, d), {r.vec_id: r.embedding for r in rows})
+    queries = read_table(s, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.batch_similarity(vector_table(s, d), queries)
 
 
 @query(f"WITH {_V}, {_C} SELECT node_id, pos, round(m / (l + 1e-10), 6) AS value FROM m JOIN l USING (node_id)")
@@ -192,19 +217,45 @@ def text_postings_stats(s, d):
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['the', 'moron', 'erand'])} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
 def bm25_search(s, d):
-    return search.text_search(read_table(s, d, "documents"), "The moron erand", 20, "text", "doc_id")
+    return search.indexed_search(s, text_index(s, d), "The moron erand", 20, {"text": 1.0})
 
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['des', 'und'])} SELECT file_id, round(score, 6) AS score FROM s WHERE file_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY score DESC, file_id LIMIT 20")
 def bm25_search_typed(s, d):
-    return search.text_search(read_table(s, d, "documents"), "des und", 20, "text", "doc_id", F.col("lang") == "fr")
+    french = read_table(s, d, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("file_id"))
+    return search.indexed_search(s, text_index(s, d), "des und", 20, {"text": 1.0}, french)
+
+
+@query(f"WITH {_bm25('documents', 'doc_id', 'text', ['der', 'que'])} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
+def bm25_search_without_index(s, d):
+    return search.text_search(read_table(s, d, "documents"), "der que", 20, "text", "doc_id")
 
 
 @query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['steel', 'large'], 'n')}, {_bm25('part', 'p_partkey', 'p_type', ['steel', 'large'], 'c')},
 b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc)
 SELECT file_id, round(sum(score), 6) AS score FROM b GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50""")
 def weighted_name_content_search(s, d):
-    return search.weighted_search(part_table(s, d), "steel LARGE", 50)
+    return search.indexed_search(s, part_index(s, d), "steel LARGE", 50)
+
+
+_FALLBACK = "SELECT p_partkey AS file_id, 0.0 AS score, 'name' AS matched FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50"
+
+
+@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['steel'], 'n')}, {_bm25('part', 'p_partkey', 'p_type', ['steel'], 'c')},
+b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc), f AS ({_FALLBACK}),
+t AS (SELECT file_id, round(sum(score), 6) AS score, 'text' AS matched FROM b GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50)
+SELECT 'steel' AS asked, * FROM t UNION ALL SELECT 'ee' AS asked, * FROM f""")
+def search_with_fallback(s, d):
+    # one query that a text matches, one that only names do
+    found = [search.search(part_table(s, d), q, None, 50).select(F.lit(q).alias("asked"), "file_id", F.col("score").cast("double").alias("score"), "matched") for q in ("steel", "ee")]
+    return found[0].union(found[1])
+
+
+@query(f"""WITH {_FILES}, h AS (SELECT o_orderkey AS file_id, o_totalprice AS score, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders)
+SELECT CAST(h.nth AS INTEGER) AS nth, h.file_id, score, node_id FROM h JOIN files ON files.file_id = h.file_id WHERE h.nth <= 25 ORDER BY 1, node_id""")
+def search_hits_with_replicas(s, d):
+    hits = read_table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_totalprice").alias("score")).orderBy(F.desc("score"), "file_id").limit(25)
+    return search.with_files(hits, file_table(s, d), 25).select("nth", "file_id", "score", "node_id")
 
 
 @query("SELECT p_partkey AS file_id, p_name AS name FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50")
@@ -567,7 +618,9 @@ def status_normalise(s, d):
 # ---- checkpoints and health
 
 
-_DIGEST = f"""{_FILES}, points AS (SELECT node_id, count(*) AS files_count, sha256(string_agg(file_id || '|' || content_hash || '|' || strftime(last_updated, '%Y-%m-%d'), ',' ORDER BY file_id || '|' || content_hash || '|' || strftime(last_updated, '%Y-%m-%d'))) AS checkpoint_hash FROM files GROUP BY node_id)"""
+_ENTRY = "file_id || '|' || content_hash || '|' || strftime(last_updated, '%Y-%m-%d')"
+_DIGEST = f"""{_FILES}, ranges AS (SELECT node_id, substring(md5(CAST(file_id AS VARCHAR)), 1, 3) AS part, count(*) AS n, sha256(string_agg({_ENTRY}, ',' ORDER BY {_ENTRY})) AS d FROM files GROUP BY ALL),
+points AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS files_count, sha256(string_agg(part || ':' || d, ',' ORDER BY part || ':' || d)) AS checkpoint_hash FROM ranges GROUP BY node_id)"""
 
 
 def _points(s, d):
@@ -642,20 +695,44 @@ def recovery_plan(s, d):
     return replication.recovery_plan(file_table(s, d), node_table(s, d), 3)
 
 
-@query(f"WITH {_FILES} SELECT node_id, true AS valid, count(*) AS files_count FROM files GROUP BY node_id")
+@query(f"WITH {_FILES} SELECT node_id, count(*) FILTER (WHERE node_id % 7 = 0 AND file_id % 3 = 0) = 0 AND node_id % 11 <> 0 AS valid, count(*) AS files_count FROM files GROUP BY node_id")
 def checkpoint_verify(s, d):
-    points = checkpoints.checkpoint(file_table(s, d), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return checkpoints.verify(points).join(points.select("node_id", "files_count"), "node_id")
+    files = file_table(s, d)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    points = checkpoints.checkpoint(files, now)
+    # some snapshots are damaged: files with another content, nodes that lost all of theirs
+    hash_ = F.when((F.col("node_id") % 7 == 0) & (F.col("file_id") % 3 == 0), "damaged").otherwise(F.col("content_hash"))
+    damaged = checkpoints.snapshot(files, now).withColumn("content_hash", hash_).where("node_id % 11 <> 0")
+    return checkpoints.verify(points, damaged).join(points.select("node_id", "files_count"), "node_id")
 
 
-@query(f"WITH {_FILES} SELECT node_id, count(*) AS files, count(*) FILTER (WHERE node_id <= 3) AS restored FROM files GROUP BY node_id")
+@query(f"WITH {_FILES} SELECT node_id, count(*) AS files, count(*) AS restored FROM files GROUP BY node_id")
 def checkpoint_restore(s, d):
     files = file_table(s, d).select("node_id", "file_id", "content_hash", "last_updated")
-    points = checkpoints.checkpoint(files.where("node_id <= 3"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    back = checkpoints.restore(files.where("node_id > 3 or file_id > 100"), points)
+    back = checkpoints.restore(files.where("file_id > 100"), checkpoints.snapshot(files, F.lit("2024-01-01 00:00:00").cast("timestamp")))
     return back.groupBy("node_id").agg(F.count(F.lit(1)).alias("files"), F.count_if("restored_from_checkpoint").alias("restored"))
 
 
+@query(f"""WITH {_NODES}, up AS (SELECT node_id FROM nodes WHERE status = 'online' ORDER BY node_id LIMIT 3),
+r AS (SELECT p_partkey AS file_id, node_id, row_number() OVER (PARTITION BY p_partkey ORDER BY node_id) AS nth FROM part, up WHERE node_id <> p_partkey % 4)
+SELECT file_id, CAST(node_id AS VARCHAR) AS node_id, CAST(nth AS INTEGER) AS nth FROM r WHERE nth <= 2 AND file_id % 10 <> 0
+UNION ALL SELECT p_partkey, unnest(['a', 'b']), unnest([1, 2]) FROM part WHERE p_partkey % 10 = 0""")
+def replica_targets_first_nodes(s, d):
+    files = part_table(s, d).select("file_id", (F.col("file_id") % 4).cast("string").alias("source"))
+    first = node_table(s, d).withColumn("order", F.col("node_id")).withColumn("node_id", F.col("node_id").cast("string"))
+    affine = files.where("file_id % 10 = 0").select("file_id", F.posexplode(F.array(F.lit("a"), F.lit("b"))).alias("nth", "node_id")).select("file_id", "node_id", (F.col("nth") + 1).alias("nth"))
+    return replication.replica_targets(files, first, affine, order="order")
+
+
+@query(f"""WITH {_NODES}, t AS (SELECT l_orderkey AS file_id, l_suppkey AS node_id FROM lineitem GROUP BY ALL)
+SELECT file_id, coalesce(string_agg(t.node_id, ',' ORDER BY t.node_id) FILTER (WHERE status = 'online'), '') AS replicated_to, coalesce(string_agg(t.node_id, ',' ORDER BY t.node_id) FILTER (WHERE status = 'offline'), '') AS failed,
+CASE WHEN count(*) FILTER (WHERE status = 'offline') = 0 THEN 'completed' WHEN count(*) FILTER (WHERE status = 'online') = 0 THEN 'failed' ELSE 'partial' END AS status FROM t JOIN nodes ON nodes.node_id = t.node_id GROUP BY file_id""")
+def replication_log(s, d):
+    targets = replica_rows(s, d).select("file_id", "node_id").distinct()
+    rows = replication.replication_results(targets, node_table(s, d))
+    return rows.select("file_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("replicated_to", "failed")], "status")
+
+
 @query("SELECT doc_id, md5(concat_ws(' ', source, substring(text, 1, 1000), lang, concat_ws(' ', lang, source))) AS text_md5 FROM documents")
 def document_texts(s, d):
     rows = read_table(s, d, "documents")
@@ -700,3 +777,164 @@ def replication_task_counts(s, d):
     is_ = lambda t: F.when(F.col("event_type") == t, F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
     tasks = read_table(s, d, "events").select(F.col("event_id").alias("file_id"), F.array(F.lit("n")).alias("target_nodes"), is_("purchase").alias("completed_nodes"), is_("error").alias("failed_nodes"))
     return replication.task_counts(replication.task_states(tasks))
+
+
+# ---- inventory: ingest, nodes, vectors, messages
+
+
+@query("""WITH n AS (SELECT doc_id AS file_id, text AS content FROM documents WHERE doc_id % 2 = 0), o AS (SELECT doc_id AS file_id, lang AS content FROM documents WHERE doc_id % 3 = 0),
+blank AS (SELECT file_id, trim(coalesce(content, '')) = '' AS b, content FROM n)
+SELECT coalesce(o.file_id, blank.file_id) AS file_id, md5(coalesce(CASE WHEN blank.file_id IS NULL OR (b AND o.file_id IS NOT NULL) THEN o.content ELSE blank.content END, '-')) AS content_md5
+FROM o FULL JOIN blank ON o.file_id = blank.file_id""")
+def contents_upsert(s, d):
+    rows = read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit("n").alias("name"), "text", "lang")
+    old = rows.where("file_id % 3 = 0").select("file_id", "name", F.col("lang").alias("content"))
+    new = rows.where("file_id % 2 = 0").select("file_id", "name", F.col("text").alias("content"))
+    return registry.upsert_contents(old, new).select("file_id", F.md5(F.coalesce("content", F.lit("-")).cast("binary")).alias("content_md5"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed
+FROM (SELECT source IS NOT NULL AND n_chars <= 3000 AND text IS NOT NULL AS ok FROM documents)""")
+def bulk_upload_counts(s, d):
+    rows = read_table(s, d, "documents").select(F.col("source").alias("name"), F.col("n_chars").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return registry.bulk_counts(registry.bulk_outcome(rows, 3000))
+
+
+@query(f"WITH {_NODES} SELECT node_id, CAST(count(l_suppkey) AS INTEGER) AS shared_files_count FROM nodes LEFT JOIN lineitem ON l_suppkey = node_id GROUP BY node_id")
+def node_recount(s, d):
+    return registry.recount(node_table(s, d), replica_rows(s, d)).select("node_id", "shared_files_count")
+
+
+@query("""SELECT s_suppkey AS node_id, CASE WHEN s_nationkey < 10 AND s_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS folder FROM supplier WHERE s_suppkey <> 5 AND (s_nationkey < 10 OR s_nationkey >= 20)
+AND (s_nationkey >= 20 OR s_nationkey % 2 = 0)""")
+def mounts_put_delete(s, d):
+    rows = read_table(s, d, "supplier").select(F.col("s_suppkey").alias("node_id"), "s_nationkey")
+    old = rows.where("s_nationkey >= 20 or s_nationkey = 4").select("node_id", F.lit("old").alias("folder"))
+    new = rows.where("s_nationkey < 10 and s_nationkey % 2 = 0").select("node_id", F.lit("new").alias("folder"))
+    return registry.delete_mount(registry.put_mount(old, new), 5)
+
+
+@query("""WITH o AS (SELECT s_suppkey AS node_id, CASE WHEN s_acctbal < 0 THEN 'offline' ELSE 'online' END AS status FROM supplier WHERE s_suppkey % 3 <> 0),
+n AS (SELECT s_suppkey AS node_id FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT coalesce(o.node_id, n.node_id) AS node_id, coalesce(o.status, 'online') AS status, CASE WHEN n.node_id IS NULL THEN 'kept' WHEN o.node_id IS NULL THEN 'registered' ELSE 'updated' END AS outcome FROM o FULL JOIN n ON o.node_id = n.node_id""")
+def nodes_registered(s, d):
+    nodes = node_table(s, d)
+    got = registry.register_nodes(nodes.where("node_id % 3 <> 0"), nodes.where("node_id % 2 = 0"))
+    return got.select("node_id", "status", F.coalesce("outcome", F.lit("kept")).alias("outcome"))
+
+
+@query("""SELECT (SELECT count(*) - 1 FROM supplier) AS nodes, (SELECT count(*) FROM lineitem WHERE l_suppkey <> 3) AS files, (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey <> 3)) AS contents""")
+def node_deleted(s, d):
+    contents = read_table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"))
+    left = registry.delete_node(node_table(s, d), replica_rows(s, d), contents, 3)
+    return beside(*[t.agg(F.count(F.lit(1)).alias(name)) for t, name in zip(left, ("nodes", "files", "contents"))])
+
+
+@query(f"""WITH {_V}, n AS (SELECT file_id, list_transform(e, lambda x: x * 2) AS e, 99 AS node_id FROM v WHERE file_id % 4 = 0), a AS (SELECT file_id, node_id, e FROM v WHERE file_id % 4 <> 0 UNION ALL SELECT file_id, node_id, e FROM n)
+SELECT file_id, node_id, round(CASE WHEN node_id = 99 THEN e[1] / (sqrt(list_inner_product(e, e)) + 1e-10) ELSE e[1] END, 6) AS first FROM a WHERE file_id % 10 <> 0""")
+def vectors_registered_removed(s, d):
+    rows = vector_table(s, d).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    new = rows.where("file_id % 4 = 0").select("file_id", F.lit(99).alias("node_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    left = vectors.remove(vectors.register(rows, new, 64), rows.where("file_id % 10 = 0").select("file_id"))
+    return left.select("file_id", "node_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query("SELECT vec_id AS file_id, label AS node_id FROM embeddings WHERE vec_id = 7 OR label = 2")
+def vectors_located(s, d):
+    rows = vector_table(s, d)
+    return vectors.locate(rows, 7).union(vectors.documents_in(rows, 2)).select("file_id", "node_id").distinct()
+
+
+@query("""WITH e AS (SELECT user_id AS node_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT s_suppkey AS node_id, CASE WHEN e.t IS NOT NULL OR s_acctbal < 0 THEN 'offline' ELSE 'online' END AS status, epoch_us(e.t) AS last_failure_us FROM supplier LEFT JOIN e ON e.node_id = s_suppkey""")
+def failures_mark_nodes(s, d):
+    new = event_table(s, d).where("event_type = 'error'").select("node_id", "timestamp")
+    _, nodes = reliability.record_failure(new.limit(0), node_table(s, d), new)
+    return nodes.select("node_id", "status", F.unix_micros(F.col("last_failure").cast("timestamp")).alias("last_failure_us"))
+
+
+@query("""WITH f AS (SELECT user_id AS node_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events WHERE event_type = 'error'), n AS (SELECT max(ts) AS now FROM events)
+SELECT node_id, epoch_us(ts) AS failed_us, CASE WHEN nth = 1 AND node_id % 2 = 0 THEN (epoch_us(now) - epoch_us(ts)) / 1e6 END AS downtime_seconds FROM f, n""")
+def failures_recovered(s, d):
+    events = event_table(s, d).where("event_type = 'error'")
+    open_ = events.select("node_id", "timestamp", F.lit(None).cast("timestamp").alias("recovery_time"), F.lit(None).cast("double").alias("downtime_seconds"))
+    now = event_table(s, d).agg(F.max("timestamp").alias("now")).scalar()
+    back = events.where("node_id % 2 = 0").select("node_id").distinct().withColumn("timestamp", now)
+    got = reliability.record_recovery(open_, back)
+    return got.select("node_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("failed_us"), "downtime_seconds")
+
+
+@query(f"""WITH {_PATHS} SELECT parent_path AS path, count(*) AS child_count, string_agg(name, ',' ORDER BY name) AS child_names FROM tree WHERE NOT starts_with(path, (SELECT min(path) FROM tree) || '/') AND path <> (SELECT min(path) FROM tree) GROUP BY ALL
+UNION ALL SELECT '/own', 1, 'note.txt'""")
+def namespace_children(s, d):
+    tree = path_table(s, d)
+    first = tree.agg(F.min("path")).first()[0] or "/none"
+    left = namespace.remove_child(namespace.add_child(tree, "/own", "note.txt", True), "/".join(first.split("/")[:-1]), first.split("/")[-1])
+    return namespace.children(left).select("path", "child_count", F.array_join("child_names", ",").alias("child_names"))
+
+
+@query(f"""WITH {_PATHS}, old AS (SELECT '/alias' || file_id AS alias, '/gone' AS real_path FROM tree WHERE is_file AND file_id % 2 = 0), asked AS (SELECT '/alias' || file_id AS alias, path AS real_path, is_file FROM tree WHERE file_id % 3 = 0 OR NOT is_file)
+SELECT alias, real_path FROM asked WHERE is_file UNION ALL SELECT alias, real_path FROM old WHERE alias NOT IN (SELECT alias FROM asked WHERE is_file)""")
+def aliases_created(s, d):
+    tree = path_table(s, d)
+    name = F.concat(F.lit("/alias"), F.col("file_id").cast("string"))
+    old = tree.where("is_file and file_id % 2 = 0").select(name.alias("alias"), F.lit("/gone").alias("real_path"))
+    new = tree.where("file_id % 3 = 0 or not is_file").select(F.coalesce(name, F.lit("/folder")).alias("alias"), F.col("path").alias("real_path"))
+    return namespace.create_aliases(old, new, tree)
+
+
+@query("""SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS sender_id, round(value, 6) AS value, epoch_us(ts) AS sent_us FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'PING' WHEN event_type = 'view' THEN 'PONG' END AS t FROM events) WHERE t IS NOT NULL""")
+def message_frames(s, d):
+    rows = read_table(s, d, "events").withColumn("kind", F.when(F.col("event_type") == "click", "PING").when(F.col("event_type") == "view", "PONG").otherwise("NONE"))
+    sent = S.frame(F.col("kind"), F.col("user_id").cast("string"), F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("value"), F.col("value").cast("string")), F.col("ts").cast("timestamp"))
+    # to milliseconds only goes the JSON form of a time, so the payload carries the exact one
+    got = rows.select("event_id", S.unframe(sent).alias("m"), F.unix_micros(F.col("ts").cast("timestamp")).alias("sent_us")).where("m is not null")
+    return got.select("event_id", F.element_at("m.payload", F.lit("event_type")).alias("type"), "m.sender_id", F.round(F.element_at("m.payload", F.lit("value")).cast("double"), 6).alias("value"), "sent_us")
+
+
+@query("""WITH m AS (SELECT user_id AS node_id, ts FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 <> 0), n AS (SELECT max(ts) AS now FROM events)
+SELECT node_id, epoch_us(max(ts)) AS last_us, CASE WHEN epoch_us(any_value(now)) - epoch_us(max(ts)) > 86400000000 THEN 'offline' ELSE 'online' END AS status FROM m, n GROUP BY node_id""")
+def heartbeats_of_known_peers(s, d):
+    events = event_table(s, d)
+    kind = F.when(F.col("event_type") == "click", "PING").when(F.col("event_type") == "view", "PONG").otherwise("ELECTION")
+    messages = events.select(kind.alias("type"), F.col("node_id").alias("sender_id"), "timestamp")
+    peers = events.select("node_id").where("node_id % 3 <> 0")
+    states = heartbeats.node_states(heartbeats.of_peers(messages, peers), events.agg(F.max("timestamp").alias("now")).scalar(), 86_400)
+    return states.select("node_id", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("last_us"), "status")
+
+
+@query("SELECT 'PONG' AS type, 'me' AS sender_id, user_id AS in_reply_to, count(*) AS pongs FROM events WHERE event_type = 'click' GROUP BY ALL")
+def heartbeat_replies(s, d):
+    messages = event_table(s, d).select(F.when(F.col("event_type") == "click", "PING").otherwise("PONG").alias("type"), F.col("node_id").alias("sender_id"), "timestamp")
+    return heartbeats.replies(messages, "me").groupBy("type", "sender_id", "in_reply_to").agg(F.count(F.lit(1)).alias("pongs"))
+
+
+@query("""WITH e AS (SELECT user_id AS node_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events),
+o AS (SELECT node_id, epoch_us(ts) + 21600000000 AS down_us FROM e WHERE epoch_us(nxt) - epoch_us(ts) > 21600000000),
+c AS (SELECT user_id AS m, ts, event_id, lag(user_id) OVER (ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'purchase'),
+t AS (SELECT m, epoch_us(ts) AS since, epoch_us(lead(ts) OVER (ORDER BY ts, event_id)) AS until FROM c WHERE m IS DISTINCT FROM before)
+SELECT DISTINCT node_id, 'master_down' AS event, down_us AS at_us FROM o JOIN t ON m = node_id AND down_us >= since AND (until IS NULL OR down_us < until)""")
+def master_down_events(s, d):
+    events = event_table(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    terms = elections.leader_history(events.where("event_type = 'purchase'").select(F.col("node_id").alias("new_master"), "timestamp", F.col("event_id").alias("seq")))
+    down = heartbeats.outages(events, 21_600).select("node_id", F.lit("node_down").alias("event"), (F.col("last_seen") + F.make_dt_interval(secs=F.lit(21_600))).alias("at"))
+    return heartbeats.master_down(down, terms).select("node_id", "event", F.unix_micros("at").alias("at_us"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, epoch_us(ts) AS back_us FROM events""")
+def iso_times(s, d):
+    rows = read_table(s, d, "events").select("event_id", S.iso(F.col("ts")).alias("iso"))
+    return rows.withColumn("back_us", F.unix_micros(S.from_iso(F.col("iso"))))
+
+
+@query("""SELECT s_suppkey AS node_id, s_name AS name FROM supplier WHERE s_nationkey > 0 AND s_suppkey <> 4""")
+def announcements_parsed(s, d):
+    rows = read_table(s, d, "supplier").select(S.announce(F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("value"))
+    return discovery.parse_announcements(rows, "4").select(F.col("node_id").cast("bigint").alias("node_id"), F.col("ip_address").alias("name"))
+
+
+@query("SELECT event_id AS file_id, 'failed' AS status FROM events WHERE event_id = 5 AND event_type = 'error' UNION ALL SELECT event_id, 'pending' FROM events WHERE event_id = 5 AND event_type <> 'error'")
+def replication_task_status(s, d):
+    fails = F.when(F.col("event_type") == "error", F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
+    tasks = read_table(s, d, "events").select(F.col("event_id").alias("file_id"), F.array(F.lit("n")).alias("target_nodes"), F.array().cast("array<string>").alias("completed_nodes"), fails.alias("failed_nodes"))
+    return replication.task_status(tasks, 5).select("file_id", "status")

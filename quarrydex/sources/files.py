@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.registry import bulk_counts, bulk_outcome
 
 # What a scan leaves out.
 EXCLUDED_FOLDERS = [".git", ".svn", "__pycache__", "node_modules", ".venv", "venv", ".env", "dist", "build"]
@@ -48,6 +49,20 @@ def scan_directory(spark: SparkSession, folder: str, node_id: str, recursive: bo
     )
 
 
+def import_folder(spark: SparkSession, folder: str, node_id: str) -> DataFrame:
+    """A node's folder without hashes and contents: the scan's columns but for those, file_id from node and relative path."""
+    rows = scan_directory(spark, folder, node_id).drop("content", "content_hash")
+    return rows.withColumn("file_id", S.import_id(F.lit(node_id), F.col("path")))
+
+
+def upload(scanned: DataFrame, node_id: str, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files and contents of what can be taken, with upload ids, and total, successful, failed of all."""
+    outcome = bulk_outcome(scanned, most_bytes)
+    taken = outcome.where("status = 'success'").withColumn("file_id", S.upload_id(F.lit(node_id), F.col("content_hash"))).withColumn("node_id", F.lit(node_id)).drop("status", "error")
+    files, contents = split_ingest(taken)
+    return files, contents, bulk_counts(outcome)
+
+
 def scan_totals(scanned: DataFrame) -> DataFrame:
     """files, bytes, megabytes."""
     own = scanned.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

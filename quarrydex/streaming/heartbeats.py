@@ -50,6 +50,24 @@ def heartbeat_stream(messages: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS
     return messages.withWatermark("timestamp", f"{timeout_seconds} seconds").groupBy("node_id").applyInPandasWithState(update, OUT, "last bigint, down boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def of_peers(messages: DataFrame, peers: DataFrame) -> DataFrame:
+    """Pings and pongs (type, sender_id, timestamp) of known peers (node_id), as node_id, timestamp; others are ignored.  ``messages`` may be a stream."""
+    rows = messages.where(F.col("type").isin("PING", "PONG")).select(F.col("sender_id").alias("node_id"), "timestamp")
+    return rows.join(peers.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def replies(messages: DataFrame, own) -> DataFrame:
+    """The pong that each ping gets, known sender or not: type, sender_id, in_reply_to, timestamp."""
+    return messages.where(F.col("type") == "PING").select(F.lit("PONG").alias("type"), F.lit(own).alias("sender_id"), F.col("sender_id").alias("in_reply_to"), "timestamp")
+
+
+def master_down(events: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of node_down events (node_id, event, at) those of the node that led then; terms: new_master, since, until (null: still)."""
+    led = terms.select(F.col("new_master").alias("node_id"), "since", "until")
+    hit = events.where("event = 'node_down'").join(led, "node_id").where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    return hit.select("node_id", F.lit("master_down").alias("event"), "at").distinct()
+
+
 def outages(messages: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
     """node_id, last_seen, back_at, gap_seconds of every gap longer than the timeout in a finished log (node_id, timestamp)."""
     after = F.lead("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp"))

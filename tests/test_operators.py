@@ -139,11 +139,12 @@ def test_reliability(spark):
 def test_checkpoints(spark):
     files = spark.createDataFrame([("a", "1", "h1", at(1)), ("a", "2", None, None), ("b", "3", "h3", at(3))], "node_id string, file_id string, content_hash string, last_updated timestamp")
     points = checkpoints.checkpoint(files, F.lit(at(9))).cache()
-    assert all(r.valid for r in checkpoints.verify(points).collect())
-    broken = points.withColumn("files_snapshot", F.transform("files_snapshot", lambda x: x.withField("content_hash", F.lit("evil"))))
-    assert not any(r.valid for r in checkpoints.verify(broken).collect())
+    snapshot = checkpoints.snapshot(files, F.lit(at(9)))
+    assert all(r.valid for r in checkpoints.verify(points, snapshot).collect())
+    assert not any(r.valid for r in checkpoints.verify(points, snapshot.withColumn("content_hash", F.lit("evil"))).collect())
+    assert {r.node_id: r.valid for r in checkpoints.verify(points, snapshot.where("node_id = 'a'")).collect()} == {"a": True, "b": False}
     changed = files.where("file_id <> '1'").withColumn("content_hash", F.lit("new"))
-    back = checkpoints.restore(changed, points.where("node_id = 'a'"))
+    back = checkpoints.restore(changed, snapshot.where("node_id = 'a'"))
     assert {(r.node_id, r.file_id, r.content_hash) for r in back.collect()} == {("a", "1", "h1"), ("a", "2", None), ("b", "3", "new")}
     assert checkpoints.coordinated(points).first().total_files == 3
 
