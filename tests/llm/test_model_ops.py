@@ -212,7 +212,9 @@ def test_raking_meets_targets(spark):
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
     want = {"source": {"s0": 1, "s1": 1, "s2": 2}, "lang": {"l0": 3, "l1": 2}, "topic": {str(c): 1 for c in range(4)}}
     targets = {d: spark.createDataFrame(list(v.items()), "value string, weight int") for d, v in want.items()}
-    got = mixing.rake(df, targets, rounds=20, budget=0.3).collect()
+    raked = mixing.rake(df, targets, rounds=20, budget=0.3, tolerance=0.0)
+    got = raked.collect()
+    assert raked.count() == len(cells) and mixing.marginals(raked).agg(F.max('gap')).first()[0] < 1e-3
     total = 0.3 * sum(c[3] for c in cells)
     for d, shares in want.items():
         for value, weight in shares.items():
@@ -226,6 +228,27 @@ def test_raking_meets_targets(spark):
         assert r.factor * r.tokens == pytest.approx(w[r.source, r.lang, r.topic], rel=1e-9)
 
 
+def test_targets_out_of_reach_are_shared_out(spark):
+    cells = [(f"s{a}", f"l{b}", "x", n) for a, b, n in ((0, 0, 10_000), (0, 1, 9_000), (1, 0, 300), (1, 1, 200), (2, 0, 8_000), (2, 1, 5_000))]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
+    targets = {"source": spark.createDataFrame([("s0", 1), ("s1", 1), ("s2", 2)], "value string, weight int")}
+    raked = mixing.rake(df, targets)
+    got = {(r.dimension, r.value): r for r in mixing.marginals(raked).collect()}
+    whole = 0.5 * sum(c[3] for c in cells)
+    # all there is of s1, the rest by one to two; two thirds of it are more than s2 has not
+    assert got["source", "s1"].target == 500 and got["source", "s0"].target == pytest.approx((whole - 500) / 3)
+    assert sum(r.target for (d, _), r in got.items() if d == "source") == pytest.approx(whole)
+    assert max(r.gap for r in got.values()) <= mixing.TOLERANCE
+    assert sum(r.factor * r.tokens for r in raked.collect()) == pytest.approx(whole, rel=2e-3)
+
+
+def test_a_topic_of_the_callers(spark):
+    rows = spark.createDataFrame([(i, "one two three", "en", "s", "t1" if i % 3 else None) for i in range(30)], "doc_id bigint, text string, lang string, source string, subject string")
+    got = mixing.calibrate(rows, topic_col="subject").collect()
+    assert {r.topic for r in got} == {"t1", "(none)"} and len(got) == 30
+    assert "word_group" in mixing.calibrate(rows).columns
+
+
 def test_odd_mixing(spark):
     got = mixing.calibrate(odd(spark)).collect()
     assert len(got) == len(ODD) + 2 and all(0 <= r.probability <= 1 for r in got)
