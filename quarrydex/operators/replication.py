@@ -97,7 +97,9 @@ def rendezvous(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FAC
     free = lambda n: F.lit(True) if source is None else ~n.eqNullSafe(F.col(source))
     holds = lambda n: F.lit(False) if exclude is None else F.coalesce(F.array_contains(exclude, n), F.lit(False))
     many = F.lit(factor) if wanted is None else F.col(wanted)
-    rows = files.select("file_id", *[c for c in (source, exclude, wanted) if c]).repartition("file_id")
+    rows = files.select("file_id", *[c for c in (source, exclude, wanted) if c])
+    # by number, so that few bytes don't become one task: the work is in the hashes
+    rows = rows.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
     below = min(1 << 32, (factor + SPARE) * (1 << 32) // max(len(ids), 1))
     first = None
     for block in blocks:

@@ -48,13 +48,15 @@ def bm25(docs: DataFrame, field: str, query: str, id_col: str = "file_id") -> Da
 
 #: Parts that an index deals terms to, by hash; a query reads the parts of its terms alone.
 PARTS = 64
+#: Parts of a part, by file.
+SALTS = 16
 
 
 def build_index(docs: DataFrame, path: str, fields: list[str], id_col: str = "file_id", parts: int = PARTS) -> None:
     """Write postings (field, part, term, file_id, tf, dl) and the statistics of each field (field, n, avgdl) under ``path``.
 
-    Files are sorted by term and split by range of term and file, so a term that most documents have fills several files,
-    and the scan skips what doesn't have a query's terms.
+    Files are sorted by term, so the scan skips what doesn't have a query's terms; each part is dealt out by file too, so a
+    term that most documents have fills several files.
     """
     held, stats = None, None
     for field in fields:
@@ -63,7 +65,7 @@ def build_index(docs: DataFrame, path: str, fields: list[str], id_col: str = "fi
         about = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("field", F.lit(field))
         held, stats = (counted, about) if held is None else (held.union(counted), stats.union(about))
     held = held.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    held.repartitionByRange("field", "part", "term", "file_id").sortWithinPartitions("field", "part", "term").write.partitionBy("field", "part").parquet(f"{path}/postings")
+    held.repartition("field", "part", F.pmod(F.xxhash64("file_id"), F.lit(SALTS))).sortWithinPartitions("field", "part", "term").write.partitionBy("field", "part").parquet(f"{path}/postings")
     stats.coalesce(1).write.parquet(f"{path}/fields")
 
 
@@ -71,9 +73,8 @@ def indexed_bm25(spark: SparkSession, path: str, field: str, query: str, parts:
     """file_id, score of the documents that have a term of the query, from the postings of its terms alone."""
     terms = query_terms(query)
     rows = spark.read.parquet(f"{path}/postings").where((F.col("field") == field) & F.col("term").isin(terms))
-    # the parts of the terms are computed here, so that they prune directories
-    where = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts))).distinct().collect()] if terms else []
-    rows = rows.where(F.col("part").isin(where))
+    # constants once they are folded, so they prune directories
+    rows = rows.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(parts)) for t in terms]) if terms else F.lit(False))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
     about = spark.read.parquet(f"{path}/fields").where(F.col("field") == field).select("n", "avgdl")
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
