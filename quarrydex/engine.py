@@ -45,6 +45,26 @@ class Engine:
         hits = search.search(docs, query, file_type, max_results)
         return hits if include_score else hits.drop("score")
 
+    def build_index(self, path: str) -> None:
+        """Write the postings of names and contents for ``search_index``."""
+        docs = self.files.join(self.contents.select("file_id", "content"), "file_id", "left").dropDuplicates(["file_id"])
+        search.build_index(docs, path, ["name", "content"])
+
+    def search_index(self, path: str, query: str, file_type: str | None = None, max_results: int = 50) -> DataFrame:
+        among = None if file_type is None else self.files.where(F.col("type") == file_type).select("file_id")
+        return search.indexed_search(self.spark, path, query, max_results, among=among)
+
+    def result_files(self, hits: DataFrame, max_results: int | None = None) -> DataFrame:
+        return search.with_files(hits, self.files, max_results)
+
+    def embed_documents(self) -> DataFrame:
+        docs = self.files.join(self.contents.select("file_id", "content"), "file_id", "left").dropDuplicates(["file_id"])
+        docs = docs.withColumns({"description": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")})
+        return vectors.embedded(docs, self.options.dimensions)
+
+    def embed_query(self, query: str) -> list[float]:
+        return vectors.embedded_query(self.spark, query, self.options.dimensions)
+
     def nodes_available(self, hits: DataFrame) -> DataFrame:
         return search.nodes_of(hits, self.files, self.nodes.where("status = 'online'"))
 
@@ -81,6 +101,13 @@ class Engine:
     def replication_plan(self) -> DataFrame:
         return replication.rendezvous(self.files.select("file_id").distinct(), self.nodes, self.options.replication_factor)
 
+    def replica_targets(self, affine: DataFrame) -> DataFrame:
+        files = self.files.groupBy("file_id").agg(F.min("node_id").alias("source"))
+        return replication.replica_targets(files, self.nodes, affine, self.options.replication_factor)
+
+    def recovery_plan(self, failed) -> DataFrame:
+        return replication.recovery_plan(self.files, self.nodes, failed, self.options.replication_factor)
+
     def conflicts(self) -> DataFrame:
         return replication.conflicts(self.files)
 
@@ -126,6 +153,18 @@ class Engine:
     def system_reliability(self, now=None) -> DataFrame:
         return reliability.system_metrics(self.failures, self.nodes, now, self.options.reliability_days)
 
+    def record_failure(self, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return reliability.record_failure(self.failures, self.nodes, new)
+
+    def recount(self) -> DataFrame:
+        return registry.recount(self.nodes, self.files)
+
+    def upload(self, folder: str, node_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return sources.upload(self.scan_directory(folder, node_id), node_id)
+
+    def import_folder(self, folder: str, node_id: str) -> DataFrame:
+        return sources.import_folder(self.spark, folder, node_id)
+
     def checkpoint(self, now) -> DataFrame:
         return checkpoints.checkpoint(self.files, now)
 
@@ -145,7 +184,8 @@ class Engine:
         return registry.sync_directory(self.files.where(F.col("node_id") == node_id), self.scan_directory(folder, node_id))
 
     def heartbeat_stream(self, messages: DataFrame) -> DataFrame:
-        return heartbeats.heartbeat_stream(messages, self.options.heartbeat_timeout)
+        """node_down and node_up of known nodes from a stream of pings and pongs (type, sender_id, timestamp)."""
+        return heartbeats.heartbeat_stream(heartbeats.of_peers(messages, self.nodes), self.options.heartbeat_timeout)
 
     def discovery_stream(self, raw: DataFrame) -> DataFrame:
         return discovery.sessions(discovery.parse_announcements(raw), self.options.discovery_expiry, f"{self.options.discovery_expiry} seconds")

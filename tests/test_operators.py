@@ -221,6 +221,88 @@ def test_engine_search(spark):
     assert tuple(engine.index_stats().first()) == (2, 6, 1, 1, 2)
 
 
+def test_index_equals_texts(spark, tmp_path):
+    rows = [("1", "red car", "a red car and a blue one"), ("2", "blue boat", "sea " * 30), ("3", None, "the car"), ("4", "", None), ("5", "Red red RED", "red")]
+    docs = spark.createDataFrame(rows, "file_id string, name string, content string")
+    path = str(tmp_path / "index")
+    search.build_index(docs, path, ["name", "content"])
+    for query in ("red", "car BLUE", "sea boat the", "nothing", "", " "):
+        want = [tuple(r) for r in search.weighted_search(docs, query).collect()]
+        assert [tuple(r) for r in search.indexed_search(spark, path, query).collect()] == want, query
+    only = docs.where("file_id in ('1', '3')").select("file_id")
+    assert {r.file_id for r in search.indexed_search(spark, path, "red car", among=only).collect()} == {"1", "3"}
+    plan = search.indexed_bm25(spark, path, "name", "red")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "xxhash64(red" not in plan.split("== Physical Plan ==")[1].split("PartitionFilters")[1][:200]
+
+
+def test_hits_keep_their_order(spark):
+    hits = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 9.0)], "file_id string, score double")
+    files = spark.createDataFrame([("a", "n2"), ("a", "n1"), ("c", "n1"), ("b", "n3")], "file_id string, node_id string")
+    got = search.with_files(hits, files, 2).collect()
+    assert [(r.nth, r.file_id, r.node_id) for r in got] == [(1, "c", "n1"), (2, "a", "n1"), (2, "a", "n2")]
+
+
+@pytest.mark.parametrize("block, spare", [(10_000, 40), (7, 1), (7, 0)])
+def test_rendezvous_equals_ranking_all(spark, monkeypatch, block, spare):
+    import hashlib
+
+    monkeypatch.setattr(replication, "BLOCK", block)
+    monkeypatch.setattr(replication, "SPARE", spare)
+    nodes = spark.createDataFrame([(f"n{k}", "online" if k % 5 else "offline") for k in range(60)], "node_id string, status string")
+    files = spark.createDataFrame([(f"f{k}", f"n{k % 60}", [f"n{j}" for j in range(k % 50)], k % 4) for k in range(80)], "file_id string, source string, held array<string>, missing int")
+    got = {}
+    for r in replication.rendezvous(files, nodes, 2, source="source", exclude="held", wanted="missing").orderBy("nth").collect():
+        got.setdefault(r.file_id, []).append(r.node_id)
+    for k in range(80):
+        free = [f"n{j}" for j in range(60) if j % 5 and j != k % 60 and j >= k % 50]
+        want = sorted(free, key=lambda n: hashlib.md5(f"f{k}:{n}".encode()).hexdigest())[: k % 4]
+        assert got.get(f"f{k}", []) == want
+    assert replication.rendezvous(files, nodes.limit(0)).count() == 0
+
+
+def test_more_nodes_than_one_block(spark, monkeypatch):
+    rows = [(k, k % 9, [float(k % 7), float(k % 5), 1.0]) for k in range(90)]
+    vec = spark.createDataFrame(rows, "file_id int, node_id int, embedding array<double>")
+    want = sorted(map(tuple, vectors.replica_nodes(vec, 3).collect()))
+    asked = vec.where("file_id < 20").select(F.col("file_id").alias("query_id"), "embedding")
+    scores = sorted(map(tuple, vectors.batch_similarity(vec, asked).collect()))
+    monkeypatch.setattr(vectors, "NODES_AT_ONCE", 2)
+    monkeypatch.setattr(vectors, "BATCH", 3)
+    assert sorted(map(tuple, vectors.replica_nodes(vec, 3).collect())) == want
+    assert sorted(map(tuple, vectors.batch_similarity(vec, asked).collect())) == scores and len(scores) == 1800
+
+
+def test_targets_and_results(spark):
+    nodes = spark.createDataFrame([("a", "online"), ("b", "online"), ("c", "online"), ("d", "offline")], "node_id string, status string")
+    files = spark.createDataFrame([("f", "a"), ("g", "c"), ("h", "b")], "file_id string, source string")
+    affine = spark.createDataFrame([("h", "d", 1), ("h", "c", 2)], "file_id string, node_id string, nth int")
+    got = replication.replica_targets(files, nodes, affine).orderBy("file_id", "nth")
+    assert [(r.file_id, r.node_id) for r in got.collect()] == [("f", "b"), ("f", "c"), ("g", "a"), ("g", "b"), ("h", "d"), ("h", "c")]
+    log = {r.file_id: (r.replicated_to, r.failed, r.status) for r in replication.replication_results(got, nodes).collect()}
+    assert log["f"] == (["b", "c"], [], "completed") and log["h"] == (["c"], ["d"], "partial")
+    assert replication.first_nodes(files, nodes.limit(0)).count() == 0
+
+
+def test_engine_surface(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"hello there")
+    engine = Engine(spark, Options(dimensions=16))
+    files, contents, counts = engine.upload(str(tmp_path / "in"), "n1")
+    assert tuple(counts.first()) == (1, 1, 0) and files.first().file_id.startswith("n1_")
+    assert engine.import_folder(str(tmp_path / "in"), "n1").columns == [c for c in files.columns if c != "content_hash"]
+    nodes = spark.createDataFrame([("n1", "online"), ("n2", "online")], "node_id string, status string")
+    engine = Engine(spark, Options(dimensions=16), {"files": files, "contents": contents, "nodes": nodes, "failures": spark.createDataFrame([], "node_id string, timestamp timestamp")})
+    engine.build_index(str(tmp_path / "index"))
+    hits = engine.search_index(str(tmp_path / "index"), "HELLO", "document")
+    assert hits.count() == 1 and [r.node_id for r in engine.result_files(hits).collect()] == ["n1"]
+    near = engine.embed_documents().first().embedding
+    assert len(near) == 16 and len(engine.embed_query("hello")) == 16
+    failures, marked = engine.record_failure(spark.createDataFrame([("n1", at(3))], "node_id string, timestamp timestamp"))
+    assert failures.count() == 1 and {r.node_id: r.status for r in marked.collect()} == {"n1": "offline", "n2": "online"}
+    assert {r.node_id: r.shared_files_count for r in engine.recount().collect()} == {"n1": 1, "n2": 0}
+    assert [r.node_id for r in engine.recovery_plan("n1").collect()] == ["n2"]
+
+
 def test_plans(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.range(100).selectExpr("id AS file_id", "id % 5 AS node_id", "array(1.0D, cast(id AS double)) AS embedding", "repeat('x', 100) AS text").write.parquet(path)

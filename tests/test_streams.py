@@ -37,6 +37,17 @@ def test_outages(spark, tmp_path):
     assert max(sum(r.node_id == n and r.event == "node_down" for r in got) for n in "az") <= 1
 
 
+def test_known_senders_and_the_master(spark):
+    rows = [("PING", "a", at(0)), ("PONG", "x", at(0)), ("HELLO", "a", at(9)), ("PONG", "b", at(2))]
+    messages = spark.createDataFrame(rows, "type string, sender_id string, timestamp timestamp")
+    peers = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    assert {tuple(r) for r in heartbeats.of_peers(messages, peers).collect()} == {("a", at(0)), ("b", at(2))}
+    assert [tuple(r)[1:3] for r in heartbeats.replies(messages, "me").collect()] == [("me", "a")]
+    events = spark.createDataFrame([("a", "node_down", at(5)), ("b", "node_down", at(5)), ("a", "node_down", at(50)), ("a", "node_up", at(6))], "node_id string, event string, at timestamp")
+    terms = spark.createDataFrame([("a", at(0), at(10)), ("b", at(10), None)], "new_master string, since timestamp, until timestamp")
+    assert [tuple(r) for r in heartbeats.master_down(events, terms).collect()] == [("a", "master_down", at(5))]
+
+
 def test_states(spark):
     rows = spark.createDataFrame([("a", at(0)), ("b", at(10))], "node_id string, timestamp timestamp")
     assert {r.node_id: (r.status, r.missed_beats) for r in heartbeats.node_states(rows, F.lit(at(20))).collect()} == {"a": ("offline", 1), "b": ("online", 0)}
