@@ -32,7 +32,7 @@ FACTORS, EPOCHS, RATE, DECAY = 8, 30, 0.1, 1e-3
 #: Documents of a step of the fit, and spread of the vectors at its start.
 STEP, SPREAD = 64, 0.01
 #: Terms whose pairs are counted at a time.
-PAIRS_AT_ONCE = 1024
+PAIRS_AT_ONCE = 256
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Entries of a worker's cache from words to terms.
@@ -182,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     chance = F.when(toxic, int(min(1.0, toxic_rows / max(n1, 1)) * (1 << 20))).otherwise(int(min(1.0, clean_rows / max(n0, 1)) * (1 << 20)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < chance)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.arrow_udf(hashed, "array<int>")("text").alias("terms"), toxic.cast("int").alias("toxic")).toArrow().sort_by("doc_id")
-    return Machine.fit([np.array(t, np.int64) for t in rows["terms"].to_pylist()], np.array(rows["toxic"].to_pylist(), float))
+    terms_ = rows["terms"].combine_chunks()
+    edges = terms_.offsets.to_numpy()
+    docs_ = np.split(terms_.values.to_numpy(), edges[1:-1]) if len(rows) else []  # views of one array
+    return Machine.fit(docs_, rows["toxic"].to_numpy().astype(float))
 
 
 def score_column(spark: SparkSession, machine: Machine):
