@@ -11,6 +11,10 @@ passages share a key, and neighbouring passages with one key form a run.  Four s
 
 Within a task, equal keys and equal texts are combined first, so a passage that a large share of all documents has is
 sent once by each task, however many documents it is in.  Steps 2 and 4 read the same shuffle of the texts.
+
+A key may be frequent although the texts around it differ: a short string that very many documents have.  A sample of
+documents tells which keys those are, and their passages are dealt out one by one, by their own hash, so no key brings
+all of its documents to one task.  That is a matter of work alone: what is removed doesn't depend on it.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 NTH = 32
 #: Keys that a task combines before it sends them.
 HELD_KEYS = 1 << 20
+#: Documents of the sample that frequent keys are looked for in, about; documents with a key from which on it is frequent, and those of the sample at least.
+SAMPLE, FREQUENT, LEAST = 200_000, 5000, 16
 
 _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,6 +204,24 @@ def find_keys(buckets: int):
     return run
 
 
+def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different keys of each document, one after another."""
+    for batch in batches:
+        texts = strings(batch.column(0))
+        for lo, hi in shards(texts):
+            key, doc, _, _ = runs(texts[lo:hi])
+            own = np.unique(np.stack((doc.astype(np.int64), key.view(np.int64)), axis=1), axis=0)[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own))], names=["key"])
+
+
+def frequent_keys(rows: DataFrame, number: int) -> np.ndarray:
+    """Keys that about FREQUENT of all ``number`` documents have or more, ascending; their number is bounded by the sample's size."""
+    part = min(1.0, SAMPLE / max(number, 1))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text")
+    found = chosen.mapInArrow(keys_of, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST, FREQUENT * part))
+    return np.sort(np.array(found.select("key").toArrow()["key"].to_numpy(), np.int64))
+
+
 def share_keys(buckets: int):
     """Step 1, by key bucket: rows (document bucket; documents, keys) of the keys that several documents have."""
 
@@ -221,12 +245,16 @@ def share_keys(buckets: int):
     return run
 
 
-def cut_out(buckets: int):
+def cut_out(buckets: int, frequent: np.ndarray):
     """Step 2, by document bucket.  Kind 0: (documents, first passages, sizes, bytes) of the texts around shared runs, each once;
     kind 1: (documents, low, high) to remove already, as a smaller document here has the same text.
 
     A place in a text has the text's number among those of its id (``nth_texts``) above its low 32 bits, here and in all that follows.
+    Passages of ``frequent`` keys go by themselves, under their own hash.
     """
+    import xxhash
+
+    often = set(frequent.tolist())
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -246,15 +274,17 @@ def cut_out(buckets: int):
                 place = np.minimum(np.searchsorted(known, test), len(known) - 1)
                 hit = np.flatnonzero(known[place] == test)
                 for k, d, s, n in zip(key[hit].view(np.int64).tolist(), (doc[hit] + lo).tolist(), first[hit].tolist(), many[hit].tolist()):
-                    text = texts[d][s : s + n + LENGTH - 1]
-                    own = int(ids[d])
-                    s += int(nth[d]) << NTH
-                    least = seen.setdefault(text, own)
-                    if own > least:
-                        gone.extend((own, s, s + len(text)))
-                    else:
-                        sent.extend((own, s, len(text), k))
-                        sent_texts.append(text)
+                    own, above = int(ids[d]), int(nth[d]) << NTH
+                    pieces = [(s, n, k)] if k not in often else [(t, 1, None) for t in range(s, s + n)]
+                    for s, n, k in pieces:
+                        text = texts[d][s : s + n + LENGTH - 1]
+                        s += above
+                        least = seen.setdefault(text, own)
+                        if own > least:
+                            gone.extend((own, s, s + len(text)))
+                        else:
+                            sent.extend((own, s, len(text), xxhash.xxh64_intdigest(text) - (1 << 63) if k is None else k))
+                            sent_texts.append(text)
             seen.clear()
             if sent:
                 numbers_ = np.array(sent, np.int64).reshape(-1, 4)
@@ -435,14 +465,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     they don't match each other, but each loses the places in its own text only.  A null id counts as the largest one, so
     rows without an id share it.  Other columns are ignored, an empty table gives an empty result.
     """
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    size, number = docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, -(-size // bucket_bytes))
     largest = (1 << 62)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(largest)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
     deal = F.arrow_udf(lambda ids: pa.array(doc_bucket(ids.to_numpy(zero_copy_only=False), buckets).astype(np.int32)), "int")
     dealt = rows.select(deal("doc_id").alias("bucket"), "doc_id", "text", "no_id")
     shared = rows.select("doc_id", "text").mapInArrow(find_keys(buckets), PACK).groupBy("bucket").applyInArrow(share_keys(buckets), PACK)
-    texts = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut_out(buckets), PACK)
+    texts = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut_out(buckets, frequent_keys(rows, number)), PACK)
     spans = texts.groupBy("bucket").applyInArrow(resolve(buckets), SPANS)
     return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 

@@ -191,9 +191,16 @@ def repeat_rows():
     return [*rows, (50, rows[3][1]), (51, rows[3][1]), (52, None), (53, ""), (54, "a" * 3000), (55, "a" * 60), (56, "b" * 49), (57, "b" * 49), (58, "ab" * 40), (59, "x" + "ab" * 40), (None, rows[5][1]), (60, "é" * 25), (61, "é" * 26)]
 
 
-@pytest.mark.parametrize("bucket_bytes", [1 << 24, 500])
-def test_repeats(spark, bucket_bytes):
+@pytest.mark.parametrize("bucket_bytes, frequent", [(1 << 24, 5000), (500, 5000), (500, 2)])
+def test_repeats(spark, monkeypatch, bucket_bytes, frequent):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(substring_dedup, "LEAST", min(frequent, 16))
     rows = repeat_rows()
+    # a short string that many documents have, each in other surroundings, and a few in equal ones
+    rng = random.Random(31)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common, around = "(c) all rights reserved 2024", [line(40) for _ in range(12)]
+    rows += [(1000 + k, line(30) + rng.choice(around) + common + rng.choice(around) + line(rng.randint(0, 30))) for k in range(60)]
     random.Random(11).shuffle(rows)
     df = substring_dedup.remove_repeats(table(spark, rows).repartition(3), bucket_bytes=bucket_bytes)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect()]
