@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
-from ..sources.files import read_table
+from ..sources.files import read_table, shared_folder
 from ..streaming import discovery, elections, heartbeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,8 +99,7 @@ _INDEXES: dict[tuple[str, str, str], str] = {}
 def _index(s: SparkSession, d: str, name: str, docs: DataFrame, fields: list[str]) -> str:
     key = (s.sparkContext.applicationId, d, name)
     if key not in _INDEXES:
-        folder = s.conf.get("spark.checkpoint.dir", "") or s.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder.rstrip('/')}/{name}-index-{uuid.uuid4().hex}"
+        path = f"{shared_folder(s)}/{name}-index-{uuid.uuid4().hex}"
         search.build_index(docs, path, fields)
         _INDEXES[key] = path
     return _INDEXES[key]

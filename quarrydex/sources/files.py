@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ EXCLUDED_ENDINGS = [".pyc", ".pyo", ".class", ".o", ".obj", ".dll", ".so"]
 MOST_BYTES, MOST_TEXT = 100 * 1024 * 1024, 1024 * 1024
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one for a session on one machine, and an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        path = "file://" + tempfile.mkdtemp(prefix="quarrydex-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
