@@ -33,8 +33,8 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BLOCKS = ((RADIUS + 2, 1 << 26), (RADIUS + 3, 1 << 31), (RADIUS + 4, 1 << 62))
 #: Rows of a bucket that one task compares, of 64 bits and of wide ones; a larger bucket is dealt out by pairs of parts.
 LARGE, LARGE_WIDE = 4096, 1024
-#: Rows compared at a time.
-CHUNK = 1 << 17
+#: Rows compared at a time, and words of planes at a time, with as many distances as that takes.
+CHUNK, AT_ONCE = 1 << 17, 1 << 11
 FOUND = "a bigint, b bigint"
 
 
@@ -78,37 +78,39 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     return packed.view("<u8")
 
 
-def near(planes: np.ndarray, d: int, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Of the pairs (i, i + d) with bit i set in ``lanes``, bits for those within ``radius``."""
-    skip, bit = divmod(d, 64)
+def near(planes: np.ndarray, distances: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Of the pairs (i, i + d) with bit i set in the row of ``lanes`` for d, one of ``distances``, bits for those within ``radius``.
+
+    The words of several distances are compared side by side, so few rows don't mean short arrays.
+    """
     out = np.zeros_like(lanes)
-    live = np.flatnonzero(lanes[: planes.shape[1] - skip - 1])
-    count = [np.zeros(len(live), np.uint64) for _ in range(radius.bit_length())]  # a bit of all counters each
-    over = np.zeros(len(live), np.uint64)
+    which, word = np.nonzero(lanes)
+    count = [np.zeros(len(word), np.uint64) for _ in range(radius.bit_length())]  # a bit of all counters each
+    over = np.zeros(len(word), np.uint64)
     for g in range(0, len(planes), 8):
-        other = planes[g : g + 8, live + skip] >> np.uint64(bit)
-        if bit:
-            other |= planes[g : g + 8, live + skip + 1] << np.uint64(64 - bit)
-        for x in planes[g : g + 8, live] ^ other:
+        shift = (distances[which] & 63).astype(np.uint64)
+        place = word + (distances[which] >> 6)
+        other = planes[g : g + 8, place] >> shift | planes[g : g + 8, place + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        for x in planes[g : g + 8, word] ^ other:
             for k, c in enumerate(count):
                 carry = c & x
                 count[k] = c ^ x
                 x = carry
             over |= x
-        far, same = over.copy(), ~np.zeros(len(live), np.uint64)
+        far, same = over.copy(), ~np.zeros(len(word), np.uint64)
         for k in reversed(range(len(count))):  # counts above the radius
             if radius >> k & 1:
                 same &= count[k]
             else:
                 far |= same & count[k]
                 same &= ~count[k]
-        alive = lanes[live] & ~far
+        alive = lanes[which, word] & ~far
         keep = np.flatnonzero(alive)
-        if len(keep) < len(live):
-            live, over, count = live[keep], over[keep], [c[keep] for c in count]
-        if not len(live):
+        if len(keep) < len(word):
+            which, word, over, count = which[keep], word[keep], over[keep], [c[keep] for c in count]
+        if not len(word):
             return out
-    out[live] = alive[keep]
+    out[which, word] = alive[keep]
     return out
 
 
@@ -132,29 +134,36 @@ def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = No
         if not len(rows):
             return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
         planes, own = planes_of(prints[rows]), bucket[rows]
-        for d in range(d, min(2 * d, int(size.max()))):
-            same = np.zeros(64 * planes.shape[1], bool)
-            together = own[:-d] == own[d:]
-            if not together.any():
-                break
-            same[: len(own) - d] = together & (label[rows[:-d]] != label[rows[d:]])
-            hit = near(planes, d, np.packbits(same, bitorder="little").view("<u8"), radius)
-            i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-            i, j = rows[i], rows[i + d]
+        stop, step = min(2 * d, int(size.max())), max(1, AT_ONCE // planes.shape[1])
+        for d in range(d, stop, step):
+            distances = np.arange(d, min(d + step, stop))
+            same = np.zeros((len(distances), 64 * planes.shape[1]), bool)
+            for row, e in zip(same, distances.tolist()):
+                row[: len(own) - e] = (own[:-e] == own[e:]) & (label[rows[:-e]] != label[rows[e:]])
+            d = int(distances[-1])
+            if not same.any():
+                continue
+            hit = near(planes, distances, np.packbits(same, axis=1, bitorder="little").view("<u8"), radius)
+            e, i = np.nonzero(np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little"))
+            i, j = rows[i], rows[i + distances[e]]
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
             if alike is not None and len(i):
                 counts = alike(i, j)
                 i, j = i[counts], j[counts]
             if len(i):
-                a.append(ids[i])
-                b.append(ids[j])
-                for p, q in zip(i.tolist(), j.tolist()):
+                first = np.unique(np.stack((label[i], label[j]), axis=1), axis=0, return_index=True)[1]
+                joins = []
+                for k, p, q in zip(first.tolist(), i[first].tolist(), j[first].tolist()):
                     while label[p] != p:
                         p = label[p]
                     while label[q] != q:
                         q = label[q]
-                    label[max(p, q)] = min(p, q)
+                    if p != q:
+                        label[max(p, q)] = min(p, q)
+                        joins.append(k)
+                a.append(ids[i[joins]])
+                b.append(ids[j[joins]])
                 while (label != (up := label[label])).any():
                     label = up
         d += 1

@@ -139,12 +139,13 @@ def test_bit_slices_count_distances():
     prints = rng.integers(0, 1 << 62, 300)
     prints[1::2] = prints[::2] ^ (1 << rng.integers(0, 62, 150)) ^ (1 << rng.integers(0, 62, 150))
     planes = simhash.planes_of(prints.view(np.uint8).reshape(-1, 8))
-    for d in (1, 2, 63, 64, 65, 130):
-        lanes = np.zeros(64 * planes.shape[1], bool)
-        lanes[: 300 - d] = True
-        hit = simhash.near(planes, d, np.packbits(lanes, bitorder="little").view("<u8"))
-        got = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-        assert got.tolist() == [i for i in range(300 - d) if int(prints[i] ^ prints[i + d]).bit_count() <= 4]
+    distances = np.array([1, 2, 63, 64, 65, 130])
+    lanes = np.zeros((6, 64 * planes.shape[1]), bool)
+    for row, d in zip(lanes, distances):
+        row[: 300 - d] = True
+    hit = simhash.near(planes, distances, np.packbits(lanes, axis=1, bitorder="little").view("<u8"))
+    for row, d in zip(np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little"), distances.tolist()):
+        assert np.flatnonzero(row).tolist() == [i for i in range(300 - d) if int(prints[i] ^ prints[i + d]).bit_count() <= 4]
 
 
 def test_components(spark):
