@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, secret_scan, simhash, substring_dedup, token_count, token_store, toxicity
+from . import decontaminate, exact_dedup, filter_audit, language, mixing, secret_scan, simhash, substring_dedup, token_count, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": lambda s, d: decontaminate.leak_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_secret_scan": lambda s, d: secret_scan.secret_report(table(s, d, "documents")),
+    "op11_filter_audit": lambda s, d: filter_audit.filter_audit(table(s, d, "documents"), table(s, d, "labels")),
     "op2_token_counts": lambda s, d: token_count.token_counts(table(s, d, "documents")),
     "op3_language_id": lambda s, d: language.language_report(table(s, d, "documents")),
     "op4_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
