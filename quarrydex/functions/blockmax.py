@@ -19,15 +19,17 @@ BLOCK = 128
 FIRST_LOOK = 8
 
 
-def byte_width(most: np.ndarray) -> np.ndarray:
-    return np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4)).astype(np.int64)
+def byte_code(most: np.ndarray) -> np.ndarray:
+    """0, 1, 2 for values that need 1, 2 or 4 bytes."""
+    return np.where(most < 1 << 8, 0, np.where(most < 1 << 16, 1, 2)).astype(np.int64)
 
 
-def pack(term: np.ndarray, place: np.ndarray, tf: np.ndarray, impact: np.ndarray, block: int = BLOCK) -> dict[str, pa.Array]:
+def pack(term: np.ndarray, place: np.ndarray, planes: list[np.ndarray], impact: np.ndarray, block: int = BLOCK) -> dict[str, pa.Array]:
     """Postings, sorted by term and place, as a row for each term: n, last, most, width, payload.
 
-    Places are stored as steps from the posting before, less one; steps and counts take 1, 2 or 4 bytes each, as the block
-    needs.  ``last`` and ``most`` have a value for each block, ``width`` a byte (steps in the low half, counts in the high).
+    Places are stored as steps from the posting before, less one; steps and each of ``planes`` (whole numbers of the posting,
+    as its count) take 1, 2 or 4 bytes a value, as the block needs.  ``last`` and ``most`` have a value for each block,
+    ``width`` a byte with two bits for each plane, steps lowest.
     """
     n = len(term)
     first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
@@ -37,68 +39,80 @@ def pack(term: np.ndarray, place: np.ndarray, tf: np.ndarray, impact: np.ndarray
     size = np.diff(np.concatenate((start, [n])))
     step = np.diff(place, prepend=-1) - 1
     step[first] = place[first]
-    wide = [byte_width(np.maximum.reduceat(v, start)) for v in (step, tf)]
-    bytes_ = size * (wide[0] + wide[1])
-    at = np.cumsum(bytes_) - bytes_
+    planes = [step, *planes]
+    codes = [byte_code(np.maximum.reduceat(v, start)) for v in planes]
+    bytes_ = size * sum(1 << c for c in codes)
+    base = np.cumsum(bytes_) - bytes_
     payload = np.zeros(int(bytes_.sum()), np.uint8)
     inside = np.arange(n) - np.repeat(start, size)
-    for values, w, base in ((step, wide[0], at), (tf, wide[1], at + size * wide[0])):
-        width = np.repeat(w, size)
+    for values, c in zip(planes, codes):
+        width = np.repeat(1 << c, size)
         where = np.repeat(base, size) + inside * width
         for j in range(4):
             own = width > j
             payload[where[own] + j] = (values[own] >> (8 * j)) & 255
+        base = base + size * (1 << c)
     cuts = np.concatenate(([0], np.cumsum(blocks)))
     of_term = np.concatenate(([0], np.cumsum(np.add.reduceat(bytes_, cuts[:-1]))))
     offsets = pa.array(cuts.astype(np.int32))
+    codes = sum(c << (2 * k) for k, c in enumerate(codes)).astype(np.uint8)
     return {
         "n": pa.array(count),
         "last": pa.ListArray.from_arrays(offsets, pa.array(place[start + size - 1].astype(np.int32))),
         "most": pa.ListArray.from_arrays(offsets, pa.array(np.maximum.reduceat(impact, start))),
-        "width": pa.Array.from_buffers(pa.binary(), len(count), [None, offsets.buffers()[1], pa.py_buffer((wide[0] + 16 * wide[1]).astype(np.uint8).tobytes())]),
+        "width": pa.Array.from_buffers(pa.binary(), len(count), [None, offsets.buffers()[1], pa.py_buffer(codes.tobytes())]),
         "payload": pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(of_term.astype(np.int32).tobytes()), pa.py_buffer(payload.tobytes())]),
     }
 
 
 @dataclass
 class Postings:
-    """The postings of a term in a shard; ``impact`` (places, counts) is what a posting adds, but for the term's weight."""
+    """The postings of a term in a shard; ``impact`` (places, then each plane) is what a posting adds, but for the term's weight."""
 
     n: int
     last: np.ndarray
     most: np.ndarray
     width: bytes
     payload: bytes
-    impact: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    impact: Callable[..., np.ndarray]
+    planes: int = 1
     block: int = BLOCK
     read: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        width = np.frombuffer(self.width, np.uint8).astype(np.int64)
-        self.steps, self.counts = width & 15, width >> 4
-        self.size = np.full(len(width), self.block, np.int64)
-        self.size[-1] = self.n - self.block * (len(width) - 1)
-        self.end = np.cumsum(self.size * (self.steps + self.counts))
+        codes = np.frombuffer(self.width, np.uint8).astype(np.int64)
+        self.widths = [1 << ((codes >> (2 * k)) & 3) for k in range(self.planes + 1)]
+        self.size = np.full(len(codes), self.block, np.int64)
+        self.size[-1] = self.n - self.block * (len(codes) - 1)
+        self.end = np.cumsum(self.size * sum(self.widths))
 
     def decompressed(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and impacts of a block, decompressed once."""
         if b not in self.read:
-            n, s, c = int(self.size[b]), int(self.steps[b]), int(self.counts[b])
-            at = int(self.end[b]) - n * (s + c)
-            step = np.frombuffer(self.payload, f"<u{s}", n, at)
-            place = np.cumsum(step.astype(np.int64) + 1) + (int(self.last[b - 1]) if b else -1)
-            self.read[b] = place, self.impact(place, np.frombuffer(self.payload, f"<u{c}", n, at + n * s))
+            n, widths = int(self.size[b]), [int(w[b]) for w in self.widths]
+            at = int(self.end[b]) - n * sum(widths)
+            values = []
+            for w in widths:
+                values.append(np.frombuffer(self.payload, f"<u{w}", n, at).astype(np.int64))
+                at += n * w
+            place = np.cumsum(values[0] + 1) + (int(self.last[b - 1]) if b else -1)
+            self.read[b] = place, self.impact(place, *values[1:])
         return self.read[b]
 
+    def places(self) -> np.ndarray:
+        return np.concatenate([self.decompressed(b)[0] for b in range(len(self.last))])
 
-def best(lists: list[tuple[Postings, float]], documents: int, k: int, floor: float = 0) -> tuple[np.ndarray, np.ndarray]:
+
+def best(lists: list[tuple[Postings, float]], documents: int, k: int, floor: float = 0, among: np.ndarray | None = None, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best of a shard with a score above 0 and not below ``floor``; equal scores by place.
 
     Stretches lie between the borders of blocks, so within one no list changes its block.  A shallow move of all pointers to a
     stretch looks at last places and greatest impacts alone; the blocks' impacts add up to the most that any document in the
     stretch can have.  Stretches below the threshold are left, their blocks stay compressed; the threshold is the k-th best
-    score so far, or ``floor``.  The most promising come first, as the threshold rises sooner.
+    score so far, or ``floor``.  The most promising come first, as the threshold rises sooner.  ``among`` (a flag for each
+    place) leaves some documents alone; scores are rounded to ``digits`` before they are compared.
     """
+    slack = 0 if digits is None else 10.0**-digits
     places, scores = np.zeros(0, np.int64), np.zeros(0)
     if not lists:
         return places, scores
@@ -113,7 +127,7 @@ def best(lists: list[tuple[Postings, float]], documents: int, k: int, floor: flo
     at, look = 0, FIRST_LOOK
     while at < len(order):
         chosen = order[at : at + look]
-        chosen = np.sort(chosen[(bound[chosen] >= floor) & (bound[chosen] > 0)])
+        chosen = np.sort(chosen[(bound[chosen] >= floor - slack) & (bound[chosen] > 0)])
         if not len(chosen):
             break
         inside = np.zeros(documents + 1, np.int8)
@@ -127,7 +141,9 @@ def best(lists: list[tuple[Postings, float]], documents: int, k: int, floor: flo
                     place, impact = p.decompressed(x)
                     own = inside[place]
                     total[place[own]] += weight * impact[own]
-        found = np.flatnonzero((total > 0) & (total >= floor))
+        if digits is not None:
+            total = np.round(total, digits)
+        found = np.flatnonzero((total > 0) & (total >= floor) & (True if among is None else among))
         places, scores = np.concatenate((places, found)), np.concatenate((scores.astype(total.dtype), total[found]))
         first = np.lexsort((places, -scores))[:k]
         places, scores = places[first], scores[first]
