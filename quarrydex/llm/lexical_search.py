@@ -76,7 +76,7 @@ def shard_rows(shard: int, texts: list[Counter], corpus: Corpus) -> pa.RecordBat
     term = rank[np.concatenate(number)]
     order = np.argsort(term, kind="stable")
     term, place, tf = term[order], place[order], tf[order]
-    packed = pack(term, place, tf, impact(tf, norms[place]))
+    packed = pack(term, place, [tf], impact(tf, norms[place]))
     none = pa.nulls(len(names), pa.list_(pa.int64()))
     rows = pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int64()), pa.array(names, pa.binary()), *packed.values(), none], schema=ROWS)
     about = pa.RecordBatch.from_pylist([{"shard": shard, "term": b"", "n": len(texts), "norms": norms.tolist()}], schema=ROWS)
