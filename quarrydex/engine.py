@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
+from .operators.text_index import TextIndex
 from .sources import files as sources
 from .streaming import discovery, elections, heartbeats
 
@@ -24,6 +25,7 @@ class Options:
     stale_load: int = 30
     reliability_days: int = 30
     strategy: str = "weighted"
+    stop_words: list[str] | None = None
 
 
 @dataclass
@@ -33,6 +35,7 @@ class Engine:
     spark: SparkSession
     options: Options = field(default_factory=Options)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    index: TextIndex | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -40,26 +43,38 @@ class Engine:
         except KeyError:
             raise AttributeError(f"no table or method {name}") from None
 
-    def search(self, query: str, file_type: str | None = None, max_results: int = 50, include_score: bool = True) -> DataFrame:
-        docs = self.files.join(self.contents.select("file_id", "content"), "file_id", "left").dropDuplicates(["file_id"])
-        hits = search.search(docs, query, file_type, max_results)
+    def documents(self) -> DataFrame:
+        """Each file once, with its content: the replica that was updated last, then that of the greatest node."""
+        columns = [c for c in self.files.columns if c != "file_id"]
+        latest = F.max_by(F.struct(*columns), F.struct(*[c for c in ("last_updated", "node_id") if c in columns]))
+        one = self.files.groupBy("file_id").agg(latest.alias("x")).select("file_id", "x.*")
+        contents = self.contents.groupBy("file_id").agg(F.max("content").alias("content"))
+        return one.join(contents, "file_id", "left")
+
+    def build_index(self, path: str, language: str | None = None) -> None:
+        """Write the index of names and contents under ``path``; searches read it from then on.  ``language`` is a column of files."""
+        self.index = TextIndex.build(self.documents(), path, ["name", "content"], kind="type", language=language, name="name", stop=self.options.stop_words)
+
+    def open_index(self, path: str) -> None:
+        self.index = TextIndex.open(self.spark, path)
+
+    def search(self, query: str, file_type: str | None = None, max_results: int = 50, include_score: bool = True, language: str | None = None) -> DataFrame:
+        """Hits of texts, or of names if no text matches; over the index once there is one, else over the texts."""
+        if self.index is None:
+            hits = search.search(self.documents(), query, file_type, max_results)
+        else:
+            hits = search.indexed_search(self.index, query, file_type, max_results, language)
         return hits if include_score else hits.drop("score")
 
-    def build_index(self, path: str) -> None:
-        """Write the postings of names and contents for ``search_index``."""
-        docs = self.files.join(self.contents.select("file_id", "content"), "file_id", "left").dropDuplicates(["file_id"])
-        search.build_index(docs, path, ["name", "content"])
-
-    def search_index(self, path: str, query: str, file_type: str | None = None, max_results: int = 50) -> DataFrame:
-        among = None if file_type is None else self.files.where(F.col("type") == file_type).select("file_id")
-        return search.indexed_search(self.spark, path, query, max_results, among=among)
+    def names_like(self, pattern: str) -> DataFrame:
+        """file_id, name by a glob over names, from the index."""
+        return self.index.names_like(pattern)
 
     def result_files(self, hits: DataFrame, max_results: int | None = None) -> DataFrame:
         return search.with_files(hits, self.files, max_results)
 
     def embed_documents(self) -> DataFrame:
-        docs = self.files.join(self.contents.select("file_id", "content"), "file_id", "left").dropDuplicates(["file_id"])
-        docs = docs.withColumns({"description": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")})
+        docs = self.documents().withColumns({"description": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")})
         return vectors.embedded(docs, self.options.dimensions)
 
     def embed_query(self, query: str) -> list[float]:

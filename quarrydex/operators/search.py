@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import beside
 from ..functions.text import contains_ignoring_case, query_terms, tokens
+from .text_index import K1, B, TextIndex
 
-K1, B = 1.5, 0.75
 NAME_WEIGHT, CONTENT_WEIGHT = 10.0, 1.0
 
 
@@ -46,54 +46,6 @@ def bm25(docs: DataFrame, field: str, query: str, id_col: str = "file_id") -> Da
     return rows.select("file_id", score.alias("score"))
 
 
-#: Parts that an index deals terms to, by hash; a query reads the parts of its terms alone.
-PARTS = 64
-#: Parts of a part, by file.
-SALTS = 16
-
-
-def build_index(docs: DataFrame, path: str, fields: list[str], id_col: str = "file_id", parts: int = PARTS) -> None:
-    """Write postings (field, part, term, file_id, tf, dl) and the statistics of each field (field, n, avgdl) under ``path``.
-
-    Files are sorted by term, so the scan skips what doesn't have a query's terms; each part is dealt out by file too, so a
-    term that most documents have fills several files.
-    """
-    held, stats = None, None
-    for field in fields:
-        own = docs.select(F.col(id_col).alias("file_id"), tokens(F.col(field)).alias("t")).withColumn("dl", F.size("t"))
-        counted = own.select("file_id", "dl", F.explode("t").alias("term")).groupBy("term", "file_id", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(field))
-        about = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("field", F.lit(field))
-        held, stats = (counted, about) if held is None else (held.union(counted), stats.union(about))
-    held = held.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    held.repartition("field", "part", F.pmod(F.xxhash64("file_id"), F.lit(SALTS))).sortWithinPartitions("field", "part", "term").write.partitionBy("field", "part").parquet(f"{path}/postings")
-    stats.coalesce(1).write.parquet(f"{path}/fields")
-
-
-def indexed_bm25(spark: SparkSession, path: str, field: str, query: str, parts: int = PARTS) -> DataFrame:
-    """file_id, score of the documents that have a term of the query, from the postings of its terms alone."""
-    terms = query_terms(query)
-    rows = spark.read.parquet(f"{path}/postings").where((F.col("field") == field) & F.col("term").isin(terms))
-    # constants once they are folded, so they prune directories
-    rows = rows.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(parts)) for t in terms]) if terms else F.lit(False))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
-    about = spark.read.parquet(f"{path}/fields").where(F.col("field") == field).select("n", "avgdl")
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return beside(rows.select("file_id", "term", "tf", "dl").join(F.broadcast(df), "term"), about).groupBy("file_id").agg(F.sum(part).alias("score"))
-
-
-def indexed_search(spark: SparkSession, path: str, query: str, limit: int = 50, weights: dict[str, float] | None = None, among: DataFrame | None = None) -> DataFrame:
-    """file_id, score over an index, best first, ties by id; ``weights`` by field, ``among`` (file_id) leaves only those hits."""
-    parts = None
-    for field, weight in (weights or {"name": NAME_WEIGHT, "content": CONTENT_WEIGHT}).items():
-        own = indexed_bm25(spark, path, field, query).withColumn("score", F.col("score") * weight)
-        parts = own if parts is None else parts.union(own)
-    hits = parts.groupBy("file_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    if among is not None:
-        hits = hits.join(among.select("file_id").distinct(), "file_id", "left_semi")
-    return hits.orderBy(F.desc("score"), "file_id").limit(limit)
-
-
 def text_search(docs: DataFrame, query: str, limit: int = 50, field: str = "content", id_col: str = "file_id", where=None) -> DataFrame:
     """file_id, score, best first, ties by id.  ``where`` filters the hits; corpus statistics stay those of all documents."""
     hits = bm25(docs, field, query, id_col)
@@ -115,8 +67,20 @@ def name_matches(files: DataFrame, query: str, limit: int = 50, name: str = "nam
     return files.where(contains_ignoring_case(F.col(name), query.strip())).select(F.col(id_col).alias("file_id"), F.col(name).alias("name")).orderBy("file_id").limit(limit)
 
 
+def indexed_search(index: TextIndex, query: str, file_type: str | None = None, limit: int = 50, language: str | None = None) -> DataFrame:
+    """file_id, score, matched as of ``search``, from an index with fields name and content, kinds and trigrams of names.
+
+    The best hits, ``limit`` at most, are known before names are looked at, so names are read only where no text matches.
+    """
+    hits = index.top(query, limit, kind=file_type, language=language)
+    if hits:
+        return index.with_ids(hits).withColumn("matched", F.lit("text"))
+    return index.names_containing(query, limit, file_type).select("file_id", F.lit(0.0).alias("score"), F.lit("name").alias("matched"))
+
+
 def search(docs: DataFrame, query: str, file_type: str | None = None, limit: int = 50) -> DataFrame:
-    """file_id, score, matched ('text' or 'name') over docs (file_id, name, type, content): names only if no text matches."""
+    """file_id, score, matched ('text' or 'name') over docs (file_id, name, type, content): names only if no text matches.  For a few
+    documents or a single query; ``indexed_search`` doesn't read texts."""
     where = None if file_type is None else F.col("type") == file_type
     text = weighted_search(docs if where is None else docs.where(where), query, limit).withColumn("matched", F.lit("text"))
     fallback = name_matches(docs if where is None else docs.where(where), query, limit).select("file_id", F.lit(0.0).alias("score"), F.lit("name").alias("matched"))

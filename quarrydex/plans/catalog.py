@@ -7,7 +7,7 @@ sizes, events are activities, heartbeats and failures, pages are paths of the na
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
-from ..sources.files import read_table, shared_folder
+from ..operators.text_index import TextIndex
+from ..sources.files import exists, fingerprint, read_table, shared_folder
 from ..streaming import discovery, elections, heartbeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,26 +93,36 @@ def path_table(s: SparkSession, d: str) -> DataFrame:
     return namespace.paths(pages.groupBy("path").agg(F.min("page_id").alias("file_id")))
 
 
-#: Indexes that this session has built, by application, folder and name.
-_INDEXES: dict[tuple[str, str, str], str] = {}
+#: Indexes that this session has opened, by application, table, its files and the index's name.
+_INDEXES: dict[tuple[str, str, str, str], TextIndex] = {}
 
 
-def _index(s: SparkSession, d: str, name: str, docs: DataFrame, fields: list[str]) -> str:
-    key = (s.sparkContext.applicationId, d, name)
+def _index(s: SparkSession, d: str, table: str, label: str, docs: Callable[[SparkSession, str], DataFrame], fields: list[str], **more) -> TextIndex:
+    """The index of a table as it is now, in the shared folder: one that is there from an earlier session is opened, else it is built."""
+    path = f"{d}/{table}.parquet"
+    key = (s.sparkContext.applicationId, path, fingerprint(s, path), label)
     if key not in _INDEXES:
-        path = f"{shared_folder(s)}/{name}-index-{uuid.uuid4().hex}"
-        search.build_index(docs, path, fields)
-        _INDEXES[key] = path
+        folder = f"{shared_folder(s)}/{label}-index-{hashlib.sha256(repr(key[1:]).encode()).hexdigest()[:32]}"
+        if exists(s, f"{folder}/terms/_SUCCESS"):  # what is written last
+            _INDEXES[key] = TextIndex.open(s, folder)
+        else:
+            _INDEXES[key] = TextIndex.build(docs(s, d), folder, fields, **more)
     return _INDEXES[key]
 
 
-def text_index(s: SparkSession, d: str) -> str:
-    """The index over the texts of documents; built once in a session."""
-    return _index(s, d, "text", read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), ["text"])
+def text_index(s: SparkSession, d: str) -> TextIndex:
+    """The index over the texts of documents."""
+    return _index(s, d, "documents", "text", lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang"), ["text"], kind="lang")
 
 
-def part_index(s: SparkSession, d: str) -> str:
-    return _index(s, d, "part", part_table(s, d), ["name", "content"])
+def part_index(s: SparkSession, d: str) -> TextIndex:
+    """The index over names and types of parts, with their brands as kinds."""
+    return _index(s, d, "part", "part", part_table, ["name", "content"], kind="type", name="name")
+
+
+def spanish_index(s: SparkSession, d: str) -> TextIndex:
+    """The index over the texts of documents in which the Spanish ones are stemmed."""
+    return _index(s, d, "documents", "spanish", lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang"), ["text"], kind="lang", language="lang")
 
 
 _V = "v AS (SELECT vec_id AS file_id, label AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
@@ -216,13 +227,12 @@ def text_postings_stats(s, d):
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['the', 'moron', 'erand'])} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
 def bm25_search(s, d):
-    return search.indexed_search(s, text_index(s, d), "The moron erand", 20, {"text": 1.0})
+    return text_index(s, d).search("The moron erand", 20, {"text": 1.0})
 
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['des', 'und'])} SELECT file_id, round(score, 6) AS score FROM s WHERE file_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY score DESC, file_id LIMIT 20")
 def bm25_search_typed(s, d):
-    french = read_table(s, d, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("file_id"))
-    return search.indexed_search(s, text_index(s, d), "des und", 20, {"text": 1.0}, french)
+    return text_index(s, d).search("des und", 20, {"text": 1.0}, "fr")
 
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['der', 'que'])} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
@@ -234,7 +244,7 @@ def bm25_search_without_index(s, d):
 b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc)
 SELECT file_id, round(sum(score), 6) AS score FROM b GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50""")
 def weighted_name_content_search(s, d):
-    return search.indexed_search(s, part_index(s, d), "steel LARGE", 50)
+    return part_index(s, d).search("steel LARGE", 50)
 
 
 _FALLBACK = "SELECT p_partkey AS file_id, 0.0 AS score, 'name' AS matched FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50"
@@ -246,7 +256,7 @@ t AS (SELECT file_id, round(sum(score), 6) AS score, 'text' AS matched FROM b GR
 SELECT 'steel' AS asked, * FROM t UNION ALL SELECT 'ee' AS asked, * FROM f""")
 def search_with_fallback(s, d):
     # one query that a text matches, one that only names do
-    found = [search.search(part_table(s, d), q, None, 50).select(F.lit(q).alias("asked"), "file_id", F.col("score").cast("double").alias("score"), "matched") for q in ("steel", "ee")]
+    found = [search.indexed_search(part_index(s, d), q, None, 50).select(F.lit(q).alias("asked"), "file_id", F.col("score").cast("double").alias("score"), "matched") for q in ("steel", "ee")]
     return found[0].union(found[1])
 
 
@@ -259,7 +269,7 @@ def search_hits_with_replicas(s, d):
 
 @query("SELECT p_partkey AS file_id, p_name AS name FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50")
 def regex_name_fallback(s, d):
-    return search.name_matches(part_table(s, d), "EE", 50)
+    return part_index(s, d).names_containing("EE", 50)
 
 
 @query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['small'], 'n')}, h AS (SELECT file_id, round(score, 6) AS score FROM sn ORDER BY score DESC, file_id LIMIT 10)

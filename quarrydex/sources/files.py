@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files under a path, as one digest: it changes when a table is written again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    rows = []
+    while found.hasNext():
+        one = found.next()
+        rows.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrydex import schemas
 from quarrydex.engine import Engine, Options
+from quarrydex.operators.text_index import TextIndex
 from quarrydex.functions import scalars as S
 from quarrydex.functions.text import glob
 from quarrydex.functions.vectors import hashed_embedding
@@ -222,16 +223,14 @@ def test_engine_search(spark):
 
 
 def test_index_equals_texts(spark, tmp_path):
-    rows = [("1", "red car", "a red car and a blue one"), ("2", "blue boat", "sea " * 30), ("3", None, "the car"), ("4", "", None), ("5", "Red red RED", "red")]
-    docs = spark.createDataFrame(rows, "file_id string, name string, content string")
-    path = str(tmp_path / "index")
-    search.build_index(docs, path, ["name", "content"])
+    rows = [("1", "red car", "a red car and a blue one", "a"), ("2", "blue boat", "sea " * 30, "b"), ("3", None, "the car", "a"), ("4", "", None, None), ("5", "Red red RED", "red", "b")]
+    docs = spark.createDataFrame(rows, "file_id string, name string, content string, type string")
+    index = TextIndex.build(docs, str(tmp_path / "index"), ["name", "content"], kind="type")
     for query in ("red", "car BLUE", "sea boat the", "nothing", "", " "):
         want = [tuple(r) for r in search.weighted_search(docs, query).collect()]
-        assert [tuple(r) for r in search.indexed_search(spark, path, query).collect()] == want, query
-    only = docs.where("file_id in ('1', '3')").select("file_id")
-    assert {r.file_id for r in search.indexed_search(spark, path, "red car", among=only).collect()} == {"1", "3"}
-    plan = search.indexed_bm25(spark, path, "name", "red")._jdf.queryExecution().toString()
+        assert [tuple(r) for r in index.search(query).collect()] == want, query
+    assert {r.file_id for r in index.search("red car", kind="a").collect()} == {"1", "3"}
+    plan = index._of(index.postings, [("name", "red")])._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "xxhash64(red" not in plan.split("== Physical Plan ==")[1].split("PartitionFilters")[1][:200]
 
 
@@ -293,7 +292,7 @@ def test_engine_surface(spark, tmp_path):
     nodes = spark.createDataFrame([("n1", "online"), ("n2", "online")], "node_id string, status string")
     engine = Engine(spark, Options(dimensions=16), {"files": files, "contents": contents, "nodes": nodes, "failures": spark.createDataFrame([], "node_id string, timestamp timestamp")})
     engine.build_index(str(tmp_path / "index"))
-    hits = engine.search_index(str(tmp_path / "index"), "HELLO", "document")
+    hits = engine.search("HELLO", "document")
     assert hits.count() == 1 and [r.node_id for r in engine.result_files(hits).collect()] == ["n1"]
     near = engine.embed_documents().first().embedding
     assert len(near) == 16 and len(engine.embed_query("hello")) == 16
