@@ -28,12 +28,15 @@ K1, B = 1.5, 0.75
 DIGITS = 6
 #: Bytes of text in a shard, in a part of the terms, and in a file of a part, about.
 SHARD_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 30, 256 << 20
+#: Bytes of text that a task of building sorts, about, and postings that a search gives to a single task.
+TASK_BYTES, ONE_TASK = 128 << 20, 1 << 20
 #: Folders of postings at most; beyond that parts have more files.
 MOST_PARTS = 4096
 KIND, GRAMS, END = "~kind", "~grams", "\0"
 GRAM = 3
 POSTINGS = "shard bigint, field string, term string, n bigint, last array<int>, most array<double>, width binary, payload binary"
 TERMS = "field string, term string, df bigint, part int"
+HITS = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("score", pa.float64())])
 _ROWS = pa.schema(
     [("shard", pa.int64()), ("field", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("last", pa.list_(pa.int32())), ("most", pa.list_(pa.float64())), ("width", pa.binary()), ("payload", pa.binary())]
 )
@@ -119,9 +122,8 @@ class TextIndex:
         counts among the files.  Repeated ids are files of their own.  One sort of the rows by id, one shuffle of the postings.
         """
         spark = docs.sparkSession
-        word_columns = [F.array_join(tokens(F.col(f), stop), " ").alias(f"text{k}") for k, f in enumerate(fields)]
         text = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
-        rows = docs.select(F.col(id_col).alias("file_id"), text(kind).alias("kind"), F.coalesce(F.lower(text(language)).isin(*SPANISH), F.lit(False)).alias("stems"), text(name).alias("name"), *word_columns)
+        rows = docs.select(F.col(id_col).alias("file_id"), text(kind).alias("kind"), F.coalesce(F.lower(text(language)).isin(*SPANISH), F.lit(False)).alias("stems"), text(name).alias("name"), *[F.col(f).alias(f"text{k}") for k, f in enumerate(fields)])
         measured = docs.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f), F.lit(0)) for f in fields])), F.lit(0)).alias("bytes"), *[F.coalesce(F.avg(F.size(tokens(F.col(f), stop))), F.lit(0.0)).alias(f"avgdl{k}") for k, f in enumerate(fields)]).first()
         avgdl = [measured[f"avgdl{k}"] for k in range(len(fields))]
         parts = min(MOST_PARTS, max(1, -(-measured.bytes // PART_BYTES)))
@@ -163,7 +165,9 @@ class TextIndex:
             yield pa.RecordBatch.from_arrays([*about, pa.ListArray.from_arrays(offsets, pa.array([h[0].as_py() for h in held], id_type)), pa.ListArray.from_arrays(offsets, pa.array([h[2] for h in held], pa.string()))], names)
 
         names = [*_ROWS.names, "ids", "names"]
-        out = rows.repartitionByRange("file_id").sortWithinPartitions("file_id").mapInArrow(index, schema)
+        tasks = max(spark.sparkContext.defaultParallelism, -(-measured.bytes // TASK_BYTES))
+        ordered = rows.repartitionByRange(tasks, "file_id").sortWithinPartitions("file_id")
+        out = ordered.withColumns({f"text{k}": F.array_join(tokens(F.col(f"text{k}"), stop), " ") for k in range(len(fields))}).mapInArrow(index, schema)
         out = out.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("field"), F.col("term"), parts)))
         salted = F.pmod(F.xxhash64("shard"), F.lit(salts))
         out.repartition("part", salted).sortWithinPartitions("part", "field", "term", "shard").write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(f"{path}/postings")
@@ -191,21 +195,27 @@ class TextIndex:
         rows = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin(t) for f, t in by_field.items()])
         return table.where(F.col("part").isin(*[_part(F.lit(f), F.lit(t), self.parts) for f, t in keys]) & rows)
 
-    def weights(self, query: str, fields: dict[str, float], language: str | None = None) -> dict[tuple[str, str], float]:
-        """What an occurrence of the query's terms counts in each field: the field's weight times the term's rarity."""
+    def frequencies(self, query: str, fields: list[str], language: str | None = None) -> dict[tuple[str, str], int]:
+        """Files that have the query's terms in each field; a term that none has is left out."""
         words = query_terms(query)
         if language is not None and language.lower() in SPANISH:
             words = list(dict.fromkeys(map(spanish, words)))
         found = self._of(self.terms, [(f, t) for f in fields for t in words]).select("field", "term", "df").collect()  # a row a term
-        return {(r.field, r.term): fields[r.field] * float(np.log(1.0 + (self.files - r.df + 0.5) / (r.df + 0.5))) for r in found}
+        return {(r.field, r.term): r.df for r in found}
+
+    def _by_shard(self, rows: DataFrame, postings: int) -> DataFrame:
+        """Rows of a shard one after the other; few postings stay in one task and aren't shuffled."""
+        rows = rows.drop("part")
+        return (rows.coalesce(1) if postings <= ONE_TASK else rows.repartition("shard")).sortWithinPartitions("shard")
 
     def top(self, query: str, limit: int = 50, fields: dict[str, float] | None = None, kind: str | None = None, language: str | None = None) -> list[tuple[int, int, float]]:
         """(shard, place, score) of the best ``limit`` hits, a short list: scores of six digits, equal ones in the order of ids."""
         fields = {"name": 10.0, "content": 1.0} if fields is None else fields
-        weights = self.weights(query, {f: w for f, w in fields.items() if f in self.avgdl}, language)
-        if not weights or limit <= 0:
+        df = self.frequencies(query, [f for f in fields if f in self.avgdl], language)
+        if not df or limit <= 0:
             self.blocks = (0, 0)
             return []
+        weights = {key: fields[key[0]] * float(np.log(1.0 + (self.files - n + 0.5) / (n + 0.5))) for key, n in df.items()}
         wanted = [*weights, *([(KIND, kind)] if kind is not None else [])]
         counted = [self.spark.sparkContext.accumulator(0) for _ in range(2)]
         avgdl = self.avgdl
@@ -228,7 +238,7 @@ class TextIndex:
             keep = [x for x in out if x[2] >= floors.of(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.int32()), pa.array([x[2] for x in keep], pa.float64())], ["shard", "place", "score"])
 
-        rows = self._of(self.postings, wanted).drop("part").repartition("shard").sortWithinPartitions("shard")
+        rows = self._by_shard(self._of(self.postings, wanted), sum(df.values()) + (self.files if kind is not None else 0))
         hits = rows.mapInArrow(search, "shard bigint, place int, score double").orderBy(F.desc("score"), "shard", "place").limit(limit).collect()
         self.blocks = (counted[0].value, counted[1].value)
         return [tuple(h) for h in hits]
@@ -243,7 +253,7 @@ class TextIndex:
 
     def with_ids(self, hits: list[tuple[int, int, float]]) -> DataFrame:
         own = self.ids.where(F.col("shard").isin(sorted({h[0] for h in hits})))
-        listed = self.spark.createDataFrame(hits, "shard bigint, place int, score double")
+        listed = self.spark.createDataFrame(pa.table([[h[0] for h in hits], [h[1] for h in hits], [h[2] for h in hits]], schema=HITS))
         return own.join(F.broadcast(listed), "shard").select(F.get("ids", "place").alias("file_id"), "score").orderBy(F.desc("score"), "file_id")
 
     def name_candidates(self, parts: list[str], at_end: bool = False, kind: str | None = None) -> DataFrame | None:
