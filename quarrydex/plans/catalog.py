@@ -120,6 +120,11 @@ def part_index(s: SparkSession, d: str) -> TextIndex:
     return _index(s, d, "part", "part", part_table, ["name", "content"], kind="type", name="name")
 
 
+def page_index(s: SparkSession, d: str) -> TextIndex:
+    """The index over the addresses of pages as names."""
+    return _index(s, d, "pages", "page", lambda s, d: read_table(s, d, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("name")), ["name"], name="name")
+
+
 def spanish_index(s: SparkSession, d: str) -> TextIndex:
     """The index over the texts of documents in which the Spanish ones are stemmed."""
     return _index(s, d, "documents", "spanish", lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang"), ["text"], kind="lang", language="lang")
@@ -267,6 +272,45 @@ def search_hits_with_replicas(s, d):
     return search.with_files(hits, file_table(s, d), 25).select("nth", "file_id", "score", "node_id")
 
 
+_STEMS = {
+    "ment": "mente menteado mentear mentearas menteas menteases mentees menteiera menteías mentieran".split(),
+    "que": "que queado quean quear quearas queas queases quees queiera queos queosado queosar queosas queosases queoses queosiera queí queíado queíar queías queíes queó queóado queóar queóas queóes".split(),
+}
+
+
+def _stemmed_bm25() -> str:
+    """BM25 over the words of documents, those of Spanish ones by their stems: the words of two stems are listed."""
+    listed = " ".join(f"WHEN lang = 'es' AND w IN ({', '.join(repr(x) for x in own)}) THEN '{stem}'" for stem, own in _STEMS.items())
+    stems = f"w AS (SELECT doc_id, lang, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM documents), stemmed AS (SELECT doc_id, (SELECT string_agg(CASE {listed} ELSE w END, ' ') FROM (SELECT unnest(ws) AS w)) AS text FROM w)"
+    return f"{stems}, {_bm25('stemmed', 'doc_id', 'text', list(_STEMS))}"
+
+
+@query(f"WITH {_stemmed_bm25()} SELECT file_id, round(score, 6) AS score FROM s ORDER BY score DESC, file_id LIMIT 20")
+def spanish_search(s, d):
+    return spanish_index(s, d).search("Menteado queóar", 20, {"text": 1.0}, language="spanish")
+
+
+@query("SELECT page_id AS file_id, url AS name FROM pages WHERE contains(lower(url), '/en/6') ORDER BY file_id LIMIT 50")
+def name_substring_search(s, d):
+    return page_index(s, d).names_containing("/EN/6", 50)
+
+
+@query(r"SELECT page_id AS file_id, url AS name FROM pages WHERE regexp_matches(lower(url), '^https?:.*th.*\.org/.*[0-5]$', 's')")
+def name_pattern_search(s, d):
+    return page_index(s, d).names_like("http*:*TH*.org/*[0-5]")
+
+
+@query(f"""WITH {_bm25('part', 'p_partkey', 'p_name', ['bolt'], 'n')}, {_bm25('part', 'p_partkey', 'p_type', ['bolt'], 'c')},
+b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc),
+t AS (SELECT file_id, round(sum(score), 6) AS score, 'text' AS matched FROM b WHERE file_id IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#4') GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50),
+f AS (SELECT p_partkey AS file_id, CAST(0 AS DOUBLE) AS score, 'name' AS matched FROM part WHERE contains(lower(p_name), 'izm') AND p_brand = 'Brand#4' ORDER BY file_id LIMIT 50)
+SELECT 'bolt' AS asked, * FROM t UNION ALL SELECT 'izm' AS asked, * FROM f""")
+def typed_search_with_fallback(s, d):
+    # a word of names, then a part of a word
+    found = [search.indexed_search(part_index(s, d), q, "Brand#4", 50).select(F.lit(q).alias("asked"), "file_id", F.col("score").cast("double").alias("score"), "matched") for q in ("bolt", "izm")]
+    return found[0].union(found[1])
+
+
 @query("SELECT p_partkey AS file_id, p_name AS name FROM part WHERE contains(lower(p_name), 'ee') ORDER BY file_id LIMIT 50")
 def regex_name_fallback(s, d):
     return part_index(s, d).names_containing("EE", 50)
