@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds_between
+from .ordered import following
 
 DAYS = 30
 
 
 def intervals(events: DataFrame, failed: Column) -> DataFrame:
     """failures from an event log (node_id, timestamp): a failed event, recovered at the node's next event."""
-    after = F.lead("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp", "event_id"))
-    rows = events.withColumn("recovery_time", after).where(failed)
+    rows = following(events, ["node_id"], ["timestamp", "event_id"], "timestamp", "recovery_time").where(failed)
     return rows.select("node_id", "timestamp", "recovery_time", seconds_between(F.col("timestamp"), F.col("recovery_time")).alias("downtime_seconds"))
 
 
@@ -49,8 +49,8 @@ def node_metrics(failures: DataFrame, now: Column | None = None, days: int = DAY
     rows = failures.where("recovery_time is not null")
     if now is not None:
         rows = rows.where(F.col("timestamp") >= now - F.make_dt_interval(F.lit(days)))
-    gap = seconds_between(F.col("recovery_time"), F.lead("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp")))
-    own = rows.withColumn("gap", gap).groupBy("node_id").agg(F.count(F.lit(1)).alias("failures"), F.avg(F.coalesce("downtime_seconds", F.lit(0.0))).alias("r"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("f"))
+    gap = seconds_between(F.col("recovery_time"), F.col("next_failure"))
+    own = following(rows, ["node_id"], ["timestamp"], "timestamp", "next_failure").withColumn("gap", gap).groupBy("node_id").agg(F.count(F.lit(1)).alias("failures"), F.avg(F.coalesce("downtime_seconds", F.lit(0.0))).alias("r"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("f"))
     return own.select("node_id", "failures", F.round("r", 6).alias("mttr"), F.round("f", 6).alias("mttf"), F.round(F.col("r") + F.col("f"), 6).alias("mtbf"), F.when(F.col("r") + F.col("f") > 0, F.round(F.try_divide("f", F.col("r") + F.col("f")), 6)).otherwise(1.0).alias("availability"))
 
 

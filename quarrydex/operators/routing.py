@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import beside
+from .ordered import running_sum
 
 STRATEGIES = ("round_robin", "least_connections", "semantic", "weighted")
 
@@ -80,14 +81,12 @@ def latest_loads(events: DataFrame) -> DataFrame:
     return events.groupBy("node_id").agg(*[last(c) for c in ("active_queries", "cpu_usage", "memory_usage", "document_count")], F.max("timestamp").alias("last_updated"))
 
 
-def active_queries(events: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def active_queries(events: DataFrame, order: list[str] | None = None) -> DataFrame:
     """events (node_id, timestamp, delta of +1 or -1) with active_queries after each: a running count that never falls below 0.
 
-    Such a count is the running sum minus its least value so far, where that is negative.
+    It is put together from segments of a day, so a node that has all events is many tasks.
     """
-    by = Window.partitionBy("node_id").orderBy(*(order or ["timestamp"]))
-    summed = events.withColumn("_sum", F.sum("delta").over(by))
-    return summed.withColumn("active_queries", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(by))).drop("_sum")
+    return running_sum(events, ["node_id"], order or ["timestamp"], "delta", "active_queries", 0)
 
 
 def merge_results(parts: DataFrame, k: int = 10, dedup: str = "first") -> DataFrame:

@@ -974,6 +974,19 @@ def master_down_events(s, d):
     return heartbeats.master_down(down, terms).select("node_id", "event", F.unix_micros("at").alias("at_us"))
 
 
+@query("""WITH ev AS (SELECT event_id, user_id % 3 AS node_id, ts, event_type FROM events),
+e AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts) AS nxt FROM ev),
+o AS (SELECT node_id, epoch_us(ts) + 600000000 AS down_us FROM e WHERE epoch_us(nxt) - epoch_us(ts) > 600000000),
+c AS (SELECT node_id AS m, ts, event_id, lag(node_id) OVER (ORDER BY ts, event_id) AS before FROM ev WHERE event_type = 'purchase'),
+t AS (SELECT m, epoch_us(ts) AS since, epoch_us(lead(ts) OVER (ORDER BY ts, event_id)) AS until FROM c WHERE m IS DISTINCT FROM before)
+SELECT DISTINCT node_id, 'master_down' AS event, down_us AS at_us FROM o JOIN t ON m = node_id AND down_us >= since AND (until IS NULL OR down_us < until)""")
+def leaders_that_went_down(s, d):
+    events = event_table(s, d).withColumns({"timestamp": F.col("timestamp").cast("timestamp"), "node_id": F.col("node_id") % 3})
+    terms = elections.leader_history(events.where("event_type = 'purchase'").select(F.col("node_id").alias("new_master"), "timestamp", F.col("event_id").alias("seq")))
+    down = heartbeats.outages(events, 600).select("node_id", F.lit("node_down").alias("event"), (F.col("last_seen") + F.make_dt_interval(secs=F.lit(600))).alias("at"))
+    return heartbeats.master_down(down, terms).select("node_id", "event", F.unix_micros("at").alias("at_us"))
+
+
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, epoch_us(ts) AS back_us FROM events""")
 def iso_times(s, d):
     rows = read_table(s, d, "events").select("event_id", S.iso(F.col("ts")).alias("iso"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import following, preceding
+
 
 def higher_eligible(nodes: DataFrame, own: str) -> DataFrame:
     """The nodes an election asks: eligible ones with a greater id."""
@@ -20,10 +22,9 @@ def leader(nodes: DataFrame, numeric: bool = False) -> DataFrame:
 def leader_history(messages: DataFrame) -> DataFrame:
     """new_master, since, until from coordinator messages (new_master, timestamp, seq): repeats of the same leader are one term.
 
-    An election's messages are few and have one order, so the history is one small window, kept by cluster_id where there is one.
+    Kept by cluster_id where there is one; without, all messages are one history, in segments of time.
     """
-    group = "cluster_id" if "cluster_id" in messages.columns else F.lit(0)
-    by = Window.partitionBy(group).orderBy("timestamp", "seq")
-    starts = messages.withColumn("before", F.lag("new_master").over(by)).where(~F.col("new_master").eqNullSafe(F.col("before")))
     keep = ["cluster_id"] if "cluster_id" in messages.columns else []
-    return starts.select(*keep, "new_master", F.col("timestamp").alias("since"), F.lead("timestamp").over(by).alias("until"))
+    order = ["timestamp", "seq"]
+    starts = preceding(messages, keep, order, "new_master", "before").where(~F.col("new_master").eqNullSafe(F.col("before")))
+    return following(starts, keep, order, "timestamp", "until").select(*keep, "new_master", F.col("timestamp").alias("since"), "until")

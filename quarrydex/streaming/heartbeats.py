@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import following, latest
+
 TIMEOUT_SECONDS = 15
 OUT = "node_id string, event string, at timestamp"
 
@@ -62,17 +64,22 @@ def replies(messages: DataFrame, own) -> DataFrame:
 
 
 def master_down(events: DataFrame, terms: DataFrame) -> DataFrame:
-    """Of node_down events (node_id, event, at) those of the node that led then; terms: new_master, since, until (null: still)."""
-    led = terms.select(F.col("new_master").alias("node_id"), "since", "until")
-    hit = events.where("event = 'node_down'").join(led, "node_id").where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    """Of node_down events (node_id, event, at) those of the node that led then; terms: new_master, since, until (null: still).
+
+    Terms follow one another, so an event belongs to the last one that began by then: both go along one order of time, cut into
+    segments, and each event takes the last term that passed.
+    """
+    led = terms.select(F.col("since").cast(events.schema["at"].dataType).alias("at"), F.lit(0).alias("turn"), F.struct("new_master", "until").alias("term"), F.coalesce(F.col("until").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("end"), F.lit(None).cast(events.schema["node_id"].dataType).alias("node_id"))
+    down = events.where("event = 'node_down'").select("at", F.lit(1).alias("turn"), F.lit(None).cast(led.schema["term"].dataType).alias("term"), F.col("at").cast("timestamp").alias("end"), "node_id")
+    both = latest(led.unionByName(down), [], ["at", "turn", "end"], "term", "now").where("turn = 1")
+    hit = both.where((F.col("now.new_master") == F.col("node_id")) & (F.col("now.until").isNull() | (F.col("at") < F.col("now.until"))))
     return hit.select("node_id", F.lit("master_down").alias("event"), "at").distinct()
 
 
 def outages(messages: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
     """node_id, last_seen, back_at, gap_seconds of every gap longer than the timeout in a finished log (node_id, timestamp)."""
-    after = F.lead("timestamp").over(Window.partitionBy("node_id").orderBy("timestamp"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = messages.withColumn("back_at", after).where(F.col("back_at").isNotNull())
+    rows = following(messages, ["node_id"], ["timestamp"], "timestamp", "back_at").where(F.col("back_at").isNotNull())
     gap = micros("back_at") - micros("timestamp")
     return rows.where(gap > timeout_seconds * 1_000_000).select("node_id", F.col("timestamp").alias("last_seen"), "back_at", (gap / F.lit(1e6)).alias("gap_seconds"))
 
