@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.tables import beside
 
 REPLICATION_FACTOR = 2
-#: Node ids of one literal; more nodes are ranked block by block.
-BLOCK = 10_000
+#: Node ids of one row; more nodes are ranked block by block.  Ids of nodes that are broadcast at most.
+BLOCK, MOST_BROADCAST = 10_000, 1_000_000
+#: Turns beyond the nodes asked for in which a file looks for a node that it hasn't got.
+TURNS = 6
 #: Nodes beyond those asked for whose hashes are expected below the bound of the first look.
 SPARE = 40
 
@@ -85,39 +87,80 @@ def _hash(node: Column) -> Column:
 
 
 def rendezvous(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, source: str | None = None, exclude: str | None = None, wanted: str | None = None) -> DataFrame:
-    """file_id, node_id, nth: the online nodes with the least md5 of file:node, for each row of ``files``.
+    """file_id, node_id, nth: the online nodes with the least md5 of file:node, for each row of ``files``; equal rows count once.
 
     Left out are the node in column ``source`` and those in the array column ``exclude``; the column ``wanted`` says how
-    many a file gets where that isn't ``factor``.  The hashes are spread evenly, so the first look keeps those below a
-    bound that about SPARE more nodes pass than asked for; a file with too few of them ranks all nodes.  One shuffle deals
-    the files out, whatever few partitions they came in.  The ids of all online nodes go along as literals, in blocks.
+    many a file gets where that isn't ``factor``.  A file with several sources is placed for each of them, on distinct nodes.
+    The hashes are spread evenly, so the first look keeps those below a bound that about SPARE more nodes pass than asked for;
+    a row with too few of them looks at all nodes.  Nodes go along as rows of about BLOCK ids, so the plan doesn't grow with
+    them; every file meets every node, and ``placed`` is for clusters where that is too much.
     """
-    ids = [r[0] for r in nodes.where(F.col("status") == "online").select("node_id").distinct().orderBy("node_id").collect()]
-    blocks = [F.array(*[F.lit(i) for i in ids[a : a + BLOCK]]) for a in range(0, len(ids), BLOCK)] or [F.array().cast(f"array<{nodes.schema['node_id'].dataType.simpleString()}>")]
+    online = nodes.where(F.col("status") == "online").select("node_id").distinct()
+    count = online.count()
+    blocks = max(1, -(-count // BLOCK))
+    dealt = online.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list("node_id").alias("_nodes"))
+    dealt = F.broadcast(dealt) if count <= MOST_BROADCAST else dealt
+    row = ["file_id", *[c for c in (source, exclude, wanted) if c]]
     free = lambda n: F.lit(True) if source is None else ~n.eqNullSafe(F.col(source))
     holds = lambda n: F.lit(False) if exclude is None else F.coalesce(F.array_contains(exclude, n), F.lit(False))
     many = F.lit(factor) if wanted is None else F.col(wanted)
-    rows = files.select("file_id", *[c for c in (source, exclude, wanted) if c])
+    below = min(1 << 32, (factor + SPARE) * (1 << 32) // max(count, 1))
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
     # by number, so that few bytes don't become one task: the work is in the hashes
-    rows = rows.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
-    below = min(1 << 32, (factor + SPARE) * (1 << 32) // max(len(ids), 1))
-    first = None
-    for block in blocks:
-        part = rows.distinct().withColumn("node_id", F.explode(block)).withColumn("h", _hash(F.col("node_id")))
-        if below < 1 << 32:
-            part = part.where(F.col("h") < f"{below:08x}")
-        first = part if first is None else first.union(part)
-    near = first.where(free(F.col("node_id")) & ~holds(F.col("node_id"))).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("h", "node_id"))).alias("near"))
-    every = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
-    ranked = F.array_sort(F.transform(F.filter(every, lambda n: free(n) & ~holds(n)), lambda n: F.struct(_hash(n).alias("h"), n.alias("node_id"))))
-    if below == 1 << 32:
-        best = F.coalesce("near", F.array().cast(near.schema["near"].dataType))
-    else:
-        best = F.when(F.coalesce(F.size("near") >= many, F.lit(False)), F.col("near")).otherwise(ranked)
-    chosen = rows.join(near, "file_id", "left").select("file_id", F.posexplode(F.slice(best, F.lit(1), many)).alias("nth", "x"))
+    rows = files.select(*row).distinct().repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    # with a null at the end of each block, so that a row of which no node passes isn't lost
+    nothing = F.array(F.lit(None).cast(nodes.schema["node_id"].dataType))
+    met = rows.withColumn("_block", F.explode(numbers)).join(dealt, "_block").select(*row, F.explode(F.concat("_nodes", nothing)).alias("node_id")).withColumn("h", _hash(F.col("node_id")))
+    passes = free(F.col("node_id")) & ~holds(F.col("node_id"))
+    if below < 1 << 32:
+        passes = passes & (F.col("h") < f"{below:08x}")
+    near = met.where(F.col("node_id").isNull() | passes).groupBy(*row).agg(F.collect_list(F.when(F.col("node_id").isNotNull(), F.struct("h", "node_id"))).alias("_near"))
+    if below < 1 << 32:
+        again = near.withColumn("_block", F.explode(F.when(F.size("_near") < many, numbers).otherwise(F.array(F.lit(-1))))).join(dealt, "_block", "left")
+        ranked = F.transform(F.filter("_nodes", lambda n: free(n) & ~holds(n)), lambda n: F.struct(_hash(n).alias("h"), n.alias("node_id")))
+        own = F.when(F.col("_block") < 0, F.col("_near")).otherwise(F.coalesce(ranked, F.array().cast(near.schema["_near"].dataType)))
+        near = again.select(*row, F.slice(F.array_sort(own), F.lit(1), many).alias("_own")).groupBy(*row).agg(F.flatten(F.collect_list("_own")).alias("_near"))
+    chosen = near.select("file_id", F.posexplode(F.slice(F.array_sort("_near"), F.lit(1), many)).alias("nth", "x"))
     return chosen.select("file_id", "x.node_id", (F.col("nth") + 1).alias("nth"))
 
 
+def placement_tree(nodes: DataFrame, depth: int = 2) -> list[DataFrame]:
+    """For each level of the tree a table (parent, children: array of (child, weight)).
+
+    A node's way down is its hash's first ``depth`` hexadecimal digits, the last level has the nodes themselves.  A weight is the
+    number of online nodes below.  No parent has more than sixteen children but those of the last level.
+    """
+    online = nodes.where(F.col("status") == "online").select("node_id").distinct().withColumn("h", F.md5(F.col("node_id").cast("string").cast("binary")))
+    levels = []
+    for k in range(depth):
+        own = online.groupBy(F.substring("h", 1, k + 1).alias("child")).agg(F.count(F.lit(1)).alias("weight"))
+        levels.append(own.groupBy(F.substring("child", 1, k).alias("parent")).agg(F.collect_list(F.struct("child", "weight")).alias("children")))
+    leaves = online.select(F.substring("h", 1, depth).alias("parent"), F.struct(F.col("node_id").alias("child"), F.lit(1).cast("bigint").alias("weight")).alias("x"))
+    return [*levels, leaves.groupBy("parent").agg(F.collect_list("x").alias("children"))]
+
+
+def placed(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, depth: int = 2) -> DataFrame:
+    """file_id, node_id, nth: ``factor`` distinct online nodes for each file, found down a tree of groups of nodes.
+
+    At each level a file goes to the child with the greatest ln(u) / weight, u being a hash of file, turn and child: every node is
+    as likely as another, and when one goes only about a share of 1 / nodes of the files of each level move.  A file's work grows with the depth
+    and the children of a level, sixteen and nodes / 16 ** ``depth``, not with all nodes.  A node that comes up again in a later
+    turn is passed over; files that lack nodes after TURNS more turns than asked for are placed by ``rendezvous``.
+    """
+    rows = files.select("file_id").distinct().withColumns({"turn": F.explode(F.sequence(F.lit(1), F.lit(factor + TURNS))), "at": F.lit("")})
+    for k, level in enumerate(placement_tree(nodes, depth)):
+        # beyond four levels a table is large: it's joined by its parents then, which are many
+        level = F.broadcast(level) if k < 4 else level
+        u = lambda c: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("file_id").cast("string"), F.col("turn").cast("string"), c["child"].cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+        best = F.array_max(F.transform("children", lambda c: F.struct((F.log(u(c)) / c["weight"]).alias("s"), c["child"].alias("child"))))
+        rows = rows.join(level.withColumnRenamed("parent", "at"), "at").select("file_id", "turn", best["child"].alias("at"))
+    once = rows.groupBy("file_id", F.col("at").alias("node_id")).agg(F.min("turn").alias("turn"))
+    listed = once.groupBy("file_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "node_id"))), 1, factor).alias("x"))
+    full = listed.where(F.size("x") == factor).select("file_id", F.posexplode("x").alias("nth", "x")).select("file_id", "x.node_id", (F.col("nth") + 1).alias("nth"))
+    short = listed.where(F.size("x") < factor).select("file_id")
+    return full.union(rendezvous(short, nodes, factor))
+
+
 def first_nodes(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR, order: str = "node_id", source: str = "source") -> DataFrame:
     """file_id, node_id, nth: the first online nodes by ``order`` other than the one in column ``source``; factor + 1 nodes decide for all files."""
     ids = [r[0] for r in nodes.where(F.col("status") == "online").orderBy(order).select("node_id").limit(factor + 1).collect()]

@@ -454,6 +454,22 @@ def replica_plan_rendezvous(s, d):
     return replication.rendezvous(part_table(s, d), node_table(s, d))
 
 
+_U = lambda child: f"(('0x' || substr(md5(file_id || ':' || turn || ':' || {child}), 1, 8))::BIGINT + 0.5) / 4294967296.0"
+
+
+@query(f"""WITH {_NODES}, o AS (SELECT node_id, md5(CAST(node_id AS VARCHAR)) AS h FROM nodes WHERE status = 'online'),
+a AS (SELECT substr(h, 1, 1) AS c, count(*) AS w FROM o GROUP BY 1), b AS (SELECT substr(h, 1, 1) AS p, substr(h, 1, 2) AS c, count(*) AS w FROM o GROUP BY 1, 2),
+t AS (SELECT p_partkey AS file_id, turn FROM part, (SELECT unnest(range(1, 9)) AS turn)),
+x AS (SELECT file_id, turn, c FROM t, a QUALIFY row_number() OVER (PARTITION BY file_id, turn ORDER BY ln({_U('c')}) / w DESC, c DESC) = 1),
+y AS (SELECT file_id, turn, b.c FROM x JOIN b ON b.p = x.c QUALIFY row_number() OVER (PARTITION BY file_id, turn ORDER BY ln({_U('b.c')}) / w DESC, b.c DESC) = 1),
+z AS (SELECT file_id, turn, node_id FROM y JOIN o ON substr(h, 1, 2) = y.c QUALIFY row_number() OVER (PARTITION BY file_id, turn ORDER BY ln({_U('node_id')}) DESC, node_id DESC) = 1),
+d AS (SELECT file_id, node_id, min(turn) AS turn FROM z GROUP BY ALL),
+n AS (SELECT file_id, node_id, row_number() OVER (PARTITION BY file_id ORDER BY turn) AS nth FROM d)
+SELECT file_id, node_id, CAST(nth AS INTEGER) AS nth FROM n WHERE nth <= 2""")
+def replica_plan_tree(s, d):
+    return replication.placed(part_table(s, d), node_table(s, d))
+
+
 @query(f"""WITH {_NODES}, {_FILES}, h AS (SELECT file_id, status FROM files JOIN nodes USING (node_id))
 SELECT count(*) AS checked, count(*) FILTER (WHERE file_id IN (SELECT file_id FROM h WHERE status = 'online')) AS recoverable FROM h WHERE status = 'offline'""")
 def offline_files_recoverable(s, d):

@@ -259,6 +259,35 @@ def test_rendezvous_equals_ranking_all(spark, monkeypatch, block, spare):
     assert replication.rendezvous(files, nodes.limit(0)).count() == 0
 
 
+def test_a_file_with_several_sources_is_placed_for_each(spark):
+    nodes = spark.createDataFrame([(k, "online") for k in range(3)], "node_id int, status string")
+    files = spark.createDataFrame([("f", 0), ("f", 1), ("f", 1), (None, None), ("g", None)], "file_id string, source int")
+    got = {}
+    for r in replication.rendezvous(files, nodes, 2, source="source").collect():
+        got.setdefault(r.file_id, []).append(r.node_id)
+    assert sorted(got["f"]) == [0, 1, 2, 2] and len(set(got["g"])) == 2  # the others of source 0, and of source 1
+
+
+def test_tree_places_on_distinct_nodes_and_moves_little(spark):
+    nodes = spark.createDataFrame([(f"node-{k}", "online" if k != 7 else "offline") for k in range(120)], "node_id string, status string")
+    files = spark.createDataFrame([(f"f{k}",) for k in range(1500)], "file_id string")
+    place = lambda n: {(r.file_id, r.nth): r.node_id for r in replication.placed(files, n, 3).collect()}
+    before = place(nodes)
+    held = {}
+    for (f, _), n in before.items():
+        held.setdefault(f, set()).add(n)
+    assert len(held) == 1500 and all(len(h) == 3 for h in held.values()) and "node-7" not in set(before.values())
+    share = sorted(list(before.values()).count(f"node-{k}") for k in range(120) if k != 7)
+    assert share[0] > 0.4 * 4500 / 119 and share[-1] < 2 * 4500 / 119
+    after = place(nodes.where("node_id <> 'node-50'"))
+    moved = sum(len(held[f] - {after[f, k] for k in (1, 2, 3)}) for f in held)
+    own = sum(n == "node-50" for n in before.values())
+    assert own <= moved < 4 * 4500 / 119
+    few = spark.createDataFrame([("a", "online"), ("b", "online"), ("c", "offline")], "node_id string, status string")
+    assert {(r.file_id, r.node_id) for r in replication.placed(files.limit(2), few, 3).collect()} == {(f, n) for (f,) in files.limit(2).collect() for n in "ab"}
+    assert replication.placed(files, nodes.limit(0)).count() == 0
+
+
 def test_more_nodes_than_one_block(spark, monkeypatch):
     rows = [(k, k % 9, [float(k % 7), float(k % 5), 1.0]) for k in range(90)]
     vec = spark.createDataFrame(rows, "file_id int, node_id int, embedding array<double>")
