@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
+from ..operators.cells import Cells
 from ..operators.text_index import TextIndex
 from ..sources.files import exists, fingerprint, read_table, shared_folder
 from ..streaming import discovery, elections, heartbeats
@@ -130,6 +131,15 @@ def spanish_index(s: SparkSession, d: str) -> TextIndex:
     return _index(s, d, "documents", "spanish", lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang"), ["text"], kind="lang", language="lang")
 
 
+def vector_cells(s: SparkSession, d: str) -> Cells:
+    """Embeddings by the cells of their pivots, in the shared folder."""
+    path = f"{d}/embeddings.parquet"
+    folder = f"{shared_folder(s)}/cells-{hashlib.sha256((path + fingerprint(s, path)).encode()).hexdigest()[:32]}"
+    if not exists(s, f"{folder}/about/_SUCCESS"):  # what is written last
+        return Cells.build(vector_table(s, d), folder)
+    return Cells.open(s, folder)
+
+
 _V = "v AS (SELECT vec_id AS file_id, label AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
 _COS = lambda a, b: f"list_inner_product({a}, {b}) / ((sqrt(list_inner_product({a}, {a})) + 1e-10) * (sqrt(list_inner_product({b}, {b})) + 1e-10))"
 _C = """u AS (SELECT file_id, node_id, unnest(range(0, len(e))) AS pos, unnest(e) / (sqrt(list_inner_product(e, e)) + 1e-10) AS x FROM v),
@@ -221,6 +231,13 @@ def index_location_stats(s, d):
     return vectors.location_stats(vector_table(s, d))
 
 
+@query(f"""WITH {_V}, p AS (SELECT a.file_id AS query_id, b.file_id, b.node_id, round({_COS('b.e', 'a.e')}, 6) AS score FROM v a JOIN v b ON a.file_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, file_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM p) WHERE rank <= 10""")
+def knn_by_cells(s, d):
+    queries = vector_table(s, d).where(F.col("file_id") % 50 == 0).select(F.col("file_id").alias("query_id"), "embedding")
+    return vector_cells(s, d).neighbours(queries, 10)
+
+
 # ---- text
 
 
