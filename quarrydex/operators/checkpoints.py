@@ -58,3 +58,63 @@ def restore(files: DataFrame, snapshots: DataFrame) -> DataFrame:
     """files with the rows of the checkpointed nodes replaced by their snapshots."""
     back = snapshots.withColumn("restored_from_checkpoint", F.lit(True))
     return files.join(snapshots.select("node_id").distinct(), "node_id", "left_anti").unionByName(back, allowMissingColumns=True)
+
+
+#: Digits of the folders of a stored snapshot; a level of the tree for each number of digits up to RANGE_DIGITS.
+FOLDER_DIGITS = 2
+
+
+def _range(digits: int) -> Column:
+    return F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, digits)
+
+
+def tree(files: DataFrame, entry_: Column | None = None) -> DataFrame:
+    """node_id, prefix, files, digest: a node's hash tree.  A prefix has its range's digits, the root none; a digest goes over the
+    entries of a range, or the digests of the sixteen ranges below."""
+    own = files.select("node_id", _range(RANGE_DIGITS).alias("prefix"), (entry() if entry_ is None else entry_).alias("entry"))
+    level = own.groupBy("node_id", "prefix").agg(F.count(F.lit(1)).alias("files"), digest(F.collect_list("entry")).alias("digest"))
+    out = level
+    for k in reversed(range(RANGE_DIGITS)):
+        up = level.groupBy("node_id", F.substring("prefix", 1, k).alias("above")).agg(F.sum("files").alias("files"), digest(F.collect_list(F.concat_ws(":", "prefix", "digest"))).alias("digest"))
+        level = up.withColumnRenamed("above", "prefix")
+        out = out.unionByName(level)
+    return out
+
+
+def store(files: DataFrame, path: str) -> None:
+    """Write a snapshot in folders of ranges, and its hash tree."""
+    kept = files.select("node_id", "file_id", "content_hash", "last_updated", _range(RANGE_DIGITS).alias("prefix")).withColumn("folder", F.substring("prefix", 1, FOLDER_DIGITS))
+    kept.repartition("folder").sortWithinPartitions("folder", "prefix", "node_id").write.partitionBy("folder").parquet(f"{path}/files")
+    tree(files).withColumn("level", F.char_length("prefix")).repartition("level").write.partitionBy("level").parquet(f"{path}/tree")
+
+
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """node_id, prefix: ranges whose digests differ between two stored trees, found from the root down.
+
+    A level looks only at the children of ranges that differ above: what is alike costs a row for its node.
+    """
+    found = None
+    for k in range(RANGE_DIGITS + 1):
+        a, b = (t.where(F.col("level") == k).select("node_id", "prefix", F.col("digest").alias(n)) for t, n in ((left, "a"), (right, "b")))
+        if found is not None:
+            above = found.select("node_id", F.col("prefix").alias("above"))
+            a, b = (x.withColumn("above", F.substring("prefix", 1, k - 1)).join(above, ["node_id", "above"], "left_semi").drop("above") for x in (a, b))
+        found = a.join(b, ["node_id", "prefix"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node_id", "prefix")
+    return found
+
+
+def differences(spark, left: str, right: str) -> DataFrame:
+    """node_id, file_id, change: what became of files between two stored snapshots: added, removed, changed.
+
+    Only the folders of ranges that differ are read, and of those only such ranges.  Node ids aren't null.
+    """
+    trees = [spark.read.schema("node_id string, prefix string, files bigint, digest string, level int").parquet(f"{p}/tree") for p in (left, right)]
+    ranges = differing(*trees)
+    folders = [r[0] for r in ranges.select(F.substring("prefix", 1, FOLDER_DIGITS)).distinct().collect()]  # 256 at most
+    sides = []
+    for path, name in ((left, "a"), (right, "b")):
+        rows = spark.read.schema("node_id string, file_id string, content_hash string, last_updated timestamp, prefix string, folder string").parquet(f"{path}/files").where(F.col("folder").isin(folders))
+        sides.append(rows.join(ranges, ["node_id", "prefix"], "left_semi").select("node_id", "file_id", entry().alias(name)))
+    both = sides[0].join(sides[1], ["node_id", "file_id"], "full")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return both.select("node_id", "file_id", change.alias("change")).where("change is not null")

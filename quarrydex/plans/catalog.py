@@ -8,6 +8,7 @@ sizes, events are activities, heartbeats and failures, pages are paths of the na
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from ..functions import scalars as S
 from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
 from ..operators.cells import Cells
+from ..operators.fuzzy import FuzzyNames
 from ..operators.text_index import TextIndex
+from ..sources.buckets import BucketTable
 from ..sources.files import exists, fingerprint, read_table, shared_folder
 from ..streaming import discovery, elections, heartbeats
 
@@ -355,6 +358,13 @@ def fuzzy_name_search(s, d):
     return search.fuzzy_names(part_table(s, d), "gren", 1)
 
 
+@query(r"""WITH w AS (SELECT p_partkey, p_name, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM part)
+SELECT p_partkey AS file_id, p_name AS name, CAST(min(levenshtein(t, 'gizno')) AS INTEGER) AS distance FROM w GROUP BY ALL HAVING min(levenshtein(t, 'gizno')) <= 2""")
+def fuzzy_index_search(s, d):
+    path = f"{shared_folder(s)}/fuzzy-{uuid.uuid4().hex}"
+    return FuzzyNames.build(part_table(s, d), path).search("Gizno", 2)
+
+
 @query("SELECT p_partkey AS file_id, p_size AS size FROM part WHERE p_size BETWEEN 10 AND 20")
 def size_range_filter(s, d):
     return search.in_ranges(part_table(s, d), (10, 20)).select("file_id", "size")
@@ -454,6 +464,29 @@ SELECT count(*) AS unique_files, CAST(sum(copies) AS BIGINT) AS total_replicas,
 count(*) FILTER (WHERE copies < 2) AS under_replicated, round(100.0 * count(*) FILTER (WHERE copies >= 2) / count(*), 6) AS coverage_percent FROM c"""
 
 
+@query("""WITH o AS (SELECT p_partkey AS file_id, p_name AS name, p_size AS size FROM part WHERE p_partkey % 3 <> 0),
+n AS (SELECT p_partkey AS file_id, p_name AS name, p_size + 100 AS size FROM part WHERE p_partkey % 250 < 2)
+SELECT * FROM o WHERE file_id NOT IN (SELECT file_id FROM n) AND file_id % 500 <> 7 UNION ALL SELECT * FROM n""")
+def bucketed_upsert(s, d):
+    files = part_table(s, d).select("file_id", "name", "size")
+    table = BucketTable.create(files.where("file_id % 3 <> 0"), f"{shared_folder(s)}/files-{uuid.uuid4().hex}", ["file_id"], 256)
+    newer = table.upsert(files.where("file_id % 250 < 2").withColumn("size", F.col("size") + 100))
+    return newer.delete(files.where("file_id % 500 = 7")).read()
+
+
+@query(f"""WITH {_FILES}, b AS (SELECT * REPLACE (CASE WHEN file_id % 97 = 5 THEN content_hash || 'x' ELSE content_hash END AS content_hash) FROM files WHERE file_id % 101 <> 3)
+SELECT CAST(coalesce(files.node_id, b.node_id) AS VARCHAR) AS node_id, CAST(coalesce(files.file_id, b.file_id) AS VARCHAR) AS file_id,
+  CASE WHEN b.file_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM files LEFT JOIN b ON b.file_id = files.file_id AND b.node_id = files.node_id WHERE b.file_id IS NULL OR b.content_hash <> files.content_hash""")
+def checkpoint_differences(s, d):
+    files = file_table(s, d).select(F.col("node_id").cast("string").alias("node_id"), F.col("file_id").cast("string").alias("file_id"), "content_hash", F.col("last_updated").cast("timestamp").alias("last_updated"))
+    later = files.where("file_id % 101 <> 3").withColumn("content_hash", F.when(F.col("file_id") % 97 == 5, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    paths = [f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}" for name in ("before", "after")]
+    for rows, path in zip((files, later), paths):
+        checkpoints.store(rows, path)
+    return checkpoints.differences(s, *paths)
+
+
 @query(f"WITH {_FILES}, {_STATUS}")
 def replication_status(s, d):
     return replication.replication_status(file_table(s, d))
