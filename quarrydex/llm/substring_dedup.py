@@ -172,7 +172,7 @@ def numbers(blobs: list[bytes], kind=np.int64) -> np.ndarray:
 
 
 def find_keys(buckets: int):
-    """Step 1, by input task.  Kind 0: keys with the one document that has them here (-1: several have); kind 1: for documents, keys shared here."""
+    """Step 1, by input task.  Kind 0: keys with a document that has them here, and whether several have; kind 1: for documents, keys shared here."""
 
     def combined(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
         key, own = np.concatenate(keys), np.concatenate(owners)
@@ -181,7 +181,7 @@ def find_keys(buckets: int):
         edge = groups(key)
         first, last = edge[:-1], edge[1:] - 1
         shared = own[first] != own[last] if len(first) else np.zeros(0, bool)
-        rows = list(packed(of_bucket(key[first], buckets), 0, key[first], np.where(shared, -1, own[first])))
+        rows = list(packed(of_bucket(key[first], buckets), 0, key[first], own[first], shared.astype(np.int64)))
         again = np.repeat(shared, np.diff(edge))
         rows += packed(doc_bucket(own[again], buckets) + buckets, 1, own[again], key[again])
         return to_batch(rows)
@@ -233,12 +233,12 @@ def share_keys(buckets: int):
             ids, key = numbers(a), numbers(b, np.uint64)
             rows = list(packed(doc_bucket(ids, buckets), 1, ids, key))
         elif len(kind):
-            key, ids = numbers(a, np.uint64), numbers(b)
+            key, ids, several = numbers(a, np.uint64), numbers(b), numbers(group["c"].to_pylist())
             order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
+            key, ids, several = key[order], ids[order], several[order]
             edge = groups(key)
-            shared = (ids[edge[:-1]] != ids[edge[1:] - 1]) | (ids[edge[:-1]] == -1)
-            take = np.repeat(shared, np.diff(edge)) & (ids != -1)
+            shared = (ids[edge[:-1]] != ids[edge[1:] - 1]) | (np.maximum.reduceat(several, edge[:-1]) > 0)
+            take = np.repeat(shared, np.diff(edge)) & (several == 0)  # those of several were sent by their task
             rows = list(packed(doc_bucket(ids[take], buckets), 1, ids[take], key[take]))
         return pa.Table.from_batches([to_batch(rows)])
 
@@ -438,7 +438,7 @@ def remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
     texts = [t for chunk in docs["text"].chunks for t in strings(chunk)]
     own = docs["doc_id"].to_numpy()
     for doc, nth, null, text in zip(own.tolist(), nth_texts(own, texts).tolist(), docs["no_id"].to_pylist(), texts):
-        a, b = np.searchsorted(ids, [doc, doc + 1])
+        a, b = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
         if b > a:
             a, b = a + np.searchsorted(low[a:b], [nth << NTH, nth + 1 << NTH])
         removed = number = 0
@@ -462,12 +462,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte covered by a LENGTH-byte string that also starts in a document with a smaller id is removed; strings are judged
     on the input, and matches never cross documents.  A null text counts as empty.  Rows that share an id are one document:
-    they don't match each other, but each loses the places in its own text only.  A null id counts as the largest one, so
-    rows without an id share it.  Other columns are ignored, an empty table gives an empty result.
+    they don't match each other, but each loses the places in its own text only.  A null id counts as the largest 64-bit
+    number, so rows without an id share it.  Other columns are ignored, an empty table gives an empty result.
     """
     size, number = docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, -(-size // bucket_bytes))
-    largest = (1 << 62)
+    largest = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(largest)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
     deal = F.arrow_udf(lambda ids: pa.array(doc_bucket(ids.to_numpy(zero_copy_only=False), buckets).astype(np.int32)), "int")
     dealt = rows.select(deal("doc_id").alias("bucket"), "doc_id", "text", "no_id")

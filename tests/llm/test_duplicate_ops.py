@@ -235,6 +235,18 @@ def test_repeats_of_rows_that_share_an_id(spark, bucket_bytes):
     assert sorted(got, key=str) == sorted(removed_by_row(rows), key=str)
 
 
+@pytest.mark.parametrize("first, second", [(-1, 5), (-1, -7), (1, 5), (-(1 << 63), -1), (1 << 62, (1 << 62) + 1), ((1 << 62) + 1, None), (0, (1 << 63) - 2)])
+def test_repeats_of_any_ids(spark, first, second):
+    """Documents in two partitions; two more make their passage one that several have already."""
+    passage = "".join(random.Random(4).choice("abcdefgh ") for _ in range(81))
+    rows = [(first, "x " + passage + " yz"), (second, passage + "!"), (77, "other " + passage), (78, passage)]
+    for some in (rows[:2], rows):
+        df = table(spark, some).repartitionByRange(len(some), "text")
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.remove_repeats(df).collect()]
+        want = removed_by_row([(1 << 70 if i is None else i, t) for i, t in some])
+        assert sorted(((1 << 70 if i is None else i), *x) for i, *x in got) == sorted(want)
+
+
 def test_repeats_of_empty_table(spark):
     assert substring_dedup.repeat_report(table(spark, [])).count() == 0
 
