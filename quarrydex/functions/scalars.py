@@ -141,6 +141,7 @@ def megabytes(size: Column, digits: int = 2) -> Column:
 # The frame of a binary message.
 MAGIC, MOST = "44534D01", 65_507
 TYPES = ["PING", "PONG", "ELECTION", "ELECTION_OK", "COORDINATOR", "REGISTER_CONTENT", "QUERY_ROUTING", "REPLICATE", "SYNC_REQUEST", "SYNC_RESPONSE", "STATUS_REQUEST", "STATUS_RESPONSE"]
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _BODY = "sender_id string, payload map<string,string>, timestamp timestamp"
 
 
@@ -178,7 +179,7 @@ def from_iso(text: Column) -> Column:
 def frame(kind: Column, sender: Column, payload: Column, timestamp: Column) -> Column:
     """Magic, one byte for the type, JSON; null if it is too long or of no known type."""
     number = F.array_position(F.array(*[F.lit(t) for t in TYPES]), kind)
-    body = F.to_json(F.struct(sender.alias("sender_id"), payload.alias("payload"), timestamp.alias("timestamp"))).cast("binary")
+    body = F.to_json(F.struct(sender.alias("sender_id"), payload.alias("payload"), timestamp.alias("timestamp")), _TIMES).cast("binary")
     framed = F.concat(F.unhex(F.lit(MAGIC)), F.unhex(F.lpad(F.hex(number), 2, "0")), body)
     return F.when((number > 0) & (F.octet_length(framed) <= MOST), framed)
 
@@ -186,7 +187,7 @@ def frame(kind: Column, sender: Column, payload: Column, timestamp: Column) -> C
 def unframe(data: Column) -> Column:
     """struct of type, sender_id, payload, timestamp; null if malformed."""
     number = F.conv(F.hex(F.substring(data, 5, 1)), 16, 10).cast("int")
-    body = F.from_json(F.decode(F.substring(data, 6, MOST), "UTF-8"), _BODY)
+    body = F.from_json(F.decode(F.substring(data, 6, MOST), "UTF-8"), _BODY, _TIMES)
     good = (F.hex(F.substring(data, 1, 4)) == MAGIC) & number.between(1, len(TYPES)) & body["sender_id"].isNotNull()
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.greatest(F.least(number, F.lit(len(TYPES))), F.lit(1)))
     return F.when(good, F.struct(kind.alias("type"), body["sender_id"].alias("sender_id"), body["payload"].alias("payload"), body["timestamp"].alias("timestamp")))

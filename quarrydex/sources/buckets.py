@@ -31,11 +31,16 @@ class BucketTable:
     schema: StructType
     version: int
     versions: dict[int, int]
+    by: list[str]
+    batch: int = -1
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> BucketTable:
-        """Write ``rows``, of equal keys one (any of them; make them unique by ``registry.latest`` where it matters)."""
-        table = cls(rows.sparkSession, path, keys, buckets, rows.schema, -1, {})
+    def create(cls, rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, by: list[str] | None = None) -> BucketTable:
+        """Write ``rows``, of equal keys one (any of them; make them unique by ``registry.latest`` where it matters).
+
+        ``by``, some of the keys, deals rows to buckets; all of them do if it isn't given.
+        """
+        table = cls(rows.sparkSession, path, keys, buckets, rows.schema, -1, {}, keys if by is None else by)
         return table._commit(rows.dropDuplicates(keys))
 
     @classmethod
@@ -46,10 +51,10 @@ class BucketTable:
             while exists(spark, f"{path}/manifest/{version + 1}/_SUCCESS"):
                 version += 1
         r = spark.read.parquet(f"{path}/manifest/{version}").first()
-        return cls(spark, path, list(r["keys"]), r.buckets, StructType.fromJson(json.loads(r.stored)), version, dict(r.versions))
+        return cls(spark, path, list(r["keys"]), r.buckets, StructType.fromJson(json.loads(r.stored)), version, dict(r.versions), list(r.by), r.batch)
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def _read(self, buckets) -> DataFrame:
         paths = [f"{self.path}/data/v={self.versions[b]}/bucket={b}" for b in sorted(set(buckets) & set(self.versions))]
@@ -59,29 +64,38 @@ class BucketTable:
         return self._read(self.versions)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """The rows with the given keys, a short list: only their buckets are read."""
-        wanted = keys.select(*self.keys).distinct()
-        return self._read(r[0] for r in wanted.select(self._bucket()).distinct().collect()).join(wanted, self.keys, "left_semi")
+        """The rows with the given keys, or values of ``by``: only their buckets are read."""
+        columns = [c for c in self.keys if c in keys.columns]
+        wanted = keys.select(*columns).distinct()
+        return self._read(self._touched(wanted)).join(wanted, columns, "left_semi")
 
     def _touched(self, rows: DataFrame) -> list[int]:
         return [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # at most as many as there are buckets
 
-    def upsert(self, new: DataFrame, order: list[Column] | None = None) -> BucketTable:
+    def upsert(self, new: DataFrame, order: list[Column] | None = None, stored_too: bool = False, batch: int | None = None) -> BucketTable:
         """The next version, with ``new`` rows in place of those of equal keys; of several new ones the first by ``order`` counts.
 
-        Columns that ``new`` lacks are null, those that the table lacks are left out.  Null keys are rows of their own.
+        With ``stored_too`` a stored row takes part in that, so an older new one doesn't replace it.  Columns that ``new`` lacks
+        are null, those that the table lacks are left out.  Null keys are rows of their own.  A ``batch`` that this version has
+        seen already changes nothing.
         """
-        once = latest(new, self.keys, order) if order else new
-        once = once.select(*[c for c in self.schema.names if c in new.columns])
-        touched = self._touched(once)
-        return self._commit(upsert(self._read(touched), once, self.keys).select(*self.schema.names), touched)
+        if batch is not None and batch <= self.batch:
+            return self
+        touched = self._touched(new)
+        old = self._read(touched)
+        if stored_too:
+            rows = latest(old.unionByName(new, allowMissingColumns=True), self.keys, order)
+        else:
+            rows = upsert(old, latest(new, self.keys, order) if order else new, self.keys)
+        return self._commit(rows.select(*self.schema.names), touched, batch)
 
     def delete(self, keys: DataFrame) -> BucketTable:
         """The next version without the rows of these keys."""
         touched = self._touched(keys)
         return self._commit(self._read(touched).join(keys.select(*self.keys).distinct(), self.keys, "left_anti"), touched)
 
-    def _commit(self, rows: DataFrame, touched: list[int] | None = None) -> BucketTable:
+    def _commit(self, rows: DataFrame, touched: list[int] | None = None, batch: int | None = None) -> BucketTable:
+        batch = self.batch if batch is None else batch
         version, data = self.version + 1, f"{self.path}/data"
         if touched is None or touched:
             rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/v={version}")
@@ -89,6 +103,6 @@ class BucketTable:
         filled = [b for b in (range(self.buckets) if touched is None else touched) if exists(self.spark, f"{data}/v={version}/bucket={b}")]
         gone = set(self.versions if touched is None else touched)
         versions = {b: v for b, v in self.versions.items() if b not in gone} | {b: version for b in filled}
-        row = [(self.keys, self.buckets, self.schema.json(), versions)]
-        self.spark.createDataFrame(row, "keys array<string>, buckets int, stored string, versions map<int,int>").coalesce(1).write.mode("error").parquet(f"{self.path}/manifest/{version}")
-        return BucketTable(self.spark, self.path, self.keys, self.buckets, self.schema, version, versions)
+        row = [(self.keys, self.buckets, self.schema.json(), versions, self.by, batch)]
+        self.spark.createDataFrame(row, "keys array<string>, buckets int, stored string, versions map<int,int>, by array<string>, batch bigint").coalesce(1).write.mode("error").parquet(f"{self.path}/manifest/{version}")
+        return BucketTable(self.spark, self.path, self.keys, self.buckets, self.schema, version, versions, self.by, batch)
