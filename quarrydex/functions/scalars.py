@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,8 @@ EXTENSIONS = {
     "archive": [".zip", ".tar", ".gz", ".rar", ".7z", ".bz2", ".xz"],
     "executable": [".exe", ".msi", ".sh", ".bat", ".cmd", ".ps1"],
 }
-# Media types by extension.
-MEDIA = {
-    ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".css": "text/css", ".csv": "text/csv", ".xml": "text/xml", ".md": "text/markdown",
-    ".py": "text/x-python", ".js": "text/javascript", ".json": "application/json", ".pdf": "application/pdf", ".doc": "application/msword", ".zip": "application/zip",
-    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".svg": "image/svg+xml",
-    ".mp3": "audio/mpeg", ".wav": "audio/x-wav", ".mp4": "video/mp4", ".avi": "video/x-msvideo", ".mov": "video/quicktime",
-}
+#: Media types by extension, as Python's standard library has them without those of the machine.
+MEDIA = dict(sorted(mimetypes.MimeTypes().types_map[True].items()))
 STATES = ["online", "offline", "unknown"]
 
 

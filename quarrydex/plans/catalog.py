@@ -14,14 +14,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import scalars as S
 from ..functions.tables import beside
 from ..operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
 from ..operators.cells import Cells
 from ..operators.fuzzy import FuzzyNames
 from ..operators.text_index import TextIndex
+from ..sources import messages
 from ..sources.buckets import BucketTable
-from ..sources.files import exists, fingerprint, read_table, shared_folder
+from ..sources.files import exists, fingerprint, read_table, shared_folder, split_ingest
 from ..streaming import discovery, elections, heartbeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +243,12 @@ def knn_by_cells(s, d):
     return vector_cells(s, d).neighbours(queries, 10)
 
 
+@query(f"WITH {_V}, {_C}, {_NODES} SELECT c.node_id, round({_COS('c', 'q')}, 6) AS score FROM c JOIN q ON true JOIN nodes ON nodes.node_id = c.node_id WHERE status = 'online' ORDER BY score DESC, c.node_id LIMIT 4")
+def select_nodes_by_centroids(s, d):
+    affinity = vectors.route(vector_table(s, d), some_vector(s, d), 1 << 20)
+    return routing.select_nodes(node_table(s, d), load_table(s, d), affinity, "semantic", 4)
+
+
 # ---- text
 
 
@@ -365,6 +373,22 @@ def fuzzy_index_search(s, d):
     return FuzzyNames.build(part_table(s, d), path).search("Gizno", 2)
 
 
+@query(f"""WITH brand AS (SELECT * FROM part WHERE p_brand = 'Brand#7'), {_bm25('brand', 'p_partkey', 'p_name', ['bolt', 'small'], 'n')}, {_bm25('brand', 'p_partkey', 'p_type', ['bolt', 'small'], 'c')},
+b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, score FROM sc), h AS (SELECT file_id, round(sum(score), 6) AS score FROM b GROUP BY file_id ORDER BY score DESC, file_id LIMIT 20)
+SELECT h.file_id, score, l_suppkey AS node_id FROM h JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = h.file_id""")
+def engine_search(s, d):
+    # each part is a file on every node that delivers it
+    held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id")).distinct()
+    files = part_table(s, d).drop("content").join(held, "file_id", "left")
+    engine = Engine(s, tables={"files": files, "contents": part_table(s, d).select("file_id", "content")})
+    return engine.result_files(engine.search("BOLT small", "Brand#7", 20)).where("node_id is not null").select("file_id", "score", "node_id")
+
+
+@query(f"WITH {_bm25('documents', 'doc_id', 'text', ['der', 'erand'])} SELECT file_id, round(score, 6) AS score FROM s WHERE file_id IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 200 AND 900) ORDER BY score DESC, file_id LIMIT 15")
+def bm25_search_filtered(s, d):
+    return search.text_search(read_table(s, d, "documents"), "der erand", 15, "text", "doc_id", where=F.col("n_chars").between(200, 900))
+
+
 @query("SELECT p_partkey AS file_id, p_size AS size FROM part WHERE p_size BETWEEN 10 AND 20")
 def size_range_filter(s, d):
     return search.in_ranges(part_table(s, d), (10, 20)).select("file_id", "size")
@@ -590,6 +614,12 @@ def node_metrics_mttr_mttf(s, d):
     return reliability.node_metrics(failure_table(s, d))
 
 
+@query(f"""WITH {_FAIL}, {_METRICS.replace('WHERE rec IS NOT NULL', "WHERE rec IS NOT NULL AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 3 DAY")} SELECT node_id, failures, round(mttr, 3) AS mttr, round(mttf, 3) AS mttf, round(mtbf, 3) AS mtbf, round(availability, 3) AS availability FROM metrics""")
+def node_metrics_of_three_days(s, d):
+    own = reliability.node_metrics(failure_table(s, d), F.lit("2024-01-20").cast("timestamp_ntz"), 3)
+    return own.select("node_id", "failures", *[F.round(c, 3).alias(c) for c in ("mttr", "mttf", "mtbf", "availability")])
+
+
 @query(f"""WITH {_FAIL}, {_METRICS}, o AS (SELECT DISTINCT user_id AS node_id FROM events)
 SELECT count(*) AS nodes, round(avg(mttr), 6) AS mttr, round(avg(mtbf), 6) AS mtbf, round(avg(coalesce(availability, 1.0)), 6) AS availability FROM o LEFT JOIN metrics USING (node_id)""")
 def system_reliability(s, d):
@@ -901,6 +931,13 @@ def replication_task_counts(s, d):
 # ---- inventory: ingest, nodes, vectors, messages
 
 
+@query("SELECT n_nationkey AS file_id, 200000 AS bytes, md5(left(repeat(n_name || ' ', 60000), 200000)) AS content_md5 FROM nation")
+def long_contents_cut(s, d):
+    long = read_table(s, d, "nation").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("name"), F.repeat(F.concat("n_name", F.lit(" ")), 60_000).alias("content"))
+    kept = split_ingest(long)[1]
+    return kept.select("file_id", F.octet_length("content").alias("bytes"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query("""WITH n AS (SELECT doc_id AS file_id, text AS content FROM documents WHERE doc_id % 2 = 0), o AS (SELECT doc_id AS file_id, lang AS content FROM documents WHERE doc_id % 3 = 0),
 blank AS (SELECT file_id, trim(coalesce(content, '')) = '' AS b, content FROM n)
 SELECT coalesce(o.file_id, blank.file_id) AS file_id, md5(coalesce(CASE WHEN blank.file_id IS NULL OR (b AND o.file_id IS NOT NULL) THEN o.content ELSE blank.content END, '-')) AS content_md5
@@ -1011,6 +1048,22 @@ def message_frames(s, d):
     return got.select("event_id", F.element_at("m.payload", F.lit("event_type")).alias("type"), "m.sender_id", F.round(F.element_at("m.payload", F.lit("value")).cast("double"), 6).alias("value"), "sent_us")
 
 
+@query("""WITH m AS (SELECT user_id AS node_id, ts, event_type, event_id % 10 = 0 AS broken FROM events WHERE event_type IN ('click', 'view'))
+SELECT CASE WHEN NOT broken THEN CAST(node_id AS VARCHAR) END AS node_id, count(*) AS messages, max(CASE WHEN NOT broken THEN epoch_us(ts) END) AS last_us FROM m GROUP BY 1""")
+def message_stream(s, d):
+    # frames as another job writes them, a tenth of them cut; taken up by a stream in several batches
+    events = read_table(s, d, "events").withColumn("kind", F.when(F.col("event_type") == "click", "PING").when(F.col("event_type") == "view", "PONG"))
+    sent = S.frame(F.col("kind"), F.col("user_id").cast("string"), F.create_map().cast("map<string,string>"), F.col("ts").cast("timestamp"))
+    sent = events.where("kind is not null").select(F.when(F.col("event_id") % 10 == 0, F.substring(sent, 1, 20)).otherwise(sent).alias("value"))
+    folder = f"{shared_folder(s)}/frames-{uuid.uuid4().hex}"
+    sent.repartition(3).write.parquet(f"{folder}/in")
+    rows = messages.messages(messages.read_frames(s, f"{folder}/in", 2))
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = s.read.parquet(f"{folder}/out")
+    return got.groupBy(F.col("sender_id").alias("node_id")).agg(F.count(F.lit(1)).alias("messages"), F.max(F.unix_micros("timestamp")).alias("last_us"))
+
+
 @query("""WITH m AS (SELECT user_id AS node_id, ts FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 <> 0), n AS (SELECT max(ts) AS now FROM events)
 SELECT node_id, epoch_us(max(ts)) AS last_us, CASE WHEN epoch_us(any_value(now)) - epoch_us(max(ts)) > 86400000000 THEN 'offline' ELSE 'online' END AS status FROM m, n GROUP BY node_id""")
 def heartbeats_of_known_peers(s, d):
