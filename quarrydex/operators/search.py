@@ -72,9 +72,9 @@ def indexed_search(index: TextIndex, query: str, file_type: str | None = None, l
 
     The best hits, ``limit`` at most, are known before names are looked at, so names are read only where no text matches.
     """
-    hits = index.top(query, limit, kind=file_type, language=language)
-    if hits:
-        return index.with_ids(hits).withColumn("matched", F.lit("text"))
+    hits = index.hits(query, limit, kind=file_type, language=language)
+    if hits is not None:
+        return hits.withColumn("matched", F.lit("text"))
     return index.names_containing(query, limit, file_type).select("file_id", F.lit(0.0).alias("score"), F.lit("name").alias("matched"))
 
 

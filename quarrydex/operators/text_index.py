@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.blockmax import Floors, Postings, best, pack
 from ..functions.stemming import SPANISH, spanish
@@ -30,6 +31,8 @@ DIGITS = 6
 SHARD_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 30, 256 << 20
 #: Bytes of text that a task of building sorts, about, and postings that a search gives to a single task.
 TASK_BYTES, ONE_TASK = 128 << 20, 1 << 20
+#: Files of an index whose searches are one task: their ids and the postings of a query's terms are small then.
+FEW_FILES = 100_000
 #: Folders of postings at most; beyond that parts have more files.
 MOST_PARTS = 4096
 KIND, GRAMS, END = "~kind", "~grams", "\0"
@@ -101,7 +104,7 @@ def _field_rows(shard: int, name: str, counts: list[Counter], lengths: np.ndarra
 
 @dataclass
 class TextIndex:
-    """An index under ``path``.  ``blocks``: how many blocks the last search decompressed, of how many its terms have."""
+    """An index under ``path``."""
 
     spark: SparkSession
     path: str
@@ -111,7 +114,7 @@ class TextIndex:
     postings: DataFrame = field(repr=False)
     terms: DataFrame = field(repr=False)
     ids: DataFrame = field(repr=False)
-    blocks: tuple[int, int] = (0, 0)
+    _counted: list = field(default_factory=list, repr=False)
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, fields: list[str], id_col: str = "file_id", kind: str | None = None, language: str | None = None, name: str | None = None, stop: list[str] | None = None, shard_bytes: int = SHARD_BYTES) -> TextIndex:
@@ -195,12 +198,20 @@ class TextIndex:
         rows = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin(t) for f, t in by_field.items()])
         return table.where(F.col("part").isin(*[_part(F.lit(f), F.lit(t), self.parts) for f, t in keys]) & rows)
 
+    @staticmethod
+    def words(query: str, language: str | None = None) -> list[str]:
+        """The words of a query as the index has them."""
+        words = query_terms(query)
+        return list(dict.fromkeys(map(spanish, words))) if language is not None and language.lower() in SPANISH else words
+
+    @property
+    def blocks(self) -> tuple[int, int]:
+        """How many blocks the last search decompressed once its rows were read, of how many its terms have."""
+        return tuple(c.value for c in self._counted) or (0, 0)
+
     def frequencies(self, query: str, fields: list[str], language: str | None = None) -> dict[tuple[str, str], int]:
         """Files that have the query's terms in each field; a term that none has is left out."""
-        words = query_terms(query)
-        if language is not None and language.lower() in SPANISH:
-            words = list(dict.fromkeys(map(spanish, words)))
-        found = self._of(self.terms, [(f, t) for f in fields for t in words]).select("field", "term", "df").collect()  # a row a term
+        found = self._of(self.terms, [(f, t) for f in fields for t in self.words(query, language)]).select("field", "term", "df").collect()  # a row a term
         return {(r.field, r.term): r.df for r in found}
 
     def _by_shard(self, rows: DataFrame, postings: int) -> DataFrame:
@@ -212,13 +223,13 @@ class TextIndex:
         """(shard, place, score) of the best ``limit`` hits, a short list: scores of six digits, equal ones in the order of ids."""
         fields = {"name": 10.0, "content": 1.0} if fields is None else fields
         df = self.frequencies(query, [f for f in fields if f in self.avgdl], language)
+        self._counted = []
         if not df or limit <= 0:
-            self.blocks = (0, 0)
             return []
         weights = {key: fields[key[0]] * float(np.log(1.0 + (self.files - n + 0.5) / (n + 0.5))) for key, n in df.items()}
         wanted = [*weights, *([(KIND, kind)] if kind is not None else [])]
         counted = [self.spark.sparkContext.accumulator(0) for _ in range(2)]
-        avgdl = self.avgdl
+        avgdl, self._counted = self.avgdl, counted
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             floors, out = Floors(limit), []
@@ -240,7 +251,6 @@ class TextIndex:
 
         rows = self._by_shard(self._of(self.postings, wanted), sum(df.values()) + (self.files if kind is not None else 0))
         hits = rows.mapInArrow(search, "shard bigint, place int, score double").orderBy(F.desc("score"), "shard", "place").limit(limit).collect()
-        self.blocks = (counted[0].value, counted[1].value)
         return [tuple(h) for h in hits]
 
     def search(self, query: str, limit: int = 50, fields: dict[str, float] | None = None, kind: str | None = None, language: str | None = None) -> DataFrame:
@@ -249,8 +259,61 @@ class TextIndex:
         ``fields`` has the weight of each field, ``kind`` leaves only files of that kind (statistics stay those of all files),
         ``language`` says how the query's words are taken.
         """
+        if self.files <= FEW_FILES:
+            return self._few(query, limit, fields, kind, language)
         return self.with_ids(self.top(query, limit, fields, kind, language))
 
+    def hits(self, query: str, limit: int = 50, fields: dict[str, float] | None = None, kind: str | None = None, language: str | None = None) -> DataFrame | None:
+        """The rows of ``search``, which are known already; None if there are none."""
+        if self.files > FEW_FILES:
+            found = self.top(query, limit, fields, kind, language)
+            return self.with_ids(found) if found else None
+        found = self._few(query, limit, fields, kind, language)
+        rows = found.toArrow()
+        return self.spark.createDataFrame(rows).orderBy(F.desc("score"), "file_id") if len(rows) else None
+
+    def _few(self, query: str, limit: int, fields: dict[str, float] | None, kind: str | None, language: str | None) -> DataFrame:
+        """A search of an index of few files as one task: the terms' frequencies, the scores and the ids come from the same rows."""
+        fields = {"name": 10.0, "content": 1.0} if fields is None else fields
+        keys = [(f, t) for f in fields if f in self.avgdl for t in self.words(query, language)]
+        out = StructType([StructField("file_id", self.ids.schema["ids"].dataType.elementType), StructField("score", DoubleType())])
+        if not keys or limit <= 0:
+            return self.spark.createDataFrame([], out)
+        kinds, avgdl, files = to_arrow_schema(out), self.avgdl, self.files
+        counted = [self.spark.sparkContext.accumulator(0) for _ in range(2)]
+        self._counted = counted
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids: dict[int, pa.Array] = {}
+            rows = []
+            for batch in batches:
+                for i in np.flatnonzero(pa.compute.is_valid(batch.column("ids")).to_numpy(zero_copy_only=False)).tolist():
+                    ids[batch.column("shard")[i].as_py()] = batch.column("ids")[i].values
+                rows.append(batch.filter(pa.compute.is_valid(batch.column("term"))).drop_columns(["ids"]))
+            held = [(s, dict(lists)) for s, lists in shards(iter(rows), avgdl)]
+            df: Counter = Counter()
+            for _, lists in held:
+                df.update({key: p.n for key, p in lists.items() if key[0] != KIND})
+            weights = {key: fields[key[0]] * float(np.log(1.0 + (files - n + 0.5) / (n + 0.5))) for key, n in df.items()}
+            floors = Floors(limit)
+            for shard, lists in held:
+                among = None
+                if kind is not None:
+                    among = np.zeros(len(ids[shard]), bool)
+                    if (KIND, kind) in lists:
+                        among[lists[KIND, kind].places()] = True
+                scored = [(p, weights[key]) for key, p in lists.items() if key in weights]
+                places, scores = best(scored, len(ids[shard]), limit, floors.of(0), among, DIGITS)
+                counted[0].add(sum(len(p.read) for p, _ in scored))
+                counted[1].add(sum(len(p.last) for p, _ in scored))
+                floors.add(0, scores)
+                yield pa.RecordBatch.from_arrays([ids[shard].take(pa.array(places)).cast(kinds.field("file_id").type), pa.array(scores, pa.float64())], schema=kinds)
+
+        wanted = [*keys, *([(KIND, kind)] if kind is not None else [])]
+        rows = self._of(self.postings, wanted).drop("part").withColumn("ids", F.lit(None).cast(self.ids.schema["ids"].dataType))
+        own = self.ids.select("shard", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("shard", "ids")], "ids")
+        return rows.unionByName(own).coalesce(1).sortWithinPartitions("shard").mapInArrow(search, out).orderBy(F.desc("score"), "file_id").limit(limit)
+
     def with_ids(self, hits: list[tuple[int, int, float]]) -> DataFrame:
         own = self.ids.where(F.col("shard").isin(sorted({h[0] for h in hits})))
         listed = self.spark.createDataFrame(pa.table([[h[0] for h in hits], [h[1] for h in hits], [h[2] for h in hits]], schema=HITS))
