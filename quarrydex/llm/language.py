@@ -96,6 +96,18 @@ class Trees:
     def size(self) -> int:
         return self.bits.nbytes + sum(t.nbytes for t in self.step)
 
+    @staticmethod
+    def size_of(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> int:
+        """What ``size`` of the trees of these languages will be, from their contexts and symbols alone."""
+        contexts, used = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        for gram, _ in grams.values():
+            n = bytes_in(gram)
+            contexts.append(np.unique(without_last(gram, n)))
+            used.append(np.unique(gram[n == 1] & 0xFF))
+        of_length = np.bincount(bytes_in(np.unique(np.concatenate(contexts))), minlength=order + 1)
+        symbols = len(np.unique(np.concatenate(used))) + 1
+        return int(symbols * (2 * len(grams) * of_length.sum() + 4 * np.cumsum(of_length)[:order].sum()))
+
     @staticmethod
     def lengths(counts: np.ndarray, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each symbol in the contexts ``at``."""
@@ -181,17 +193,33 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_
     return {name: (gram[at == k], n[at == k]) for k, name in enumerate(lang.dictionary.to_pylist())}
 
 
-def blocks(grams: dict[str, tuple[np.ndarray, np.ndarray]], model_bytes: int = MODEL_BYTES) -> list[Trees]:
-    """Trees of all languages, or of halves of them and so on until each is within ``model_bytes``; a single language stays whole."""
-    trees = Trees.of(grams)
-    if trees.size() <= model_bytes or len(grams) < 2:
-        return [trees]
+@dataclass
+class Block:
+    """Languages whose trees are laid out together, and their counts; the trees exist only while a pass over the texts needs them."""
+
+    grams: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    @property
+    def languages(self) -> list[str]:
+        return sorted(self.grams)
+
+    def trees(self) -> Trees:
+        return Trees.of(self.grams)
+
+
+def blocks(grams: dict[str, tuple[np.ndarray, np.ndarray]], model_bytes: int = MODEL_BYTES) -> list[Block]:
+    """All languages, or halves of them and so on until the trees of each will be within ``model_bytes``; a single language stays whole.
+
+    Sizes are known from the contexts that occur, so nothing is laid out that is too large.
+    """
+    if len(grams) < 2 or Trees.size_of(grams) <= model_bytes:
+        return [Block(grams)]
     names = sorted(grams)
     return [t for part in (names[: len(names) // 2], names[len(names) // 2 :]) for t in blocks({k: grams[k] for k in part}, model_bytes)]
 
 
 def length_column(spark: SparkSession, trees: Trees):
-    """A column function: text -> bits of its code in each of the trees' languages."""
+    """A column function: text -> bits of its code in each of the trees' languages; and what was broadcast for it."""
     shared = spark.sparkContext.broadcast((trees.languages, trees.symbol, trees.step, trees.bits, trees.unit))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -202,16 +230,16 @@ def length_column(spark: SparkSession, trees: Trees):
             flat = np.concatenate([np.zeros((0, len(trees.languages))), *parts])
             yield list_array(pa.array(flat.ravel()), np.full(len(flat), flat.shape[1]))
 
-    return F.arrow_udf(score, "array<double>")
+    return F.arrow_udf(score, "array<double>"), shared
 
 
-def identify(docs: DataFrame, trees: list[Trees], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: list[Block], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs``.
 
     A null text, one without a letter, and every text where no language was learned is ``und`` with score 0.  score is
     the best language's probability among the learned ones, all held equally likely before.  Ties go to the first
     language by name.  held_out is false where the id is null.  Other columns are ignored.  Several blocks of trees are
-    a pass over the texts each, written to the shared folder in between, so one at a time is held by the executors.
+    a pass over the texts each, written to the shared folder in between, so one at a time is held by the driver and the executors.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     languages = [x for t in trees for x in t.languages]
@@ -219,9 +247,11 @@ def identify(docs: DataFrame, trees: list[Trees], id_col: str = "doc_id", text_c
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     for k, t in enumerate(trees):
-        rows = rows.withColumn(f"bits{k}", length_column(docs.sparkSession, t)("text"))
+        lengths, shared = length_column(docs.sparkSession, t.trees())
+        rows = rows.withColumn(f"bits{k}", lengths("text"))
         if len(trees) > 1:
             rows = cut(rows, "code-lengths")
+            shared.destroy()
     rows = rows.select("doc_id", "held_out", "letter", F.concat(*[f"bits{k}" for k in range(len(trees))]).alias("bits"))
     rows = rows.withColumn("least", F.array_min("bits"))
     share = F.aggregate("bits", F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(F.col("least") - x, F.lit(-1000.0))))

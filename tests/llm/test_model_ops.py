@@ -130,7 +130,11 @@ def test_trained_statistics_are_those_of_a_plain_count(spark):
     assert [len(t.languages) for t in whole] == [3] and [len(t.languages) for t in parts] == [1, 1, 1]
     for text in ("the keit éaux Ω", "zzz"):
         want = [plain_length(counts, lang, text.encode()) for lang in ("aa", "bb", "cc")]
-        assert (whole[0].code_lengths([text.encode()])[0] / whole[0].unit).tolist() == pytest.approx(want, abs=len(text) / 256)
+        trees = whole[0].trees()
+        assert (trees.code_lengths([text.encode()])[0] / trees.unit).tolist() == pytest.approx(want, abs=len(text) / 256)
+    assert [b.languages for b in parts] == [[x] for x in sorted(got)]
+    for b in [*whole, *parts]:
+        assert language.Trees.size_of(b.grams) == b.trees().size()
     together, apart = (sorted((r.doc_id, r.lang_pred, round(r.score, 2)) for r in language.identify(table(spark, rows), t).collect()) for t in (whole, parts))
     assert [x[:2] for x in together] == [x[:2] for x in apart]
 
@@ -373,3 +377,30 @@ def test_odd_secrets(spark):
     assert secret_scan.candidates(close).count() == 4
     plan = secret_scan.candidates(close)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_many_languages_are_laid_out_block_by_block():
+    """Sixteen languages: the driver holds one block, whose size was known before."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    grams = {}
+    for k in range(16):
+        text = rng.choice(np.arange(97, 123), 6000, p=rng.dirichlet(np.full(26, 0.3))).astype(np.int64)
+        own = []
+        for n in range(1, language.ORDER + 2):
+            key = np.full(len(text) - n + 1, n, np.int64)
+            for j in range(n):
+                key = key << 8 | text[j : len(text) - n + 1 + j]
+            own.append(key)
+        grams[f"l{k:02}"] = np.unique(np.concatenate(own), return_counts=True)
+    bound = language.Trees.size_of(grams) // 5
+    tracemalloc.start()
+    parts = language.blocks(grams, bound)
+    planned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert sorted(x for b in parts for x in b.languages) == sorted(grams) and 4 <= len(parts) <= 16
+    sizes = [b.trees().size() for b in parts]
+    assert max(sizes) <= bound and planned < language.Trees.size_of(grams)
+    assert tracemalloc.get_traced_memory()[1] < 12 * bound
+    tracemalloc.stop()
