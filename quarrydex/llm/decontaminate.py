@@ -39,28 +39,38 @@ class Block:
     vocabulary: dict[bytes, int]
     names: list[str]
     ids: np.ndarray  # words of all items, then padding
-    start: np.ndarray  # of each window, in ids
+    start: np.ndarray  # of each window, in ids; windows that go on alike to their items' ends are one
     window: np.ndarray  # words of each window
-    item: np.ndarray  # of each window, in names
     rest: np.ndarray  # words from the window's start to its item's end
+    item: np.ndarray  # the items of each window, in names, one window after the other
+    first: np.ndarray  # where each window's items begin in item, and the end
 
     @classmethod
     def of(cls, rows: list[tuple[str, bytes]], window: int) -> Block:
         vocabulary: dict[bytes, int] = {}
-        names, ids, start, size, item, rest = [], [], [], [], [], []
+        ends: dict[tuple[int, int], int] = {}  # what is left of an item: its first word, and what is left after that
+        known: dict[tuple[int, int], int] = {}  # windows: what is left of the item, words
+        names, ids, start, size, rest, items = [], [], [], [], [], []
         for name, text in rows:
             own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
             if own:
-                k = min(window, len(own))
-                for i in range(len(own) - k + 1):
-                    start.append(len(ids) + i)
-                    size.append(k)
-                    item.append(len(names))
-                    rest.append(len(own) - i)
+                k, left = min(window, len(own)), 0
+                for i in reversed(range(len(own))):
+                    left = ends.setdefault((own[i], left), len(ends) + 1)
+                    if i > len(own) - k:
+                        continue
+                    at = known.setdefault((left, k), len(known))
+                    if at == len(start):
+                        start.append(len(ids) + i)
+                        size.append(k)
+                        rest.append(len(own) - i)
+                        items.append([])
+                    items[at].append(len(names))
                 names.append(name)
                 ids += own
         as_array = lambda x: np.array(x, np.int64)
-        return cls(vocabulary, names, np.array([*ids, 0], np.int32), as_array(start), as_array(size), as_array(item), as_array(rest))
+        first = np.concatenate(([0], np.cumsum(as_array([len(x) for x in items]))))
+        return cls(vocabulary, names, np.array([*ids, 0], np.int32), as_array(start), as_array(size), as_array(rest), as_array([i for x in items for i in x]), first.astype(np.int64))
 
 
 def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
@@ -163,7 +173,11 @@ def match_shard(docs: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarray
     np.add.at(turn, place[p] + block.window[w], -1)
     hit = np.flatnonzero(np.cumsum(turn[:-1]) > 0)
     hit_doc = np.searchsorted(begin, hit, "right") - 1
-    pairs = np.unique(doc * len(block.names) + block.item[w])
+    met = np.unique(doc * len(block.start) + w)
+    doc, w = met // len(block.start), met % len(block.start)
+    of_window = block.first[w + 1] - block.first[w]
+    item = block.item[np.repeat(block.first[w] - (np.cumsum(of_window) - of_window), of_window) + np.arange(int(of_window.sum()))]
+    pairs = np.unique(np.repeat(doc, of_window) * len(block.names) + item)
     return n_words, hit_doc, hit - begin[hit_doc], pairs // len(block.names), pairs % len(block.names), longest
 
 

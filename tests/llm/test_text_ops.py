@@ -66,6 +66,25 @@ def test_leaks(spark, block_bytes):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 8, 9, 10, 11]
 
 
+def test_equal_items_are_searched_once(spark):
+    """A word two hundred thousand times, two hundred items that are that word, and items that end alike."""
+    bench = [(i, "the") for i in range(200)] + [(300 + i, f"w{i} the the the the the the the the the the") for i in range(3)] + [(400, "THE the")]
+    block = decontaminate.Block.of([(str(i), t.encode()) for i, t in bench], 10)
+    assert len(block.start) == 1 + 3 + 1 + 1  # the; each first word's window and the one they share; the the
+    rows = [(1, "the " * 200_000), (2, "a the b"), (3, "w1 " + "the " * 10), (4, "the the")]
+    found = {r.doc_id: r.leak for r in decontaminate.find_leaks(docs(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    plain = {i: set() for i, _ in rows}
+    for i, t in rows[1:]:
+        w = words(t)
+        for name, text in bench:
+            b = words(text)
+            k = min(10, len(b))
+            if any(w[p : p + k] == b[s : s + k] for s in range(len(b) - k + 1) for p in range(len(w) - k + 1)):
+                plain[i].add(str(name))
+    assert {i: set(found[i]["items"]) for i in (2, 3, 4)} == {i: plain[i] for i in (2, 3, 4)}
+    assert len(found[1].hits) == 200_000 and len(found[1]["items"]) == 204 and found[1].longest == 10
+
+
 def test_leaks_of_empty_tables(spark):
     items = spark.createDataFrame(BENCH, "item_id bigint, text string")
     assert decontaminate.leak_report(docs(spark, []), items).count() == 0
