@@ -26,7 +26,7 @@ from .base import new_path, strings
 from .decontaminate import words
 
 #: Bytes of text in a shard, about; a document is never split.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of query text in one block; a block is broadcast, further blocks are further passes over the postings.
 BLOCK_BYTES = 4 << 20
 #: Hits of an item.
