@@ -114,15 +114,20 @@ def near(planes: np.ndarray, distances: np.ndarray, lanes: np.ndarray, radius: i
     return out
 
 
-def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS, alike=None) -> tuple[np.ndarray, np.ndarray]:
+def links_in(bucket: np.ndarray, ids: np.ndarray, prints: np.ndarray | None = None, radius: int = RADIUS, alike=None, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (ids) between rows of equal ``bucket`` (sorted): enough of them to join all that are joined by near pairs.  Without prints the ids are the fingerprints.
 
-    ``alike``: a function of the rows i and j of near pairs, which says for each whether it counts.
+    ``alike``: a function of the rows i and j of near pairs, which says for each whether it counts.  ``joined``: flags of rows that
+    are one piece with all others so flagged in their bucket, so no links between those are looked for.
     """
     if prints is None:
         prints = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
     a, b = [], []
     label = np.arange(len(prints))
+    if joined is not None and len(label):
+        flagged = np.flatnonzero(joined)
+        one = np.unique(bucket[flagged], return_index=True, return_inverse=True)
+        label[flagged] = flagged[one[1]][one[2]]
     rows, d = np.arange(len(prints)), 1
     while True:
         # from time to time only the buckets that are still open are packed again: with pairs left, and in several pieces
@@ -265,6 +270,8 @@ _RNG = np.random.Generator(np.random.PCG64(8))
 _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Parts that a group's members are dealt to where they meet its smallest id.
+SALTS = 32
 #: Bytes of shingle sets that one task compares, about; a larger group is dealt out by pairs of parts.
 LARGE_SETS = 64 << 20
 #: Bytes of shingle sets of whole groups that are compared at a time.
@@ -387,47 +394,80 @@ def _sets(texts: pa.Array) -> pa.Array:
 
 
 def confirm(radius: int, similarity: float):
-    """Over rows (bucket, id, print, shingles) sorted by bucket: links (a, b) of rows with similar sets."""
+    """Over rows (bucket, id, print, shingles, covered) sorted by bucket: links (a, b) of rows with similar sets; covered ones are joined already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket, ids, prints, sets):
+        def done(bucket, ids, prints, sets, covered):
             prints = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in links_in(bucket, ids, prints, radius, Sets(sets, bucket, similarity).alike)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links_in(bucket, ids, prints, radius, Sets(sets, bucket, similarity).alike, covered)], names=["a", "b"])
 
-        bucket, ids, prints, sets, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
+        bucket, ids, prints, sets, covered, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], np.zeros(0, bool), 0
         for batch in batches:
             bucket = np.concatenate((bucket, batch.column(0).to_numpy(zero_copy_only=False)))
             ids = np.concatenate((ids, batch.column(1).to_numpy(zero_copy_only=False)))
             prints += batch.column(2).to_pylist()
             sets += batch.column(3).to_pylist()
+            covered = np.concatenate((covered, batch.column(4).to_numpy(zero_copy_only=False)))
             size += batch.nbytes
             last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
             if size >= CHUNK_SETS and last:
-                yield done(bucket[:last], ids[:last], prints[:last], sets[:last])
-                bucket, ids, prints, sets = bucket[last:], ids[last:], prints[last:], sets[last:]
+                yield done(bucket[:last], ids[:last], prints[:last], sets[:last], covered[:last])
+                bucket, ids, prints, sets, covered = bucket[last:], ids[last:], prints[last:], sets[last:], covered[last:]
                 size = sum(map(len, sets))
         if len(bucket):
-            yield done(bucket, ids, prints, sets)
+            yield done(bucket, ids, prints, sets, covered)
 
     return run
 
 
+def jaccard(similarity: float):
+    """A column function: whether two sets, as their bytes in order, are that similar."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, before, known = [], None, None
+        for x, y in zip(a, b):
+            if before is None or not y.equals(before):
+                before, known = y, np.frombuffer(y.as_py(), "<u8")
+            own = np.frombuffer(x.as_py(), "<u8")
+            both = len(np.intersect1d(own, known, assume_unique=True))
+            out.append(both >= similarity * (len(own) + len(known) - both))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
 def similar_links(rows: DataFrame, candidates: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links a, b between ids of ``rows`` (id, text) that candidate links (a, b) join, by whatever path, and whose shingle sets are that similar.
 
-    The rows of a group that candidates join meet in one task; those of a large group do so part by part.
+    Every member of a group that candidates join is compared with the group's smallest id first; those similar to it are one
+    piece.  What is left meets itself and that piece, part by part where the group is large: a group of copies of one text,
+    however many, costs a comparison each.
     """
     group = cut(components(candidates), "candidate-groups")
     members = group.select(F.col("node").alias("id"), "root").union(group.select(F.col("root").alias("id"), "root").distinct())
     sets = F.arrow_udf(_sets, "struct<print:binary,shingles:binary>")
     held = rows.where("id is not null").join(members, "id").select("root", "id", sets("text").alias("x")).select("root", "id", "x.*")
     held = cut(held.groupBy("root", "id", "print").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    # the texts of an id may be several; the root's first one speaks for it
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    first = held.where("id = root").groupBy("root").agg(F.min_by("shingles", "print").alias("first")).select("root", "first", salts)
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "print"), F.lit(SALTS)).cast("int"))
+    held = cut(salted.join(first, ["root", "salt"]).withColumn("covered", jaccard(similarity)("shingles", "first")).drop("salt", "first"), "candidate-pieces")
     n, size = F.count(F.lit(1)), F.sum(F.octet_length("shingles"))
     many = F.when((n > LARGE_WIDE) | (size > LARGE_SETS), F.ceil(F.greatest(n / LARGE_WIDE, size / LARGE_SETS) * 2)).otherwise(1).cast("int")
-    parts = held.groupBy("root").agg(many.alias("parts"))
-    own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = own.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "id", "print", "shingles")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(confirm(radius, similarity), "a bigint, b bigint")
+    counts = held.groupBy("root", "covered").agg(n.alias("n"), many.alias("parts"))
+    pieces = counts.groupBy("root").agg(*[F.coalesce(F.max(F.when(F.col("covered") == c, F.col("parts"))), F.lit(0)).alias(name) for name, c in (("inner", True), ("outer", False))])
+    open_ = held.join(pieces.where("outer > 0"), "root").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("covered"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    columns = ["id", "print", "shingles", "covered"]
+    # the rest meets the rest, two parts at a time, and each part of it each part of the piece
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("other")
+    rest = open_.where("not covered").select("root", "part", *columns, up_to("outer"))
+    rest = rest.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), *columns)
+    left = open_.where("not covered and inner > 0").select("root", "part", *columns, up_to("inner")).select(F.xxhash64("root", "part", "other", F.lit("piece")).alias("bucket"), *columns)
+    right = open_.where("covered").select("root", "part", *columns, up_to("outer")).select(F.xxhash64("root", "other", "part", F.lit("piece")).alias("bucket"), *columns)
+    dealt = rest.union(left).union(right).repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(confirm(radius, similarity), "a bigint, b bigint")
+    return found.union(held.where("covered and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarrydex.llm import components, simhash, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, component_id string, kept string"
@@ -104,6 +106,39 @@ def test_similar_documents(spark):
     assert simhash.similar(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("large", [1024, 12])
+def test_large_groups_of_candidates(spark, monkeypatch, large):
+    """One group: copies of a text, texts that chains of edits lead to, and templates that are candidates but not similar."""
+    monkeypatch.setattr(simhash, "LARGE_WIDE", large)
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = [base[:k] + [word()] + base[k + 1 :] for k in range(0, 200, 5)]
+    step = list(base)
+    for _ in range(30):  # far from the first text in the end, each near the one before
+        at = rng.randrange(190)
+        step = step[:at] + [word(), word()] + step[at + 2 :]
+        texts.append(step)
+    texts += [base[:150] + [word() for _ in range(50)] for _ in range(25)]  # 0.6 similar to the first text
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = table(spark, rows)
+    sets = [shingles(t) for _, t in rows]
+    every = docs.sparkSession.createDataFrame([(0, k) for k in range(1, len(rows))], "a bigint, b bigint")
+    found = simhash.similar_links(docs.select(F.col("doc_id").alias("id"), "text"), every, 1024, 0.8).collect()
+    similar = {(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {(max(r), min(r)) for r in map(tuple, found)} <= similar
+
+    def pieces(links):
+        of = list(range(len(rows)))
+        for _ in of:
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+        return of
+
+    assert pieces([tuple(r) for r in found]) == pieces(similar)
+
+
 @pytest.mark.parametrize("large", [None, 20])
 def test_links_of_a_large_bucket(large):
     rng = np.random.default_rng(7)

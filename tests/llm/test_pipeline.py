@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus with planted cases."""
 
 import random
+import re
 
 import corpus_pipeline
 from quarrydex.llm import decontaminate, mixing, simhash, toxicity
@@ -14,7 +15,7 @@ def corpus(spark, folder):
     stock = [a + b for a in "ba ce di fo gu ha ki".split() for b in "n r st l m x".split()]
     line = lambda n: " ".join(rng.choice(stock) + rng.choice(stock) for _ in range(n))
     item = line(20)
-    docs, labels = [], []
+    docs, labels, near = [], [], {}
     for i in range(300):
         text = line(60)
         toxic = i % 5 == 0
@@ -22,8 +23,12 @@ def corpus(spark, folder):
             text += " idiot " + line(3)
         if i % 7 == 1:
             text = docs[i - 1][1] + "\n"
-            toxic = (i - 1) % 5 == 0
-        if i % 31 == 2:
+            toxic = labels[i - 1][2]
+        if i % 11 == 4:  # a near copy: a word more at either end, other blanks
+            text = line(1) + "  " + docs[i - 2][1] + ", " + line(1)
+            toxic = labels[i - 2][2]
+            near[i] = i - 2
+        elif i % 31 == 2:
             text += " " + item
         docs.append((i, text, rng.choice(["en", "de"]), rng.choice(["s0", "s0", "s1"]), len(text)))
         labels.append((i, 1, int(toxic)))
@@ -31,12 +36,21 @@ def corpus(spark, folder):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
-    return docs, {i: t for i, _, t in labels}, item
+    return docs, {i: t for i, _, t in labels}, item, near
+
+
+def shingles(text):
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
 
 
 def test_stages(spark, tmp_path):
     folder = str(tmp_path)
-    docs, toxic, item = corpus(spark, folder)
+    docs, toxic, item, near = corpus(spark, folder)
     df = spark.read.parquet(f"{folder}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "source_mixing", "token_store"]
     kept = {}
@@ -52,11 +66,10 @@ def test_stages(spark, tmp_path):
     clean = {i for i, *_ in docs if not toxic.get(i, 0)}
     assert kept["toxicity"] == clean
     texts = {i: t for i, t, *_ in docs}
-    first = {}
-    for i in sorted(clean):
-        first.setdefault((texts[i] or "").strip(), i)
-    assert kept["simhash_near_dedup"] == set(first.values())
-    assert kept["benchmark_decontamination"] == {i for i in first.values() if item not in (texts[i] or "")}
+    groups = {i: shingles(texts[i]) for i in sorted(clean)}
+    left = {i for i in clean if not any(j < i and similar(groups[i], groups[j]) for j in clean)}
+    assert kept["simhash_near_dedup"] == left and sum(i in clean and i not in left for i in near) > 10
+    assert kept["benchmark_decontamination"] == {i for i in left if item not in (texts[i] or "")}
     assert kept["source_mixing"] <= kept["benchmark_decontamination"]
     assert {r.doc_id for r in rows} == kept["source_mixing"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, rows))
@@ -66,7 +79,7 @@ def test_clashing_names_odd_texts_and_repeats(spark, tmp_path):
     from pyspark.sql import functions as F
 
     folder = str(tmp_path)
-    _, _, item = corpus(spark, folder)
+    _, _, item, _ = corpus(spark, folder)
     rows = [(500, "word " * 50_000, "en", "s0", 0), (501, None, None, None, None), (501, None, None, None, None), (None, "one two three", "en", "s1", 3), (None, item, "en", "s1", 3)]
     df = spark.read.parquet(f"{folder}/documents.parquet")
     df = df.union(spark.createDataFrame(rows, df.schema))
@@ -96,6 +109,6 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_registry_and_stages_share_operators():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert all((decontaminate.decontaminate, mixing.mix, simhash.drop_near_duplicates, toxicity.drop_toxic))
