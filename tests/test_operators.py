@@ -337,3 +337,20 @@ def test_plans(spark, tmp_path):
     plan = vectors.knn(spark.read.parquet(path), [1, 0], 5, [1])._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(node_id,1)" in plan.replace("In(node_id, [1])", "EqualTo(node_id,1)")
     assert "text:string" not in plan.split("ReadSchema")[1]
+
+
+def test_first_words_are_those_of_md5():
+    import hashlib
+
+    import numpy as np
+
+    from quarrydex.functions import md5
+
+    for lead, size, heads, tails in ((0, 1, 3, 200), (3, 5, 1, 300), (8, 4, 40, 20), (51, 4, 2, 400), (52, 4, 2, 400), (130, 70, 1, 300), (64, 1, 3, 2)):
+        own, others = ([np.random.default_rng(k).bytes(n) for k in range(many)] for n, many in ((lead, heads), (size, tails)))
+        found = np.zeros((heads, tails), np.int64)
+        for (which, a) in md5.by_length(own):
+            for (index, b) in md5.by_length(others):
+                for i, j, numbers in md5.first_words(a, b):
+                    found[np.ix_(which[i : i + len(numbers)], index[j : j + numbers.shape[1]])] = numbers
+        assert found.tolist() == [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in others] for h in own]
