@@ -354,3 +354,27 @@ def test_first_words_are_those_of_md5():
                 for i, j, numbers in md5.first_words(a, b):
                     found[np.ix_(which[i : i + len(numbers)], index[j : j + numbers.shape[1]])] = numbers
         assert found.tolist() == [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in others] for h in own]
+
+
+def test_tree_takes_the_turns_that_are_needed(spark):
+    """The nodes are those of all turns, but no file is multiplied by its turns."""
+    import hashlib
+    import math
+
+    ids = [k * k for k in range(60)]
+    nodes = spark.createDataFrame([(k, "online") for k in ids], "node_id int, status string")
+    files = spark.range(40).selectExpr("id AS file_id")
+    got = {}
+    placed = replication.placed(files, nodes, 3, depth=1)
+    for r in placed.orderBy("nth").collect():
+        got.setdefault(r.file_id, []).append(r.node_id)
+    way = {k: hashlib.md5(str(k).encode()).hexdigest()[0] for k in ids}
+    u = lambda *x: (int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    for f in range(40):
+        found = []
+        for turn in range(1, 10):
+            group = max(sorted(set(way.values())), key=lambda c: math.log(u(f, turn, c)) / list(way.values()).count(c))
+            best = max((k for k in ids if way[k] == group), key=lambda k: u(f, turn, k))
+            found += [best] if best not in found else []
+        assert got[f] == found[:3]
+    assert "Generate explode(sequence(1" not in placed._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in placed._jdf.queryExecution().executedPlan().toString()
