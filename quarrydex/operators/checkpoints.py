@@ -6,6 +6,8 @@ digests are a row for each node.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,10 @@ def digests(files: DataFrame, entry_: Column | None = None) -> DataFrame:
     """
     part = F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, RANGE_DIGITS)
     ranges = files.select("node_id", part.alias("part"), (entry() if entry_ is None else entry_).alias("entry")).groupBy("node_id", "part").agg(F.count(F.lit(1)).alias("n"), digest(F.collect_list("entry")).alias("d"))
-    return ranges.groupBy("node_id").agg(F.sum("n").alias("files_count"), digest(F.collect_list(F.concat_ws(":", "part", "d"))).alias("checkpoint_hash"))
+    # half as many bytes as in hexadecimal digits: with few files in a range this is a row for almost every file
+    own = ranges.groupBy("node_id").agg(F.sum("n").alias("files_count"), F.collect_list(F.concat(F.col("part").cast("binary"), F.unhex("d"))).alias("packed"))
+    told = F.transform("packed", lambda x: F.concat_ws(":", F.substring(x, 1, RANGE_DIGITS).cast("string"), F.lower(F.hex(F.substring(x, RANGE_DIGITS + 1, 32)))))
+    return own.select("node_id", "files_count", digest(told).alias("checkpoint_hash"))
 
 
 def snapshot(files: DataFrame, now: Column) -> DataFrame:
@@ -48,10 +53,13 @@ def coordinated(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("files_count"), F.lit(0)).alias("total_files"), digest(F.collect_list(F.concat_ws(":", F.col("node_id").cast("string"), "checkpoint_hash"))).alias("global_hash"))
 
 
-def verify(points: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """node_id, valid: whether a checkpoint's digest is that of its node's snapshot; a node without any files there isn't valid."""
+def verify(points: DataFrame, snapshots: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """node_id, valid: whether a checkpoint's digest is that of its node's snapshot; a node without any files there isn't valid.
+
+    ``keep`` names columns of the checkpoint that go along, so that it isn't made a second time for them.
+    """
     again = digests(snapshots).select("node_id", F.col("checkpoint_hash").alias("again"))
-    return points.select("node_id", "checkpoint_hash").join(again, "node_id", "left").select("node_id", F.coalesce(F.col("checkpoint_hash") == F.col("again"), F.lit(False)).alias("valid"))
+    return points.select("node_id", "checkpoint_hash", *keep).join(again, "node_id", "left").select("node_id", F.coalesce(F.col("checkpoint_hash") == F.col("again"), F.lit(False)).alias("valid"), *keep)
 
 
 def restore(files: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -81,11 +89,20 @@ def tree(files: DataFrame, entry_: Column | None = None) -> DataFrame:
     return out
 
 
+def _level_part() -> Column:
+    """What a level's rows are dealt out by beside the level: ranges of a folder, and of the root's level nodes."""
+    return F.when(F.col("prefix") == "", F.pmod(F.xxhash64("node_id"), F.lit(16)).cast("string")).otherwise(F.substring("prefix", 1, FOLDER_DIGITS))
+
+
 def store(files: DataFrame, path: str) -> None:
-    """Write a snapshot in folders of ranges, and its hash tree."""
+    """Write a snapshot in folders of ranges, and the hash tree of what was written.
+
+    The tree's levels have up to a row for each file, so each is written by as many tasks as there are folders of ranges.
+    """
     kept = files.select("node_id", "file_id", "content_hash", "last_updated", _range(RANGE_DIGITS).alias("prefix")).withColumn("folder", F.substring("prefix", 1, FOLDER_DIGITS))
     kept.repartition("folder").sortWithinPartitions("folder", "prefix", "node_id").write.partitionBy("folder").parquet(f"{path}/files")
-    tree(files).withColumn("level", F.char_length("prefix")).repartition("level").write.partitionBy("level").parquet(f"{path}/tree")
+    stored = files.sparkSession.read.schema(kept.schema).parquet(f"{path}/files")
+    tree(stored).withColumn("level", F.char_length("prefix")).repartition("level", _level_part()).write.partitionBy("level").parquet(f"{path}/tree")
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:

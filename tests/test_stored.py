@@ -80,3 +80,16 @@ def test_fuzzy_index_equals_comparing_all(spark, tmp_path):
     assert query_keys("ab", 2) == ["", "a", "ab", "b"]
     with pytest.raises(ValueError):
         index.search("a", 3)
+
+
+def test_a_level_of_a_stored_tree_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('n', id % 3) AS node_id", "cast(id AS string) AS file_id", "'h' AS content_hash", "timestamp'2024-01-01' AS last_updated")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join small parts again
+    try:
+        checkpoints.store(rows, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "s" / "tree" / "level=3").glob("*.parquet"))) > 1
+    stored = spark.read.parquet(str(tmp_path / "s" / "tree"))
+    want = checkpoints.tree(rows).collect()
+    assert sorted(map(tuple, stored.select("node_id", "prefix", "files", "digest").collect())) == sorted(map(tuple, want))
