@@ -852,7 +852,7 @@ def checkpoint_verify(s, d):
     # some snapshots are damaged: files with another content, nodes that lost all of theirs
     hash_ = F.when((F.col("node_id") % 7 == 0) & (F.col("file_id") % 3 == 0), "damaged").otherwise(F.col("content_hash"))
     damaged = checkpoints.snapshot(files, now).withColumn("content_hash", hash_).where("node_id % 11 <> 0")
-    return checkpoints.verify(points, damaged).join(points.select("node_id", "files_count"), "node_id")
+    return checkpoints.verify(points, damaged, ["files_count"])
 
 
 @query(f"WITH {_FILES} SELECT node_id, count(*) AS files, count(*) AS restored FROM files GROUP BY node_id")

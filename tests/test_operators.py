@@ -378,3 +378,23 @@ def test_tree_takes_the_turns_that_are_needed(spark):
             found += [best] if best not in found else []
         assert got[f] == found[:3]
     assert "Generate explode(sequence(1" not in placed._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_checkpoint_is_verified_along_with_its_counts(spark):
+    """The digest is that of ranges' digests in hexadecimal digits, whatever goes through the shuffle; counts come from the same pass."""
+    import hashlib
+
+    rows = [("a", f"f{k}", f"h{k}", at(8)) for k in range(50)] + [("b", "f1", None, None)]
+    files = spark.createDataFrame(rows, "node_id string, file_id string, content_hash string, last_updated timestamp")
+    points = checkpoints.checkpoint(files, F.lit(at(9)))
+    sha = lambda entries: hashlib.sha256(",".join(sorted(entries)).encode()).hexdigest()
+    for node in "ab":
+        ranges = {}
+        for n, f, h, t in rows:
+            if n == node:
+                stamp = t.strftime("%Y-%m-%d %H:%M:%S.%f") if t else ""
+                ranges.setdefault(hashlib.md5(f.encode()).hexdigest()[:3], []).append(f"{f}|{h or ''}|{stamp}")
+        assert points.where(F.col("node_id") == node).first().checkpoint_hash == sha(f"{p}:{sha(e)}" for p, e in ranges.items())
+    snapshot = checkpoints.snapshot(files.where("file_id <> 'f7'"), F.lit(at(9)))
+    got = checkpoints.verify(points, snapshot, ["files_count"]).collect()
+    assert sorted(map(tuple, got)) == [("a", False, 50), ("b", True, 1)]
