@@ -6,17 +6,22 @@ TakeOrderedAndProject; no table is joined to itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..functions.text import tokens
 
-#: Query vectors of one block.
-BATCH = 64
+#: Query vectors of one block, and vectors; query vectors that are broadcast at most.
+BATCH, ROWS, MOST_BROADCAST = 64, 256, 100_000
 
 
 def register(vectors: DataFrame, new: DataFrame, dim: int) -> DataFrame:
@@ -43,12 +48,50 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, nodes: Sequence
 def batch_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, file_id, score of a stated set of queries (query_id, embedding) against all rows.
 
-    The queries go in blocks of BATCH, each a row; every vector meets each block.
+    The queries go in blocks of BATCH, the vectors in blocks of ROWS, each a row; a block of each makes a product of matrices, in
+    which lengths are taken once.  Every vector meets every query: the rows are as many.  Vectors with a null, or of another dimension than
+    a query, have a null score.
     """
-    number = max(1, -(-queries.count() // BATCH))
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(number)).cast("int").alias("block"), F.struct("query_id", V.doubles(F.col("embedding")).alias("q")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("xs"))
-    rows = vectors.select("file_id", V.doubles(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("block"))
-    return rows.join(blocks, "block").select("file_id", "v", F.explode("xs").alias("x")).select("x.query_id", "file_id", F.round(V.cosine(F.col("v"), F.col("x.q")), 6).alias("score"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    sides = []
+    for rows, key, size in ((queries, "query_id", BATCH), (vectors, "file_id", ROWS)):
+        number = max(1, -(-rows.count() // size))
+        own = rows.select(F.col(key).alias("id"), V.doubles(F.col("embedding")).alias("v")).withColumn("block", block(number))
+        # by number, so that few bytes don't become one task: the work is in the products
+        own = own.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+        sides.append((number, own.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("xs"))))
+    (number, asked), (_, held) = sides
+    asked = asked.withColumnRenamed("xs", "qs")
+    asked = F.broadcast(asked) if number * BATCH <= MOST_BROADCAST else asked
+    out = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("file_id", vectors.schema["file_id"].dataType), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def matrix(own: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors as rows, and which of them are of this dimension and without a null."""
+        fits = pa.compute.equal(own.value_lengths(), dim).fill_null(False).to_numpy(zero_copy_only=False)
+        values = own.filter(pa.array(fits)).flatten()
+        rows = np.zeros((len(own), dim))
+        rows[fits] = values.to_numpy(zero_copy_only=False).reshape(int(fits.sum()), dim)
+        whole = fits.copy()
+        whole[fits] = ~values.is_null().to_numpy(zero_copy_only=False).reshape(int(fits.sum()), dim).any(axis=1)
+        return rows, whole
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v in zip(batch.column("qs"), batch.column("xs")):
+                q, v = q.values, v.values
+                sizes = q.field("v").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for dim in np.unique(sizes).tolist():
+                    own = q.filter(pa.array(sizes == dim))
+                    (a, told), (b, whole) = (matrix(x.field("v"), max(dim, 0)) for x in (own, v))
+                    lengths = [np.sqrt((x * x).sum(axis=1)) + V.GUARD for x in (a, b)]
+                    scores = (a @ b.T) / (lengths[0][:, None] * lengths[1][None, :])
+                    unknown = ~(told[:, None] & whole[None, :])
+                    ids = [own.field("id").take(pa.array(np.repeat(np.arange(len(own)), len(v)))), v.field("id").take(pa.array(np.tile(np.arange(len(v)), len(own))))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(scores.reshape(-1), mask=unknown.reshape(-1))], ["query_id", "file_id", "score"]).cast(arrow)
+
+    met = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(asked, "block").select("qs", "xs")
+    return met.mapInArrow(score, out).withColumn("score", F.round("score", 6))
 
 
 def embedded(documents: DataFrame, dim: int = 384, name: str = "name", content: str = "content", description: str = "description", tags: str = "tags") -> DataFrame:

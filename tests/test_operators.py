@@ -398,3 +398,17 @@ def test_a_checkpoint_is_verified_along_with_its_counts(spark):
     snapshot = checkpoints.snapshot(files.where("file_id <> 'f7'"), F.lit(at(9)))
     got = checkpoints.verify(points, snapshot, ["files_count"]).collect()
     assert sorted(map(tuple, got)) == [("a", False, 50), ("b", True, 1)]
+
+
+def test_batches_are_products_of_matrices(spark):
+    from quarrydex.functions import vectors as V
+
+    rows = [(k, 0, [float(k % 7) - 3, float(k % 5), 0.5 * k]) for k in range(700)] + [(700, 0, None), (701, 0, [1.0, None, 2.0]), (702, 0, [1.0]), (703, 0, [0.0, 0.0, 0.0])]
+    vec = spark.createDataFrame(rows, "file_id int, node_id int, embedding array<double>")
+    asked = vec.where("file_id % 100 = 0 OR file_id > 700").select(F.col("file_id").alias("query_id"), "embedding")
+    got = vectors.batch_similarity(vec, asked)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and got.count() == 11 * 704
+    told = {(r.query_id, r.file_id): r.score for r in got.collect()}
+    other = vec.crossJoin(asked.withColumnRenamed("embedding", "q")).select("query_id", "file_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    for r in other.collect():
+        assert (told[r.query_id, r.file_id] is None) == (r.score is None) and abs((r.score or 0) - (told[r.query_id, r.file_id] or 0)) < 2e-6, r
