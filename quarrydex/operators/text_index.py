@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -86,12 +86,28 @@ def _part(field_: Column, term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(field_, term), F.lit(parts)).cast("int")
 
 
-def _field_rows(shard: int, name: str, counts: list[Counter], lengths: np.ndarray, avgdl: float) -> pa.RecordBatch:
-    vocabulary: dict[str, int] = defaultdict()
-    vocabulary.default_factory = vocabulary.__len__
-    number = np.concatenate([np.fromiter(map(vocabulary.__getitem__, c), np.int64, len(c)) for c in counts])
-    tf = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts])
-    place = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+class _Counts:
+    """The words of a shard's field, file by file, as numbers: a word of a file is eight bytes, whatever its text."""
+
+    def __init__(self, counters: Iterable[Counter] = ()):
+        self.vocabulary: dict[str, int] = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.numbers: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        for c in counters:
+            self.add(c)
+
+    def add(self, counter: Counter) -> None:
+        self.numbers.append(np.fromiter(map(self.vocabulary.__getitem__, counter), np.int32, len(counter)))
+        self.times.append(np.fromiter(counter.values(), np.int32, len(counter)))
+
+
+def _field_rows(shard: int, name: str, counts: _Counts, avgdl: float, lengths: np.ndarray | None = None) -> pa.RecordBatch:
+    vocabulary = counts.vocabulary
+    number = np.concatenate(counts.numbers).astype(np.int64)
+    tf = np.concatenate(counts.times).astype(np.int64)
+    place = np.repeat(np.arange(len(counts.numbers)), [len(c) for c in counts.numbers])
+    lengths = np.array([int(t.sum()) for t in counts.times], np.int64) if lengths is None else lengths
     names = sorted(vocabulary)
     rank = np.empty(len(names), np.int64)
     rank[[vocabulary[w] for w in names]] = np.arange(len(names))
@@ -136,6 +152,7 @@ class TextIndex:
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held, size = TaskContext.get().partitionId() << 33, [], 0
+            counts = [_Counts() for _ in fields]
             for batch in batches:
                 col = [batch.column(i) for i in range(batch.num_columns)]
                 ids = col[0]
@@ -143,30 +160,30 @@ class TextIndex:
                 for i, (kind_, stems, name_, *texts) in enumerate(zip(*lists)):
                     more = sum(map(len, texts))
                     if held and size + more > shard_bytes:
-                        yield from flushed(shard, held, ids.type)
-                        shard, held, size = shard + 1, [], 0
-                    counts = [Counter(map(spanish, t.split(" ")) if stems else t.split(" ")) if t else Counter() for t in texts]
-                    held.append((ids[i], kind_, name_, counts))
+                        yield from flushed(shard, held, counts, ids.type)
+                        shard, held, size, counts = shard + 1, [], 0, [_Counts() for _ in fields]
+                    for own, t in zip(counts, texts):
+                        own.add(Counter(map(spanish, t.split(" ")) if stems else t.split(" ")) if t else Counter())
+                    held.append((ids[i].as_py(), kind_, name_))
                     size += more
             if held:
-                yield from flushed(shard, held, ids.type)
+                yield from flushed(shard, held, counts, ids.type)
 
-        def flushed(shard: int, held: list, id_type) -> Iterator[pa.RecordBatch]:
+        def flushed(shard: int, held: list, counts: list[_Counts], id_type) -> Iterator[pa.RecordBatch]:
             rows = []
             for k, f in enumerate(fields):
-                counts = [h[3][k] for h in held]
-                if any(counts):
-                    rows.append(_field_rows(shard, f, counts, np.array([c.total() for c in counts], np.int64), avgdl[k]))
+                if counts[k].vocabulary:
+                    rows.append(_field_rows(shard, f, counts[k], avgdl[k]))
             ones = np.ones(len(held), np.int64)
             if any(h[1] is not None for h in held):
-                rows.append(_field_rows(shard, KIND, [Counter([] if h[1] is None else [h[1]]) for h in held], ones, 1.0))
+                rows.append(_field_rows(shard, KIND, _Counts(Counter([] if h[1] is None else [h[1]]) for h in held), 1.0, ones))
             if any(h[2] for h in held):
-                rows.append(_field_rows(shard, GRAMS, [Counter(grams(h[2] or "")) for h in held], ones, 1.0))
+                rows.append(_field_rows(shard, GRAMS, _Counts(Counter(grams(h[2] or "")) for h in held), 1.0, ones))
             for r in rows:
                 yield pa.RecordBatch.from_arrays([*r.columns, pa.nulls(len(r), pa.list_(id_type)), pa.nulls(len(r), pa.list_(pa.string()))], names)
             about = [pa.array([shard], pa.int64()), *[pa.nulls(1, f.type) for f in list(_ROWS)[1:]]]
             offsets = pa.array([0, len(held)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*about, pa.ListArray.from_arrays(offsets, pa.array([h[0].as_py() for h in held], id_type)), pa.ListArray.from_arrays(offsets, pa.array([h[2] for h in held], pa.string()))], names)
+            yield pa.RecordBatch.from_arrays([*about, pa.ListArray.from_arrays(offsets, pa.array([h[0] for h in held], id_type)), pa.ListArray.from_arrays(offsets, pa.array([h[2] for h in held], pa.string()))], names)
 
         names = [*_ROWS.names, "ids", "names"]
         tasks = max(spark.sparkContext.defaultParallelism, -(-measured.bytes // TASK_BYTES))

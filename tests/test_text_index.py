@@ -169,3 +169,17 @@ def test_weights_are_bm25(spark, tmp_path):
     mean = sum(w.total() for w in words) / 3
     want = {i: round(math.log(1 + (3 - 2 + 0.5) / 2.5) * w["y"] * 2.5 / (w["y"] + 1.5 * (0.25 + 0.75 * w.total() / mean)), 6) for i, w in enumerate(words) if w["y"]}
     assert {r.file_id: r.score for r in index.search("y", fields={"content": 1.0}).collect()} == want
+
+
+def test_a_shard_being_built_holds_numbers_not_words():
+    from collections import Counter
+
+    from quarrydex.operators import text_index
+
+    words = text_index._Counts()
+    for k in range(50):
+        words.add(Counter([f"w{k % 3}", f"w{k % 3}", "all"]))
+    words.add(Counter())
+    assert len(words.vocabulary) == 4 and sum(n.nbytes + t.nbytes for n, t in zip(words.numbers, words.times)) == 50 * 2 * 8
+    rows = text_index._field_rows(7, "text", words, 3.0)
+    assert rows.column("term").to_pylist() == ["all", "w0", "w1", "w2"] and rows.column("n").to_pylist() == [50, 17, 17, 16]
