@@ -380,6 +380,32 @@ def test_tree_takes_the_turns_that_are_needed(spark):
     assert "Generate explode(sequence(1" not in placed._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in placed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_all_groups_go_down_the_tree_together(monkeypatch):
+    """Few large calls whatever the groups are; lengths of ids differ, and the nodes are those of the plain rule."""
+    import hashlib
+    import math
+
+    import pyarrow as pa
+
+    from quarrydex.functions import md5
+
+    ids = [3 * k for k in range(3000)]
+    names = [str(k).encode() for k in ids]
+    levels = replication._tree(replication.Nodes(pa.array(ids), names, md5.by_length(names)), 2)
+    heads, calls, plain = [b"%d:1:" % f for f in range(0, 9000, 11)], [], md5._digested
+    monkeypatch.setattr(md5, "_digested", lambda words, n: calls.append(n) or plain(words, n))
+    got = replication._down(levels, heads)
+    assert len(calls) < 60 and sum(calls) > 33_000
+    way = [hashlib.md5(n).hexdigest() for n in names]
+    u = lambda head, child: (int(hashlib.md5(head + child).hexdigest()[:8], 16) + 0.5) / 2**32
+    for head, place in list(zip(heads, got))[::16]:
+        own = ""
+        for depth in (1, 2):
+            below = [w[:depth] for w in way if w.startswith(own)]
+            own = max(set(below), key=lambda c: math.log(u(head, c.encode())) / below.count(c))
+        assert place == max((k for k in range(len(ids)) if way[k].startswith(own)), key=lambda k: u(head, names[k]))
+
+
 def test_a_checkpoint_is_verified_along_with_its_counts(spark):
     """The digest is that of ranges' digests in hexadecimal digits, whatever goes through the shuffle; counts come from the same pass."""
     import hashlib
