@@ -270,8 +270,10 @@ _RNG = np.random.Generator(np.random.PCG64(8))
 _ODD = _RNG.integers(0, 1 << 63, LEAST_HASHES + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-#: Parts that a group's members are dealt to where they meet its smallest id.
-SALTS = 32
+#: Members of a group that meet its smallest id in one part, about: a larger group is dealt to more parts, with its smallest id in each.
+PER_PART = 256
+#: Members of candidate groups up to which their ids are sent to the texts; of more, texts and ids are dealt out by id.
+MOST_SENT = 2_000_000
 #: Bytes of shingle sets that one task compares, about; a larger group is dealt out by pairs of parts.
 LARGE_SETS = 64 << 20
 #: Bytes of shingle sets of whole groups that are compared at a time.
@@ -436,6 +438,18 @@ def jaccard(similarity: float):
     return F.arrow_udf(run, "boolean")
 
 
+def with_first(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``held`` (root, id, print, shingles) with the part of its group that a row is in (salt), and root, salt, first: the set of each
+    group's smallest id for each part.  Only groups of more than PER_PART rows have several parts."""
+    parts = large_buckets(held.select(F.col("root").alias("bucket")), PER_PART).select(F.col("bucket").alias("root"), F.ceil(F.col("n") / PER_PART).cast("int").alias("parts"))
+    several = F.coalesce("parts", F.lit(1))
+    # the texts of an id may be several; the root's first one speaks for it
+    first = held.where("id = root").groupBy("root").agg(F.min_by("shingles", "print").alias("first"))
+    first = first.join(parts, "root", "left").select("root", F.explode(F.sequence(F.lit(0), several - 1)).alias("salt"), "first")
+    salted = held.join(parts, "root", "left").withColumn("salt", F.pmod(F.xxhash64("id", "print"), several).cast("int")).drop("parts")
+    return salted, first
+
+
 def similar_links(rows: DataFrame, candidates: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links a, b between ids of ``rows`` (id, text) that candidate links (a, b) join, by whatever path, and whose shingle sets are that similar.
 
@@ -445,13 +459,12 @@ def similar_links(rows: DataFrame, candidates: DataFrame, radius: int, similarit
     """
     group = cut(components(candidates), "candidate-groups")
     members = group.select(F.col("node").alias("id"), "root").union(group.select(F.col("root").alias("id"), "root").distinct())
+    # only candidates' texts are looked at, and the others not dealt out
+    members = F.broadcast(members) if 2 * group.count() <= MOST_SENT else members
     sets = F.arrow_udf(_sets, "struct<print:binary,shingles:binary>")
     held = rows.where("id is not null").join(members, "id").select("root", "id", sets("text").alias("x")).select("root", "id", "x.*")
     held = cut(held.groupBy("root", "id", "print").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-    # the texts of an id may be several; the root's first one speaks for it
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    first = held.where("id = root").groupBy("root").agg(F.min_by("shingles", "print").alias("first")).select("root", "first", salts)
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "print"), F.lit(SALTS)).cast("int"))
+    salted, first = with_first(held)
     held = cut(salted.join(first, ["root", "salt"]).withColumn("covered", jaccard(similarity)("shingles", "first")).drop("salt", "first"), "candidate-pieces")
     n, size = F.count(F.lit(1)), F.sum(F.octet_length("shingles"))
     many = F.when((n > LARGE_WIDE) | (size > LARGE_SETS), F.ceil(F.greatest(n / LARGE_WIDE, size / LARGE_SETS) * 2)).otherwise(1).cast("int")

@@ -59,3 +59,38 @@ def test_radius_holds_for_short_texts():
     assert abs(1024 * simhash.differing(4, 5, 4) - 192) < 1e-6
     assert simhash.differing(5, 5, 5) == 0
     assert simhash.radius_of(0.8) > 192 + 4 * 12.5
+
+
+def test_first_sets_go_to_the_parts_of_their_group_only(spark):
+    """A small group has its first set once, a large one once for each of its parts, and every row meets it."""
+    large = 5 * simhash.PER_PART
+    rows = [(r, 10 * r + k, b"p%d" % k, b"s%d" % r) for r in range(1, 40) for k in range(3)] + [(10_000, 10_000 + k, b"p", b"large") for k in range(large)]
+    rows = [(i if r < 10_000 and i % 10 == 0 else r, i, p, s) for r, i, p, s in rows]
+    rows = [(10 * r if r < 10_000 and i % 10 else r, i, p, s) for r, i, p, s in rows]
+    held = spark.createDataFrame(rows, "root bigint, id bigint, print binary, shingles binary")
+    salted, first = simhash.with_first(held)
+    counts = {r.root: r["count"] for r in first.groupBy("root").count().collect()}
+    assert counts.pop(10_000) == 5 and set(counts.values()) == {1} and len(counts) == 39
+    met = salted.join(first, ["root", "salt"])
+    assert sorted(r.id for r in met.select("id").collect()) == sorted(i for _, i, _, _ in rows)
+    assert met.where("root = 10000").groupBy("salt").count().agg({"count": "max"}).first()[0] < 2 * simhash.PER_PART
+
+
+def test_only_candidates_texts_are_dealt_out(spark, monkeypatch):
+    """Ids of candidates are sent to the texts, which stay where they are; with too many of them the result is the same."""
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(60))
+    docs = spark.createDataFrame([(k, text(k if k >= 4 else 0)) for k in range(30)], "id bigint, text string")
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a bigint, b bigint")
+    plans, plain = {}, simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lambda: sorted(tuple(sorted(r)) for r in simhash.similar_links(docs, links, 1024, 0.8).collect())
+        one = found()
+        assert "BroadcastHashJoin" in plans["candidate-sets"] and "SortMergeJoin" not in plans["candidate-sets"]
+        monkeypatch.setattr(simhash, "MOST_SENT", 0)
+        assert found() == one == [(0, 1), (0, 2), (0, 3)]
+        assert "SortMergeJoin" in plans["candidate-sets"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
