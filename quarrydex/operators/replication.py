@@ -86,9 +86,18 @@ def replication_status(files: DataFrame, factor: int = REPLICATION_FACTOR) -> Da
 
 
 def under_replicated(files: DataFrame, nodes: DataFrame, factor: int = REPLICATION_FACTOR) -> DataFrame:
-    """file_id, holders, missing: files with fewer online holders than asked for."""
-    online = nodes.where(F.col("status") == "online").select("node_id", F.lit(1).alias("up"))
-    own = files.select("file_id", "node_id").distinct().join(online, "node_id", "left").groupBy("file_id").agg(F.count("up").alias("holders"))
+    """file_id, holders, missing: files with fewer online holders than asked for; repeated rows of a file and node count once.
+
+    Up to two copies the least and the greatest online holder tell none, one and more apart, so no sets are built.
+    """
+    if factor <= 2:
+        online = nodes.where(F.col("status") == "online").groupBy("node_id").agg(F.count(F.lit(1)).alias("up"))
+        up = F.when(F.col("up").isNotNull(), F.col("node_id"))
+        own = files.join(online, "node_id", "left").groupBy("file_id").agg(F.min(up).alias("low"), F.max(up).alias("high"), F.coalesce(F.max("up"), F.lit(0)).alias("holders"))
+        own = own.where("low is null or low = high").select("file_id", "holders")
+    else:
+        online = nodes.where(F.col("status") == "online").select("node_id", F.lit(1).alias("up"))
+        own = files.select("file_id", "node_id").distinct().join(online, "node_id", "left").groupBy("file_id").agg(F.count("up").alias("holders"))
     return own.where(F.col("holders") < factor).withColumn("missing", F.lit(factor) - F.col("holders"))
 
 

@@ -519,7 +519,7 @@ def replication_status(s, d):
 @query(f"""WITH {_NODES}, {_FILES}, c AS (SELECT file_id, count(*) FILTER (WHERE status = 'online') AS holders FROM files LEFT JOIN nodes USING (node_id) GROUP BY file_id)
 SELECT file_id, holders, 2 - holders AS missing FROM c WHERE holders < 2""")
 def under_replicated_files(s, d):
-    return replication.under_replicated(file_table(s, d), node_table(s, d)).select("file_id", "holders", F.col("missing").cast("bigint").alias("missing"))
+    return replication.under_replicated(replica_rows(s, d), node_table(s, d)).select("file_id", "holders", F.col("missing").cast("bigint").alias("missing"))
 
 
 @query(f"""WITH {_NODES} SELECT file_id, node_id, CAST(nth AS INTEGER) AS nth FROM (

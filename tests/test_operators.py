@@ -406,6 +406,22 @@ def test_files_of_all_groups_go_down_the_tree_together(monkeypatch):
         assert place == max((k for k in range(len(ids)) if way[k].startswith(own)), key=lambda k: u(head, names[k]))
 
 
+def test_under_replicated_files_need_no_windows_and_no_sets(spark):
+    """Repeated rows, unknown and offline nodes and null ids, for each factor; up to two copies nothing but files is grouped by."""
+    rows = [(1, 1), (1, 1), (1, 2), (2, 1), (2, 1), (2, 9), (3, 3), (3, 7), (4, None), (None, 2), (5, 1), (5, 2), (5, 4), (6, 3)]
+    nodes = {1: "online", 2: "online", 3: "offline", 4: "online"}
+    files, table = spark.createDataFrame(rows, "file_id int, node_id int"), spark.createDataFrame(list(nodes.items()), "node_id int, status string")
+    for factor in (0, 1, 2, 3):
+        want = {f: len({n for g, n in rows if g == f and nodes.get(n) == "online"}) for f, _ in rows}
+        got = replication.under_replicated(files, table, factor)
+        assert {(r.file_id, r.holders, r.missing) for r in got.collect()} == {(f, n, factor - n) for f, n in want.items() if n < factor}
+    plan = replication.under_replicated(files, table)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[file_id" in plan and "keys=[file_id#" in plan and not [x for x in plan.splitlines() if "keys=[file_id" in x and "node_id" in x.split("functions=")[0]]
+    from quarrydex.plans import catalog
+
+    assert "Window" not in catalog.QUERIES["under_replicated_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_checkpoint_is_verified_along_with_its_counts(spark):
     """The digest is that of ranges' digests in hexadecimal digits, whatever goes through the shuffle; counts come from the same pass."""
     import hashlib
