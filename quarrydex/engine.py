@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .operators import checkpoints, namespace, registry, reliability, replication, routing, search, vectors
 from .operators.text_index import TextIndex
@@ -46,8 +47,13 @@ class Engine:
     def documents(self) -> DataFrame:
         """Each file once, with its content: the replica that was updated last, then that of the greatest node."""
         columns = [c for c in self.files.columns if c != "file_id"]
-        latest = F.max_by(F.struct(*columns), F.struct(*[c for c in ("last_updated", "node_id") if c in columns]))
-        one = self.files.groupBy("file_id").agg(latest.alias("x")).select("file_id", "x.*")
+        order = [c for c in ("last_updated", "node_id") if c in columns]
+        files = self.files
+        if len(order) == 1 and not any(isinstance(f.dataType, (MapType, VariantType)) for f in files.schema):
+            # replicas that differ in nothing else are one row before rows are sorted
+            files = files.groupBy("file_id", *[c for c in columns if c not in order]).agg(F.max(order[0]).alias(order[0]))
+        latest = F.max_by(F.struct(*columns), F.struct(*order))
+        one = files.groupBy("file_id").agg(latest.alias("x")).select("file_id", "x.*")
         contents = self.contents.groupBy("file_id").agg(F.max("content").alias("content"))
         return one.join(contents, "file_id", "left")
 

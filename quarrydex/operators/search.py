@@ -10,6 +10,8 @@ from ..functions.text import contains_ignoring_case, query_terms, tokens
 from .text_index import K1, B, TextIndex
 
 NAME_WEIGHT, CONTENT_WEIGHT = 10.0, 1.0
+#: Hits whose replicas are looked up by their ids, at most.
+MOST_NAMED = 1000
 
 
 def postings(docs: DataFrame, field: str, id_col: str = "file_id") -> DataFrame:
@@ -91,13 +93,18 @@ def search(docs: DataFrame, query: str, file_type: str | None = None, limit: int
 def with_files(hits: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """Every replica of each hit (file_id, score), in the hits' order: ``files`` with score and nth, the place of the hit.
 
-    The limit is one on hits, so more rows than that may come.  Hits are a short list, ranked in one small window.
+    The limit is one on hits, so more rows than that may come.  Hits are a short list, ranked in one small window; up to MOST_NAMED
+    of them are found first and looked up by their ids, so ``files`` of nothing else are put together.
     """
-    nth = F.row_number().over(Window.orderBy(F.desc("score"), "file_id")).alias("nth")
-    ranked = hits.select("file_id", "score", nth)
+    order = (F.desc("score"), F.col("file_id"))
+    ranked = hits.select("file_id", "score")
     if limit is not None:
-        ranked = ranked.where(F.col("nth") <= limit)
-    return ranked.join(files, "file_id").orderBy("nth", "node_id")
+        ranked = ranked.orderBy(*order).limit(limit)
+    found = ranked.limit(MOST_NAMED + 1).toArrow()
+    if len(found) <= MOST_NAMED:
+        ranked = F.broadcast(files.sparkSession.createDataFrame(found, ranked.schema))
+        files = files.where(F.col("file_id").isin(found.column("file_id").drop_null().unique().to_pylist()))
+    return ranked.withColumn("nth", F.row_number().over(Window.orderBy(*order))).join(files, "file_id").orderBy("nth", "node_id")
 
 
 def nodes_of(hits: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:

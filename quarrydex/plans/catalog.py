@@ -378,10 +378,10 @@ b AS (SELECT file_id, score * 10 AS score FROM sn UNION ALL SELECT file_id, scor
 SELECT h.file_id, score, l_suppkey AS node_id FROM h JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = h.file_id""")
 def engine_search(s, d):
     # each part is a file on every node that delivers it
-    held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id")).distinct()
-    files = part_table(s, d).drop("content").join(held, "file_id", "left")
+    held = read_table(s, d, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("node_id"))
+    files = part_table(s, d).drop("content").hint("shuffle_hash").join(held, "file_id", "left")  # rows of lineitem aren't sorted for it
     engine = Engine(s, tables={"files": files, "contents": part_table(s, d).select("file_id", "content")})
-    return engine.result_files(engine.search("BOLT small", "Brand#7", 20)).where("node_id is not null").select("file_id", "score", "node_id")
+    return engine.result_files(engine.search("BOLT small", "Brand#7", 20)).where("node_id is not null").select("file_id", "score", "node_id").distinct()
 
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text', ['der', 'erand'])} SELECT file_id, round(score, 6) AS score FROM s WHERE file_id IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 200 AND 900) ORDER BY score DESC, file_id LIMIT 15")

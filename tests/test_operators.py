@@ -422,6 +422,29 @@ def test_under_replicated_files_need_no_windows_and_no_sets(spark):
     assert "Window" not in catalog.QUERIES["under_replicated_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_replicas_of_a_few_hits_are_looked_up_by_id(spark, tmp_path, monkeypatch):
+    """Ids of hits reach the tables that files are made of; with more hits than are looked up the rows are the same."""
+    spark.range(500).selectExpr("id % 100 AS file_id", "id % 7 AS node_id").write.parquet(str(tmp_path / "held"))
+    names = spark.range(100).selectExpr("id AS file_id", "concat('n', id) AS name")
+    files = names.join(spark.read.parquet(str(tmp_path / "held")).distinct(), "file_id", "left")
+    hits = spark.createDataFrame([(3, 1.0), (5, 2.0), (4, 2.0), (None, 9.0), (1000, 0.5)], "file_id bigint, score double")
+    rows = lambda limit: [(r.nth, r.file_id, r.score, r.node_id, r.name) for r in search.with_files(hits, files, limit).collect()]
+    plan = search.with_files(hits, files)._jdf.queryExecution().executedPlan().toString()
+    assert "In(file_id" in plan
+    few = {limit: rows(limit) for limit in (None, 3, 0)}
+    assert [x[:3] for x in few[3]] == [(2, 4, 2.0)] * 5 + [(3, 5, 2.0)] * 5 and len(few[None]) == 15 and not few[0]
+    monkeypatch.setattr(search, "MOST_NAMED", 2)
+    assert {limit: rows(limit) for limit in (None, 3, 0)} == few
+
+
+def test_documents_are_the_greatest_nodes_whatever_replicas_differ_in(spark):
+    files = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "a", 2), (2, "c", None), (2, "c", None), (3, None, 4), (3, "d", 1)], "file_id int, name string, node_id int")
+    contents = spark.createDataFrame([(1, "x")], "file_id int, content string")
+    documents = Engine(spark, tables={"files": files, "contents": contents}).documents()
+    assert sorted((r.file_id, r.name, r.node_id, r.content) for r in documents.collect()) == [(1, "b", 3, "x"), (2, "c", None, None), (3, None, 4, None)]
+    assert "keys=[file_id#" in (plan := documents._jdf.queryExecution().executedPlan().toString()) and "max(node_id" in plan
+
+
 def test_a_checkpoint_is_verified_along_with_its_counts(spark):
     """The digest is that of ranges' digests in hexadecimal digits, whatever goes through the shuffle; counts come from the same pass."""
     import hashlib
