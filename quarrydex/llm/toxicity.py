@@ -66,7 +66,7 @@ def chi_square(toxic, seen, toxic_all, all_):
 
 def paired(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Those of ``terms`` that are in a pair whose terms each say something among the documents that have the other."""
-    place = np.full(1 << HASH_BITS, -1)
+    place = np.full(1 << HASH_BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
     has = np.zeros((len(docs), len(terms)), np.float32)
     for row, d in zip(has, docs):
@@ -107,9 +107,12 @@ class Machine:
         seen = np.bincount(flat, minlength=1 << HASH_BITS)
         toxic = np.bincount(flat, weights=np.repeat(y, [len(d) for d in docs]), minlength=1 << HASH_BITS)
         share = positive / n
-        alone = np.flatnonzero((seen >= LEAST_DOCS) & (chi_square(toxic, seen, float(positive), float(n)) >= LEAST_CHI2))
-        kept = np.union1d(alone, paired(docs, y, np.flatnonzero(seen >= max(LEAST_DOCS, PAIR_SHARE * n))))
-        place = np.full(1 << HASH_BITS, -1)
+        often = np.flatnonzero(seen >= LEAST_DOCS)  # few of all hashes
+        alone = often[chi_square(toxic[often], seen[often], float(positive), float(n)) >= LEAST_CHI2]
+        frequent = np.flatnonzero(seen >= max(LEAST_DOCS, PAIR_SHARE * n))
+        del flat, seen, toxic
+        kept = np.union1d(alone, paired(docs, y, frequent))
+        place = np.full(1 << HASH_BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
         rows = [(p := place[d])[p >= 0].astype(np.int32) for d in docs]
         rng = np.random.default_rng(seed)
