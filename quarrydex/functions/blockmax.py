@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Postings in a block.
 BLOCK = 128
+#: Postings whose bytes are put in place at once, about.
+RUN = 1 << 16
 #: Stretches that are looked at first; each further look takes twice as many.
 FIRST_LOOK = 8
 
@@ -44,14 +46,17 @@ def pack(term: np.ndarray, place: np.ndarray, planes: list[np.ndarray], impact:
     bytes_ = size * sum(1 << c for c in codes)
     base = np.cumsum(bytes_) - bytes_
     payload = np.zeros(int(bytes_.sum()), np.uint8)
-    inside = np.arange(n) - np.repeat(start, size)
-    for values, c in zip(planes, codes):
-        width = np.repeat(1 << c, size)
-        where = np.repeat(base, size) + inside * width
-        for j in range(4):
-            own = width > j
-            payload[where[own] + j] = (values[own] >> (8 * j)) & 255
-        base = base + size * (1 << c)
+    runs = np.unique(np.append(np.searchsorted(start, np.arange(0, n, RUN)), len(start)))
+    for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
+        at, sizes, begins = slice(int(start[lo]), int(start[hi - 1] + size[hi - 1])), size[lo:hi], base[lo:hi]
+        inside = np.arange(at.start, at.stop) - np.repeat(start[lo:hi], sizes)
+        for values, c in zip(planes, codes):
+            width = np.repeat(1 << c[lo:hi], sizes)
+            where = np.repeat(begins, sizes) + inside * width
+            for j in range(4):
+                own = width > j
+                payload[where[own] + j] = (values[at][own] >> (8 * j)) & 255
+            begins = begins + sizes * (1 << c[lo:hi])
     cuts = np.concatenate(([0], np.cumsum(blocks)))
     of_term = np.concatenate(([0], np.cumsum(np.add.reduceat(bytes_, cuts[:-1]))))
     offsets = pa.array(cuts.astype(np.int32))

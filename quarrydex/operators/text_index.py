@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ K1, B = 1.5, 0.75
 DIGITS = 6
 #: Bytes of text in a shard, in a part of the terms, and in a file of a part, about.
 SHARD_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 30, 256 << 20
+#: Postings in a shard, and bytes of text whose words are counted at once while a shard is built, about.
+SHARD_POSTINGS, STEP_BYTES = 1 << 20, 2 << 20
 #: Bytes of text that a task of building sorts, about, and postings that a search gives to a single task.
 TASK_BYTES, ONE_TASK = 128 << 20, 1 << 20
 #: Files of an index whose searches are one task: their ids and the postings of a query's terms are small then.
@@ -94,29 +97,99 @@ class _Counts:
         self.vocabulary.default_factory = self.vocabulary.__len__
         self.numbers: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
+        #: Distinct words of each file.
+        self.sizes: list[np.ndarray] = []
+        self.postings = 0
         for c in counters:
             self.add(c)
 
+    def _add(self, numbers: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> None:
+        self.numbers.append(numbers)
+        self.times.append(times)
+        self.sizes.append(sizes)
+        self.postings += len(numbers)
+
     def add(self, counter: Counter) -> None:
-        self.numbers.append(np.fromiter(map(self.vocabulary.__getitem__, counter), np.int32, len(counter)))
-        self.times.append(np.fromiter(counter.values(), np.int32, len(counter)))
+        self._add(np.fromiter(map(self.vocabulary.__getitem__, counter), np.int32, len(counter)), np.fromiter(counter.values(), np.int32, len(counter)), np.array([len(counter)], np.int32))
+
+    def add_sets(self, sets: list[Collection[str]]) -> None:
+        """A file for each set, whose words it has once."""
+        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+        numbers = np.fromiter(map(self.vocabulary.__getitem__, chain.from_iterable(sets)), np.int32, int(sizes.sum()))
+        self._add(numbers, np.ones(len(numbers), np.int32), sizes)
+
+    def add_texts(self, texts: pa.Array, stems: np.ndarray) -> None:
+        """A file for each text, words with a space between them; words of those that ``stems`` marks go in by their stems."""
+        words = pa.compute.split_pattern(texts, " ")
+        coded = words.flatten().dictionary_encode()
+        spelled, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        file = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+        if "" in spelled:  # of texts without words
+            some = code != spelled.index("")
+            code, file = code[some], file[some]
+        number = np.zeros(len(code), np.int64)
+        stemmed = stems[file]
+        for own, spell in ((~stemmed, str), (stemmed, spanish)):
+            used = np.zeros(len(spelled), bool)
+            used[code[own]] = True
+            of_code = np.zeros(len(spelled), np.int64)
+            of_code[used] = [self.vocabulary[spell(spelled[i])] for i in np.flatnonzero(used).tolist()]
+            number[own] = of_code[code[own]]
+        key = np.sort(file << 32 | number)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.diff(first, append=len(key))
+        self._add((key & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32), np.bincount(key >> 32, minlength=len(texts)).astype(np.int32))
 
 
 def _field_rows(shard: int, name: str, counts: _Counts, avgdl: float, lengths: np.ndarray | None = None) -> pa.RecordBatch:
-    vocabulary = counts.vocabulary
-    number = np.concatenate(counts.numbers).astype(np.int64)
-    tf = np.concatenate(counts.times).astype(np.int64)
-    place = np.repeat(np.arange(len(counts.numbers)), [len(c) for c in counts.numbers])
-    lengths = np.array([int(t.sum()) for t in counts.times], np.int64) if lengths is None else lengths
-    names = sorted(vocabulary)
+    vocabulary, n = counts.vocabulary, counts.postings
+    sizes, tf = np.concatenate(counts.sizes), np.concatenate(counts.times)
+    names = pa.array(list(vocabulary), pa.string())
+    sorted_ = pa.compute.array_sort_indices(names)
+    names = names.take(sorted_)
     rank = np.empty(len(names), np.int64)
-    rank[[vocabulary[w] for w in names]] = np.arange(len(names))
-    term = rank[number]
-    order = np.argsort(term, kind="stable")
-    term, place, tf = term[order], place[order], tf[order]
+    rank[sorted_.to_numpy()] = np.arange(len(names))
+    key = rank[np.concatenate(counts.numbers)] << 32  # a term's postings in the order of files, by one sort of numbers
+    key |= np.arange(n)
+    key.sort()
+    term, order = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    del key
+    place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    lengths = np.bincount(place, tf, len(sizes)).astype(np.int32) if lengths is None else lengths
+    place, tf = place[order], tf[order]
+    del order
     dl = lengths[place]
     packed = pack(term, place, [tf, dl], saturated(tf, dl, avgdl))
-    return pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int64()), pa.array([name] * len(names), pa.string()), pa.array(names, pa.string()), *packed.values()], schema=_ROWS)
+    return pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int64()), pa.array([name] * len(names), pa.string()), names, *packed.values()], schema=_ROWS)
+
+
+class _Shard:
+    """What a task holds of the shard that it builds: ids and names as columns, words, kinds and trigrams as numbers."""
+
+    def __init__(self, fields: list[str]):
+        self.ids: list[pa.Array] = []
+        self.names: list[pa.Array] = []
+        self.texts = [_Counts() for _ in fields]
+        self.kinds, self.grams = _Counts(), _Counts()
+        self.size = self.files = 0
+
+    @property
+    def postings(self) -> int:
+        """Of words, kinds and trigrams; a file counts as one too."""
+        return self.files + sum(c.postings for c in (*self.texts, self.kinds, self.grams))
+
+    def add(self, rows: pa.RecordBatch, size: int) -> None:
+        """Rows (file_id, kind, stems, name, texts) of so many bytes."""
+        ids, kinds, stems, names, *texts = rows.columns
+        self.size += size
+        self.files += len(rows)
+        own = pa.array(np.arange(len(rows)))  # copies, as a slice would keep all of its batch
+        self.ids.append(ids.take(own))
+        self.names.append(names.cast(pa.string()).take(own))
+        self.kinds.add_sets([() if k is None else (k,) for k in kinds.to_pylist()])
+        self.grams.add_sets([grams(n or "") for n in names.to_pylist()])
+        for own, text in zip(self.texts, texts):
+            own.add_texts(text, stems.to_numpy(zero_copy_only=False))
 
 
 @dataclass
@@ -151,39 +224,33 @@ class TextIndex:
         schema = StructType([*StructType.fromDDL(POSTINGS), StructField("ids", ArrayType(rows.schema["file_id"].dataType)), StructField("names", ArrayType(StringType()))])
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, held, size = TaskContext.get().partitionId() << 33, [], 0
-            counts = [_Counts() for _ in fields]
+            number, shard = TaskContext.get().partitionId() << 33, _Shard(fields)
             for batch in batches:
-                col = [batch.column(i) for i in range(batch.num_columns)]
-                ids = col[0]
-                lists = [c.to_pylist() for c in col[1:]]
-                for i, (kind_, stems, name_, *texts) in enumerate(zip(*lists)):
-                    more = sum(map(len, texts))
-                    if held and size + more > shard_bytes:
-                        yield from flushed(shard, held, counts, ids.type)
-                        shard, held, size, counts = shard + 1, [], 0, [_Counts() for _ in fields]
-                    for own, t in zip(counts, texts):
-                        own.add(Counter(map(spanish, t.split(" ")) if stems else t.split(" ")) if t else Counter())
-                    held.append((ids[i].as_py(), kind_, name_))
-                    size += more
-            if held:
-                yield from flushed(shard, held, counts, ids.type)
-
-        def flushed(shard: int, held: list, counts: list[_Counts], id_type) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for k, f in enumerate(fields):
-                if counts[k].vocabulary:
-                    rows.append(_field_rows(shard, f, counts[k], avgdl[k]))
-            ones = np.ones(len(held), np.int64)
-            if any(h[1] is not None for h in held):
-                rows.append(_field_rows(shard, KIND, _Counts(Counter([] if h[1] is None else [h[1]]) for h in held), 1.0, ones))
-            if any(h[2] for h in held):
-                rows.append(_field_rows(shard, GRAMS, _Counts(Counter(grams(h[2] or "")) for h in held), 1.0, ones))
-            for r in rows:
-                yield pa.RecordBatch.from_arrays([*r.columns, pa.nulls(len(r), pa.list_(id_type)), pa.nulls(len(r), pa.list_(pa.string()))], names)
+                sizes = reduce(np.add, [pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[3:]])
+                ends, at = np.cumsum(sizes), 0
+                while at < len(batch):
+                    done, room = ends[at] - sizes[at], shard_bytes - shard.size
+                    to = int(np.searchsorted(ends, done + min(STEP_BYTES, room), "right"))
+                    if shard.files and (sizes[at] > room or shard.postings >= SHARD_POSTINGS):
+                        yield from flushed(number, shard)
+                        number, shard = number + 1, _Shard(fields)
+                        continue
+                    to = max(to, at + 1)
+                    shard.add(batch.slice(at, to - at), int(ends[to - 1] - done))
+                    at = to
+            if shard.files:
+                yield from flushed(number, shard)
+
+        def flushed(shard: int, held: _Shard) -> Iterator[pa.RecordBatch]:
+            rows = (_field_rows(shard, f, c, mean) for f, c, mean in zip(fields, held.texts, avgdl) if c.vocabulary)
+            ones = np.ones(held.files, np.int64)
+            more = (_field_rows(shard, f, c, 1.0, ones) for f, c in ((KIND, held.kinds), (GRAMS, held.grams)) if c.vocabulary)
+            ids, own = pa.concat_arrays(held.ids), pa.concat_arrays(held.names)
+            for r in chain(rows, more):
+                yield pa.RecordBatch.from_arrays([*r.columns, pa.nulls(len(r), pa.list_(ids.type)), pa.nulls(len(r), pa.list_(pa.string()))], names)
             about = [pa.array([shard], pa.int64()), *[pa.nulls(1, f.type) for f in list(_ROWS)[1:]]]
-            offsets = pa.array([0, len(held)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*about, pa.ListArray.from_arrays(offsets, pa.array([h[0] for h in held], id_type)), pa.ListArray.from_arrays(offsets, pa.array([h[2] for h in held], pa.string()))], names)
+            offsets = pa.array([0, held.files], pa.int32())
+            yield pa.RecordBatch.from_arrays([*about, pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, own)], names)
 
         names = [*_ROWS.names, "ids", "names"]
         tasks = max(spark.sparkContext.defaultParallelism, -(-measured.bytes // TASK_BYTES))

@@ -183,3 +183,40 @@ def test_a_shard_being_built_holds_numbers_not_words():
     assert len(words.vocabulary) == 4 and sum(n.nbytes + t.nbytes for n, t in zip(words.numbers, words.times)) == 50 * 2 * 8
     rows = text_index._field_rows(7, "text", words, 3.0)
     assert rows.column("term").to_pylist() == ["all", "w0", "w1", "w2"] and rows.column("n").to_pylist() == [50, 17, 17, 16]
+
+
+def test_a_shard_of_names_ends_by_its_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SHARD_POSTINGS", 20_000, raising=False)
+    monkeypatch.setattr(text_index, "STEP_BYTES", 4000, raising=False)
+    names = spark.range(9000).selectExpr("id as file_id", "concat('http://', sha2(string(id), 256)) as name").coalesce(1)
+    index = TextIndex.build(names, str(tmp_path / "n"), ["name"], name="name")  # 16 MB would be a shard's whole part of the table
+    postings = index.postings.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert postings[0] < 25_000 and postings[1] >= 30
+    assert index.names_containing("AB0", 9000).collect() == search.name_matches(names, "AB0", 9000).collect()
+
+
+def test_rows_of_a_shard_take_few_bytes_a_posting():
+    import tracemalloc
+
+    words = text_index._Counts()
+    for k in range(2000):
+        words.add(Counter(f"w{(k * j) % 5003}" for j in range(150)))
+    n = sum(map(len, words.numbers))
+    tracemalloc.start()
+    rows = text_index._field_rows(0, "text", words, 150.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows.column("n").to_pylist()) == n and peak < 90 * n  # 124 with whole columns of 8 bytes
+
+
+def test_texts_are_counted_as_word_by_word():
+    import pyarrow as pa
+
+    texts = ["", "uno dos uno", "documentos documento", "documentos rápidos", "", "ñ 1 ñ"]
+    stems = np.array([False, False, True, False, True, True])
+    one, many = text_index._Counts(), text_index._Counts()
+    for t, s in zip(texts, stems):
+        one.add(Counter(map(spanish, t.split(" ")) if s else t.split(" ")) if t else Counter())
+    many.add_texts(pa.array(texts[:2]), stems[:2])
+    many.add_texts(pa.array(["x", *texts]).slice(3), stems[2:])
+    assert text_index._field_rows(3, "text", many, 2.0).equals(text_index._field_rows(3, "text", one, 2.0))
