@@ -14,6 +14,18 @@ def tokens(text: Column, stop: list[str] | None = None) -> Column:
     return found if not stop else F.filter(found, lambda t: ~t.isin(stop))
 
 
+def spaced(text: Column, stop: list[str] | None = None) -> Column:
+    """The tokens of a text with a space between them; without ``stop`` words no list of them is made."""
+    if stop:
+        return F.array_join(tokens(text, stop), " ")
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def token_count(text: Column, stop: list[str] | None = None) -> Column:
+    """How many tokens a text has."""
+    return F.size(tokens(text, stop)) if stop else F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def query_terms(query: str) -> list[str]:
     """The distinct tokens of a query, in order."""
     return list(dict.fromkeys(t for t in re.split(r"[^\w]|_", query.lower()) if t))

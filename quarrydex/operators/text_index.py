@@ -24,13 +24,13 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from ..functions.blockmax import Floors, Postings, best, pack
 from ..functions.stemming import SPANISH, spanish
-from ..functions.text import contains_ignoring_case, glob, query_terms, tokens
+from ..functions.text import contains_ignoring_case, glob, query_terms, spaced, token_count
 
 K1, B = 1.5, 0.75
 #: Digits that scores have; what is equal then is ordered by id.
 DIGITS = 6
 #: Bytes of text in a shard, in a part of the terms, and in a file of a part, about.
-SHARD_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 30, 256 << 20
+SHARD_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 30, 32 << 20
 #: Postings in a shard, and bytes of text whose words are counted at once while a shard is built, about.
 SHARD_POSTINGS, STEP_BYTES = 1 << 20, 2 << 20
 #: Bytes of text that a task of building sorts, about, and postings that a search gives to a single task.
@@ -217,7 +217,7 @@ class TextIndex:
         spark = docs.sparkSession
         text = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
         rows = docs.select(F.col(id_col).alias("file_id"), text(kind).alias("kind"), F.coalesce(F.lower(text(language)).isin(*SPANISH), F.lit(False)).alias("stems"), text(name).alias("name"), *[F.col(f).alias(f"text{k}") for k, f in enumerate(fields)])
-        measured = docs.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f), F.lit(0)) for f in fields])), F.lit(0)).alias("bytes"), *[F.coalesce(F.avg(F.size(tokens(F.col(f), stop))), F.lit(0.0)).alias(f"avgdl{k}") for k, f in enumerate(fields)]).first()
+        measured = docs.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f), F.lit(0)) for f in fields])), F.lit(0)).alias("bytes"), *[F.coalesce(F.avg(token_count(F.col(f), stop)), F.lit(0.0)).alias(f"avgdl{k}") for k, f in enumerate(fields)]).first()
         avgdl = [measured[f"avgdl{k}"] for k in range(len(fields))]
         parts = min(MOST_PARTS, max(1, -(-measured.bytes // PART_BYTES)))
         salts = max(1, -(-measured.bytes // (parts * FILE_BYTES)))
@@ -255,7 +255,7 @@ class TextIndex:
         names = [*_ROWS.names, "ids", "names"]
         tasks = max(spark.sparkContext.defaultParallelism, -(-measured.bytes // TASK_BYTES))
         ordered = rows.repartitionByRange(tasks, "file_id").sortWithinPartitions("file_id")
-        out = ordered.withColumns({f"text{k}": F.array_join(tokens(F.col(f"text{k}"), stop), " ") for k in range(len(fields))}).mapInArrow(index, schema)
+        out = ordered.withColumns({f"text{k}": spaced(F.col(f"text{k}"), stop) for k in range(len(fields))}).mapInArrow(index, schema)
         out = out.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("field"), F.col("term"), parts)))
         salted = F.pmod(F.xxhash64("shard"), F.lit(salts))
         out.repartition("part", salted).sortWithinPartitions("part", "field", "term", "shard").write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(f"{path}/postings")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrydex.engine import Engine
+from quarrydex.functions import text
 from quarrydex.functions.blockmax import Postings, best, pack
 from quarrydex.functions.stemming import spanish
 from quarrydex.functions.text import glob
@@ -220,3 +221,23 @@ def test_texts_are_counted_as_word_by_word():
     many.add_texts(pa.array(texts[:2]), stems[:2])
     many.add_texts(pa.array(["x", *texts]).slice(3), stems[2:])
     assert text_index._field_rows(3, "text", many, 2.0).equals(text_index._field_rows(3, "text", one, 2.0))
+
+
+def test_words_without_a_list_are_those_of_tokens(spark):
+    odd = [None, "", " ", "¡Hola, MUNDO!", "İstanbul ß ǅ", "áb x\u0000y", "Ⅷ ² ٣4 ١", "--a_b--", "日本 語。", "𝔘 😀 𐐀x", "tab\there\nline end ", "one", "...", "x  y"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    for stop in (None, ["one", "x"]):
+        want = text.tokens(F.col("t"), stop)
+        got = rows.select(text.spaced(F.col("t"), stop).alias("s"), F.array_join(want, " ").alias("w"), text.token_count(F.col("t"), stop).alias("n"), F.size(want).alias("m")).collect()
+        assert [r.s for r in got] == [r.w for r in got] and [r.n for r in got] == [r.m for r in got]
+
+
+def test_postings_are_written_by_several_tasks(spark, tmp_path):
+    docs = spark.range(40).selectExpr("id as file_id", "repeat(concat('w', id, ' '), 500000) as content")  # 76 MB
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = TextIndex.build(docs, str(tmp_path / "t"), ["content"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in index.postings.inputFiles() if "part=0" in f]) >= 2  # one before
+    assert [r.file_id for r in index.search("w7", 5, {"content": 1.0}).collect()] == [7]
