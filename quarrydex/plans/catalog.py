@@ -11,7 +11,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -59,9 +59,14 @@ def replica_rows(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("node_id"), F.col("l_returnflag").alias("content_hash"), F.col("l_shipdate").alias("last_updated"), F.col("l_quantity").alias("size"), F.col("l_partkey").alias("part_id"), F.col("l_linenumber").alias("line"))
 
 
+def latest_first() -> list[Column]:
+    """The order of the rows of a (file, node)."""
+    return [F.desc("last_updated"), F.desc("line"), F.desc("part_id")]
+
+
 def file_table(s: SparkSession, d: str) -> DataFrame:
     """The latest row of each (file, node)."""
-    return registry.latest(replica_rows(s, d), ["file_id", "node_id"], [F.desc("last_updated"), F.desc("line"), F.desc("part_id")])
+    return registry.latest(replica_rows(s, d), ["file_id", "node_id"], latest_first())
 
 
 def part_table(s: SparkSession, d: str) -> DataFrame:
@@ -503,11 +508,11 @@ SELECT CAST(coalesce(files.node_id, b.node_id) AS VARCHAR) AS node_id, CAST(coal
   CASE WHEN b.file_id IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM files LEFT JOIN b ON b.file_id = files.file_id AND b.node_id = files.node_id WHERE b.file_id IS NULL OR b.content_hash <> files.content_hash""")
 def checkpoint_differences(s, d):
-    files = file_table(s, d).select(F.col("node_id").cast("string").alias("node_id"), F.col("file_id").cast("string").alias("file_id"), "content_hash", F.col("last_updated").cast("timestamp").alias("last_updated"))
+    files = replica_rows(s, d)
     later = files.where("file_id % 101 <> 3").withColumn("content_hash", F.when(F.col("file_id") % 97 == 5, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
     paths = [f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}" for name in ("before", "after")]
     for rows, path in zip((files, later), paths):
-        checkpoints.store(rows, path)
+        checkpoints.store(rows, path, latest_first())
     return checkpoints.differences(s, *paths)
 
 

@@ -93,3 +93,48 @@ def test_a_level_of_a_stored_tree_is_written_by_many_tasks(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "s" / "tree"))
     want = checkpoints.tree(rows).collect()
     assert sorted(map(tuple, stored.select("node_id", "prefix", "files", "digest").collect())) == sorted(map(tuple, want))
+
+
+def test_a_stored_snapshot_deals_each_row_out_once(spark, tmp_path):
+    """Of several rows of a file on a node the first by the order is kept; the tree is made where the rows are, and what is alike isn't dealt out."""
+    sc = spark.sparkContext
+
+    def shuffled(run) -> int:
+        """Records that the stages of ``run`` shuffled."""
+        jvm, listed = sc._jvm, lambda: {s.stageId(): s.shuffleWriteRecords() for s in found()}
+        empty = jvm.java.util.ArrayList
+        found = lambda: list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(empty(), False, False, sc._gateway.new_array(jvm.double, 0), empty())))
+        before = listed()
+        run()
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(n for stage, n in listed().items() if stage not in before)
+
+    many, nodes = 20_000, 40
+    base = spark.range(many).selectExpr("id AS file_id", f"id % {nodes} AS node_id", "'h' AS content_hash", "timestamp_ntz'2024-01-01 00:00:00' AS last_updated", "1 AS line")
+    older = base.where("file_id < 3").withColumns({"content_hash": F.lit("old"), "line": F.lit(0)})
+    changed = base.withColumn("content_hash", F.when(F.col("file_id") == 5, "new").otherwise(F.col("content_hash")))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert shuffled(lambda: checkpoints.store(base.unionByName(older), a, [F.desc("last_updated"), F.desc("line")])) < 1.5 * many
+    checkpoints.store(changed, b)
+    plain = checkpoints.tree(base.withColumn("last_updated", F.col("last_updated").cast("timestamp"))).collect()
+    stored = spark.read.parquet(f"{a}/tree").select(F.col("node_id").cast("bigint").alias("node_id"), "prefix", "files", "digest").collect()
+    assert sorted(map(tuple, stored)) == sorted(map(tuple, plain))
+    got = []
+    assert shuffled(lambda: got.extend(checkpoints.differences(spark, a, b).collect())) < 0.1 * many
+    assert [tuple(r) for r in got] == [("5", "5", "changed")]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_ranges_are_looked_up_or_dealt_out_alike(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(checkpoints, "MOST_NODES", most)
+    at = datetime(2024, 1, 1)
+    before = [(f"n{k % 7}", f"f{k}", f"h{k}", at) for k in range(500)]
+    after = [(n, f, None if k % 50 == 3 else h, t) for k, (n, f, h, t) in enumerate(before) if k % 60 != 1] + [("new", "f1", "x", None)]
+    schema = "node_id string, file_id string, content_hash string, last_updated timestamp"
+    for rows, name in ((before, "a"), (after, "b"), ([], "none")):
+        checkpoints.store(spark.createDataFrame(rows, schema), str(tmp_path / name))
+    left, right = ({(n, f): h for n, f, h, _ in rows} for rows in (before, after))
+    want = [(*k, "added" if k not in left else "removed" if k not in right else "changed") for k in left.keys() | right.keys() if left.get(k, 0) != right.get(k, 0)]
+    got = lambda x, y: sorted(map(tuple, checkpoints.differences(spark, str(tmp_path / x), str(tmp_path / y)).collect()))
+    assert got("a", "b") == sorted(want) and len(want) > 15
+    assert got("none", "a") == sorted((n, f, "added") for n, f, _, _ in before) and got("none", "none") == []
